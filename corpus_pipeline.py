@@ -1,25 +1,58 @@
-"""The pipeline over ``documents``."""
+"""The pipeline over ``documents``: five stages, each over all that the one before kept, written as Parquet between."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from oddlens.llm import ngram_join
+from oddlens.llm import decontaminate, mixing, ngram_join, sharding, toxicity
 from oddlens.llm.common import settle, table
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document with the smallest doc_id stays."""
-    return ngram_join.keep_one(docs)
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the grammar rejects go. It learns from the labelled rows among ``docs``."""
+    return toxicity.reject(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
-STAGES = [("near_duplicates", near_duplicates)]
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates (five words, similarity 0.8) the document with the smallest doc_id stays."""
+    return ngram_join.keep_one(docs, n=5, threshold=80)
 
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    return decontaminate.remove(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One and a half times the words: every document once, and a second time as its source's weight asks.
+
+    The filters have passed every document by now, so the mix repeats documents but leaves none out.
+    """
+    mixed = mixing.mix(docs, weights=(3, 1, 2), budget=1.5, least=1, most=2)
+    twice = settle(mixed.where("taken > size").select("doc_id", "source").distinct())
+    again = docs.join(twice, (docs.doc_id.eqNullSafe(twice.doc_id)) & docs.source.eqNullSafe(twice.source), "left_semi")
+    return docs.union(again)
+
+
+def shard_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """40 shards, balanced by bytes, tokens and rows: doc_id, size, text_crc32, shard, slot of each row."""
+    return sharding.shard(docs, shards=40)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+    ("sharding", shard_documents),
+]
+
+#: Learned scores and packing can't be said in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for _, stage in STAGES[:-1]:
         docs = settle(stage(spark, docs, sf_dir))
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)

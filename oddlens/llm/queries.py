@@ -4,18 +4,44 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from oddlens.llm import ngram_join
+from oddlens.llm import decontaminate, mixing, ngram_join, sharding, toxicity
 from oddlens.llm.common import table
 
 
+def held_out(remainder: int, of: int) -> Column:
+    """Whether a row is kept from learning: by crc32 of doc_id as text; a null doc_id is learned from by nobody's fold, so it counts as held out."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(of)) == remainder, F.lit(True))
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), weights=(3, 1, 2), budget=1.5)
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(table(spark, sf_dir, "documents"), shards=40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = table(spark, sf_dir, "documents"), held_out(2, 4)
+    grammar = toxicity.learn(docs.where(~out), table(spark, sf_dir, "labels").where(~out))
+    scored = toxicity.score(docs, grammar)
+    return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components(table(spark, sf_dir, "documents"), n=3, threshold=90)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_ngram_jaccard": op5_ngram_jaccard}
+    return {f.__name__: f for f in (op1_mixing, op3_sharding, op5_ngram_jaccard, op8_decontamination, op9_toxicity)}
 
 
 OP5 = r"""
