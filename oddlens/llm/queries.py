@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddlens.llm import decontaminate, mixing, ngram_join, sharding, toxicity
+from oddlens.llm import decontaminate, language_id, mixing, ngram_join, quality_ranker, quality_rules, sharding, toxicity, url_filter
 from oddlens.llm.common import table
 
 
@@ -20,11 +20,36 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), weights=(3, 1, 2), budget=1.5)
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.cascade(table(spark, sf_dir, "documents")).drop("failed_rule")
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(table(spark, sf_dir, "documents"), shards=40)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+#: The rules of op4's contract.
+URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = table(spark, sf_dir, "documents"), held_out(0, 5)
+    ranker = quality_ranker.learn(docs.where(~out), table(spark, sf_dir, "labels").where(~out))
+    scored = quality_ranker.score(docs, ranker)
+    return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= quality_ranker.CUT).cast("int").alias("predicted"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = table(spark, sf_dir, "documents"), held_out(2, 4)
+    found = language_id.predict(docs, language_id.learn(docs.where(~out)))
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -41,7 +66,7 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op3_sharding, op5_ngram_jaccard, op8_decontamination, op9_toxicity)}
+    return {f.__name__: f for f in (op1_mixing, op2_quality_rules, op3_sharding, op4_url_filter, op5_ngram_jaccard, op7_quality, op8_decontamination, op9_toxicity, op10_language_id)}
 
 
 OP5 = r"""
@@ -65,5 +90,35 @@ FROM documents d LEFT JOIN sizes s USING (doc_id) JOIN (SELECT doc_id, min(other
 """
 
 
+OP2 = r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
+spots AS (SELECT r, unnest(range(1, len(w) - 1)) AS i, w FROM w WHERE len(w) >= 3),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2]) AS n FROM spots) WHERE n > 1),
+rep AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, (VALUES (0), (1), (2)) v(k) GROUP BY r),
+f AS (
+  SELECT doc_id, text, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+    (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines
+  FROM w LEFT JOIN rep USING (r)
+), s AS (SELECT *, greatest(n_words, 1) AS n, greatest(word_chars, 1)::DOUBLE AS c, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND word_chars BETWEEN 2 * n AND 15 * n AND 10 * n_symbols <= n AND 10 * n_dup_lines <= 3 * n_lines
+  AND (length(text) - length(regexp_replace(text, '\p{Lu}', '', 'g'))) / c <= 0.4 AND (length(text) - length(regexp_replace(text, '\p{L}', '', 'g'))) / c >= 0.6
+  AND (length(text) - length(regexp_replace(text, '\p{Nd}', '', 'g'))) / c <= 0.25 AND (length(text) - length(replace(text, '!', ''))) / c <= 0.05 AS kept
+FROM s
+"""
+
+OP4 = r"""
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN regexp_extract(url, '^(?s:.*?)://((?s:[^?#]*))', 1) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '/(?s:.*)$') AS path FROM u),
+rules AS (SELECT * FROM (VALUES ('com/', 'com', '/', 'allow'), ('example.com/en/', 'example.com', '/en/', 'block'), ('www.example.com/en/', 'www.example.com', '/en/', 'allow'),
+  ('net/es/', 'net', '/es/', 'block'), ('net/fr/', 'net', '/fr/', 'block')) v(rule, h, start, verdict)),
+fit AS (SELECT page_id, max_by(rule, length(rule)) AS rule, max_by(verdict, length(rule)) AS verdict FROM p JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, start) GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN fit USING (page_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_ngram_jaccard": OP5}
+    return {"op2_quality_rules": OP2, "op4_url_filter": OP4, "op5_ngram_jaccard": OP5}
