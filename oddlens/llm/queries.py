@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddlens.llm import decontaminate, language_id, mixing, ngram_join, quality_ranker, quality_rules, sharding, toxicity, url_filter
+from oddlens.llm import decontaminate, language_id, mixing, ngram_join, quality_ranker, quality_rules, sharding, suffix_dedup, toxicity, url_filter
 from oddlens.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats(table(spark, sf_dir, "documents"), least=50)
+
+
 #: The rules of op4's contract.
 URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
 
@@ -66,7 +70,7 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_quality_rules, op3_sharding, op4_url_filter, op5_ngram_jaccard, op7_quality, op8_decontamination, op9_toxicity, op10_language_id)}
+    return {f.__name__: f for f in (op1_mixing, op2_quality_rules, op3_sharding, op4_url_filter, op5_ngram_jaccard, op6_suffix_dedup, op7_quality, op8_decontamination, op9_toxicity, op10_language_id)}
 
 
 OP5 = r"""
