@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -71,8 +72,8 @@ def windows(hashes: np.ndarray, n: int) -> np.ndarray:
         return np.empty(0, np.uint64)
     out = np.zeros(len(hashes) - n + 1, np.uint64)
     for i in range(n):
-        out = mix64(out * _GOLDEN + hashes[i : i + len(out)])
-    return out
+        out = out * _GOLDEN + hashes[i : i + len(out)]
+    return mix64(out)
 
 
 def long(x: np.ndarray) -> np.ndarray:
@@ -94,6 +95,41 @@ def list_array(parts: list[np.ndarray], kind: pa.DataType = None) -> pa.Array:
 
 Batches = Iterator[pa.RecordBatch]
 
+MAP_BITS = 27  # log2 of the bits of a membership map, at most: 16 MB, whatever it stands for
+
+
+class MembershipMap:
+    """A bit for each hashed key: says no only for keys that aren't in it. Its size is bounded, not its keys."""
+
+    def __init__(self, words: np.ndarray, bits: int):
+        self.words, self.bits = words, bits
+
+    @staticmethod
+    def place(keys: np.ndarray, bits: int) -> np.ndarray:
+        return (mix64(keys.astype(np.int64).view(np.uint64) + _GOLDEN) >> np.uint64(64 - bits)).astype(np.int64)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        at = self.place(keys, self.bits)
+        return (self.words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
+def _marked(batches: Batches, bits: int) -> Batches:
+    for batch in batches:
+        at = np.unique(MembershipMap.place(batch.column(0).to_numpy(), bits))
+        words, start = np.unique(at >> 6, return_index=True)
+        if len(words):
+            marks = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), start)
+            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(long(marks))], ["word", "mark"])
+
+
+def membership_map(keys: DataFrame) -> MembershipMap:
+    """Of the longs in the only column of ``keys``, a settled table without nulls."""
+    bits = min(MAP_BITS, max(12, (16 * keys.count()).bit_length()))
+    got = keys.mapInArrow(partial(_marked, bits=bits), "word long, mark long").groupBy("word").agg(F.bit_or("mark").alias("mark")).toPandas()
+    words = np.zeros(1 << (bits - 6), np.uint64)
+    words[got["word"].to_numpy(np.int64)] = got["mark"].to_numpy(np.int64).view(np.uint64)
+    return MembershipMap(words, bits)
+
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of the undirected graph of ``edges`` (a, b longs); the component is its smallest node.

@@ -9,7 +9,8 @@ Method (set-relation skipping):
 * *answer level* - sets of a list that are near a pivot take over the pivot's answers: with the sizes of the
   symmetric differences d(x, p) and d(p, z) known, d(x, z) lies between their difference and their sum, so most
   pairs are accepted or dropped without being intersected.
-* A 512-bit parity map of each set bounds the symmetric difference from below and drops most other pairs exactly.
+* A 512-bit parity map and 256 counts by hash bucket of each set bound the symmetric difference from below and drop
+  most other pairs exactly.
 
 No pair is lost: the first pass only finds links early, the second one visits every index list that still joins
 different components. Equal sets are one class from the start, so copies never meet as pairs. Which n-grams count
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oddlens.llm.common import Batches, WordHashes, byte_rows, connected_components, list_array, long, settle, windows
+from oddlens.llm.common import Batches, WordHashes, byte_rows, connected_components, list_array, long, membership_map, settle, windows
 
 MAPS = 8  # 64-bit words of a parity map
 BLOCK = 4096  # sets of one list that the first pass holds at once
@@ -66,21 +67,24 @@ def _most_different(total, threshold: int):
 def _describe(batches: Batches, n: int, threshold: int, frequent) -> Batches:
     grams, rank = frequent.value
     for batch, sets in _sets(batches, n):
-        digests, prefixes, maps = [], [], np.zeros((len(sets), MAPS), np.uint64)
+        digests, prefixes, counts, maps = [], [], [], np.zeros((len(sets), MAPS), np.uint64)
         for i, s in enumerate(sets):
             digests.append(xxhash.xxh3_128_digest(s.tobytes()))
             at = np.minimum(np.searchsorted(grams, s), max(0, len(grams) - 1))
             late = np.where(grams[at] == s, rank[at], 0) if len(grams) else np.zeros(len(s), np.int64)
-            prefixes.append(long(s[np.argsort(late, kind="stable")][: len(s) - -(-threshold * len(s) // 100) + 1 if len(s) else 0]))
-            odd = np.bincount((s >> np.uint64(40)).astype(np.int64) % (64 * MAPS), minlength=64 * MAPS) & 1
-            maps[i] = np.packbits(odd.astype(np.uint8)).view(np.uint64)
+            ordered = s[np.argsort(late, kind="stable")] if late.any() else s
+            prefixes.append(long(ordered[: len(s) - -(-threshold * len(s) // 100) + 1 if len(s) else 0]))
+            per_bit = np.bincount((s >> np.uint64(40)).astype(np.int64) % (64 * MAPS), minlength=64 * MAPS)
+            maps[i] = np.packbits((per_bit & 1).astype(np.uint8)).view(np.uint64)
+            counts.append(np.minimum(per_bit.reshape(-1, 2).sum(1), 255).astype(np.uint8).tobytes())
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), list_array(prefixes), *(pa.array(long(maps[:, k].copy())) for k in range(MAPS))],
-            ["doc_id", "n", "digest", "prefix", *(f"m{k}" for k in range(MAPS))],
+            [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), list_array(prefixes), pa.array(counts, pa.binary()), *(pa.array(long(maps[:, k].copy())) for k in range(MAPS))],
+            ["doc_id", "n", "digest", "prefix", "counts", *(f"m{k}" for k in range(MAPS))],
         )
 
 
-def _only_sets(batches: Batches, n: int) -> Batches:
+def _only_sets(batches: Batches, n: int, wanted) -> Batches:
+    batches = (b.filter(pa.array(wanted.value.has(b.column("id").to_numpy()))) for b in batches)
     for batch, sets in _sets(batches, n):
         yield pa.RecordBatch.from_arrays([batch.column("id"), list_array([np.sort(long(s)) for s in sets])], ["id", "grams"])
 
@@ -187,7 +191,7 @@ def _described(docs: DataFrame, n: int, threshold: int) -> DataFrame:
     grams, rank = top["gram"].to_numpy(np.int64).view(np.uint64), np.arange(1, len(top) + 1)
     order = np.argsort(grams)
     frequent = spark.sparkContext.broadcast((grams[order], rank[order]))
-    return settle(docs.mapInArrow(partial(_describe, n=n, threshold=threshold, frequent=frequent), "doc_id long, n long, digest binary, prefix array<long>, " + ", ".join(f"m{k} long" for k in range(MAPS))))
+    return settle(docs.mapInArrow(partial(_describe, n=n, threshold=threshold, frequent=frequent), "doc_id long, n long, digest binary, prefix array<long>, counts binary, " + ", ".join(f"m{k} long" for k in range(MAPS))))
 
 
 def _representatives(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -199,39 +203,69 @@ def _representatives(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _verified(pairs: DataFrame, docs: DataFrame, n: int, threshold: int) -> DataFrame:
     """Those of ``pairs`` (a, b: ids) whose whole sets reach the threshold."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = settle(_sets_of(ids, docs, n))
+    ids = settle(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    sets = settle(_sets_of(ids, docs, n).join(ids, "id", "left_semi"))
     left, right = sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), sets.select(F.col("id").alias("b"), F.col("grams").alias("gb"))
     common = F.size(F.array_intersect("ga", "gb"))
     return pairs.join(left, "a").join(right, "b").where(100 * common >= threshold * (F.size("ga") + F.size("gb") - common)).select("a", "b")
 
 
 def _sets_of(ids: DataFrame, docs: DataFrame, n: int) -> DataFrame:
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
-    return texts.mapInArrow(partial(_only_sets, n=n), "id long, grams array<long>").where(F.size("grams") > 0)
+    """Sets of the documents ``ids`` (a settled table), and of a few more: texts aren't shuffled to find them."""
+    wanted = docs.sparkSession.sparkContext.broadcast(membership_map(ids))
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id IS NOT NULL")
+    return texts.mapInArrow(partial(_only_sets, n=n, wanted=wanted), "id long, grams array<long>").where(F.size("grams") > 0)
+
+
+def _entries(batches: Batches, lists) -> Batches:
+    """The index entries of the lists that a membership map has: a row for each element of a prefix."""
+    for batch in batches:
+        prefix = batch.column("prefix")
+        ends, grams = prefix.offsets.to_numpy(), prefix.values.to_numpy()
+        grams, ends = grams[ends[0] : ends[-1]], ends - ends[0]
+        row = np.repeat(np.arange(batch.num_rows), np.diff(ends))
+        keep = lists.value.has(grams)
+        rest = batch.drop_columns(["prefix"]).take(pa.array(row[keep]))
+        at = np.arange(len(grams)) - ends[row] if len(grams) else grams
+        yield pa.RecordBatch.from_arrays([pa.array(grams[keep]), pa.array(at[keep].astype(np.int32)), *rest.columns], ["gram", "at", *rest.schema.names])
+
+
+def _even(batches: Batches, threshold: int) -> Batches:
+    """Pairs whose counts of elements by hash bucket don't already differ by more than linked sets can."""
+    for batch in batches:
+        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1).astype(np.int16) for c in ("ca", "cb"))
+        keep = np.abs(x - y).sum(1) <= _most_different(batch.column("total").to_numpy(), threshold)
+        yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
 def _late_pairs(reps: DataFrame, threshold: int, component: DataFrame | None) -> DataFrame:
-    """Pairs (a, b) of classes that the index lists, positions, sizes and parity maps leave, once each.
+    """Pairs (a, b) of classes that the index lists, positions, sizes, parity maps and counts leave, once each.
 
     With ``component`` (node, component), only pairs of different components, and only lists that hold several.
     """
+    counts = reps.select("id", "n", "counts")
     if component is None:
         reps = reps.withColumn("component", F.col("id"))
     else:
         reps = reps.join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    reps = settle(reps)
-    index = reps.select("id", "component", F.posexplode("prefix").alias("at", "gram"))
-    open_lists = index.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("gram")
-    entries = index.select("id", "at", "gram").join(open_lists, "gram", "left_semi")
-    entries = settle(entries.join(reps.drop("prefix", "digest"), "id"))
+    reps = settle(reps.select("id", "component", "n", *(f"m{k}" for k in range(MAPS)), "prefix"))
+    index = reps.select("component", F.explode("prefix").alias("gram"))
+    open_lists = settle(index.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("gram"))
+    lists = reps.sparkSession.sparkContext.broadcast(membership_map(open_lists))
+    columns = ", ".join(f"{f.name} long" for f in reps.schema if f.name != "prefix")
+    entries = settle(reps.mapInArrow(partial(_entries, lists=lists), f"gram long, at int, {columns}"))
     a, b = entries.alias("a"), entries.alias("b")
     total = F.col("a.n") + F.col("b.n")
     most = total - 2 * F.ceil(F.lit(threshold) * total / (100 + threshold))
     differ = sum((F.bit_count(F.col(f"a.m{k}").bitwiseXOR(F.col(f"b.m{k}"))) for k in range(1, MAPS)), F.bit_count(F.col("a.m0").bitwiseXOR(F.col("b.m0"))))
     on = (F.col("a.gram") == F.col("b.gram")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.component") != F.col("b.component"))
     on &= (F.abs(F.col("a.n") - F.col("b.n")) <= most) & (F.col("a.at") + F.col("b.at") <= most) & (differ <= most)
-    return a.join(b, on).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    pairs = settle(a.join(b, on).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct())
+    ids = settle(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    sketch = settle(counts.join(ids, "id", "left_semi"))
+    left, right = (sketch.select(F.col("id").alias(c), F.col("counts").alias(f"c{c}"), F.col("n").alias(f"n{c}")) for c in "ab")
+    sketched = pairs.join(left, "a").join(right, "b").select("a", "b", "ca", "cb", (F.col("na") + F.col("nb")).alias("total"))
+    return sketched.mapInArrow(partial(_even, threshold=threshold), "a long, b long")
 
 
 def links(docs: DataFrame, n: int = 5, threshold: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -260,8 +294,8 @@ def components(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFrame:
     shared = first.groupBy("gram").agg(F.count("*").alias("members")).where("members > 1")
     first = settle(first.join(shared, "gram"))
     hopeful = settle(_by_list(first).mapInArrow(partial(_hopeful, threshold=threshold), "id long").distinct())
-    sets = _sets_of(hopeful, docs, n).dropDuplicates(["id"])
-    with_sets = first.join(sets, "id")
+    sets = settle(_sets_of(hopeful, docs, n))
+    with_sets = first.join(hopeful, "id", "left_semi").join(sets, "id").dropDuplicates(["id"])
     early = settle(_by_list(with_sets).mapInArrow(partial(_early_links, threshold=threshold), "a long, b long"))
     component = connected_components(early)
     pairs = settle(_late_pairs(reps, threshold, component))
