@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from oddlens.plans import detectors, relational
+
+_PARTS = (detectors, relational)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: f for part in _PARTS for name, f in part.queries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for part in _PARTS for name, sql in part.oracle_sql().items()}
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["core_ecod"](spark, sf_dir)
+    return detectors.ecod_report(spark, sf_dir)
