@@ -9,19 +9,20 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oddlens.sources.scratch import settle
 
 
-def _erf(x):
+def _erf(x: pd.Series) -> pd.Series:
     return x.map(math.erf)
 
 
 def erf(x: Column) -> Column:
     """The error function, which Spark lacks."""
-    return F.pandas_udf(_erf, "double", F.PandasUDFType.SCALAR)(x)
+    return F.pandas_udf(_erf, "double")(x)
 
 
 class Detector:

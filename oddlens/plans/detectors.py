@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oddlens.functions.vectors import features
-from oddlens.operators import marginal, neighbours  # noqa: F401  (they register their models)
-from oddlens.operators.registry import create_model
+from oddlens.operators import ensembles, kernels, linear, marginal, neighbours, randomised  # noqa: F401  (they register their models)
+from oddlens.operators.registry import catalogue, create_model, model_names
 from oddlens.sources.scratch import read, with_row_id
 
 LINE_COLUMNS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
@@ -42,6 +42,13 @@ def on_parts(spec):
     return query
 
 
+def on_suppliers(spec):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _round(create_model(spec).fit(features(read(spark, sf_dir, "supplier"), "s_suppkey", "s_acctbal", "s_nationkey")).train_scores)
+
+    return query
+
+
 def ecod_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: ECOD over lineitem, labels at the 90 % quantile, anomalies and total by return flag."""
     rows = with_row_id(read(spark, sf_dir, "lineitem").select("l_returnflag", *LINE_COLUMNS))
@@ -123,10 +130,24 @@ _NEIGHBOUR_SQL = {
 }
 
 
+#: Models whose registered query runs on a small table or with few members, as their batch or their cost is bounded.
+_SMALL = {
+    "core_loci": on_suppliers("core_loci"),
+    "core_sos": on_suppliers("core_sos"),
+    "core_imdd": on_suppliers({"name": "core_imdd", "kwargs": {"n_iter": 10}}),
+    "core_lmdd": on_suppliers({"name": "core_lmdd", "kwargs": {"n_iter": 10}}),
+    "core_feature_bagging": on_embeddings({"name": "core_feature_bagging", "kwargs": {"n_estimators": 2}}),
+    "core_feature_bagging_spec": on_parts({"name": "core_feature_bagging_spec", "kwargs": {"n_estimators": 2, "base_estimator_spec": "core_hbos"}}),
+    "core_mahalanobis": on_parts("core_mahalanobis"),
+}
+
+
 def queries():
-    out = {"ecod_report": ecod_report, "core_ecod": on_lines("core_ecod"), "core_copod": on_lines("core_copod")}
+    out = {"model_catalogue": lambda spark, sf_dir: catalogue(spark), "ecod_report": ecod_report, "core_ecod": on_lines("core_ecod"), "core_copod": on_lines("core_copod")}
     out |= {n: on_parts(n) for n in ("core_mad", "core_rzscore", "core_hbos", "core_dtc")}
     out |= {n: on_embeddings(n) for n in ("core_loop", "core_rgraph", "core_dbscan", *_NEIGHBOUR_SQL) if not n.startswith("core_knn_m")}
+    out |= _SMALL
+    out |= {n: on_embeddings(n) for n in model_names() if n not in out and n != "core_score_ensemble"}
     out |= {f"core_knn_{m}": on_embeddings({"name": "core_knn", "kwargs": {"method": m}}) for m in ("mean", "median")}
     return out
 
@@ -141,5 +162,6 @@ def oracle_sql():
         "core_rzscore": _robust("avg(z)"),
         "core_hbos": _HBOS,
         "core_dtc": _DTC,
+        "core_mahalanobis": _MAHALANOBIS,
         **_NEIGHBOUR_SQL,
     }

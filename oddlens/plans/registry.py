@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from oddlens.plans import detectors, relational
+from oddlens.plans import detectors, pixels, relational
 
-_PARTS = (detectors, relational)
+_PARTS = (detectors, relational, pixels)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
