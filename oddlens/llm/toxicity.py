@@ -191,7 +191,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, most: int = SAMPLE) -
     rate = F.lit(0.0)
     for value, n in sizes.items():
         rate = F.when(F.col(label) == value, F.lit(min(1.0, most / n))).otherwise(rate)
-    labels = labels.withColumn("rate", rate).withColumn("weight", 1 / F.col("rate"))
+    labels = labels.withColumn("rate", rate).withColumn("weight", 1 / F.greatest(F.col("rate"), F.lit(1e-12)))
     chosen = labels.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < F.col("rate") * 1_000_000).drop("rate")
     return docs.select(F.col("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
 
