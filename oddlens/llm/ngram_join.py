@@ -3,17 +3,16 @@
 Method (set-relation skipping):
 
 * *index level* - every set is ordered by one global order (rare n-grams first, known frequent ones last) and only
-  its prefix is indexed. An index list is skipped as a block when all its sets are already in one component;
-  within a list, entries are skipped by size and by position: two sets whose first common n-gram stands at
-  positions i and j differ in at least i + j elements.
-* *answer level* - sets of a list that are near a pivot take over the pivot's answers: with the sizes of the
-  symmetric differences d(x, p) and d(p, z) known, d(x, z) lies between their difference and their sum, so most
-  pairs are accepted or dropped without being intersected.
-* A 512-bit parity map and 256 counts by hash bucket of each set bound the symmetric difference from below and drop
-  most other pairs exactly.
-
-No pair is lost: the first pass only finds links early, the second one visits every index list that still joins
-different components. Equal sets are one class from the start, so copies never meet as pairs. Which n-grams count
+  its prefix is indexed. Within an index list, entries are skipped by size and by position: two sets whose first
+  common n-gram stands at positions i and j differ in at least i + j elements. A 512-bit parity map, and for long
+  texts 256 counts by hash bucket, bound the symmetric difference from below and drop most other pairs exactly.
+  What is left of a list is passed on as a few edges that connect its possible partners, not as pairs.
+* *answer level* - sets of a group of possible partners are compared with pivots first. With the sizes of the
+  symmetric differences d(x, p) and d(p, z) known, d(x, z) lies between their difference and their sum, so a set near
+  a pivot takes over most of the pivot's answers and few pairs are intersected.
+
+No pair is lost: lists and groups of more than BLOCK sets are dealt out as pairs of blocks, every pair of sets
+meeting in one of them. Equal sets are one class from the start, so copies never meet as pairs. Which n-grams count
 as frequent only moves them in the order; any order gives the same result.
 
 Rows without words (or null text) are linked with nothing. A repeated doc_id is placed by each row's own text.
@@ -27,14 +26,16 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oddlens.llm.common import Batches, WordHashes, byte_rows, connected_components, list_array, long, membership_map, settle, windows
 
 MAPS = 8  # 64-bit words of a parity map
-BLOCK = 4096  # sets of one list that the first pass holds at once
-GRAMS = 4_000_000  # their elements, at most, but for a single larger set
+MAP_NAMES = [f"m{k}" for k in range(MAPS)]
+BLOCK = 2048  # sets of a list or group that meet in one task: at most about twice as many
+GRAMS = 4_000_000  # their elements: as well
+LONG = 1500  # elements from which a set also has counts
 FREQUENT = 50_000  # n-grams known as frequent, at most: a bound for the broadcast, not for the result
 
 
@@ -76,7 +77,7 @@ def _describe(batches: Batches, n: int, threshold: int, frequent) -> Batches:
             prefixes.append(long(ordered[: len(s) - -(-threshold * len(s) // 100) + 1 if len(s) else 0]))
             per_bit = np.bincount((s >> np.uint64(40)).astype(np.int64) % (64 * MAPS), minlength=64 * MAPS)
             maps[i] = np.packbits((per_bit & 1).astype(np.uint8)).view(np.uint64)
-            counts.append(np.minimum(per_bit.reshape(-1, 2).sum(1), 255).astype(np.uint8).tobytes())
+            counts.append(np.minimum(per_bit.reshape(-1, 2).sum(1), 255).astype(np.uint8).tobytes() if len(s) >= LONG else None)
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), list_array(prefixes), pa.array(counts, pa.binary()), *(pa.array(long(maps[:, k].copy())) for k in range(MAPS))],
             ["doc_id", "n", "digest", "prefix", "counts", *(f"m{k}" for k in range(MAPS))],
@@ -89,32 +90,75 @@ def _only_sets(batches: Batches, n: int, wanted) -> Batches:
         yield pa.RecordBatch.from_arrays([batch.column("id"), list_array([np.sort(long(s)) for s in sets])], ["id", "grams"])
 
 
-def _cut(table: pa.Table, whole: bool) -> tuple[list[pa.Table], pa.Table]:
-    """Blocks of one list each, of at most BLOCK rows and GRAMS elements; the last one is open unless ``whole``."""
-    grams, total = table.column("gram").to_numpy(), np.cumsum(table.column("n").to_numpy())
-    starts = [0]
-    for k in range(1, len(grams)):
-        if grams[k] != grams[k - 1] or k - starts[-1] >= BLOCK or total[k] - (total[starts[-1] - 1] if starts[-1] else 0) > GRAMS:
-            starts.append(k)
-    ends = [*starts[1:], len(grams)]
-    blocks = [table.slice(x, y - x) for x, y in zip(starts, ends, strict=True)]
-    return (blocks, table.slice(0, 0)) if whole else (blocks[:-1], blocks[-1])
+def _dealt(df: DataFrame, key: str, blocks: Column) -> DataFrame:
+    """Rows of one ``key`` side by side (column ``group``), as pairs of blocks where ``blocks`` is over 1."""
+    own = F.pmod(F.xxhash64("id"), blocks)
+    pairs = df.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    group = F.xxhash64(key, F.least("own", "with"), F.greatest("own", "with"))
+    return pairs.withColumn("group", group).drop(key, "own", "with").repartition("group").sortWithinPartitions("group", "id")
 
 
-def _lists(batches: Batches):
-    """The blocks of more than one row, from rows that come sorted by their list (column ``gram``)."""
+def _whole_groups(batches: Batches):
+    """Tables that hold whole groups, from rows sorted by ``group``."""
     rest: list[pa.RecordBatch] = []
     for batch in batches:
         if batch.num_rows:
-            blocks, last = _cut(pa.Table.from_batches([*rest, batch]).combine_chunks(), False)
-            yield from (x for x in blocks if len(x) > 1)
-            rest = last.to_batches()
+            table = pa.Table.from_batches([*rest, batch]).combine_chunks()
+            groups = table.column("group").to_numpy()
+            end = int(np.searchsorted(groups, groups[-1]))
+            if end:
+                yield table.slice(0, end)
+            rest = table.slice(end).to_batches()
     if rest:
-        yield from (x for x in _cut(pa.Table.from_batches(rest).combine_chunks(), True)[0] if len(x) > 1)
-
-
-def _maps_of(block: pa.Table) -> np.ndarray:
-    return np.stack([block.column(f"m{k}").to_numpy().view(np.uint64) for k in range(MAPS)], 1)
+        yield pa.Table.from_batches(rest).combine_chunks()
+
+
+def _stars(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """Edges that connect what the pairs connect, one for each node but the smallest of a component."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, label = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while len(x) and (label[x] != label[y]).any():
+        low = np.minimum(label[x], label[y])
+        np.minimum.at(label, label[x], low)
+        np.minimum.at(label, label[y], low)
+        label = label[label]
+    keep = label != np.arange(len(nodes))
+    return pa.RecordBatch.from_arrays([pa.array(nodes[label[keep]], pa.int64()), pa.array(nodes[keep], pa.int64())], ["a", "b"])
+
+
+def _counts_differ(x: list, y: list) -> np.ndarray:
+    x, y = (np.frombuffer(b"".join(c), np.uint8).reshape(len(c), -1).astype(np.int16) for c in (x, y))
+    return np.abs(x - y).sum(1)
+
+
+def _candidates(batches: Batches, threshold: int) -> Batches:
+    """Edges between the possible partners of index lists."""
+    for table in _whole_groups(batches):
+        groups, ids, sizes, at = (table.column(c).to_numpy() for c in ("group", "id", "n", "at"))
+        maps, counts = _maps_of(table), table.column("counts").to_pylist()
+        left, right = [], []
+        for step in range(1, len(ids)):
+            k = np.flatnonzero(groups[:-step] == groups[step:])
+            if not len(k):
+                break
+            most = _most_different(sizes[k] + sizes[k + step], threshold)
+            keep = (at[k] + at[k + step] <= most) & (np.abs(sizes[k] - sizes[k + step]) <= most) & (ids[k] != ids[k + step])
+            k, most = k[keep], most[keep]
+            keep = np.bitwise_count(maps[k] ^ maps[k + step]).sum(1, dtype=np.int64) <= most
+            k, most = k[keep], most[keep]
+            both = np.array([counts[i] is not None and counts[i + step] is not None for i in k], bool)
+            if both.any():
+                some = k[both]
+                both[both] = _counts_differ([counts[i] for i in some], [counts[i + step] for i in some]) > most[both]
+                k = k[~both]
+            left.append(ids[k])
+            right.append(ids[k + step])
+        if left:
+            yield _stars(np.concatenate(left), np.concatenate(right))
+
+
+def _maps_of(table: pa.Table) -> np.ndarray:
+    return np.stack([table.column(m).to_numpy().view(np.uint64) for m in MAP_NAMES], 1)
 
 
 def _arrays(column: pa.ChunkedArray) -> list[np.ndarray]:
@@ -136,52 +180,40 @@ def _near(maps: np.ndarray, sizes: np.ndarray, i: int, threshold: int) -> np.nda
     return np.flatnonzero(differ <= _most_different(sizes[:i] + sizes[i], threshold))
 
 
-def _hopeful(batches: Batches, threshold: int) -> Batches:
-    """Ids that have a possible partner in their block."""
-    for block in _lists(batches):
-        maps, sizes, ids = _maps_of(block), block.column("n").to_numpy(), block.column("id").to_numpy()
-        found = np.zeros(len(ids), bool)
-        for i in range(1, len(ids)):
-            if len(near := _near(maps, sizes, i, threshold)):
-                found[near] = found[i] = True
-        yield pa.RecordBatch.from_arrays([pa.array(ids[found])], ["id"])
-
-
-def _early_links(batches: Batches, threshold: int) -> Batches:
-    """Links (a, b) that join the linked sets of each block, as a star for each component."""
-    for block in _lists(batches):
-        maps, sizes, ids = _maps_of(block), block.column("n").to_numpy(), block.column("id").to_numpy()
-        grams = _arrays(block.column("grams"))
-        label = np.arange(len(ids))
-        known: list[dict[int, int]] = [{} for _ in ids]  # symmetric differences that were computed
-        for i in range(1, len(ids)):
-            near = _near(maps, sizes, i, threshold)
-            pivot = None
-            while len(near := near[label[near] != label[i]]):
-                j = int(near[0])
-                most = _most_different(int(sizes[i] + sizes[j]), threshold)
-                via = known[pivot].get(j) if pivot is not None else None
-                if via is not None and abs(via - known[i][pivot]) > most:
-                    near = near[1:]
+def _linked(batches: Batches, threshold: int, every: bool) -> Batches:
+    """Links (a, b) between the sets of a group: all of them, or as many as connect what they connect."""
+    for table in _whole_groups(batches):
+        groups = table.column("group").to_numpy()
+        cuts = [0, *(np.flatnonzero(groups[1:] != groups[:-1]) + 1), len(groups)]
+        for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+            yield _links_of(table.slice(start, end - start).combine_chunks(), threshold, every)
+
+
+def _links_of(group: pa.Table, threshold: int, every: bool) -> pa.RecordBatch:
+    maps, sizes, ids, grams = _maps_of(group), group.column("n").to_numpy(), group.column("id").to_numpy(), _arrays(group.column("grams"))
+    label = np.arange(len(ids))
+    known: list[dict[int, int]] = [{} for _ in ids]  # symmetric differences that were computed
+    left, right = [], []
+    for i in range(1, len(ids)):
+        near, pivot = _near(maps, sizes, i, threshold), None
+        near = near[ids[near] != ids[i]]
+        while len(near := near if every else near[label[near] != label[i]]):
+            j = int(near[0])
+            near = near[1:]
+            most = _most_different(int(sizes[i] + sizes[j]), threshold)
+            via = known[pivot].get(j) if pivot is not None else None
+            if via is not None and abs(via - known[i][pivot]) > most:
+                continue
+            if via is None or via + known[i][pivot] > most:
+                via = int(sizes[i] + sizes[j]) - 2 * _common(grams[i], grams[j])
+                known[i][j] = known[j][i] = via
+                if via > most:
                     continue
-                if via is None or via + known[i][pivot] > most:
-                    via = int(sizes[i] + sizes[j]) - 2 * _common(grams[i], grams[j])
-                    known[i][j] = known[j][i] = via
-                    if via > most:
-                        near = near[1:]
-                        continue
-                    pivot = j if pivot is None else pivot
-                label[label == label[i]] = label[j]
-        for x in np.unique(label):
-            member = np.sort(ids[label == x])
-            if len(member) > 1:
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(member) - 1, member[0])), pa.array(member[1:])], ["a", "b"])
-
-
-def _by_list(df: DataFrame) -> DataFrame:
-    """Rows of a list side by side. A list of many blocks is dealt by a salt, as this pass may look at any part of it."""
-    salt = F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / (4 * BLOCK)))
-    return df.repartition("gram", salt).sortWithinPartitions("gram", "n", "id")
+                pivot = j if pivot is None else pivot
+            left.append(min(ids[i], ids[j]))
+            right.append(max(ids[i], ids[j]))
+            label[label == label[i]] = label[j]
+    return pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
 
 def _described(docs: DataFrame, n: int, threshold: int) -> DataFrame:
@@ -201,15 +233,6 @@ def _representatives(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return classes, settle(reps.withColumnRenamed("doc_id", "id"))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, n: int, threshold: int) -> DataFrame:
-    """Those of ``pairs`` (a, b: ids) whose whole sets reach the threshold."""
-    ids = settle(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    sets = settle(_sets_of(ids, docs, n).join(ids, "id", "left_semi"))
-    left, right = sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), sets.select(F.col("id").alias("b"), F.col("grams").alias("gb"))
-    common = F.size(F.array_intersect("ga", "gb"))
-    return pairs.join(left, "a").join(right, "b").where(100 * common >= threshold * (F.size("ga") + F.size("gb") - common)).select("a", "b")
-
-
 def _sets_of(ids: DataFrame, docs: DataFrame, n: int) -> DataFrame:
     """Sets of the documents ``ids`` (a settled table), and of a few more: texts aren't shuffled to find them."""
     wanted = docs.sparkSession.sparkContext.broadcast(membership_map(ids))
@@ -230,42 +253,24 @@ def _entries(batches: Batches, lists) -> Batches:
         yield pa.RecordBatch.from_arrays([pa.array(grams[keep]), pa.array(at[keep].astype(np.int32)), *rest.columns], ["gram", "at", *rest.schema.names])
 
 
-def _even(batches: Batches, threshold: int) -> Batches:
-    """Pairs whose counts of elements by hash bucket don't already differ by more than linked sets can."""
-    for batch in batches:
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1).astype(np.int16) for c in ("ca", "cb"))
-        keep = np.abs(x - y).sum(1) <= _most_different(batch.column("total").to_numpy(), threshold)
-        yield batch.select(["a", "b"]).filter(pa.array(keep))
-
+def _all_links(reps: DataFrame, docs: DataFrame, n: int, threshold: int, every: bool) -> DataFrame:
+    """Links (a, b) between the classes ``reps``: all, once each, or enough to connect the components."""
+    counts = reps.select(F.explode("prefix").alias("gram")).groupBy("gram").agg(F.count("*").alias("members")).where("members > 1")
+    counts = settle(counts)
+    lists = reps.sparkSession.sparkContext.broadcast(membership_map(counts.select("gram")))
+    columns = ["id", "n", "counts", *MAP_NAMES]
+    schema = "gram long, at int, id long, n long, counts binary, " + ", ".join(f"{m} long" for m in MAP_NAMES)
+    entries = reps.select(*columns, "prefix").mapInArrow(partial(_entries, lists=lists), schema)
+    entries = entries.join(counts.where(F.col("members") > BLOCK), "gram", "left")
+    dealt = _dealt(entries, "gram", F.ceil(F.coalesce("members", F.lit(1)) / BLOCK))
+    group = settle(connected_components(dealt.drop("members").mapInArrow(partial(_candidates, threshold=threshold), "a long, b long")))
 
-def _late_pairs(reps: DataFrame, threshold: int, component: DataFrame | None) -> DataFrame:
-    """Pairs (a, b) of classes that the index lists, positions, sizes, parity maps and counts leave, once each.
-
-    With ``component`` (node, component), only pairs of different components, and only lists that hold several.
-    """
-    counts = reps.select("id", "n", "counts")
-    if component is None:
-        reps = reps.withColumn("component", F.col("id"))
-    else:
-        reps = reps.join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    reps = settle(reps.select("id", "component", "n", *(f"m{k}" for k in range(MAPS)), "prefix"))
-    index = reps.select("component", F.explode("prefix").alias("gram"))
-    open_lists = settle(index.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("gram"))
-    lists = reps.sparkSession.sparkContext.broadcast(membership_map(open_lists))
-    columns = ", ".join(f"{f.name} long" for f in reps.schema if f.name != "prefix")
-    entries = settle(reps.mapInArrow(partial(_entries, lists=lists), f"gram long, at int, {columns}"))
-    a, b = entries.alias("a"), entries.alias("b")
-    total = F.col("a.n") + F.col("b.n")
-    most = total - 2 * F.ceil(F.lit(threshold) * total / (100 + threshold))
-    differ = sum((F.bit_count(F.col(f"a.m{k}").bitwiseXOR(F.col(f"b.m{k}"))) for k in range(1, MAPS)), F.bit_count(F.col("a.m0").bitwiseXOR(F.col("b.m0"))))
-    on = (F.col("a.gram") == F.col("b.gram")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.component") != F.col("b.component"))
-    on &= (F.abs(F.col("a.n") - F.col("b.n")) <= most) & (F.col("a.at") + F.col("b.at") <= most) & (differ <= most)
-    pairs = settle(a.join(b, on).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct())
-    ids = settle(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    sketch = settle(counts.join(ids, "id", "left_semi"))
-    left, right = (sketch.select(F.col("id").alias(c), F.col("counts").alias(f"c{c}"), F.col("n").alias(f"n{c}")) for c in "ab")
-    sketched = pairs.join(left, "a").join(right, "b").select("a", "b", "ca", "cb", (F.col("na") + F.col("nb")).alias("total"))
-    return sketched.mapInArrow(partial(_even, threshold=threshold), "a long, b long")
+    members = reps.join(group.withColumnRenamed("node", "id"), "id").select("id", "n", "component", *MAP_NAMES)
+    large = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / GRAMS)).alias("blocks"))
+    sets = settle(_sets_of(group.select("node"), docs, n))
+    with_sets = members.join(large, "component").join(sets, "id").dropDuplicates(["id"])
+    found = _dealt(with_sets, "component", F.col("blocks")).drop("blocks").mapInArrow(partial(_linked, threshold=threshold, every=every), "a long, b long")
+    return found.distinct() if every else found
 
 
 def links(docs: DataFrame, n: int = 5, threshold: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -276,9 +281,8 @@ def links(docs: DataFrame, n: int = 5, threshold: int = 80) -> tuple[DataFrame,
     """
     rows = _described(docs, n, threshold)
     classes, reps = _representatives(rows)
-    pairs = settle(_late_pairs(reps, threshold, None))
     members = rows.join(classes, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep"))
-    return _verified(pairs, docs, n, threshold), members
+    return _all_links(reps, docs, n, threshold, True), members
 
 
 def components(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFrame:
@@ -290,19 +294,7 @@ def components(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFrame:
     """
     rows = _described(docs, n, threshold)
     classes, reps = _representatives(rows)
-    first = reps.select(F.col("prefix")[0].alias("gram"), "id", "n", *(f"m{k}" for k in range(MAPS)))
-    shared = first.groupBy("gram").agg(F.count("*").alias("members")).where("members > 1")
-    first = settle(first.join(shared, "gram"))
-    hopeful = settle(_by_list(first).mapInArrow(partial(_hopeful, threshold=threshold), "id long").distinct())
-    sets = settle(_sets_of(hopeful, docs, n))
-    with_sets = first.join(hopeful, "id", "left_semi").join(sets, "id").dropDuplicates(["id"])
-    early = settle(_by_list(with_sets).mapInArrow(partial(_early_links, threshold=threshold), "a long, b long"))
-    component = connected_components(early)
-    pairs = settle(_late_pairs(reps, threshold, component))
-    late = _verified(pairs, docs, n, threshold) if not pairs.isEmpty() else pairs
-    if not pairs.isEmpty():
-        joined = component.select(F.col("node").alias("a"), F.col("component").alias("b")).union(late)
-        component = connected_components(joined)
+    component = connected_components(_all_links(reps, docs, n, threshold, False))
     found = classes.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(found, "digest", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
