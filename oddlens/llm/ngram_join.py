@@ -3,7 +3,8 @@
 Method (set-relation skipping):
 
 * *index level* - every set is ordered by one global order (rare n-grams first, known frequent ones last) and only
-  its prefix is indexed. Within an index list, entries are skipped by size and by position: two sets whose first
+  its prefix is indexed. A list belongs to an n-gram and a class of sizes; a set stands in the class of its own size
+  and of its largest possible partner. Within a list, entries are skipped by size and by position: two sets whose first
   common n-gram stands at positions i and j differ in at least i + j elements. A 512-bit parity map, and for long
   texts 256 counts by hash bucket, bound the symmetric difference from below and drop most other pairs exactly.
   What is left of a list is passed on as a few edges that connect its possible partners, not as pairs.
@@ -21,6 +22,7 @@ Rows whose doc_id is null get the component of an equal text that has one, else
 
 from __future__ import annotations
 
+import math
 from functools import partial
 
 import numpy as np
@@ -29,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oddlens.llm.common import Batches, WordHashes, byte_rows, connected_components, list_array, long, membership_map, settle, windows
+from oddlens.llm.common import Batches, WordHashes, byte_rows, connected_components, list_array, long, membership_map, mix64, settle, windows
 
 MAPS = 8  # 64-bit words of a parity map
 MAP_NAMES = [f"m{k}" for k in range(MAPS)]
@@ -65,22 +67,34 @@ def _most_different(total, threshold: int):
     return total - 2 * -(-threshold * total // (100 + threshold))
 
 
+def _size_classes(n: int, threshold: int) -> list[int]:
+    """The classes in whose lists a set of ``n`` elements stands: its own, and that of the largest set it may be linked with.
+
+    A class spans four times the ratio that linked sets may have, so there are one or two; it never falls with ``n``.
+    """
+    width = 4 * math.log(100 / threshold) + 0.01
+    return sorted({math.floor(math.log(m) / width) for m in (n, 100 * n // threshold)})
+
+
 def _describe(batches: Batches, n: int, threshold: int, frequent) -> Batches:
     grams, rank = frequent.value
     for batch, sets in _sets(batches, n):
-        digests, prefixes, counts, maps = [], [], [], np.zeros((len(sets), MAPS), np.uint64)
+        digests, prefixes, spread, counts, maps = [], [], [], [], np.zeros((len(sets), MAPS), np.uint64)
         for i, s in enumerate(sets):
             digests.append(xxhash.xxh3_128_digest(s.tobytes()))
             at = np.minimum(np.searchsorted(grams, s), max(0, len(grams) - 1))
             late = np.where(grams[at] == s, rank[at], 0) if len(grams) else np.zeros(len(s), np.int64)
             ordered = s[np.argsort(late, kind="stable")] if late.any() else s
-            prefixes.append(long(ordered[: len(s) - -(-threshold * len(s) // 100) + 1 if len(s) else 0]))
+            prefix = ordered[: len(s) - -(-threshold * len(s) // 100) + 1 if len(s) else 0]
+            classes = _size_classes(len(s), threshold) if len(s) else [0]
+            prefixes.append(long(np.concatenate([mix64(prefix + np.uint64(c + 1)) for c in classes])))
+            spread.append(len(classes))
             per_bit = np.bincount((s >> np.uint64(40)).astype(np.int64) % (64 * MAPS), minlength=64 * MAPS)
             maps[i] = np.packbits((per_bit & 1).astype(np.uint8)).view(np.uint64)
             counts.append(np.minimum(per_bit.reshape(-1, 2).sum(1), 255).astype(np.uint8).tobytes() if len(s) >= LONG else None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), list_array(prefixes), pa.array(counts, pa.binary()), *(pa.array(long(maps[:, k].copy())) for k in range(MAPS))],
-            ["doc_id", "n", "digest", "prefix", "counts", *(f"m{k}" for k in range(MAPS))],
+            [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), list_array(prefixes), pa.array(spread, pa.int32()), pa.array(counts, pa.binary()), *(pa.array(long(maps[:, k].copy())) for k in range(MAPS))],
+            ["doc_id", "n", "digest", "prefix", "spread", "counts", *(f"m{k}" for k in range(MAPS))],
         )
 
 
@@ -217,13 +231,13 @@ def _links_of(group: pa.Table, threshold: int, every: bool) -> pa.RecordBatch:
 
 
 def _described(docs: DataFrame, n: int, threshold: int) -> DataFrame:
-    """doc_id, n, digest, prefix, m0..: one row for each row of ``docs``."""
+    """doc_id, n, digest, prefix (keys of lists, once for each of ``spread`` classes), counts, m0..: a row for each of ``docs``."""
     spark, docs = docs.sparkSession, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     top = docs.select("text").mapInArrow(partial(_frequent, n=n), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(FREQUENT).toPandas().sort_values(["n", "gram"])
     grams, rank = top["gram"].to_numpy(np.int64).view(np.uint64), np.arange(1, len(top) + 1)
     order = np.argsort(grams)
     frequent = spark.sparkContext.broadcast((grams[order], rank[order]))
-    return settle(docs.mapInArrow(partial(_describe, n=n, threshold=threshold, frequent=frequent), "doc_id long, n long, digest binary, prefix array<long>, counts binary, " + ", ".join(f"m{k} long" for k in range(MAPS))))
+    return settle(docs.mapInArrow(partial(_describe, n=n, threshold=threshold, frequent=frequent), "doc_id long, n long, digest binary, prefix array<long>, spread int, counts binary, " + ", ".join(f"m{k} long" for k in range(MAPS))))
 
 
 def _representatives(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -248,8 +262,9 @@ def _entries(batches: Batches, lists) -> Batches:
         grams, ends = grams[ends[0] : ends[-1]], ends - ends[0]
         row = np.repeat(np.arange(batch.num_rows), np.diff(ends))
         keep = lists.value.has(grams)
-        rest = batch.drop_columns(["prefix"]).take(pa.array(row[keep]))
-        at = np.arange(len(grams)) - ends[row] if len(grams) else grams
+        rest = batch.drop_columns(["prefix", "spread"]).take(pa.array(row[keep]))
+        length = np.diff(ends) // batch.column("spread").to_numpy()
+        at = (np.arange(len(grams)) - ends[row]) % length[row] if len(grams) else grams
         yield pa.RecordBatch.from_arrays([pa.array(grams[keep]), pa.array(at[keep].astype(np.int32)), *rest.columns], ["gram", "at", *rest.schema.names])
 
 
@@ -257,11 +272,12 @@ def _all_links(reps: DataFrame, docs: DataFrame, n: int, threshold: int, every:
     """Links (a, b) between the classes ``reps``: all, once each, or enough to connect the components."""
     counts = reps.select(F.explode("prefix").alias("gram")).groupBy("gram").agg(F.count("*").alias("members")).where("members > 1")
     counts = settle(counts)
+    hot = settle(counts.where(F.col("members") > BLOCK))  # a small table: joined without a shuffle of the entries
     lists = reps.sparkSession.sparkContext.broadcast(membership_map(counts.select("gram")))
     columns = ["id", "n", "counts", *MAP_NAMES]
     schema = "gram long, at int, id long, n long, counts binary, " + ", ".join(f"{m} long" for m in MAP_NAMES)
-    entries = reps.select(*columns, "prefix").mapInArrow(partial(_entries, lists=lists), schema)
-    entries = entries.join(counts.where(F.col("members") > BLOCK), "gram", "left")
+    entries = reps.select(*columns, "prefix", "spread").mapInArrow(partial(_entries, lists=lists), schema)
+    entries = entries.join(hot, "gram", "left")
     dealt = _dealt(entries, "gram", F.ceil(F.coalesce("members", F.lit(1)) / BLOCK))
     group = settle(connected_components(dealt.drop("members").mapInArrow(partial(_candidates, threshold=threshold), "a long, b long")))
 
