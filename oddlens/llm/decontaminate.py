@@ -1,11 +1,15 @@
 """Benchmark decontamination by template canonicalisation.
 
 Texts become templates: words in lower case without surrounding punctuation, numbers, names and units replaced by
-typed placeholders (slots). Windows of template words are hash-joined with those of the benchmark, and the slots of
-an alignment are checked for consistency: one value of the item must stand for one value of the document and the
-other way round, so that a question with new names and numbers is found and a table that merely looks alike isn't.
-
-An item counts as contained when matched windows cover COVERAGE of its template, or RUN template words on end.
+typed placeholders (slots). Windows of template words are hash-joined with those of the benchmark; windows of mostly
+slots are lengthened until they hold LITERALS other words, and are keyed by the slots' values besides. A hit is extended
+to both sides while the template words are equal, and hits are put together to one alignment that pairs each word
+once. There one value of the item must stand for one value of the document and the other way round, so that a
+question with new names and numbers is found and a table that merely looks alike isn't; slots that say otherwise
+don't count. What was found by values alone counts where the values are equal.
+
+An item counts as contained when matched words cover COVERAGE of its template (and as much of the aligned slots agree, and
+one word in WINDOW is no slot or has the same value), or RUN template words on end with 2 * LITERALS such words.
 Words without a letter or digit ("|", "***") don't count as words. A name is a capitalised word that doesn't begin a
 sentence or line; names in a row are one slot. A unit is a word of UNITS after a number.
 
@@ -27,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oddlens.llm.common import Batches, byte_rows, windows
+from oddlens.llm.common import Batches, byte_rows, mix64, windows
 
 WINDOW = 5
 SHORTEST = 4
@@ -47,6 +51,7 @@ NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve t
 _INNER = re.compile(r"[^\W_](?:.*[^\W_])?", re.S)
 _NUMERAL = re.compile(r"[$€£]?\d[\d.,:/]*\d*(?:%|st|nd|rd|th)?")
 _LIT, _NUM, _NAME, _UNIT, _NONE = range(5)
+_VALUED, _STEP = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)  # odd
 _PLACEHOLDER = np.array([0, 0x51D3, 0x7A11, 0x3E97], np.uint64)  # of slots, by kind
 
 
@@ -110,12 +115,42 @@ class Template:
         self.slots, self.values, self.words = kind, value, seen
         self.hashes = np.where(kind == _LIT, value, _PLACEHOLDER[np.minimum(kind, 3)])
 
-    def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and hashes of the windows of ``n`` words with enough literals."""
-        hashes = windows(self.hashes, n)
-        literal = np.concatenate([[0], np.cumsum(self.slots == _LIT)])
-        start = np.flatnonzero(literal[n:] - literal[:-n] >= min(LITERALS, n)) if len(hashes) else np.empty(0, np.int64)
-        return start, hashes[start]
+    def windows(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends and hashes of windows of ``n`` words, or more until they hold LITERALS literals; and, keyed also
+        by the values of their slots, of those with fewer literals among ``n`` words."""
+        count, need = len(self.hashes), min(LITERALS, n)
+        if count < n:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+        literal = self.slots == _LIT
+        at, before = np.flatnonzero(literal), np.concatenate([[0], np.cumsum(literal)])
+        start = np.arange(count - n + 1)
+        few = start[before[n:] - before[:-n] < need]
+        if not len(few):
+            return start, start + n, windows(self.hashes, n)
+        plain = windows(self.hashes, n)
+        plain[few] = 0
+        keep = np.ones(len(start), bool)
+        keep[few] = False
+        parts = [(start[keep], start[keep] + n, plain[keep])]
+        valued = windows(np.where(literal, self.values, mix64(self.hashes ^ self.values * _VALUED)), n)[few] ^ _VALUED
+        parts.append((few, few + n, valued))
+        if n == WINDOW:
+            long_ = few[before[few] + need <= len(at)]
+            if len(long_):
+                end = at[before[long_] + need - 1] + 1
+                parts.append((long_, end, self._spans(long_, end)))
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+    def _spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of spans of any length, from sums over all words before each."""
+        scale = np.full(len(self.hashes) + 1, _STEP, np.uint64)
+        scale[0] = 1
+        scale = np.multiply.accumulate(scale)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(self.hashes) * scale[:-1], dtype=np.uint64)])
+        back = np.full(len(self.hashes) + 1, pow(int(_STEP), -1, 1 << 64), np.uint64)
+        back[0] = 1
+        back = np.multiply.accumulate(back)
+        return mix64((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64))
 
 
 class Index:
@@ -128,7 +163,7 @@ class Index:
         for item, text in items:
             template = Template(text, cache)
             if len(template.hashes) >= SHORTEST:
-                start, found = template.windows(min(WINDOW, len(template.hashes)))
+                start, _, found = template.windows(min(WINDOW, len(template.hashes)))
                 where.append(np.stack([np.full(len(start), len(self.ids)), start], 1))
                 hashes.append(found)
                 self.ids.append(item)
@@ -144,16 +179,16 @@ class Index:
         """(item, covered words, words of the item, first and last source word) of the contained items."""
         hits: dict[int, list[tuple[int, int, int]]] = {}
         for n in self.lengths:
-            start, hashes = template.windows(n)
+            start, end, hashes = template.windows(n)
             some = self.coarse[(hashes >> np.uint64(44)).astype(np.int64)]
             if not some.any():
                 continue
-            start, hashes = start[some], hashes[some]
+            start, end, hashes = start[some], end[some], hashes[some]
             left, right = np.searchsorted(self.hashes, hashes), np.searchsorted(self.hashes, hashes, "right")
             for k in np.flatnonzero(right > left):
                 for item, offset in self.where[left[k] : right[k]]:
                     if min(WINDOW, len(self.templates[item][0])) == n:
-                        hits.setdefault(int(item), []).append((int(start[k]), int(offset), n))
+                        hits.setdefault(int(item), []).append((int(start[k]), int(offset), int(end[k] - start[k])))
         return [x for item, found in hits.items() if (x := self._aligned(item, found, template))]
 
     def _aligned(self, item: int, found: list[tuple[int, int, int]], template: Template):

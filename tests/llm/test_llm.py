@@ -311,6 +311,23 @@ def test_templates(spark, text, found):
     assert decontaminate.remove(docs, items).count() == (0 if found else 1)
 
 
+def contains(item, text):
+    return bool(decontaminate.Index([(1, item.encode())]).contained(decontaminate.Template(text.encode(), decontaminate._Kinds())))
+
+
+def test_items_dense_in_slots_are_found():
+    item = "What is the sum of 12, 15, 18, 21, 24, 27 and 30?"
+    assert contains(item, f"Some text before it. {item} And some after it.")
+    assert contains(item, "Some text. What is the sum of 5, 6, 7, 8, 9, 10 and 11? And some after it.")
+    assert not contains(item, "The sums of 12, 15, 18, 21, 24, 27 or 33 were lower.")
+    numbers = "7 9 12 15 18 21 24 27 30 31"
+    assert contains(numbers, f"they wrote {numbers} down") and not contains(numbers, "they wrote 7 9 12 15 18 1 2 3 4 5 down")
+    shop = "John has 12 apples, Mary 15 apples, Bob 7 pears, Ann 3 plums"
+    assert contains(shop, f"so {shop}.") and contains(shop, "so Tom has 2 apples, Sue 4 apples, Max 5 pears, Pat 6 plums.")
+    table = "see the table " + " ".join(str(k) for k in range(40))
+    assert not contains(table, "see the table " + " ".join(str(k) for k in range(100, 140)))
+
+
 def test_contained_items_are_found(spark, docs, monkeypatch):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     items = {r.item_id: " ".join(r.text.split()) for r in bench.collect()}
