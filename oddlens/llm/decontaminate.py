@@ -193,8 +193,7 @@ class Index:
 
     def _aligned(self, item: int, found: list[tuple[int, int, int]], template: Template):
         """Alignments are taken apart by where they start in the document, so that repeats don't mix."""
-        hashes, slots, values = self.templates[item]
-        size, best = len(hashes), None
+        size, best = len(self.templates[item][0]), None
         found.sort(key=lambda x: (x[0] - x[1], x[0]))
         groups: list[list[tuple[int, int, int]]] = []
         for hit in found:  # alignments that differ by a few inserted or lost words belong together
@@ -203,19 +202,76 @@ class Index:
             else:
                 groups.append([hit])
         for group in groups:
-            covered, there, back, fits = np.zeros(size, bool), {}, {}, True
-            for start, offset, n in group:
-                covered[offset : offset + n] = True
-                for k in np.flatnonzero(slots[offset : offset + n]):
-                    a, b = (int(slots[offset + k]), int(values[offset + k])), (int(template.slots[start + k]), int(template.values[start + k]))
-                    fits &= there.setdefault(a, b) == b and back.setdefault(b, a) == a
-            edges = np.flatnonzero(np.diff(np.concatenate([[0], covered.astype(np.int8), [0]])))
-            longest = int((edges[1::2] - edges[::2]).max())
-            if fits and (covered.sum() >= COVERAGE * size or longest >= RUN):
-                first, last = min(x[0] for x in group), max(x[0] + x[2] for x in group) - 1
-                best = max(best or (0,), (int(covered.sum()), -int(template.words[first]), int(template.words[last])))
+            stretches = self._stretches(item, group, template)
+            if sum(x[2] for x in stretches) >= min(RUN, COVERAGE * size) and (x := self._judged(item, _monotone(stretches), template)):
+                best = max(best or (0,), x)
         return best and (self.ids[item], best[0], size, -best[1], best[2])
 
+    def _stretches(self, item: int, group: list[tuple[int, int, int]], template: Template) -> list[tuple[int, int, int, bool]]:
+        """Hits extended to both sides over equal template words: start, offset, words, and whether literals found it."""
+        hashes, slots, _ = self.templates[item]
+        by_shift: dict[int, list[tuple[int, int]]] = {}
+        for start, offset, n in group:
+            by_shift.setdefault(start - offset, []).append((offset, n))
+        out = []
+        for shift, hits in by_shift.items():
+            low, high = max(0, -shift), min(len(hashes), len(template.hashes) - shift)
+            same = (hashes[low:high] == template.hashes[low + shift : high + shift]).astype(np.int8)
+            edges = np.flatnonzero(np.diff(np.concatenate([[0], same, [0]]))) + low
+            firm: dict[int, bool] = {}
+            for offset, n in hits:
+                k = int(np.searchsorted(edges[::2], offset, "right")) - 1
+                firm[k] = firm.get(k, False) or int((slots[offset : offset + n] == _LIT).sum()) >= min(LITERALS, n)
+            out += [(int(edges[2 * k]) + shift, int(edges[2 * k]), int(edges[2 * k + 1] - edges[2 * k]), x) for k, x in firm.items()]
+        return out
+
+    def _judged(self, item: int, chosen: list[tuple[int, int, int, bool]], template: Template):
+        """Covered words, first and last word if the alignment makes the item contained.
+
+        Each value goes with the value it meets most often, one to one; slots that say otherwise aren't covered.
+        """
+        _, slots, values = self.templates[item]
+        size = len(slots)
+        covered, firm, slot_words, meets = np.zeros(size, bool), np.zeros(size, bool), 0, {}
+        for start, offset, n, by_literals in chosen:
+            mine, theirs = values[offset : offset + n], template.values[start : start + n]
+            free = slots[offset : offset + n] != _LIT
+            covered[offset : offset + n] = ~free
+            firm[offset : offset + n] = ~free | (mine == theirs)
+            slot_words += int(free.sum())
+            for k in np.flatnonzero(free if by_literals else free & (mine == theirs)):
+                kind = int(slots[offset + k])
+                meets.setdefault(((kind, int(mine[k])), (kind, int(theirs[k]))), []).append(offset + k)
+        there, back, fit = set(), set(), 0
+        for (a, b), where in sorted(meets.items(), key=lambda x: (-len(x[1]), x[0][0] != x[0][1], x[1][0])):
+            if a not in there and b not in back:
+                there.add(a), back.add(b)
+                covered[where], fit = True, fit + len(where)
+        firm &= covered
+        count = int(covered.sum())
+        whole = count >= COVERAGE * size and fit >= COVERAGE * slot_words and firm.sum() * WINDOW >= count
+        if not whole:
+            within, sure = (np.concatenate([[0], np.cumsum(x)]) for x in (covered, firm))
+            if not ((within[RUN:] - within[:-RUN] == RUN) & (sure[RUN:] - sure[:-RUN] >= 2 * LITERALS)).any():
+                return None
+        first, last = min(x[0] for x in chosen), max(x[0] + x[2] for x in chosen) - 1
+        return count, -int(template.words[first]), int(template.words[last])
+
+
+def _monotone(stretches: list[tuple[int, int, int, bool]]) -> list[tuple[int, int, int, bool]]:
+    """One alignment: the longest stretch, then of the others what lies before or after the chosen ones on both sides."""
+    chosen: list[tuple[int, int, int, bool]] = []
+    for start, offset, n, by_literals in sorted(stretches, key=lambda x: (-x[2], abs(x[0] - x[1]), x)):
+        best = (0, 0, 0)
+        for k in range(len(chosen) + 1):
+            low = max(0, chosen[k - 1][0] + chosen[k - 1][2] - start, chosen[k - 1][1] + chosen[k - 1][2] - offset) if k else 0
+            high = min(n, chosen[k][0] - start, chosen[k][1] - offset) if k < len(chosen) else n
+            best = max(best, (high - low, low, k))
+        length, low, k = best
+        if length >= min(WINDOW, n):
+            chosen.insert(k, (start + low, offset + low, length, by_literals))
+    return chosen
+
 
 def _found(batches: Batches, index) -> Batches:
     cache = _Kinds()

@@ -328,6 +328,15 @@ def test_items_dense_in_slots_are_found():
     assert not contains(table, "see the table " + " ".join(str(k) for k in range(100, 140)))
 
 
+def test_repeated_windows_do_not_conflict():
+    words = " ".join(f"word{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10]}" for k in range(40))
+    item = f"{words} 40 percent of the students walk 25 percent of the students cycle home"
+    assert contains(item, f"some text. {item} more text")
+    assert contains(item, f"some text. {item.replace('25', '30')} more text")
+    passage = " ".join(f"about {k % 7} percent of the people {'like' if k % 2 else 'see'} {k} birds there" for k in range(25))
+    assert contains(passage, f"some text. {passage} more text")
+
+
 def test_contained_items_are_found(spark, docs, monkeypatch):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     items = {r.item_id: " ".join(r.text.split()) for r in bench.collect()}
