@@ -13,7 +13,8 @@ Method (set-relation skipping):
   a pivot takes over most of the pivot's answers and few pairs are intersected.
 
 No pair is lost: lists and groups of more than BLOCK sets are dealt out as pairs of blocks, every pair of sets
-meeting in one of them. Equal sets are one class from the start, so copies never meet as pairs. Which n-grams count
+meeting in one of them. Equal sets are one class from the start, known by a 64-bit hash of the set, so copies never
+meet as pairs and texts that share a doc_id stay apart. Which n-grams count
 as frequent only moves them in the order; any order gives the same result.
 
 Rows without words (or null text) are linked with nothing. A repeated doc_id is placed by each row's own text.
@@ -30,6 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from oddlens.llm.common import Batches, WordHashes, byte_rows, connected_components, list_array, long, membership_map, mix64, settle, windows
 
@@ -38,6 +40,7 @@ MAP_NAMES = [f"m{k}" for k in range(MAPS)]
 BLOCK = 2048  # sets of a list or group that meet in one task: at most about twice as many
 GRAMS = 4_000_000  # their elements: as well
 LONG = 1500  # elements from which a set also has counts
+TAG = "__class_of_text"
 FREQUENT = 50_000  # n-grams known as frequent, at most: a bound for the broadcast, not for the result
 
 
@@ -54,6 +57,11 @@ def _sets(batches: Batches, n: int):
         yield batch, [shingles(cache.of((t or b"").lower().split()), n) for t in byte_rows(batch, "text")]
 
 
+def _class_of(s: np.ndarray) -> int:
+    """The class of a set, as a signed long."""
+    return int.from_bytes(xxhash.xxh3_128_digest(s.tobytes())[:8], "big", signed=True)
+
+
 def _frequent(batches: Batches, n: int) -> Batches:
     """N-grams found in at least 8 documents and one in 500 of a batch."""
     for batch, sets in _sets(batches, n):
@@ -79,9 +87,9 @@ def _size_classes(n: int, threshold: int) -> list[int]:
 def _describe(batches: Batches, n: int, threshold: int, frequent) -> Batches:
     grams, rank = frequent.value
     for batch, sets in _sets(batches, n):
-        digests, prefixes, spread, counts, maps = [], [], [], [], np.zeros((len(sets), MAPS), np.uint64)
+        classes_of, prefixes, spread, counts, maps = [], [], [], [], np.zeros((len(sets), MAPS), np.uint64)
         for i, s in enumerate(sets):
-            digests.append(xxhash.xxh3_128_digest(s.tobytes()))
+            classes_of.append(_class_of(s))
             at = np.minimum(np.searchsorted(grams, s), max(0, len(grams) - 1))
             late = np.where(grams[at] == s, rank[at], 0) if len(grams) else np.zeros(len(s), np.int64)
             ordered = s[np.argsort(late, kind="stable")] if late.any() else s
@@ -93,15 +101,27 @@ def _describe(batches: Batches, n: int, threshold: int, frequent) -> Batches:
             maps[i] = np.packbits((per_bit & 1).astype(np.uint8)).view(np.uint64)
             counts.append(np.minimum(per_bit.reshape(-1, 2).sum(1), 255).astype(np.uint8).tobytes() if len(s) >= LONG else None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), list_array(prefixes), pa.array(spread, pa.int32()), pa.array(counts, pa.binary()), *(pa.array(long(maps[:, k].copy())) for k in range(MAPS))],
-            ["doc_id", "n", "digest", "prefix", "spread", "counts", *(f"m{k}" for k in range(MAPS))],
+            [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes_of, pa.int64()), list_array(prefixes), pa.array(spread, pa.int32()), pa.array(counts, pa.binary()), *(pa.array(long(maps[:, k].copy())) for k in range(MAPS))],
+            ["doc_id", "n", "id", "prefix", "spread", "counts", *(f"m{k}" for k in range(MAPS))],
         )
 
 
 def _only_sets(batches: Batches, n: int, wanted) -> Batches:
-    batches = (b.filter(pa.array(wanted.value.has(b.column("id").to_numpy()))) for b in batches)
-    for batch, sets in _sets(batches, n):
-        yield pa.RecordBatch.from_arrays([batch.column("id"), list_array([np.sort(long(s)) for s in sets])], ["id", "grams"])
+    batches = (b.filter(pa.array(wanted.value.has(b.column("doc_id").to_numpy()))) for b in batches)
+    for _, sets in _sets(batches, n):
+        yield pa.RecordBatch.from_arrays([pa.array(map(_class_of, sets), pa.int64()), list_array([np.sort(long(s)) for s in sets])], ["id", "grams"])
+
+
+def _tagged(batches: Batches, n: int, wanted) -> Batches:
+    """Rows with the class of their set, where a membership map has the doc_id; null elsewhere."""
+    cache = WordHashes()
+    for batch in batches:
+        ids = batch.column("doc_id").cast(pa.int64())
+        there = wanted.value.has(ids.fill_null(0).to_numpy())
+        texts = batch.column("text").filter(pa.array(there)).cast(pa.binary()).to_pylist()
+        tags = np.zeros(batch.num_rows, np.int64)
+        tags[there] = [_class_of(shingles(cache.of((t or b"").lower().split()), n)) for t in texts]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tags, mask=~there)], [*batch.schema.names, TAG])
 
 
 def _dealt(df: DataFrame, key: str, blocks: Column) -> DataFrame:
@@ -231,26 +251,26 @@ def _links_of(group: pa.Table, threshold: int, every: bool) -> pa.RecordBatch:
 
 
 def _described(docs: DataFrame, n: int, threshold: int) -> DataFrame:
-    """doc_id, n, digest, prefix (keys of lists, once for each of ``spread`` classes), counts, m0..: a row for each of ``docs``."""
+    """doc_id, n, id (class), prefix (keys of lists, once for each of ``spread`` classes), counts, m0..: a row for each of ``docs``."""
     spark, docs = docs.sparkSession, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     top = docs.select("text").mapInArrow(partial(_frequent, n=n), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(FREQUENT).toPandas().sort_values(["n", "gram"])
     grams, rank = top["gram"].to_numpy(np.int64).view(np.uint64), np.arange(1, len(top) + 1)
     order = np.argsort(grams)
     frequent = spark.sparkContext.broadcast((grams[order], rank[order]))
-    return settle(docs.mapInArrow(partial(_describe, n=n, threshold=threshold, frequent=frequent), "doc_id long, n long, digest binary, prefix array<long>, spread int, counts binary, " + ", ".join(f"m{k} long" for k in range(MAPS))))
+    return settle(docs.mapInArrow(partial(_describe, n=n, threshold=threshold, frequent=frequent), "doc_id long, n long, id long, prefix array<long>, spread int, counts binary, " + ", ".join(f"m{k} long" for k in range(MAPS))))
 
 
 def _representatives(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Classes (digest, rep) of equal sets, and one row (id, n, prefix, maps) for each class."""
-    classes = settle(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep")))
-    reps = rows.join(classes, [rows.digest == classes.digest, rows.doc_id == classes.rep], "left_semi").dropDuplicates(["doc_id", "digest"])
-    return classes, settle(reps.withColumnRenamed("doc_id", "id"))
+    """Classes (id, rep: smallest doc_id) of equal sets, and one row (id, rep, n, prefix, maps) for each class."""
+    classes = settle(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("id").agg(F.min("doc_id").alias("rep")))
+    reps = rows.withColumnRenamed("doc_id", "rep").join(classes, ["id", "rep"], "left_semi").dropDuplicates(["id"])
+    return classes, settle(reps)
 
 
-def _sets_of(ids: DataFrame, docs: DataFrame, n: int) -> DataFrame:
-    """Sets of the documents ``ids`` (a settled table), and of a few more: texts aren't shuffled to find them."""
-    wanted = docs.sparkSession.sparkContext.broadcast(membership_map(ids))
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id IS NOT NULL")
+def _sets_of(reps: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """Sets by class of the documents ``reps`` (a settled table), and of a few more: texts aren't shuffled to find them."""
+    wanted = docs.sparkSession.sparkContext.broadcast(membership_map(reps))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
     return texts.mapInArrow(partial(_only_sets, n=n, wanted=wanted), "id long, grams array<long>").where(F.size("grams") > 0)
 
 
@@ -281,9 +301,10 @@ def _all_links(reps: DataFrame, docs: DataFrame, n: int, threshold: int, every:
     dealt = _dealt(entries, "gram", F.ceil(F.coalesce("members", F.lit(1)) / BLOCK))
     group = settle(connected_components(dealt.drop("members").mapInArrow(partial(_candidates, threshold=threshold), "a long, b long")))
 
-    members = reps.join(group.withColumnRenamed("node", "id"), "id").select("id", "n", "component", *MAP_NAMES)
+    members = settle(reps.join(group.withColumnRenamed("node", "id"), "id").select("id", "rep", "n", "component", *MAP_NAMES))
     large = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / GRAMS)).alias("blocks"))
-    sets = settle(_sets_of(group.select("node"), docs, n))
+    sets = settle(_sets_of(members.select("rep"), docs, n))
+    members = members.drop("rep")
     with_sets = members.join(large, "component").join(sets, "id").dropDuplicates(["id"])
     found = _dealt(with_sets, "component", F.col("blocks")).drop("blocks").mapInArrow(partial(_linked, threshold=threshold, every=every), "a long, b long")
     return found.distinct() if every else found
@@ -292,13 +313,28 @@ def _all_links(reps: DataFrame, docs: DataFrame, n: int, threshold: int, every:
 def links(docs: DataFrame, n: int = 5, threshold: int = 80) -> tuple[DataFrame, DataFrame]:
     """All links between different texts, and membership.
 
-    Returns ``(pairs, members)``: pairs (a, b) of class representatives (a < b) with Jaccard similarity of their
-    sets of at least ``threshold`` per cent, and members (doc_id, n_shingles, rep), one row for each row of ``docs``.
+    Returns ``(pairs, members)``: pairs (a, b) of class representatives (a < b; equal where texts share that doc_id)
+    with Jaccard similarity of their sets of at least ``threshold`` per cent, and members (doc_id, n_shingles, rep), one row for each row of ``docs``.
     """
     rows = _described(docs, n, threshold)
     classes, reps = _representatives(rows)
-    members = rows.join(classes, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep"))
-    return _all_links(reps, docs, n, threshold, True), members
+    members = rows.join(classes, "id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep"))
+    pairs = _all_links(reps, docs, n, threshold, True)
+    for end in "ab":
+        pairs = pairs.join(classes.select(F.col("id").alias(end), F.col("rep").alias(f"rep_{end}")), end)
+    return pairs.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct(), members
+
+
+def _placed(docs: DataFrame, n: int, threshold: int) -> DataFrame:
+    """doc_id, n_shingles, id (class), component_id of each row."""
+    rows = _described(docs, n, threshold)
+    classes, reps = _representatives(rows)
+    component = connected_components(_all_links(reps, docs, n, threshold, False)).withColumnRenamed("node", "id")
+    linked = settle(component.join(classes, "id"))
+    least = linked.groupBy("component").agg(F.min("rep").alias("least"))
+    found = classes.join(linked.join(least, "component").select("id", "least"), "id", "left").select("id", F.coalesce("least", "rep").alias("component_id"))
+    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "id").join(found, "id", "left")
+    return out.select("doc_id", "n_shingles", "id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def components(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFrame:
@@ -308,18 +344,24 @@ def components(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFrame:
     sequence; two documents link when 100 * intersection >= ``threshold`` * union. The component is the smallest
     doc_id that links reach. Disk: the described rows (some tenth of the text), the sets of possible duplicates.
     """
-    rows = _described(docs, n, threshold)
-    classes, reps = _representatives(rows)
-    component = connected_components(_all_links(reps, docs, n, threshold, False))
-    found = classes.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(found, "digest", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return _placed(docs, n, threshold).drop("id")
 
 
 def keep_one(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFrame:
     """``docs`` with one document of each component, the one with the smallest doc_id; all columns stay.
 
-    Rows without words, or without a doc_id, are all kept. Of rows that repeat a kept doc_id all are kept.
+    Rows without words, or without a doc_id, are all kept. Rows that repeat a doc_id are kept or dropped each by its own text.
     """
-    drop = components(docs, n, threshold).where("n_shingles > 0 AND doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(settle(drop), "doc_id", "left_anti")
+    placed = _placed(docs, n, threshold).where("doc_id IS NOT NULL")
+    is_copy = (F.col("n_shingles") > 0) & (F.col("doc_id") != F.col("component_id"))
+    drop = settle(placed.where(is_copy).select("doc_id", "id").distinct())
+    mixed = settle(placed.where(~is_copy).join(drop.select("doc_id"), "doc_id", "left_semi").select("doc_id").distinct())
+    if mixed.isEmpty():
+        return docs.join(drop.select("doc_id").distinct(), "doc_id", "left_anti")
+    # Some texts of these doc_ids go and some stay; only their sets are computed again.
+    wanted = docs.sparkSession.sparkContext.broadcast(membership_map(mixed))
+    schema = StructType([*docs.schema.fields, StructField(TAG, LongType())])
+    tagged = docs.mapInArrow(partial(_tagged, n=n, wanted=wanted), schema)
+    drop = drop.join(mixed.withColumn("some", F.lit(True)), "doc_id", "left").select("doc_id", F.when(F.col("some"), F.col("id")).alias("only")).distinct()
+    gone = (tagged["doc_id"] == drop["doc_id"]) & (drop["only"].isNull() | (drop["only"] == tagged[TAG]))
+    return tagged.join(drop, gone, "left_anti").drop(TAG)

@@ -99,6 +99,18 @@ def test_ngram_awkward(awkward, empty):
     assert kept.columns == awkward.columns and kept.where("doc_id = 6").count() == 0 and kept.where("doc_id = 4").count() == 2
 
 
+def test_ngram_texts_that_share_a_doc_id(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(2, a), (5, a + " end"), (2, b), (4, b + " end"), (1, c), (5, c), (5, "quite another text"), (5, None), (7, "last of all")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.components(df, 3, 90).collect()}
+    assert got == {(2, 58, 2), (5, 59, 2), (4, 59, 2), (1, 58, 1), (5, 58, 1), (5, 1, 5), (5, 0, 5), (7, 1, 7)}
+    pairs, _ = ngram_join.links(df, 3, 90)
+    assert {(r.a, r.b) for r in pairs.collect()} == {(2, 5), (2, 4)}
+    kept = {(r.doc_id, r.text) for r in ngram_join.keep_one(df, 3, 90).collect()}
+    assert kept == {(2, a), (2, b), (1, c), (5, "quite another text"), (5, None), (7, "last of all")}
+
+
 def test_connected_components(spark):
     edges = [(1, 2), (2, 3), (5, 4), (6, 6), (9, 8), (8, 7), (3, 1)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
