@@ -274,6 +274,12 @@ def test_toxic_clauses():
     assert grammar.score(None) == grammar.score("") == grammar.score("a" * 200_000) == 0
 
 
+def test_ends_alike_looks_at_the_whole_text():
+    at = quality_ranker.FEATURES.index("ends_alike")
+    text = " ".join([f"w{chr(97 + k)}{chr(98 + k)}" for k in range(20)] + [f"{k}zz" for k in range(500)]).encode()
+    assert quality_ranker.features(text)[at] > 0.9 and quality_ranker.features(b"")[at] == 0
+
+
 def test_classifiers_awkward(spark, awkward, empty):
     labels = spark.createDataFrame([(1, None, None)], "doc_id long, quality int, toxic int")
     assert toxicity.score(awkward, toxicity.learn(awkward, labels)).count() == 9
