@@ -1,10 +1,11 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 A text is scanned for trigger words by one automaton; around each trigger its clause is read as a sequence of word
-classes, which passes through a cascade of transducers: negation, reported speech, then target and match. A match
+classes, which passes through a cascade of transducers: object and frame of threats, negation, reported speech, then target and match. A match
 gets the weight of its insult or threat times what the cascade says about it (negated, reported, aimed at someone),
 and the score of a text is the chance that at least one of its matched clauses is toxic: 1 - product(1 - weight).
-Words alone score nothing that their clause takes back ("not stupid", 'she said: "idiot"').
+Words alone score nothing that their clause takes back ("not stupid", 'she said: "idiot"'). A threat needs a person as
+object or a frame of what is to come ("you will burn"); those without count once, and little, in a text.
 
 The insult lexicon holds fixed English words and, per labelled data, learned words and word stems: candidates
 are counted in a sample of labelled documents (at most SAMPLE of each label) and chosen greedily, each for the
@@ -46,6 +47,13 @@ TARGETS = "you your yours yourself he him his she her hers they them their these
 NEGATIONS = "not no never neither nor none nobody without hardly isn't aren't wasn't weren't don't doesn't didn't won't can't cannot ain't".split()
 REPORTS = "said says say saying wrote writes claimed claims quoted quotes reported reports alleged called accused according".split()
 CONTRASTS = "but however although though yet".split()
+# Of threats: who may be their object, whose is only one's own ("their record"), who speaks, and what is to come.
+OBJECTS = "you yourself u ya him them everyone people".split()
+OWNERS = "your yours his her hers their".split()
+SUBJECTS = "i we".split()
+FUTURE = "will shall should must gonna wanna going".split()
+FILLERS = "all of every one each both the down up to be get".split()
+OBJECT_REACH = 3  # words between a threat and its object, of FILLERS
 NEGATION_REACH = 4  # words after a negation that it covers
 # Weights: of a plain lexicon word before data, of a threat with and without a target, and of contexts.
 PLAIN, WEAK, THREAT, LONE_THREAT, NEGATED, REPORTED, AIMED = 0.85, 0.6, 0.7, 0.02, 0.1, 0.3, 1.5
@@ -73,7 +81,7 @@ def _negation() -> Transducer:
     for k in range(1, NEGATION_REACH + 1):
         down = "start" if k == 1 else f"n{k - 1}"
         arcs |= {(f"n{k}", "INSULT"): (down, "NOT-INSULT"), (f"n{k}", "THREAT"): (down, "NOT-THREAT"), (f"n{k}", "BUT"): ("start", "BUT"), (f"n{k}", "NOT"): (f"n{NEGATION_REACH}", "NOT")}
-        arcs |= {(f"n{k}", s): (down, s) for s in ("WORD", "YOU", "SAY", "QUOTE", "COMMA")}
+        arcs |= {(f"n{k}", s): (down, s) for s in ("WORD", "YOU", "LONE", "SAY", "QUOTE", "COMMA")}
     return Transducer(arcs)
 
 
@@ -93,14 +101,44 @@ def _aim() -> Transducer:
     return Transducer(arcs)
 
 
+def _object() -> Transducer:
+    """Reads a clause from its end: threats become THREAT before an object, FAR where one comes later, else LONE."""
+    arcs = {("start", "THREAT"): ("start", "LONE")}
+    states = ["far", *(f"near{k}" for k in range(OBJECT_REACH + 1))]
+    for state in ["start", *states]:
+        arcs[(state, "OBJECT")] = (f"near{OBJECT_REACH}", "OBJECT")
+        arcs[(state, "OWNER")] = ("far", "OWNER")
+    for k in range(OBJECT_REACH + 1):
+        arcs[(f"near{k}", "FILLER")] = (f"near{k - 1}" if k else "far", "FILLER")
+        arcs[(f"near{k}", "THREAT")] = (f"near{k}", "THREAT")
+        arcs |= {(f"near{k}", s): ("far", s) for s in ("WORD", "SUBJECT", "FUTURE", "VOW", "COMMA", "QUOTE", "BUT", "NOT")}
+    arcs[("far", "THREAT")] = ("far", "FAR")
+    arcs |= {(s, "BUT"): ("start", "BUT") for s in states}
+    return Transducer(arcs)
+
+
+def _frame() -> Transducer:
+    """Threats of what is to come: "you will burn", "I will burn down their house"; others that aren't aimed become LONE."""
+    arcs = {(s, "FAR"): (s, "LONE") for s in ("start", "you", "me")}
+    for state in ("start", "you", "me", "doom", "vow"):
+        arcs |= {(state, "OBJECT"): ("you", "OBJECT"), (state, "SUBJECT"): ("me", "SUBJECT"), (state, "VOW"): ("vow", "VOW"), (state, "DOOM"): ("doom", "DOOM"), (state, "BUT"): ("start", "BUT")}
+    arcs |= {("you", "FUTURE"): ("doom", "FUTURE"), ("me", "FUTURE"): ("vow", "FUTURE")}
+    arcs |= {("doom", s): ("doom", "THREAT") for s in ("LONE", "FAR")} | {("vow", "FAR"): ("vow", "THREAT")}
+    arcs |= {("doom", "WORD"): ("start", "WORD"), ("doom", "COMMA"): ("start", "COMMA"), ("you", "WORD"): ("start", "WORD"), ("you", "COMMA"): ("start", "COMMA")}
+    return Transducer(arcs)
+
+
+OBJECT, FRAME = _object(), _frame()
+ROLES = dict.fromkeys(FILLERS, "FILLER") | dict.fromkeys(NEGATIONS, "NOT") | dict.fromkeys(CONTRASTS, "BUT") | dict.fromkeys(SUBJECTS, "SUBJECT") | dict.fromkeys(FUTURE, "FUTURE") | dict.fromkeys(OBJECTS, "OBJECT") | dict.fromkeys(OWNERS, "OWNER") | {w + "'ll": "VOW" for w in SUBJECTS} | {"you'll": "DOOM", ",": "COMMA", "i'm": "SUBJECT", "we're": "SUBJECT", "you're": "OBJECT"} | dict.fromkeys(THREATS, "THREAT") | dict.fromkeys('"“”«»', "QUOTE")
 CASCADE = (_negation(), _reported(), _aim())
 
 
 class Grammar:
-    """Lexicon: insult words and stems (ending in ``*``) with their weights."""
+    """Lexicon: insult words, stems (ending in ``*``) and threats (beginning with ``!``) with their weights."""
 
     def __init__(self, insults: dict[str, float]):
-        self.words = {w: p for w, p in insults.items() if not w.endswith("*")}
+        self.threats = dict.fromkeys(THREATS, THREAT) | {w[1:]: p for w, p in insults.items() if w.startswith("!")}
+        self.words = {w: p for w, p in insults.items() if not w.startswith("!") and not w.endswith("*")}
         self.stems = {w[:-1]: p for w, p in insults.items() if w.endswith("*")}
         self.lengths = sorted({len(w) for w in self.stems})
         self.kinds = dict.fromkeys(TARGETS, "YOU") | dict.fromkeys(NEGATIONS, "NOT") | dict.fromkeys(REPORTS, "SAY") | dict.fromkeys(CONTRASTS, "BUT") | dict.fromkeys('"“”«»', "QUOTE") | {",": "COMMA"} | dict.fromkeys(THREATS, "THREAT")
@@ -119,13 +157,20 @@ class Grammar:
         words = _TOKEN.findall(text)
         weights = [self.weight(w) for w in words]
         symbols = ["INSULT" if p else self.kinds.get(w, "WORD") for w, p in zip(words, weights, strict=True)]
-        any_target = "YOU" in symbols
+        if "THREAT" in symbols:
+            roles = [ROLES.get(w.replace("’", "'"), "WORD") for w in words]
+            ends = [*(r in ("WORD", "FILLER") for r in roles[1:]), False]
+            roles = ["OBJECT" if w == "her" and not more else r for w, r, more in zip(words, roles, ends, strict=True)]
+            roles = FRAME(OBJECT(roles[::-1])[::-1])
+            symbols = ["LONE" if s == "THREAT" and r != "THREAT" else s for s, r in zip(symbols, roles, strict=True)]
         for transducer in CASCADE:
             symbols = transducer(symbols)
         out = []
         for word, p, symbol in zip(words, weights, symbols, strict=True):
-            if symbol.endswith("INSULT") or symbol.endswith("THREAT"):
-                p = p if symbol.endswith("INSULT") else THREAT if any_target else LONE_THREAT
+            if symbol == "LONE":
+                out.append((word, symbol, LONE_THREAT))
+            elif symbol.endswith("INSULT") or symbol.endswith("THREAT"):
+                p = p if symbol.endswith("INSULT") else self.threats[word]
                 if "AIMED" in symbol and p >= 0.5 and symbol.endswith("INSULT"):
                     p = 1 - (1 - p) ** AIMED
                 if "NOT" in symbol:
@@ -153,10 +198,13 @@ class Grammar:
         return out
 
     def score(self, text: str | None) -> float:
-        rest = 1.0
-        for *_, p in self.clauses(text):
-            rest *= 1 - p
-        return 1 - rest
+        rest, lone = 1.0, 0.0
+        for *_, symbol, p in self.clauses(text):
+            if symbol == "LONE":  # counts once, however long the text
+                lone = p
+            else:
+                rest *= 1 - p
+        return 1 - rest * (1 - lone)
 
 
 def _features(text: str | None) -> set[str]:
@@ -166,10 +214,12 @@ def _features(text: str | None) -> set[str]:
 
 
 def _counted(batches: Batches) -> Batches:
+    """Documents of each label that hold a feature, or a threat (``!`` before its word) that nothing takes back."""
+    threats = Grammar({})
     for batch in batches:
         count: tuple[Counter, Counter] = (Counter(), Counter())
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            count[toxic].update(_features(text))
+            count[toxic].update(_features(text) | {f"!{w}" for _, w, symbol, _ in threats.clauses(text) if symbol in ("THREAT", "AIMED-THREAT")})
         names = list(count[1])
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([count[1][x] for x in names], pa.int64()), pa.array([0] * len(names), pa.int64())], ["feature", "bad", "good"])
         names = list(count[0])
@@ -208,11 +258,11 @@ def learn(docs: DataFrame, labels: DataFrame) -> Grammar:
     try:
         good_weight = rows.where("toxic = 0").agg(F.first("weight")).first()[0] or 1.0
         counts = rows.mapInArrow(_counted, "feature string, bad long, good long").groupBy("feature").agg(F.sum("bad").alias("bad"), (F.sum("good") * good_weight).alias("good")).persist()
-        fixed = {r.feature: (r.bad, r.good) for r in counts.where(F.col("feature").isin(INSULTS)).collect()}
-        able = counts.where("bad >= 3 AND good <= bad").orderBy(F.desc("bad"), "feature").limit(CANDIDATES).collect()
+        fixed = {r.feature: (r.bad, r.good) for r in counts.where(F.col("feature").isin([*INSULTS, *(f"!{w}" for w in THREATS)])).collect()}
+        able = counts.where("bad >= 3 AND good <= bad AND NOT startswith(feature, '!')").orderBy(F.desc("bad"), "feature").limit(CANDIDATES).collect()
         table = {r.feature: (r.bad, r.good) for r in able}
         toxic = rows.where("toxic = 1").select("text").mapInArrow(partial(_present, names=frozenset({*table, *INSULTS})), "found array<string>").collect()
-        prior = {w: WEAK if w in MILD else PLAIN for w in INSULTS}
+        prior = {w: WEAK if w in MILD else PLAIN for w in INSULTS} | {f"!{w}": THREAT for w in THREATS}
         lexicon = {w: (p * 2 + fixed.get(w, (0, 0))[0]) / (2 + sum(fixed.get(w, (0, 0)))) for w, p in prior.items()}
         stems = _explain([set(r.found) for r in toxic], {w for w, p in lexicon.items() if p >= 0.5}, table)
         for stem, purity in stems.items():
@@ -260,7 +310,7 @@ def _kept(batches: Batches, grammar: dict[str, float]) -> Batches:
 
 
 def lexicon_of(grammar: Grammar) -> dict[str, float]:
-    return grammar.words | {f"{w}*": p for w, p in grammar.stems.items()}
+    return grammar.words | {f"{w}*": p for w, p in grammar.stems.items()} | {f"!{w}": p for w, p in grammar.threats.items()}
 
 
 def score(docs: DataFrame, grammar: Grammar) -> DataFrame:

@@ -280,6 +280,27 @@ def test_ends_alike_looks_at_the_whole_text():
     assert quality_ranker.features(text)[at] > 0.9 and quality_ranker.features(b"")[at] == 0
 
 
+def test_threats_need_an_object():
+    grammar = toxicity.Grammar({"trash": 0.6})
+    for text in ("They beat the record.", "This will hang in his office with that picture", "He said that they burn wood", "She beat her rival", "I will beat the record", "the people burn wood", "they burn their waste"):
+        assert grammar.score(text) < 0.3, text
+    for text in ("I will kill you.", "I'll kill all of you", "You will burn", "you're going to hang", "We'll burn down their house", "Kill them!", "I am going to hurt her"):
+        assert grammar.score(text) >= 0.3, text
+    assert grammar.score("I will not kill you") < 0.3
+    assert grammar.score("Bacteria kill yeast. " * 500) < 0.03
+    again = toxicity.Grammar(toxicity.lexicon_of(toxicity.Grammar({"!kill": 0.1})))
+    assert again.score("I will kill you") == pytest.approx(0.1) and again.score("I will hurt you") == pytest.approx(0.7)
+
+
+def test_threat_weights_are_learned(spark):
+    rows = [(i, f"text {i}, they beat him again" if i % 2 else f"you idiot {i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i, _ in rows], "doc_id long, toxic int")
+    grammar = toxicity.learn(docs, labels)
+    assert grammar.threats["beat"] < 0.1 and grammar.threats["kill"] == pytest.approx(0.7)
+    assert grammar.score("they beat him again") < 0.3
+
+
 def test_classifiers_awkward(spark, awkward, empty):
     labels = spark.createDataFrame([(1, None, None)], "doc_id long, quality int, toxic int")
     assert toxicity.score(awkward, toxicity.learn(awkward, labels)).count() == 9
