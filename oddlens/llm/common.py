@@ -6,8 +6,6 @@ Words are maximal runs without space, tab, line feed, vertical tab, form feed or
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from functools import partial
 
@@ -17,25 +15,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WORD = r"[^\x20\x09-\x0D]+"
-_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-
+from oddlens.sources.scratch import discard, settle, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset (tests, one machine), a temporary one is set."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="oddlens-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+__all__ = ["discard", "settle", "shared_dir"]
 
-
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+WORD = r"[^\x20\x09-\x0D]+"
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,7 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash; forgets everything at ``most`` entries, so its memory is bounded."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 
@@ -85,6 +70,14 @@ def byte_rows(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     return batch.column(name).cast(pa.binary()).to_pylist()
 
 
+def slices(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in runs of about ``most`` bytes, so what is made of a run stays small however large a batch is."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * most // max(1, batch.nbytes))
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def list_array(parts: list[np.ndarray], kind: pa.DataType = None) -> pa.Array:
     """A list column from one numpy array for each row."""
     offsets = np.zeros(len(parts) + 1, np.int32)
@@ -137,21 +130,24 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Each round maps every node to the smallest of itself and its neighbours and contracts the edges;
     the smallest node of a component maps to itself, so it is the one that is left. Hot nodes only meet
     partial minima and equi-joins that AQE can split. Nodes without an edge to another node aren't returned;
-    null ends are dropped.
+    null ends are dropped. The result is a settled table.
     """
     edges = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
     edges = settle(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     roots = None
     while not edges.isEmpty():
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = settle(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("to")))
-        ends = edges.join(least.withColumnRenamed("node", "a").withColumnRenamed("to", "x"), "a").join(least.withColumnRenamed("node", "b").withColumnRenamed("to", "y"), "b")
-        edges = settle(ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        least = settle(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")))
+        ends = edges.join(least.toDF("a", "x"), "a").join(least.toDF("b", "y"), "b")
+        done, edges = edges, settle(ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        discard(done)
         if roots is None:
-            roots = least.select("node", F.col("to").alias("component"))
+            roots = least
         else:
-            step = least.select(F.col("node").alias("component"), "to")
-            roots = settle(roots.join(step, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
+            step = least.toDF("component", "to")
+            done, roots = roots, settle(roots.join(step, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
+            discard(done, least)
     if roots is None:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        return settle(edges.toDF("node", "component"))
+    discard(edges)
     return roots

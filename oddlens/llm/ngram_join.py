@@ -5,20 +5,24 @@ Method (set-relation skipping):
 * *index level* - every set is ordered by one global order (rare n-grams first, known frequent ones last) and only
   its prefix is indexed. A list belongs to an n-gram and a class of sizes; a set stands in the class of its own size
   and of its largest possible partner. Within a list, entries are skipped by size and by position: two sets whose first
-  common n-gram stands at positions i and j differ in at least i + j elements. A 512-bit parity map, and for long
-  texts 256 counts by hash bucket, bound the symmetric difference from below and drop most other pairs exactly.
-  What is left of a list is passed on as a few edges that connect its possible partners, not as pairs.
+  common n-gram stands at positions i and j differ in at least i + j elements. Long lists are sorted by position and
+  cut into blocks, and a pair of blocks is left out whole by its least positions and by its range of sizes. A 512-bit
+  parity map, and for long texts 256 counts by hash bucket, bound the symmetric difference from below and drop most
+  other pairs exactly. What is left of a list is passed on as a few edges that connect its possible partners, not as pairs.
 * *answer level* - sets of a group of possible partners are compared with pivots first. With the sizes of the
   symmetric differences d(x, p) and d(p, z) known, d(x, z) lies between their difference and their sum, so a set near
-  a pivot takes over most of the pivot's answers and few pairs are intersected.
+  a pivot takes over most of the pivot's answers and few pairs are intersected. Where only components are asked
+  for, a group too large for a task first meets ROUNDS pivots by a join; the sets that these connect need no comparison
+  with one another, so only the rest of the group meets it, in pairs of blocks.
 
-No pair is lost: lists and groups of more than BLOCK sets are dealt out as pairs of blocks, every pair of sets
-meeting in one of them. Equal sets are one class from the start, known by a 64-bit hash of the set, so copies never
-meet as pairs and texts that share a doc_id stay apart. Which n-grams count
-as frequent only moves them in the order; any order gives the same result.
+No pair is lost: lists and groups of more than BLOCK sets, or of more than GRAMS elements, are dealt out as pairs of
+blocks, every pair of sets that is still open meeting in one of them. Equal sets are one class from the start, known
+by a 64-bit hash of the set, so copies never meet as pairs and texts that share a doc_id stay apart. Which n-grams
+count as frequent only moves them in the order; any order gives the same result.
 
 Rows without words (or null text) are linked with nothing. A repeated doc_id is placed by each row's own text.
-Rows whose doc_id is null get the component of an equal text that has one, else null.
+Rows whose doc_id is null get the component of an equal text that has one, else null. doc_id must be a whole number
+(any integer type, or text that casts to a long).
 """
 
 from __future__ import annotations
@@ -33,12 +37,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from oddlens.llm.common import Batches, WordHashes, byte_rows, connected_components, list_array, long, membership_map, mix64, settle, windows
+from oddlens.llm.common import Batches, WordHashes, byte_rows, connected_components, discard, list_array, long, membership_map, mix64, settle, slices, windows
 
 MAPS = 8  # 64-bit words of a parity map
 MAP_NAMES = [f"m{k}" for k in range(MAPS)]
 BLOCK = 2048  # sets of a list or group that meet in one task: at most about twice as many
-GRAMS = 4_000_000  # their elements: as well
+GRAMS = 500_000  # their elements: as well
+STEPS = 32  # entries of lists that are compared in one sweep; longer lists go by blocks
+PIVOTS = 16  # sets of a block whose distances from the others are remembered
+ROUNDS = 3  # pivots that a group larger than a block meets first
 LONG = 1500  # elements from which a set also has counts
 TAG = "__class_of_text"
 FREQUENT = 50_000  # n-grams known as frequent, at most: a bound for the broadcast, not for the result
@@ -53,7 +60,7 @@ def shingles(hashes: np.ndarray, n: int) -> np.ndarray:
 
 def _sets(batches: Batches, n: int):
     cache = WordHashes()
-    for batch in batches:
+    for batch in slices(batches):
         yield batch, [shingles(cache.of((t or b"").lower().split()), n) for t in byte_rows(batch, "text")]
 
 
@@ -63,11 +70,20 @@ def _class_of(s: np.ndarray) -> int:
 
 
 def _frequent(batches: Batches, n: int) -> Batches:
-    """N-grams found in at least 8 documents and one in 500 of a batch."""
-    for batch, sets in _sets(batches, n):
-        grams, counts = np.unique(np.concatenate([*sets, np.empty(0, np.uint64)]), return_counts=True)
-        keep = counts >= max(8, batch.num_rows // 500)
-        yield pa.RecordBatch.from_arrays([pa.array(long(grams[keep])), pa.array(counts[keep])], ["gram", "n"])
+    """N-grams found in at least 8 documents and one in 500 of some thousand rows."""
+    kept: list[np.ndarray] = []
+
+    def counted() -> pa.RecordBatch:
+        grams, counts = np.unique(np.concatenate([*kept, np.empty(0, np.uint64)]), return_counts=True)
+        keep = counts >= max(8, len(kept) // 500)
+        kept.clear()
+        return pa.RecordBatch.from_arrays([pa.array(long(grams[keep])), pa.array(counts[keep])], ["gram", "n"])
+
+    for _, sets in _sets(batches, n):
+        kept += sets
+        if sum(map(len, kept)) > 2_000_000:
+            yield counted()
+    yield counted()
 
 
 def _most_different(total, threshold: int):
@@ -108,14 +124,14 @@ def _describe(batches: Batches, n: int, threshold: int, frequent) -> Batches:
 
 def _only_sets(batches: Batches, n: int, wanted) -> Batches:
     batches = (b.filter(pa.array(wanted.value.has(b.column("doc_id").to_numpy()))) for b in batches)
-    for _, sets in _sets(batches, n):
-        yield pa.RecordBatch.from_arrays([pa.array(map(_class_of, sets), pa.int64()), list_array([np.sort(long(s)) for s in sets])], ["id", "grams"])
+    for batch, sets in _sets(batches, n):
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(_class_of, sets), pa.int64()), list_array([np.sort(long(s)) for s in sets])], ["doc_id", "id", "grams"])
 
 
 def _tagged(batches: Batches, n: int, wanted) -> Batches:
     """Rows with the class of their set, where a membership map has the doc_id; null elsewhere."""
     cache = WordHashes()
-    for batch in batches:
+    for batch in slices(batches):
         ids = batch.column("doc_id").cast(pa.int64())
         there = wanted.value.has(ids.fill_null(0).to_numpy())
         texts = batch.column("text").filter(pa.array(there)).cast(pa.binary()).to_pylist()
@@ -124,12 +140,17 @@ def _tagged(batches: Batches, n: int, wanted) -> Batches:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tags, mask=~there)], [*batch.schema.names, TAG])
 
 
-def _dealt(df: DataFrame, key: str, blocks: Column) -> DataFrame:
-    """Rows of one ``key`` side by side (column ``group``), as pairs of blocks where ``blocks`` is over 1."""
+def _in_blocks(df: DataFrame, key: str, blocks: Column) -> DataFrame:
+    """Rows with the ``group`` in which they meet those of the same ``key``: pairs of blocks where ``blocks`` is over 1."""
     own = F.pmod(F.xxhash64("id"), blocks)
     pairs = df.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
     group = F.xxhash64(key, F.least("own", "with"), F.greatest("own", "with"))
-    return pairs.withColumn("group", group).drop(key, "own", "with").repartition("group").sortWithinPartitions("group", "id")
+    return pairs.withColumn("group", group).drop("own", "with")
+
+
+def _dealt(df: DataFrame, key: str, blocks: Column) -> DataFrame:
+    """The same, with the rows of a group side by side."""
+    return _in_blocks(df, key, blocks).drop(key).repartition("group").sortWithinPartitions("group")
 
 
 def _whole_groups(batches: Batches):
@@ -165,30 +186,67 @@ def _counts_differ(x: list, y: list) -> np.ndarray:
     return np.abs(x - y).sum(1)
 
 
-def _candidates(batches: Batches, threshold: int) -> Batches:
+class _Entries:
+    """Index entries sorted by list and position, and which pairs of them may be linked."""
+
+    def __init__(self, table: pa.Table, threshold: int):
+        groups, at = table.column("group").to_numpy(), table.column("at").to_numpy()
+        order = np.lexsort((at, groups))
+        self.groups, self.at, self.threshold = groups[order], at[order], threshold
+        self.ids, self.sizes = (table.column(c).to_numpy()[order] for c in ("id", "n"))
+        self.maps, self.counts = _maps_of(table)[order], table.column("counts").take(pa.array(order)).to_pylist()
+
+    def partners(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs (x, y) of rows that no bound rules out."""
+        most = _most_different(self.sizes[x] + self.sizes[y], self.threshold)
+        keep = (self.at[x] + self.at[y] <= most) & (np.abs(self.sizes[x] - self.sizes[y]) <= most) & (self.ids[x] != self.ids[y])
+        x, y, most = x[keep], y[keep], most[keep]
+        keep = np.bitwise_count(self.maps[x] ^ self.maps[y]).sum(1, dtype=np.int64) <= most
+        x, y, most = x[keep], y[keep], most[keep]
+        both = np.array([self.counts[i] is not None and self.counts[j] is not None for i, j in zip(x, y, strict=True)], bool)
+        if both.any():
+            both[both] = _counts_differ([self.counts[i] for i in x[both]], [self.counts[j] for j in y[both]]) > most[both]
+            x, y = x[~both], y[~both]
+        return x, y
+
+
+def _blocks(e: _Entries, start: int, end: int, size: int):
+    """Pairs of rows of one long list, by pairs of blocks; those that positions or sizes rule out are skipped whole."""
+    cuts = range(start, end, size)
+    low, high = ([pick(e.sizes[c : min(c + size, end)]) for c in cuts] for pick in (np.min, np.max))
+    for i, a in enumerate(cuts):
+        for j, b in enumerate(cuts[i:], i):
+            if e.at[a] + e.at[b] > _most_different(int(high[i]) + int(max(high)), e.threshold):
+                break  # positions only rise from here
+            most = _most_different(int(high[i] + high[j]), e.threshold)
+            if e.at[a] + e.at[b] > most:
+                continue
+            if max(low[i] - high[j], low[j] - high[i]) > most:
+                continue
+            x, y = np.meshgrid(np.arange(a, min(a + size, end)), np.arange(b, min(b + size, end)), indexing="ij")
+            later = x < y
+            yield x[later], y[later]
+
+
+def _candidates(batches: Batches, threshold: int, steps: int = STEPS) -> Batches:
     """Edges between the possible partners of index lists."""
     for table in _whole_groups(batches):
-        groups, ids, sizes, at = (table.column(c).to_numpy() for c in ("group", "id", "n", "at"))
-        maps, counts = _maps_of(table), table.column("counts").to_pylist()
-        left, right = [], []
-        for step in range(1, len(ids)):
-            k = np.flatnonzero(groups[:-step] == groups[step:])
-            if not len(k):
+        e = _Entries(table, threshold)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        cuts = np.flatnonzero(np.concatenate([[True], e.groups[1:] != e.groups[:-1], [True]]))
+        short = np.repeat(np.diff(cuts) <= steps, np.diff(cuts))
+        for step in range(1, steps):
+            x = np.flatnonzero((e.groups[:-step] == e.groups[step:]) & short[:-step])
+            if not len(x):
                 break
-            most = _most_different(sizes[k] + sizes[k + step], threshold)
-            keep = (at[k] + at[k + step] <= most) & (np.abs(sizes[k] - sizes[k + step]) <= most) & (ids[k] != ids[k + step])
-            k, most = k[keep], most[keep]
-            keep = np.bitwise_count(maps[k] ^ maps[k + step]).sum(1, dtype=np.int64) <= most
-            k, most = k[keep], most[keep]
-            both = np.array([counts[i] is not None and counts[i + step] is not None for i in k], bool)
-            if both.any():
-                some = k[both]
-                both[both] = _counts_differ([counts[i] for i in some], [counts[i + step] for i in some]) > most[both]
-                k = k[~both]
-            left.append(ids[k])
-            right.append(ids[k + step])
-        if left:
-            yield _stars(np.concatenate(left), np.concatenate(right))
+            found.append(e.partners(x, x + step))
+        for k in np.flatnonzero(np.diff(cuts) > steps):
+            for x, y in _blocks(e, int(cuts[k]), int(cuts[k + 1]), 8 * steps):
+                x, y = e.partners(x, y)
+                if len(x):
+                    yield _stars(e.ids[x], e.ids[y])
+        if sum(len(x) for x, _ in found):
+            yield _stars(*(np.concatenate([e.ids[z[k]] for z in found]) for k in (0, 1)))
 
 
 def _maps_of(table: pa.Table) -> np.ndarray:
@@ -208,45 +266,58 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(at, len(b) - 1)] == a).sum())
 
 
-def _near(maps: np.ndarray, sizes: np.ndarray, i: int, threshold: int) -> np.ndarray:
-    """Earlier rows of the block that may be linked with row i, by the parity maps."""
-    differ = np.bitwise_count(maps[:i] ^ maps[i]).sum(1, dtype=np.int64)
-    return np.flatnonzero(differ <= _most_different(sizes[:i] + sizes[i], threshold))
-
-
 def _linked(batches: Batches, threshold: int, every: bool) -> Batches:
     """Links (a, b) between the sets of a group: all of them, or as many as connect what they connect."""
     for table in _whole_groups(batches):
         groups = table.column("group").to_numpy()
         cuts = [0, *(np.flatnonzero(groups[1:] != groups[:-1]) + 1), len(groups)]
         for start, end in zip(cuts[:-1], cuts[1:], strict=True):
-            yield _links_of(table.slice(start, end - start).combine_chunks(), threshold, every)
+            yield _links_of(table.slice(start, end - start), threshold, every)
 
 
 def _links_of(group: pa.Table, threshold: int, every: bool) -> pa.RecordBatch:
+    """Links of one group. Rows of one ``label`` are known to be connected; those of one ``side`` (0 or 1) meet elsewhere."""
     maps, sizes, ids, grams = _maps_of(group), group.column("n").to_numpy(), group.column("id").to_numpy(), _arrays(group.column("grams"))
-    label = np.arange(len(ids))
-    known: list[dict[int, int]] = [{} for _ in ids]  # symmetric differences that were computed
+    label, side = group.column("label").to_numpy().copy(), group.column("side").to_numpy()
+    pivots, differ = [], np.full((PIVOTS, len(ids)), -1, np.int32)  # symmetric differences from the pivots, where known
     left, right = [], []
     for i in range(1, len(ids)):
-        near, pivot = _near(maps, sizes, i, threshold), None
-        near = near[ids[near] != ids[i]]
-        while len(near := near if every else near[label[near] != label[i]]):
-            j = int(near[0])
-            near = near[1:]
-            most = _most_different(int(sizes[i] + sizes[j]), threshold)
-            via = known[pivot].get(j) if pivot is not None else None
-            if via is not None and abs(via - known[i][pivot]) > most:
-                continue
-            if via is None or via + known[i][pivot] > most:
-                via = int(sizes[i] + sizes[j]) - 2 * _common(grams[i], grams[j])
-                known[i][j] = known[j][i] = via
-                if via > most:
-                    continue
-                pivot = j if pivot is None else pivot
-            left.append(min(ids[i], ids[j]))
-            right.append(max(ids[i], ids[j]))
-            label[label == label[i]] = label[j]
+        most = _most_different(sizes[:i] + sizes[i], threshold)
+        open_ = (ids[:i] != ids[i]) & ((side[:i] != side[i]) | (side[i] < 0))
+        open_ &= np.bitwise_count(maps[:i] ^ maps[i]).sum(1, dtype=np.int64) <= most
+        for k, j in enumerate(pivots):
+            if not every:
+                open_ &= label[:i] != label[i]
+            if not open_.any():
+                break
+            if open_[j]:
+                differ[k, i] = d = int(sizes[i] + sizes[j]) - 2 * _common(grams[i], grams[j])
+                via = differ[k, :i]
+                near = open_ & (via >= 0) & (via + d <= most)
+                near[j] = d <= most[j]
+                open_ &= ~(near | ((via >= 0) & (np.abs(via - d) > most)))
+                open_[j] = False
+                linked = np.flatnonzero(near)
+                for z in linked if every else linked[np.unique(label[linked], return_index=True)[1]]:
+                    left.append(min(ids[i], ids[z]))
+                    right.append(max(ids[i], ids[z]))
+                if near.any():
+                    label[np.isin(label, label[:i][near])] = label[i]
+        while True:
+            if not every:
+                open_ &= label[:i] != label[i]
+            if not open_.any():
+                break
+            j = int(np.argmax(open_))
+            d = int(sizes[i] + sizes[j]) - 2 * _common(grams[i], grams[j])
+            open_[j] = False
+            if len(pivots) < PIVOTS and j not in pivots:
+                pivots.append(j)
+                differ[len(pivots) - 1, [i, j]] = d, 0
+            if d <= most[j]:
+                left.append(min(ids[i], ids[j]))
+                right.append(max(ids[i], ids[j]))
+                label[label == label[i]] = label[j]
     return pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
 
@@ -262,8 +333,10 @@ def _described(docs: DataFrame, n: int, threshold: int) -> DataFrame:
 
 def _representatives(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Classes (id, rep: smallest doc_id) of equal sets, and one row (id, rep, n, prefix, maps) for each class."""
-    classes = settle(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("id").agg(F.min("doc_id").alias("rep")))
-    reps = rows.withColumnRenamed("doc_id", "rep").join(classes, ["id", "rep"], "left_semi").dropDuplicates(["id"])
+    there = rows.where("n > 0 AND doc_id IS NOT NULL").withColumnRenamed("doc_id", "rep")
+    classes = settle(there.groupBy("id").agg(F.min("rep").alias("rep")))
+    # Both joins' sides are dealt by id, so the repeated rows of a doc_id go without another shuffle.
+    reps = there.join(classes.withColumnRenamed("rep", "least"), "id").where("rep = least").drop("least").dropDuplicates(["id"])
     return classes, settle(reps)
 
 
@@ -271,7 +344,7 @@ def _sets_of(reps: DataFrame, docs: DataFrame, n: int) -> DataFrame:
     """Sets by class of the documents ``reps`` (a settled table), and of a few more: texts aren't shuffled to find them."""
     wanted = docs.sparkSession.sparkContext.broadcast(membership_map(reps))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
-    return texts.mapInArrow(partial(_only_sets, n=n, wanted=wanted), "id long, grams array<long>").where(F.size("grams") > 0)
+    return texts.mapInArrow(partial(_only_sets, n=n, wanted=wanted), "doc_id long, id long, grams array<long>").where(F.size("grams") > 0)
 
 
 def _entries(batches: Batches, lists) -> Batches:
@@ -288,25 +361,86 @@ def _entries(batches: Batches, lists) -> Batches:
         yield pa.RecordBatch.from_arrays([pa.array(grams[keep]), pa.array(at[keep].astype(np.int32)), *rest.columns], ["gram", "at", *rest.schema.names])
 
 
-def _all_links(reps: DataFrame, docs: DataFrame, n: int, threshold: int, every: bool) -> DataFrame:
-    """Links (a, b) between the classes ``reps``: all, once each, or enough to connect the components."""
-    counts = reps.select(F.explode("prefix").alias("gram")).groupBy("gram").agg(F.count("*").alias("members")).where("members > 1")
-    counts = settle(counts)
+def _possible(reps: DataFrame, threshold: int) -> DataFrame:
+    """(id, component): the groups of possible partners, from the index."""
+    counts = settle(reps.select(F.explode("prefix").alias("gram")).groupBy("gram").agg(F.count("*").alias("members")).where("members > 1"))
     hot = settle(counts.where(F.col("members") > BLOCK))  # a small table: joined without a shuffle of the entries
     lists = reps.sparkSession.sparkContext.broadcast(membership_map(counts.select("gram")))
+    discard(counts)
     columns = ["id", "n", "counts", *MAP_NAMES]
     schema = "gram long, at int, id long, n long, counts binary, " + ", ".join(f"{m} long" for m in MAP_NAMES)
     entries = reps.select(*columns, "prefix", "spread").mapInArrow(partial(_entries, lists=lists), schema)
     entries = entries.join(hot, "gram", "left")
     dealt = _dealt(entries, "gram", F.ceil(F.coalesce("members", F.lit(1)) / BLOCK))
-    group = settle(connected_components(dealt.drop("members").mapInArrow(partial(_candidates, threshold=threshold), "a long, b long")))
-
-    members = settle(reps.join(group.withColumnRenamed("node", "id"), "id").select("id", "rep", "n", "component", *MAP_NAMES))
-    large = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / GRAMS)).alias("blocks"))
-    sets = settle(_sets_of(members.select("rep"), docs, n))
-    members = members.drop("rep")
-    with_sets = members.join(large, "component").join(sets, "id").dropDuplicates(["id"])
-    found = _dealt(with_sets, "component", F.col("blocks")).drop("blocks").mapInArrow(partial(_linked, threshold=threshold, every=every), "a long, b long")
+    group = connected_components(dealt.drop("members").mapInArrow(partial(_candidates, threshold=threshold), "a long, b long"))
+    discard(hot)
+    return group.withColumnRenamed("node", "id")
+
+
+def _met_pivots(large: DataFrame, threshold: int) -> DataFrame:
+    """Links (a, b) of the sets of ``large`` groups (component, id, n, grams) with ROUNDS pivots of their group.
+
+    A pivot is a set that none before it is linked with; one row for each group is joined to the group's rows, a join
+    that is broadcast while it is small and whose hot groups AQE splits beyond.
+    """
+    links = None
+    for _ in range(ROUNDS):
+        open_ = large.select("component", "id") if links is None else large.select("component", "id").join(links.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_anti")
+        pivot = settle(open_.groupBy("component").agg(F.min_by("id", F.xxhash64("id")).alias("id")))
+        sets = pivot.join(large, ["component", "id"]).select("component", F.col("id").alias("pivot"), F.col("n").alias("m"), F.col("grams").alias("others"))
+        common = F.size(F.array_intersect("grams", "others"))
+        met = large.join(sets, "component").where(F.least("n", "m") * 100 >= F.greatest("n", "m") * threshold).where(common * (100 + threshold) >= (F.col("n") + F.col("m")) * threshold)
+        found = met.select(F.col("pivot").alias("a"), F.col("id").alias("b"))  # the pivot with itself too, so it is taken
+        links = settle(found if links is None else links.union(found))
+    return links.where("a <> b")
+
+
+def _open_pairs(large: DataFrame, met: DataFrame) -> DataFrame:
+    """The rows of ``large`` groups dealt out so that any two that ``met`` leaves unconnected come together.
+
+    The most common label of a group is side 0; its rows meet the others, side 1, and these meet one another too.
+    """
+    label = connected_components(met).toDF("id", "label")
+    rows = large.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    sizes = settle(rows.groupBy("component", "label").agg(F.count("*").alias("rows"), F.sum("n").alias("grams")))
+    blocks = F.greatest(F.ceil(F.sum("rows") / BLOCK), F.ceil(F.sum("grams") / GRAMS)).cast("int")
+    main = sizes.groupBy("component").agg(F.max_by("label", F.struct("rows", "label")).alias("main"))
+    sides = sizes.join(main, "component").withColumn("side", (F.col("label") != F.col("main")).cast("int"))
+    sides = settle(sides.groupBy("component", "main").pivot("side", [0, 1]).agg(blocks).toDF("component", "main", "first", "second").where("second IS NOT NULL"))
+    rows = rows.join(sides, "component").withColumn("side", (F.col("label") != F.col("main")).cast("int"))
+    own = F.pmod(F.xxhash64("id"), F.when(F.col("side") == 0, F.col("first")).otherwise(F.col("second")).cast("long"))
+    rows = rows.withColumn("own", own)
+    across = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("side") == 0, F.col("second")).otherwise(F.col("first")) - 1)))
+    first, second = F.when(F.col("side") == 0, F.col("own")).otherwise(F.col("other")), F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("own"))
+    across = across.withColumn("group", F.xxhash64("component", F.lit("across"), first.cast("long"), second.cast("long")))
+    within = rows.where("side = 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("second") - 1)))
+    within = within.withColumn("group", F.xxhash64("component", F.lit("within"), F.least("own", "other").cast("long"), F.greatest("own", "other").cast("long"))).withColumn("side", F.lit(-1))
+    return across.unionByName(within)
+
+
+def _all_links(reps: DataFrame, docs: DataFrame, n: int, threshold: int, every: bool) -> DataFrame:
+    """Links (a, b) between the classes ``reps``: all, once each, or enough to connect the components."""
+    group = _possible(reps, threshold)
+    members = settle(reps.join(group, "id").select("id", "rep", "n", "component", *MAP_NAMES))
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / GRAMS))
+    sizes = settle(members.groupBy("component").agg(blocks.alias("blocks")).where("blocks > 1"))
+    sets = _sets_of(settle(members.select("rep")), docs, n)
+    with_sets = settle(members.join(sets, "id").where("rep = doc_id").drop("rep", "doc_id").dropDuplicates(["id"]))
+    few = with_sets.join(sizes, "component", "left_anti").withColumn("group", F.col("component"))
+    large = with_sets.join(sizes, "component")
+    columns = ["group", "id", "n", "grams", "label", "side", *MAP_NAMES]
+    plain = [F.col("id").alias(c) if c == "label" else F.lit(-1).alias(c) if c == "side" else F.col(c) for c in columns]
+    dealt, links = few.select(*plain), None
+    if not sizes.isEmpty():
+        if every:
+            dealt = dealt.union(_in_blocks(large, "component", F.col("blocks")).select(*plain))
+        else:
+            large = settle(large.drop("blocks"))
+            links = settle(_met_pivots(large, threshold))
+            dealt = dealt.union(_open_pairs(large, links).select(columns))
+    dealt = dealt.repartition("group").sortWithinPartitions("group", "id")
+    found = dealt.mapInArrow(partial(_linked, threshold=threshold, every=every), "a long, b long")
+    found = found if links is None else found.union(links)
     return found.distinct() if every else found
 
 

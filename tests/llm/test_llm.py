@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,9 +72,11 @@ def test_ngram_components_equal_brute_force(spark, docs, n, threshold):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
 
 
-def test_ngram_blocks_and_all_links(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "BLOCK", 5)
-    monkeypatch.setattr(ngram_join, "GRAMS", 300)
+@pytest.mark.parametrize(("block", "grams", "rounds"), [(5, 300, 1), (25, 10_000, 3), (2048, 500_000, 3)])
+def test_ngram_blocks_and_all_links(spark, monkeypatch, block, grams, rounds):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "GRAMS", grams)
+    monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
     draw = np.random.default_rng(1)
     base = [f"w{i}" for i in range(40)]
     rows = []
@@ -91,6 +94,25 @@ def test_ngram_blocks_and_all_links(spark, monkeypatch):
     assert got == {tuple(sorted((rep[a], rep[b]))) for a, b in links if sets[a] != sets[b]}
 
 
+def test_blocks_of_a_list_lose_no_partners():
+    draw, n = np.random.default_rng(3), 300
+    sets = [np.unique(draw.integers(0, 400, int(draw.integers(20, 60))).astype(np.uint64)) for _ in range(n)]
+    sets = [np.union1d(sets[i // 2], sets[i][:2]) if i % 3 else sets[i] for i in range(n)]
+    columns = {"group": np.sort(draw.integers(0, 3, n)), "id": np.arange(n), "n": np.array([len(x) for x in sets]), "at": draw.integers(0, 4, n), "counts": [None] * n}
+    maps = np.stack([np.bincount(x.astype(int), minlength=512).astype(np.uint8) for x in sets])
+    maps = np.packbits(maps, axis=1).view(np.int64)
+    batch = pa.RecordBatch.from_pydict(columns | {f"m{k}": maps[:, k].copy() for k in range(8)}, schema=pa.schema([("group", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("at", pa.int64()), ("counts", pa.binary()), *((f"m{k}", pa.int64()) for k in range(8))]))
+
+    def parts(steps):
+        edges = [e for b in ngram_join._candidates(iter([batch]), 80, steps) for e in zip(*(b.column(c).to_pylist() for c in "ab"), strict=True)]
+        label = list(range(n))
+        for a, b in edges * 8:
+            label = [min(label[a], label[b]) if i in (a, b) else x for i, x in enumerate(label)]
+        return label
+
+    assert parts(2) == parts(1000) and len(set(parts(2))) < n
+
+
 def test_ngram_awkward(awkward, empty):
     got = {(r.doc_id, r.n_shingles): r.component_id for r in ngram_join.components(awkward, 3, 90).collect()}
     assert got[1, 0] == 1 and got[2, 0] == 2 and got[6, 1] == 5 and got[None, 1] == 5
@@ -99,10 +121,11 @@ def test_ngram_awkward(awkward, empty):
     assert kept.columns == awkward.columns and kept.where("doc_id = 6").count() == 0 and kept.where("doc_id = 4").count() == 2
 
 
-def test_ngram_texts_that_share_a_doc_id(spark):
+@pytest.mark.parametrize("parts", [1, 2, 3, 4])
+def test_ngram_texts_that_share_a_doc_id(spark, parts):
     a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
-    rows = [(2, a), (5, a + " end"), (2, b), (4, b + " end"), (1, c), (5, c), (5, "quite another text"), (5, None), (7, "last of all")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    rows = [(2, a), (5, a + " end"), (2, b), (2, b), (4, b + " end"), (1, c), (5, c), (5, "quite another text"), (5, None), (7, "last of all")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
     got = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.components(df, 3, 90).collect()}
     assert got == {(2, 58, 2), (5, 59, 2), (4, 59, 2), (1, 58, 1), (5, 58, 1), (5, 1, 5), (5, 0, 5), (7, 1, 7)}
     pairs, _ = ngram_join.links(df, 3, 90)
