@@ -248,30 +248,67 @@ def test_url_awkward(spark):
     assert url_filter.judge(pages, []).where("verdict = 'allow'").count() == 3
 
 
-def repeated_words(texts, least):
-    seen = {}
-    split = {d: t.encode().split() for d, t in texts.items() if t}
-    for d, w in split.items():
+def repeated_words(rows, least):
+    """(doc_id, text) -> words in windows that stand at two places or more."""
+    seen, out = {}, {}
+    split = [(d, t, t.encode().split()) for d, t in rows if t]
+    for _, _, w in split:
         for k in range(len(w) - least + 1):
-            seen.setdefault(tuple(w[k : k + least]), set()).add(d)
-    out = {}
-    for d, w in split.items():
-        found = {x for k in range(len(w) - least + 1) if len(seen[tuple(w[k : k + least])]) > 1 for x in range(k, k + least)}
+            seen[tuple(w[k : k + least])] = seen.get(tuple(w[k : k + least]), 0) + 1
+    for d, t, w in split:
+        found = {x for k in range(len(w) - least + 1) if seen[tuple(w[k : k + least])] > 1 for x in range(k, k + least)}
         if found:
-            out[d] = found
+            out[d, t] = found
     return out
 
 
-@pytest.mark.parametrize("block", [4096, 1])
-def test_repeats_equal_brute_force(docs, monkeypatch, block):
-    monkeypatch.setattr(suffix_dedup, "BLOCK", block)
-    got = {r.doc_id: {w for p in r.passages for w in range(p.start, p.end)} for r in suffix_dedup.repeats(docs, 30).collect()}
-    assert got == repeated_words(texts(docs), 30)
+def found_words(df, least):
+    return sorted((str(r.doc_id), sorted({w for p in r.passages for w in range(p.start, p.end)})) for r in suffix_dedup.repeats(df, least).collect())
+
+
+def test_repeats_equal_brute_force(docs):
+    want = repeated_words([(r.doc_id, r.text) for r in docs.collect()], 30)
+    assert found_words(docs, 30) == sorted((str(d), sorted(w)) for (d, _), w in want.items())
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_repeats_of_variants_of_one_passage(spark, parts):
+    """One passage in many variants (an anchor with hundreds of classes), repeats inside a text, rows that share a doc_id."""
+    draw = np.random.default_rng(5)
+    base, rows = [f"b{i}" for i in range(70)], []
+    for i in range(300):
+        w = list(base)
+        for _ in range(int(draw.integers(1, 4))):
+            w[int(draw.integers(0, 70))] = f"x{draw.integers(0, 30)}"
+        rows.append((i, " ".join([f"p{i}", *w, f"q{i % 7}"])))
+    own = " ".join(f"o{i}" for i in range(40))
+    rows += [(900, f"{own} and {own}"), (901, "a " * 60), (902, "one " + own), (902, "two " + own), (None, own), (903, "short")]
+    want = sorted((str(d), sorted(w)) for (d, _), w in repeated_words(rows, 30).items())
+    assert found_words(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), 30) == want
+
+
+def test_anchors_over_many_partitions_equal_brute_force(spark):
+    rows = [(str(i), " ".join([f"p{i}", *(f"b{k}" if (k * 7 + i) % 31 else f"x{i % 5}" for k in range(60))])) for i in range(200)]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else small partitions are put together
+    try:
+        got = found_words(spark.createDataFrame(rows, "doc_id string, text string"), 25)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert got == sorted((d, sorted(w)) for (d, _), w in repeated_words(rows, 25).items())
+
+
+def test_repeats_are_left_at_one_place(spark):
+    own, other = (" ".join(f"{c}{i}" for i in range(40)) for c in "op")
+    rows = [(1, f"start {own}\nend", "k"), (2, f"{own} {other}", None), (3, f"x {other} y {other} z", "k"), (4, "a " * 60, "k"), (5, None, "k"), (6, "", "k"), (None, "left alone", "k")]
+    got = {r.doc_id: r.text for r in suffix_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string, key string"), 30).collect()}
+    assert got == {1: rows[0][1], 2: other, 3: "x y z", 4: "a " * 30, 5: None, 6: "", None: "left alone"}
 
 
 def test_repeats_awkward(awkward, empty):
-    assert suffix_dedup.repeats(awkward).count() == 0  # the long text stands in one document only, twice
+    assert [(r.doc_id, r.n_words_repeated) for r in suffix_dedup.repeats(awkward).collect()] == [(4, 60_000)]  # its row is there twice
     assert suffix_dedup.repeats(empty).count() == 0
+    assert suffix_dedup.without_repeats(awkward).count() == 9 and suffix_dedup.without_repeats(empty).count() == 0
+    assert suffix_dedup.without_repeats(awkward).columns == awkward.columns
 
 
 def labelled(spark, name):
