@@ -10,11 +10,13 @@ don't count. What was found by values alone counts where the values are equal.
 
 An item counts as contained when matched words cover COVERAGE of its template (and as much of the aligned slots agree, and
 one word in WINDOW is no slot or has the same value), or RUN template words on end with 2 * LITERALS such words.
-Words without a letter or digit ("|", "***") don't count as words. A name is a capitalised word that doesn't begin a
-sentence or line; names in a row are one slot. A unit is a word of UNITS after a number.
+Words without a letter or digit ("|", "***") don't count as words. A name is a capitalised word of two letters or more;
+names in a row are one slot. What begins a sentence may be a name or not, so it is a slot too, and one of its own kind of
+value: "How" stands for "How" as "Tom" for "Anna". A unit is a word of UNITS after a number.
 
 The benchmark is the query set: its index is broadcast in blocks of at most BLOCK windows, whose size is bounded
-by that; a larger benchmark takes more passes over the documents. Documents are never shuffled.
+by that; a larger benchmark takes more passes over the documents, each settled and its block released before the next
+block is built. Documents are never shuffled.
 
 Null or empty texts, and items of fewer than SHORTEST template words, contain and match nothing. Items shorter than
 a window are matched whole. Rows with equal ids are rows of their own; extra columns stay as they are.
@@ -31,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oddlens.llm.common import Batches, byte_rows, mix64, windows
+from oddlens.llm.common import Batches, byte_rows, mix64, settle, slices, windows
 
 WINDOW = 5
 SHORTEST = 4
@@ -59,7 +61,7 @@ class _Kinds(dict):
     """raw word (bytes) -> (hash of the word, kind, does it end a sentence), as one number; bounded."""
 
     def __missing__(self, raw: bytes) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= 200_000:
             self.clear()
         text = raw.decode("utf-8", "replace")
         found = _INNER.search(text)
@@ -101,13 +103,12 @@ class Template:
         kind, value = kind[seen], codes[seen] >> np.uint64(4)
         first = np.ones(len(seen), bool)
         first[1:] = open_
-        kind[(kind == _NAME) & first] = _LIT
         after_number = np.zeros(len(seen), bool)
         after_number[1:] = kind[:-1] == _NUM
         kind[(kind == _UNIT) & ~after_number] = _LIT
         name = kind == _NAME
         head = np.ones(len(seen), bool)
-        head[1:] = ~(name[1:] & name[:-1])
+        head[1:] = ~(name[1:] & name[:-1]) | first[1:]
         if not head.all():
             at = np.flatnonzero(head)
             value = np.bitwise_xor.reduceat(value * np.where(name, np.arange(1, len(value) + 1, dtype=np.uint64) - np.repeat(at, np.diff([*at, len(value)])).astype(np.uint64), np.uint64(1)), at)
@@ -275,7 +276,7 @@ def _monotone(stretches: list[tuple[int, int, int, bool]]) -> list[tuple[int, in
 
 def _found(batches: Batches, index) -> Batches:
     cache = _Kinds()
-    for batch in batches:
+    for batch in slices(batches):
         ids, rows = batch.column("doc_id"), []
         for k, text in enumerate(byte_rows(batch, "text")):
             rows += [(k, *x) for x in index.value.contained(Template(text, cache))]
@@ -288,21 +289,22 @@ def _found(batches: Batches, index) -> Batches:
 
 def _clean(batches: Batches, index) -> Batches:
     cache = _Kinds()
-    for batch in batches:
+    for batch in slices(batches):
         yield batch.filter(pa.array([not index.value.contained(Template(t, cache)) for t in byte_rows(batch, "text")], pa.bool_()))
 
 
 def _blocks(benchmark: DataFrame):
-    """The benchmark's items as indexes of at most about BLOCK windows."""
+    """The benchmark's items as broadcast indexes of at most about BLOCK windows, and whether another follows."""
+    send = benchmark.sparkSession.sparkContext.broadcast
     items, size = [], 0
     for r in benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text").toLocalIterator():
-        items.append((r.item_id, r.text.encode()))
-        size += len(r.text.split())
         if size >= BLOCK:
-            yield benchmark.sparkSession.sparkContext.broadcast(Index(items))
+            yield send(Index(items)), True
             items, size = [], 0
+        items.append((r.item_id, r.text.encode()))
+        size += len(r.text.split())
     if items:
-        yield benchmark.sparkSession.sparkContext.broadcast(Index(items))
+        yield send(Index(items)), False
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -314,13 +316,20 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, item_id long, n_matched long, n_item long, coverage double, first_word long, last_word long"
     out = docs.sparkSession.createDataFrame([], schema)
-    for index in _blocks(benchmark):
-        out = out.union(docs.select("doc_id", "text").mapInArrow(partial(_found, index=index), schema))
+    for index, more in _blocks(benchmark):
+        found = docs.select("doc_id", "text").mapInArrow(partial(_found, index=index), schema)
+        if more:
+            found = settle(found)
+            index.unpersist()
+        out = out.union(found)
     return out
 
 
 def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that contain a benchmark item; all columns stay."""
-    for index in _blocks(benchmark):
+    for index, more in _blocks(benchmark):
         docs = docs.mapInArrow(partial(_clean, index=index), docs.schema)
+        if more:
+            docs = settle(docs)
+            index.unpersist()
     return docs

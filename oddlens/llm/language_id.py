@@ -5,8 +5,8 @@ all its segmentations into pieces, by the forward algorithm, and a text's the pr
 probabilities are learned by expectation maximisation over the words of a bounded sample of texts; the vocabulary is
 read from a file of byte pieces with ranks (every byte is one, so every word has a segmentation) and never copied.
 
-Words are runs of letters, lower-cased, with a leading space; runs over LETTERS letters are cut there, so a very
-long run costs no more than its letters. Texts that are null or have no letter are ``und`` with score 0. Rows with
+Words are runs of letters (Unicode category L), lower-cased, with a leading space, of any length. Pieces are found by
+one automaton over many words at a time. Texts that are null or have no letter are ``und`` with score 0. Rows with
 equal ids are rows of their own; lang, source and doc_id are never inputs of a prediction.
 """
 
@@ -15,24 +15,24 @@ from __future__ import annotations
 import base64
 import re
 from collections import Counter
-from functools import partial
+from functools import cached_property, partial
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oddlens.llm.common import Batches, settle
+from oddlens.llm.common import Batches, settle, slices
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 SAMPLE = 1500  # texts of each language that are learned from, at most about
 ROUNDS = 3
-PIECE = 12  # bytes of a piece, at most
-LETTERS = 24
+CELLS = 200_000  # positions of the words of a block
 CACHE = 300_000
 FLOOR = 1e-9  # of a piece's probability, against words of other scripts
 
-_WORD = re.compile(rf"[^\W\d_]{{1,{LETTERS}}}")
+_WORD = re.compile(r"[^\W\d_]+")
 
 
 def read_vocabulary(path: str = VOCABULARY) -> dict[bytes, int]:
@@ -41,34 +41,40 @@ def read_vocabulary(path: str = VOCABULARY) -> dict[bytes, int]:
     with open(path, "rb") as lines:
         for line in lines:
             piece = base64.b64decode(line.split()[0])
-            if len(piece) == 1 or len(piece) <= PIECE and piece == piece.lower() and b" " not in piece[1:] and not re.search(rb"[\x00-\x1f!-@\[-`{-\x7f]", piece):
+            if len(piece) == 1 or piece == piece.lower() and b" " not in piece[1:] and not re.search(rb"[\x00-\x1f!-@\[-`{-\x7f]", piece):
                 out[piece] = len(out)
     return out
 
 
+class Pieces(dict):
+    """piece -> number, with an automaton that finds all of them; it is built where it is needed and not sent."""
+
+    @cached_property
+    def scan(self) -> ahocorasick.Automaton:
+        out = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for piece, k in self.items():
+            out.add_word(piece.decode("latin-1"), k << 16 | len(piece))
+        out.make_automaton()
+        return out
+
+    def __reduce__(self):
+        return Pieces, (dict(self),)
+
+
 class Lattice:
     """All pieces of all positions of some words, a block of words of like length at a time."""
 
-    def __init__(self, pieces: dict[bytes, int], words: list[bytes]):
+    def __init__(self, pieces: Pieces, words: list[bytes]):
         self.size = np.fromiter(map(len, words), np.int64, len(words))
         self.width = int(self.size.max(initial=0))
-        self.steps: list[tuple[int, int, np.ndarray, np.ndarray]] = []  # end, length, words, pieces; by end
-        found: dict[tuple[int, int], tuple[list[int], list[int]]] = {}
-        get = pieces.get
-        for i, word in enumerate(words):
-            n = len(word)
-            for start in range(n):
-                for end in range(start + 1, min(n, start + PIECE) + 1):
-                    piece = get(word[start:end])
-                    if piece is not None:
-                        at = found.get((end, end - start))
-                        if at is None:
-                            at = found[end, end - start] = ([], [])
-                        at[0].append(i)
-                        at[1].append(piece)
-        for end, length in sorted(found):
-            rows, ids = found[end, length]
-            self.steps.append((end, length, np.array(rows), np.array(ids)))
+        starts = np.concatenate([[0], np.cumsum(self.size + 1)])  # words are parted by a sign that no piece holds
+        found = np.array(list(pieces.scan.iter("\u0100".join(w.decode("latin-1") for w in words))), np.int64).reshape(-1, 2)
+        row = np.searchsorted(starts, found[:, 0], "right") - 1
+        end, length, piece = found[:, 0] + 1 - starts[row], found[:, 1] & 0xFFFF, found[:, 1] >> 16
+        order = np.lexsort((row, length, end))
+        row, end, length, piece = row[order], end[order], length[order], piece[order]
+        cuts = [0, *(np.flatnonzero((np.diff(end) != 0) | (np.diff(length) != 0)) + 1).tolist(), len(end)] if len(end) else [0]
+        self.steps = [(int(end[a]), int(length[a]), row[a:b], piece[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]  # by end
 
     def forward(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """alpha (word, position, language), each position divided by a scale, and the logs of the scales summed."""
@@ -114,14 +120,26 @@ class Lattice:
         return out
 
 
-def _blocks(words: list[bytes], size: int = 4096):
-    order = sorted(range(len(words)), key=lambda i: len(words[i]))
-    for k in range(0, len(order), size):
-        yield order[k : k + size]
+def _blocks(words: list[bytes]):
+    """Indexes of the words, those of like length together, in blocks of about CELLS positions."""
+    order, block, widest = sorted(range(len(words)), key=lambda i: len(words[i])), [], 0
+    for i in order:
+        widest = len(words[i]) + 1
+        if block and (len(block) + 1) * widest > CELLS:
+            yield block
+            block = []
+        block.append(i)
+    if block:
+        yield block
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    if not text:
+        return []
+    found = _WORD.findall(text.lower())
+    if not text.isascii() and not all(map(str.isalpha, found)):  # signs such as "\u00b2" count as digits or letters by the pattern alone
+        found = [w for run in found for w in "".join(c if c.isalpha() else " " for c in run).split()]
+    return found
 
 
 def _counted(batches: Batches) -> Batches:
@@ -133,8 +151,9 @@ def _counted(batches: Batches) -> Batches:
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in count], pa.string()), pa.array([k for _, k in count], pa.string()), pa.array(count.values(), pa.int64())], ["word", "lang", "n"])
 
 
-def _expected(batches: Batches, pieces, p: np.ndarray, langs: list[str]) -> Batches:
+def _expected(batches: Batches, model) -> Batches:
     """Rows (piece, lang, n) of expected uses, summed for each batch."""
+    pieces, p, langs = model.value.pieces, model.value.p, model.value.langs
     at = {x: k for k, x in enumerate(langs)}
     for batch in batches:
         rows: dict[bytes, np.ndarray] = {}
@@ -149,7 +168,7 @@ def _expected(batches: Batches, pieces, p: np.ndarray, langs: list[str]) -> Batc
 
 
 class Model:
-    def __init__(self, pieces: dict[bytes, int], langs: list[str], p: np.ndarray):
+    def __init__(self, pieces: Pieces, langs: list[str], p: np.ndarray):
         self.pieces, self.langs, self.p = pieces, langs, p
 
 
@@ -158,7 +177,7 @@ def learn(docs: DataFrame, vocabulary: str = VOCABULARY, most: int = SAMPLE, rou
 
     Each round is a job over the sample's word counts; the driver only gets sums by piece and language.
     """
-    pieces = read_vocabulary(vocabulary)
+    pieces = Pieces(read_vocabulary(vocabulary))
     sizes = {r.lang: r.n for r in docs.where("lang IS NOT NULL").groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(sizes)
     rate = F.lit(0.0)
@@ -171,7 +190,9 @@ def learn(docs: DataFrame, vocabulary: str = VOCABULARY, most: int = SAMPLE, rou
         length[k] = len(piece)
     p = np.repeat(np.exp(length - length.max()) / np.exp(length - length.max()).sum(), len(langs), 1)
     for _ in range(rounds if langs else 0):
-        got = counts.mapInArrow(partial(_expected, pieces=pieces, p=p, langs=langs), "piece int, lang int, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
+        sent = docs.sparkSession.sparkContext.broadcast(Model(pieces, langs, p))
+        got = counts.mapInArrow(partial(_expected, model=sent), "piece int, lang int, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
+        sent.unpersist()
         uses = np.zeros_like(p)
         uses[got["piece"], got["lang"]] = got["n"]
         p = (uses + 0.01) / (uses + 0.01).sum(0)
@@ -183,7 +204,7 @@ def _predicted(batches: Batches, model) -> Batches:
     model = model.value
     cache: dict[str, int] = {}
     known = np.zeros((0, len(model.langs)))
-    for batch in batches:
+    for batch in slices(batches):
         texts = [words_of(t) for t in batch.column("text").to_pylist()]
         if len(cache) > CACHE:
             cache, known = {}, known[:0]

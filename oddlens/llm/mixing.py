@@ -7,7 +7,8 @@ are taken in proportion, and a bounded-knapsack dynamic program over the lengths
 Which documents of a length are chosen is decided by a seeded hash of doc_id.
 
 Only totals for each source reach the driver (one row for each source: up to ``MOST_SOURCES``); the histogram of a
-source is one group of at most as many rows as there are lengths. Documents are ranked within buckets of one
+source is one group of at most as many rows as there are lengths (more sources are refused: each is a row of the
+driver's table of shares). Documents are ranked within buckets of one
 (source, length) that hold about BUCKET rows, however many documents are alike.
 
 Null or empty text has size 0 and takes nothing. A null source is a source. Rows that repeat a doc_id are
@@ -28,7 +29,7 @@ from oddlens.llm.common import Batches, byte_rows, mix64, settle
 
 MOST_SOURCES = 1_000_000
 BUCKET = 20_000
-KNAPSACK = 1 << 20  # largest budget left to the dynamic program; a larger one is first cut by whole lengths
+SPARE = 8  # the dynamic program fits the last budget of this many of the longest texts: some 5 bytes a word
 
 
 def _sizes(batches: Batches) -> Batches:
@@ -71,7 +72,7 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     total = int((lengths * counts).sum())
     if budget >= total:
         return counts.copy()
-    spare = min(budget, KNAPSACK, 8 * int(lengths.max()))
+    spare = min(budget, SPARE * int(lengths.max()))
     exact = counts * ((budget - spare) / total)
     take = np.minimum(np.floor(exact).astype(np.int64), counts)
     left = budget - int((take * lengths).sum())
@@ -79,13 +80,7 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
         if left > spare and lengths[i] <= left and take[i] < counts[i]:
             take[i] += 1
             left -= int(lengths[i])
-    for i in np.argsort(-lengths, kind="stable"):
-        if left <= KNAPSACK:
-            break
-        more = min(left // int(lengths[i]), int(counts[i] - take[i]))
-        take[i] += more
-        left -= more * int(lengths[i])
-    if 0 < left <= KNAPSACK:
+    if left > 0:
         take += _knapsack(lengths, counts - take, left)
     return take
 
@@ -94,7 +89,7 @@ def _knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarra
     """Bounded knapsack: the copies of each length with the largest sum up to ``budget``."""
     reach = np.zeros(budget + 1, bool)
     reach[0] = True
-    first = np.full(budget + 1, -1, np.int64)  # the item that first made a sum reachable
+    first = np.full(budget + 1, -1, np.int32)  # the item that first made a sum reachable
     items: list[tuple[int, int]] = []
     for i in np.argsort(mix64(lengths.astype(np.uint64)), kind="stable"):
         copies, part = min(int(counts[i]), budget // int(lengths[i])), 1

@@ -1,9 +1,10 @@
 """Sharding by vector bin packing: bytes, tokens and rows are balanced jointly.
 
 Items are placed from the largest down, each in the shard where the dot product of its vector with the residual
-capacity is highest. An item is a group of equal texts; groups above a part of a shard's bytes are split by a hash
-of doc_id, and the many small groups are bundled by a hash of the text, so there are at most BUNDLES items plus
-PIECES for each shard, whatever the input: the packing sees only their sums. A document's shard follows from its
+capacity is highest. An item is a group of equal texts; groups above a part of a shard's bytes are dealt out to
+pieces row by row, and groups below the mean size of a bundle are bundled by a hash of the text. So at most
+BUNDLES groups stand for themselves beside BUNDLES bundles and some PIECES for each shard, whatever the input: the packing sees
+only their sums. A document's shard follows from its
 item by a join, its slot from the item's first slot and a rank inside the item, so no task holds a shard.
 
 Null text has no bytes and no tokens and forms a group of its own. Rows that repeat a doc_id are rows of their
@@ -59,19 +60,21 @@ def shard(docs: DataFrame, shards: int = 40) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot for each row of ``docs`` (doc_id, text).
 
     size: UTF-8 bytes of the text and 16; text_crc32: of these bytes, null for null; slot: from 0 without a gap in
-    each shard. Sizes of shards come near equal; tokens and rows are balanced besides. The same rows give the same
+    each shard. Sizes of shards come near equal; tokens and rows are balanced besides. The same files give the same
     shards. Equal texts stay in one shard unless their group is over 1/PIECES of a shard.
     """
     spark = docs.sparkSession
-    rows = settle(docs.select("doc_id", "text").mapInArrow(_measure, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, size long, tokens long, text_crc32 long, digest binary"))
+    rows = docs.select("doc_id", "text").mapInArrow(_measure, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, size long, tokens long, text_crc32 long, digest binary")
+    rows = settle(rows.withColumn("row", F.monotonically_increasing_id()))
     sums = (F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows"))
-    limit = max(1, (rows.agg(F.sum("size")).first()[0] or 0) // (shards * PIECES))
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    limit, alone = max(1, total // (shards * PIECES)), total // BUNDLES
     groups = rows.groupBy("digest").agg(*sums)
-    large = settle(groups.where(F.col("size") > limit).select("digest", F.ceil(F.col("size") / limit).alias("pieces")))
+    large = settle(groups.where(F.col("size") > min(limit, alone)).select("digest", F.ceil(F.col("size") / limit).alias("pieces")))
     bundle = F.pmod(F.xxhash64("digest"), F.lit(BUNDLES)).cast("string")
-    piece = F.concat(F.hex("digest"), F.lit("/"), F.pmod(F.xxhash64("doc_id"), "pieces").cast("string"))
+    piece = F.concat(F.hex("digest"), F.lit("/"), F.pmod(F.xxhash64("doc_id") + F.col("row"), "pieces").cast("string"))
     items = rows.join(F.broadcast(large), "digest", "left").withColumn("item", F.when(F.col("pieces").isNull(), bundle).otherwise(piece))
-    # At most shards * PIECES groups are large, so the broadcast and the items below are bounded.
+    # At most BUNDLES or shards * PIECES groups are large, so the broadcast and the items below are bounded.
     found = items.groupBy("item").agg(*sums).toPandas().sort_values("item").reset_index(drop=True)
     found["shard"] = pack(found[["size", "tokens", "rows"]].to_numpy(float), shards)
     found["start"] = found.groupby("shard")["rows"].cumsum() - found["rows"]

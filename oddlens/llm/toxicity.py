@@ -1,11 +1,13 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A text is scanned for trigger words by one automaton; around each trigger its clause is read as a sequence of word
-classes, which passes through a cascade of transducers: object and frame of threats, negation, reported speech, then target and match. A match
-gets the weight of its insult or threat times what the cascade says about it (negated, reported, aimed at someone),
-and the score of a text is the chance that at least one of its matched clauses is toxic: 1 - product(1 - weight).
-Words alone score nothing that their clause takes back ("not stupid", 'she said: "idiot"'). A threat needs a person as
-object or a frame of what is to come ("you will burn"); those without count once, and little, in a text.
+Five weighted transducers - insults, threats with their frames and objects, negation, reported speech, targets - are
+composed to one machine. A text is scanned for trigger words by an automaton; the clause around a trigger is read as a
+sequence of word classes, whose arcs carry the lexicon's weights, and scored by the best path through the machine. The
+arcs of a path multiply: a match in a denied or reported clause is worth a fraction, one that is aimed at someone,
+before or after it, is worth more. The score of a text is the chance that at least one of the matches on the best
+paths of its clauses is toxic: 1 - product(1 - weight). Words alone score nothing that their clause takes back ("not
+stupid", 'she said: "idiot"'). A threat needs a person as object or a frame of what is to come ("you will burn");
+those without count once, and little, in a text.
 
 The insult lexicon holds fixed English words and, per labelled data, learned words and word stems: candidates
 are counted in a sample of labelled documents (at most SAMPLE of each label) and chosen greedily, each for the
@@ -18,7 +20,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from functools import partial
+from functools import cache, partial
+from math import log1p
 
 import ahocorasick
 import numpy as np
@@ -26,10 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oddlens.llm.common import Batches
+from oddlens.llm.common import Batches, slices
 
 SAMPLE = 6000  # labelled documents of each label that are learned from, at most about
-CANDIDATES = 20_000  # words and stems of these that the choice looks at, the commonest in toxic documents
 STEM = (4, 5, 6, 7, 8)  # letters of a learned stem
 THRESHOLD = 0.3
 ALONE = 0.2  # a word of a stem that clean texts hold too: it takes two of them
@@ -54,7 +56,7 @@ SUBJECTS = "i we".split()
 FUTURE = "will shall should must gonna wanna going".split()
 FILLERS = "all of every one each both the down up to be get".split()
 OBJECT_REACH = 3  # words between a threat and its object, of FILLERS
-NEGATION_REACH = 4  # words after a negation that it covers
+STRONG = 0.5  # weight from which a word is an insult and can be aimed; below it is a hint
 # Weights: of a plain lexicon word before data, of a threat with and without a target, and of contexts.
 PLAIN, WEAK, THREAT, LONE_THREAT, NEGATED, REPORTED, AIMED = 0.85, 0.6, 0.7, 0.02, 0.1, 0.3, 1.5
 
@@ -63,87 +65,135 @@ _TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[\"“”«»]|,")
 
 
 class Transducer:
-    """States, and arcs (state, symbol) -> (state, symbol out); what has no arc keeps its state and its symbol."""
+    """Weighted arcs (state, symbol) -> [(state, symbol out, weight)]; what has no entry keeps state and symbol at weight 1.
 
-    def __init__(self, arcs: dict[tuple[str, str], tuple[str, str]], start: str = "start"):
-        self.arcs, self.start = arcs, start
+    An empty list of arcs ends a path. A path counts if it ends outside ``owing`` states.
+    """
 
-    def __call__(self, symbols: list[str]) -> list[str]:
-        state, out = self.start, []
-        for symbol in symbols:
-            state, symbol = self.arcs.get((state, symbol), (state, symbol))
-            out.append(symbol)
-        return out
+    def __init__(self, arcs: dict[tuple, list[tuple]], start="start", owing: frozenset = frozenset()):
+        self.arcs, self.start, self.owing = arcs, start, owing
 
+    def __call__(self, state, symbol: str) -> list[tuple]:
+        return self.arcs.get((state, symbol), [(state, symbol, 1.0)])
 
-def _negation() -> Transducer:
-    arcs = {("start", "NOT"): (f"n{NEGATION_REACH}", "NOT")}
-    for k in range(1, NEGATION_REACH + 1):
-        down = "start" if k == 1 else f"n{k - 1}"
-        arcs |= {(f"n{k}", "INSULT"): (down, "NOT-INSULT"), (f"n{k}", "THREAT"): (down, "NOT-THREAT"), (f"n{k}", "BUT"): ("start", "BUT"), (f"n{k}", "NOT"): (f"n{NEGATION_REACH}", "NOT")}
-        arcs |= {(f"n{k}", s): (down, s) for s in ("WORD", "YOU", "LONE", "SAY", "QUOTE", "COMMA")}
-    return Transducer(arcs)
 
+def compose(machines: list[Transducer], alphabet: list[str]) -> Transducer:
+    """One machine for the cascade: each reads what the one before writes, and weights multiply. States are tuples."""
+    start = tuple(m.start for m in machines)
+    arcs: dict[tuple, list[tuple]] = {}
+    waiting, seen = [start], {start}
+    while waiting:
+        state = waiting.pop()
+        for symbol in alphabet:
+            paths: list[tuple] = [((), symbol, 1.0)]
+            for machine, own in zip(machines, state, strict=True):
+                paths = [((*to, x), out, w * v) for to, read, w in paths for x, out, v in machine(own, read)]
+            arcs[state, symbol] = paths
+            for to, _, _ in paths:
+                if to not in seen:
+                    seen.add(to)
+                    waiting.append(to)
+    owing = frozenset(x for x in seen if any(own in m.owing for own, m in zip(x, machines, strict=True)))
+    return Transducer(arcs, start, owing)
 
-def _reported() -> Transducer:
-    marked = {s: f"SAID-{s}" for s in ("INSULT", "THREAT", "NOT-INSULT", "NOT-THREAT")}
-    arcs = {("start", "SAY"): ("said", "SAY"), ("said", "BUT"): ("start", "BUT"), ("said", "QUOTE"): ("quote", "QUOTE"), ("start", "QUOTE"): ("quote", "QUOTE"), ("quote", "QUOTE"): ("start", "QUOTE")}
-    for state in ("said", "quote"):
-        arcs |= {(state, s): (state, out) for s, out in marked.items()}
-    return Transducer(arcs)
 
+def _insults() -> Transducer:
+    """Strong insults match as they stand or, by another path, as part of what is said to a target; hints only match."""
+    return Transducer({("start", "INSULT"): [("start", "INSULT", 1.0), ("start", "AIMED", 1.0)]})
 
-def _aim() -> Transducer:
-    """Marks what stands in a clause after a target."""
-    arcs = {("start", "YOU"): ("aimed", "YOU"), ("aimed", "BUT"): ("start", "BUT")}
-    for s in ("INSULT", "THREAT", "NOT-INSULT", "NOT-THREAT", "SAID-INSULT", "SAID-THREAT", "SAID-NOT-INSULT", "SAID-NOT-THREAT"):
-        arcs[("aimed", s)] = ("aimed", f"AIMED-{s}")
-    return Transducer(arcs)
 
+def _threats() -> Transducer:
+    """A threat needs an object within OBJECT_REACH fillers, or a frame of what is to come: "you will burn" without an
+    object, "I will burn down their house" with one later on. By another path it stands alone.
 
-def _object() -> Transducer:
-    """Reads a clause from its end: threats become THREAT before an object, FAR where one comes later, else LONE."""
-    arcs = {("start", "THREAT"): ("start", "LONE")}
-    states = ["far", *(f"near{k}" for k in range(OBJECT_REACH + 1))]
-    for state in ["start", *states]:
-        arcs[(state, "OBJECT")] = (f"near{OBJECT_REACH}", "OBJECT")
-        arcs[(state, "OWNER")] = ("far", "OWNER")
-    for k in range(OBJECT_REACH + 1):
-        arcs[(f"near{k}", "FILLER")] = (f"near{k - 1}" if k else "far", "FILLER")
-        arcs[(f"near{k}", "THREAT")] = (f"near{k}", "THREAT")
-        arcs |= {(f"near{k}", s): ("far", s) for s in ("WORD", "SUBJECT", "FUTURE", "VOW", "COMMA", "QUOTE", "BUT", "NOT")}
-    arcs[("far", "THREAT")] = ("far", "FAR")
-    arcs |= {(s, "BUT"): ("start", "BUT") for s in states}
-    return Transducer(arcs)
+    States are pairs: the frame (start, you, me, doom, vow) and what a threat before still owes (none, near0.., far).
+    """
+    frames, reach = ("start", "you", "me", "doom", "vow"), [f"near{k}" for k in range(OBJECT_REACH + 1)]
+    arcs: dict[tuple, list[tuple]] = {}
+
+    def frame_after(frame: str, symbol: str) -> str:
+        fixed = {"OBJECT": "you", "SUBJECT": "me", "VOW": "vow", "DOOM": "doom", "BUT": "start"}
+        if symbol == "FUTURE":
+            return {"you": "doom", "me": "vow"}.get(frame, frame)
+        if symbol in ("WORD", "INSULT", "HINT", "AIMED", "COMMA") and frame in ("doom", "you"):
+            return "start"
+        return fixed.get(symbol, frame)
+
+    def owed_after(owed: str, symbol: str) -> str | None:
+        """What is owed after a symbol that is no threat; None ends the path."""
+        if owed == "none" or symbol == "OBJECT":
+            return "none"
+        if owed == "far":
+            return "none" if symbol == "OWNER" else None if symbol == "BUT" else "far"
+        k = reach.index(owed)
+        return reach[k - 1] if symbol == "FILLER" and k else None
+
+    for frame in frames:
+        for owed in ("none", *reach, "far"):
+            for symbol in ALPHABET:
+                if symbol == "THREAT":
+                    match = [((frame, reach[-1]), "THREAT", 1.0)]
+                    if frame == "doom" and owed not in reach:
+                        match.append(((frame, owed), "THREAT", 1.0))
+                    if frame == "vow" and owed not in reach:
+                        match.append(((frame, "far"), "THREAT", 1.0))
+                    arcs[(frame, owed), symbol] = match if owed in reach else [*match, ((frame, owed), "LONE", 1.0)]
+                else:
+                    owes = owed_after(owed, symbol)
+                    arcs[(frame, owed), symbol] = [] if owes is None else [((frame_after(frame, symbol), owes), symbol, 1.0)]
+            arcs[(frame, owed), "AIMED"] = [(to, "AIMED", w) for to, _, w in arcs[(frame, owed), "INSULT"]]
+    return Transducer(arcs, ("start", "none"), frozenset((f, owed) for f in frames for owed in (*reach, "far")))
 
 
-def _frame() -> Transducer:
-    """Threats of what is to come: "you will burn", "I will burn down their house"; others that aren't aimed become LONE."""
-    arcs = {(s, "FAR"): (s, "LONE") for s in ("start", "you", "me")}
-    for state in ("start", "you", "me", "doom", "vow"):
-        arcs |= {(state, "OBJECT"): ("you", "OBJECT"), (state, "SUBJECT"): ("me", "SUBJECT"), (state, "VOW"): ("vow", "VOW"), (state, "DOOM"): ("doom", "DOOM"), (state, "BUT"): ("start", "BUT")}
-    arcs |= {("you", "FUTURE"): ("doom", "FUTURE"), ("me", "FUTURE"): ("vow", "FUTURE")}
-    arcs |= {("doom", s): ("doom", "THREAT") for s in ("LONE", "FAR")} | {("vow", "FAR"): ("vow", "THREAT")}
-    arcs |= {("doom", "WORD"): ("start", "WORD"), ("doom", "COMMA"): ("start", "COMMA"), ("you", "WORD"): ("start", "WORD"), ("you", "COMMA"): ("start", "COMMA")}
+def _negation() -> Transducer:
+    """A negation weakens what matches after it, up to a contrast or the end of the clause; "no," does not."""
+    arcs: dict[tuple, list[tuple]] = {}
+    for state in ("not", "denied"):
+        arcs |= {(state, s): [("denied", s, NEGATED)] for s in MATCHES}
+        arcs |= {(state, s): [("denied", s, 1.0)] for s in ALPHABET if s not in (*MATCHES, "NOT", "BUT", "COMMA")}
+        arcs[state, "BUT"] = [("start", "BUT", 1.0)]
+    arcs |= {(s, "NOT"): [("not", "NOT", 1.0)] for s in ("start", "not", "denied")}
+    arcs["not", "COMMA"] = [("start", "COMMA", 1.0)]
     return Transducer(arcs)
 
 
-OBJECT, FRAME = _object(), _frame()
-ROLES = dict.fromkeys(FILLERS, "FILLER") | dict.fromkeys(NEGATIONS, "NOT") | dict.fromkeys(CONTRASTS, "BUT") | dict.fromkeys(SUBJECTS, "SUBJECT") | dict.fromkeys(FUTURE, "FUTURE") | dict.fromkeys(OBJECTS, "OBJECT") | dict.fromkeys(OWNERS, "OWNER") | {w + "'ll": "VOW" for w in SUBJECTS} | {"you'll": "DOOM", ",": "COMMA", "i'm": "SUBJECT", "we're": "SUBJECT", "you're": "OBJECT"} | dict.fromkeys(THREATS, "THREAT") | dict.fromkeys('"“”«»', "QUOTE")
-CASCADE = (_negation(), _reported(), _aim())
+def _reported() -> Transducer:
+    arcs = {("start", "SAY"): [("said", "SAY", 1.0)], ("said", "BUT"): [("start", "BUT", 1.0)], ("start", "QUOTE"): [("quote", "QUOTE", 1.0)], ("said", "QUOTE"): [("quote", "QUOTE", 1.0)], ("quote", "QUOTE"): [("start", "QUOTE", 1.0)]}
+    return Transducer(arcs | {(state, s): [(state, s, REPORTED)] for state in ("said", "quote") for s in MATCHES})
+
+
+def _target() -> Transducer:
+    """What is AIMED has a target in its part of the clause: before it, or, while a path owes one, after it."""
+    arcs: dict[tuple, list[tuple]] = {}
+    for state in ("start", "aimed", "owing"):
+        arcs |= {(state, s): [("aimed", s, 1.0)] for s in AT}
+        arcs[state, "AIMED"] = [("aimed" if state == "aimed" else "owing", "AIMED", 1.0)]
+        arcs[state, "BUT"] = [] if state == "owing" else [("start", "BUT", 1.0)]
+    return Transducer(arcs, owing=frozenset({"owing"}))
+
+
+AT = ("YOU", "OBJECT", "OWNER", "DOOM")
+MATCHES = ("INSULT", "AIMED", "HINT", "THREAT", "LONE")
+ALPHABET = ["WORD", "INSULT", "HINT", "THREAT", *AT, "SUBJECT", "FUTURE", "VOW", "FILLER", "NOT", "BUT", "SAY", "QUOTE", "COMMA"]
+KINDS = dict.fromkeys(FILLERS, "FILLER") | dict.fromkeys(TARGETS, "YOU") | dict.fromkeys(NEGATIONS, "NOT") | dict.fromkeys(REPORTS, "SAY") | dict.fromkeys(CONTRASTS, "BUT") | dict.fromkeys(SUBJECTS, "SUBJECT") | dict.fromkeys(FUTURE, "FUTURE") | dict.fromkeys(OBJECTS, "OBJECT") | dict.fromkeys(OWNERS, "OWNER") | {w + "'ll": "VOW" for w in SUBJECTS} | {"you'll": "DOOM", ",": "COMMA", "i'm": "SUBJECT", "we're": "SUBJECT", "you're": "OBJECT"} | dict.fromkeys('"“”«»', "QUOTE")
+
+
+@cache
+def machine() -> Transducer:
+    """The five transducers, composed."""
+    return compose([_insults(), _threats(), _negation(), _reported(), _target()], ALPHABET)
 
 
 class Grammar:
-    """Lexicon: insult words, stems (ending in ``*``) and threats (beginning with ``!``) with their weights."""
+    """Lexicon: insult words, stems (ending in ``*``) and threats (beginning with ``!``) with the weights of their arcs."""
 
     def __init__(self, insults: dict[str, float]):
         self.threats = dict.fromkeys(THREATS, THREAT) | {w[1:]: p for w, p in insults.items() if w.startswith("!")}
         self.words = {w: p for w, p in insults.items() if not w.startswith("!") and not w.endswith("*")}
         self.stems = {w[:-1]: p for w, p in insults.items() if w.endswith("*")}
         self.lengths = sorted({len(w) for w in self.stems})
-        self.kinds = dict.fromkeys(TARGETS, "YOU") | dict.fromkeys(NEGATIONS, "NOT") | dict.fromkeys(REPORTS, "SAY") | dict.fromkeys(CONTRASTS, "BUT") | dict.fromkeys('"“”«»', "QUOTE") | {",": "COMMA"} | dict.fromkeys(THREATS, "THREAT")
         self.scan = ahocorasick.Automaton()
-        for word in {*self.words, *self.stems, *THREATS}:
+        for word in {*self.words, *self.stems, *self.threats}:
             self.scan.add_word(word, len(word))
         self.scan.make_automaton()
 
@@ -152,56 +202,69 @@ class Grammar:
         own = self.words.get(word)
         return max((self.stems.get(word[:n], 0.0) for n in self.lengths), default=0.0) if own is None else own
 
-    def clause(self, text: str) -> list[tuple[str, str, float]]:
-        """(word, class, weight) of the matches of one clause."""
-        words = _TOKEN.findall(text)
-        weights = [self.weight(w) for w in words]
-        symbols = ["INSULT" if p else self.kinds.get(w, "WORD") for w, p in zip(words, weights, strict=True)]
-        if "THREAT" in symbols:
-            roles = [ROLES.get(w.replace("’", "'"), "WORD") for w in words]
-            ends = [*(r in ("WORD", "FILLER") for r in roles[1:]), False]
-            roles = ["OBJECT" if w == "her" and not more else r for w, r, more in zip(words, roles, ends, strict=True)]
-            roles = FRAME(OBJECT(roles[::-1])[::-1])
-            symbols = ["LONE" if s == "THREAT" and r != "THREAT" else s for s, r in zip(symbols, roles, strict=True)]
-        for transducer in CASCADE:
-            symbols = transducer(symbols)
+    def read(self, text: str) -> list[tuple[str, str, float]]:
+        """(word, symbol, weight of its arc) of a clause."""
         out = []
-        for word, p, symbol in zip(words, weights, symbols, strict=True):
-            if symbol == "LONE":
-                out.append((word, symbol, LONE_THREAT))
-            elif symbol.endswith("INSULT") or symbol.endswith("THREAT"):
-                p = p if symbol.endswith("INSULT") else self.threats[word]
-                if "AIMED" in symbol and p >= 0.5 and symbol.endswith("INSULT"):
-                    p = 1 - (1 - p) ** AIMED
-                if "NOT" in symbol:
-                    p *= NEGATED
-                if "SAID" in symbol:
-                    p *= REPORTED
-                out.append((word, symbol, p))
+        for word in _TOKEN.findall(text):
+            p = self.weight(word)
+            if p:
+                out.append((word, "INSULT" if p >= STRONG else "HINT", p))
+            elif word in self.threats:
+                out.append((word, "THREAT", self.threats[word]))
+            else:
+                out.append((word, KINDS.get(word.replace("’", "'"), "WORD"), 0.0))
+        for k, (word, _, _) in enumerate(out):  # "her" is an object where no word follows that she could own
+            if word == "her" and (k + 1 == len(out) or out[k + 1][1] not in ("WORD", "FILLER", "INSULT", "HINT")):
+                out[k] = (word, "OBJECT", 0.0)
         return out
 
-    def clauses(self, text: str | None) -> list[tuple[int, str, str, float]]:
-        """(character position of the clause, word, class, weight) of all matches of a text."""
+    def clause(self, text: str) -> list[tuple[str, str, float, float]]:
+        """(word, symbol, chance, weight of the context) of the matches on the clause's best path.
+
+        A match with chance p adds evidence -log(1 - p); the best path is the one with most evidence.
+        """
+        fsm = machine()
+        paths: dict[tuple, tuple[float, tuple | None]] = {fsm.start: (0.0, None)}
+        for word, symbol, p in self.read(text):
+            new: dict[tuple, tuple[float, tuple | None]] = {}
+            for state, (evidence, found) in paths.items():
+                for to, out, w in fsm(state, symbol):
+                    more, then = evidence, found
+                    if out in MATCHES:
+                        chance = w * (LONE_THREAT if out == "LONE" else 1 - (1 - p) ** AIMED if out == "AIMED" else p)
+                        # Lone threats count once in a text, so they are worth no path.
+                        more, then = evidence + (0.0 if out == "LONE" else -log1p(-min(chance, 0.999999))), (found, (word, out, chance, w))
+                    if to not in new or more > new[to][0]:
+                        new[to] = (more, then)
+            paths = new
+        _, found = max((x for state, x in paths.items() if state not in fsm.owing), key=lambda x: x[0])
+        out = []
+        while found:
+            found, match = found
+            out.append(match)
+        return out[::-1]
+
+    def clauses(self, text: str | None) -> list[tuple[int, str, str, float, float]]:
+        """(character position of the clause, word, symbol, chance, weight of the context) of all matches of a text."""
         if not text:
             return []
-        low, out, done = text.lower(), [], -1
+        low, out, done = text.lower(), [], 0
         for end, n in self.scan.iter(low):
             begin = end - n + 1
             if begin < done or begin and (low[begin - 1].isalnum() or low[begin - 1] == "_"):
                 continue
-            left = max(low.rfind(c, max(0, begin - 400), begin) for c in ".;!?\n|") + 1
-            left = max(left, begin - 400, done, 0)
+            left = max(max(low.rfind(c, done, begin) for c in ".;!?\n|") + 1, done)
             stop = _BREAK.search(low, begin)
-            right = min(stop.start() if stop else len(low), begin + 400)
+            right = stop.start() if stop else len(low)
             out += [(left, *m) for m in self.clause(low[left:right])]
             done = right
         return out
 
     def score(self, text: str | None) -> float:
         rest, lone = 1.0, 0.0
-        for *_, symbol, p in self.clauses(text):
+        for _, _, symbol, p, _ in self.clauses(text):
             if symbol == "LONE":  # counts once, however long the text
-                lone = p
+                lone = max(lone, p)
             else:
                 rest *= 1 - p
         return 1 - rest * (1 - lone)
@@ -219,7 +282,7 @@ def _counted(batches: Batches) -> Batches:
     for batch in batches:
         count: tuple[Counter, Counter] = (Counter(), Counter())
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            count[toxic].update(_features(text) | {f"!{w}" for _, w, symbol, _ in threats.clauses(text) if symbol in ("THREAT", "AIMED-THREAT")})
+            count[toxic].update(_features(text) | {f"!{w}" for _, w, symbol, _, context in threats.clauses(text) if symbol == "THREAT" and context == 1})
         names = list(count[1])
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([count[1][x] for x in names], pa.int64()), pa.array([0] * len(names), pa.int64())], ["feature", "bad", "good"])
         names = list(count[0])
@@ -259,7 +322,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Grammar:
         good_weight = rows.where("toxic = 0").agg(F.first("weight")).first()[0] or 1.0
         counts = rows.mapInArrow(_counted, "feature string, bad long, good long").groupBy("feature").agg(F.sum("bad").alias("bad"), (F.sum("good") * good_weight).alias("good")).persist()
         fixed = {r.feature: (r.bad, r.good) for r in counts.where(F.col("feature").isin([*INSULTS, *(f"!{w}" for w in THREATS)])).collect()}
-        able = counts.where("bad >= 3 AND good <= bad AND NOT startswith(feature, '!')").orderBy(F.desc("bad"), "feature").limit(CANDIDATES).collect()
+        able = counts.where("bad >= 3 AND good <= bad AND NOT startswith(feature, '!')").collect()  # of the bounded sample
         table = {r.feature: (r.bad, r.good) for r in able}
         toxic = rows.where("toxic = 1").select("text").mapInArrow(partial(_present, names=frozenset({*table, *INSULTS})), "found array<string>").collect()
         prior = {w: WEAK if w in MILD else PLAIN for w in INSULTS} | {f"!{w}": THREAT for w in THREATS}
@@ -298,14 +361,14 @@ def _explain(texts: list[set[str]], known: set[str], table: dict[str, tuple[floa
 
 def _scored(batches: Batches, grammar: dict[str, float]) -> Batches:
     grammar = Grammar(grammar)
-    for batch in batches:
+    for batch in slices(batches):
         scores = np.array([grammar.score(t) for t in batch.column("text").to_pylist()], float)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
 
 def _kept(batches: Batches, grammar: dict[str, float]) -> Batches:
     grammar = Grammar(grammar)
-    for batch in batches:
+    for batch in slices(batches):
         yield batch.filter(pa.array([grammar.score(t) < THRESHOLD for t in batch.column("text").to_pylist()], pa.bool_()))
 
 

@@ -206,6 +206,14 @@ def test_shards_split_a_hot_group(spark):
     assert sizes.max() <= 1.05 * sizes.mean()
 
 
+def test_shards_of_rows_without_ids(spark):
+    rows = [(None, "the same text again " * 9)] * 1000 + [(i, f"text {i} " * 20) for i in range(1000)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 8).toPandas()
+    sizes = got.groupby("shard")["size"].sum()
+    assert sizes.max() <= 1.01 * sizes.mean() and sizes.min() >= 0.99 * sizes.mean()
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
+
+
 def test_shards_awkward(awkward, empty):
     check_shards(sharding.shard(awkward, 4).toPandas(), 4, 9)
     assert sharding.shard(empty, 4).count() == 0
@@ -216,6 +224,12 @@ def test_rules_are_ordered_by_rejection_per_cost():
     assert [r.name for r in quality_rules.order(rules, {"a": (1.0, 0.1), "b": (0.1, 0.1), "c": (1.0, 0.0)})] == ["b", "a", "c"]
 
 
+def test_an_empty_rule_costs_about_nothing(docs):
+    rules = [quality_rules.Rule("empty", F.lit(True)), *quality_rules.default_rules()]
+    got = quality_rules.measure(quality_rules.figures(docs).persist(), rules)
+    assert got["empty"][0] < got["upper_case"][0] / 4 and got["empty"][0] < got["letters"][0] / 4 and got["empty"][1] == 0
+
+
 def test_rules_awkward(spark, awkward, empty):
     got = quality_rules.cascade(awkward).toPandas()
     assert len(got) == 9 and not got.kept[got.n_words < 50].any() and got.n_words.max() == 60_000
@@ -246,6 +260,11 @@ def test_url_awkward(spark):
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(pages, [("x.com/en/", "block"), ("com/", "allow")]).collect()}
     assert got == {1: ("", "", None, "allow"), 2: ("", "", None, "allow"), None: ("m.x.com", "/en/1", "x.com/en/", "block")}
     assert url_filter.judge(pages, []).where("verdict = 'allow'").count() == 3
+    assert url_filter.judge(pages.where("false"), [("com/", "allow")]).count() == 0
+    long = "http://m.x.com/en/" + "a" * 200_000
+    again = spark.createDataFrame([(1, long), (1, long), (2, "http://ab.com/q")], "page_id long, url string")
+    got = [(r.page_id, len(r.path), r.rule) for r in url_filter.judge(again, [("ab.com/", "block"), ("x.com/e", "block"), ("com/en/", "allow")]).collect()]
+    assert sorted(got) == [(1, 200_004, "com/en/"), (1, 200_004, "com/en/"), (2, 2, "ab.com/")]
 
 
 def repeated_words(rows, least):
@@ -334,6 +353,50 @@ def test_toxic_clauses():
     assert grammar.score(None) == grammar.score("") == grammar.score("a" * 200_000) == 0
 
 
+def test_the_composed_machine_equals_all_paths():
+    """The best path against an enumeration of every path through the five transducers one after another."""
+    machines = [toxicity._insults(), toxicity._threats(), toxicity._negation(), toxicity._reported(), toxicity._target()]
+    draw = np.random.default_rng(2)
+    words = ["idiot", "mild", "kill", "burn", "you", "him", "their", "they", "i", "we'll", "you'll", "will", "up", "not", "but", "said", '"', ",", "house"]
+    grammar = toxicity.Grammar({"idiot": 0.9, "mild": 0.2})
+
+    def through(read, k):
+        if k == len(machines):
+            yield read, 1.0
+            return
+        todo = [(machines[k].start, (), 1.0)]
+        for symbol in read:
+            todo = [(to, (*out, x), w * v) for state, out, w in todo for to, x, v in machines[k](state, symbol)]
+        for state, out, w in todo:
+            if state not in machines[k].owing:
+                yield from ((found, w * v) for found, v in through(out, k + 1))
+
+    for _ in range(60):
+        text = " ".join(draw.choice(words, int(draw.integers(1, 6))))
+        read = grammar.read(text)
+        kinds = {tuple(x for x in out if x in toxicity.MATCHES) for out, _ in through(tuple(x for _, x, _ in read), 0)}
+        found = tuple(x for _, x, _, _ in grammar.clause(text))
+        assert found in kinds, text
+        chance = {"AIMED": lambda p: 1 - (1 - p) ** 1.5, "LONE": lambda p: 0.0}
+
+        def evidence(out):
+            # One match: its own weight is the path's, so the best is seen directly.
+            return max((1 - chance.get(x, lambda p: p)(p) * w for (_, _, p), x in zip(read, out[0], strict=True) if x in toxicity.MATCHES for w in [out[1]]), default=1.0)
+
+        if sum(x in toxicity.MATCHES for _, x, _ in read) == 1:
+            best = max(1 - evidence(out) for out in through(tuple(x for _, x, _ in read), 0))
+            (_, x, p, _), = grammar.clause(text)
+            assert (0.0 if x == "LONE" else p) == pytest.approx(best), text
+
+
+def test_clauses_are_read_whole():
+    grammar = toxicity.Grammar({"idiot": 0.9})
+    assert grammar.score("she said that " + "word " * 100 + "he is an idiot") < 0.3 <= grammar.score("word " * 100 + "he is an idiot")
+    assert grammar.score("you are not exactly what i would ever call an idiot") < 0.3 <= grammar.score("No, you idiot")
+    aimed = [x for _, x, _, _ in grammar.clause("idiot, you are")]
+    assert aimed == ["AIMED"] and [x for _, x, _, _ in grammar.clause("idiot but you are")] == ["INSULT"]
+
+
 def test_ends_alike_looks_at_the_whole_text():
     at = quality_ranker.FEATURES.index("ends_alike")
     text = " ".join([f"w{chr(97 + k)}{chr(98 + k)}" for k in range(20)] + [f"{k}zz" for k in range(500)]).encode()
@@ -379,7 +442,7 @@ def test_language_on_held_out_documents(spark):
 
 
 def test_forward_sums_all_segmentations():
-    pieces = {b"a": 0, b"b": 1, b"ab": 2, b"ba": 3, b"aba": 4}
+    pieces = language_id.Pieces({b"a": 0, b"b": 1, b"ab": 2, b"ba": 3, b"aba": 4})
     p = np.array([[0.1, 0.2], [0.2, 0.1], [0.3, 0.3], [0.2, 0.1], [0.2, 0.3]])
 
     def brute(word, k):
@@ -392,6 +455,15 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(uses[2], p[2] / (p[2] + p[0] * p[1])) and np.allclose(uses[0], uses[1])
 
 
+def test_only_letters_are_words():
+    assert [language_id.words_of(t) for t in ("²", "½ Ⅷ 12", "été² Ab", None)] == [[], [], ["été", "ab"], []]
+    pieces = language_id.Pieces({b"a": 0, b"b": 1, b" ": 2, b" aaaaaaaaaaaaaaa": 3})
+    p = np.array([[0.5], [0.3], [0.1], [0.1]])
+    got = language_id.Lattice(pieces, [b" " + b"a" * 15, b" " + b"ab" * 5000]).log_p(p)[:, 0]
+    assert np.allclose(got, [np.log(0.1 * 0.5**15 + 0.1), np.log(0.1) + 5000 * np.log(0.15)])
+    assert {x for x in language_id.read_vocabulary() if len(x) > 12}
+
+
 QUESTION = "Then we see that John has 12 apples and Mary gives John 5 apples, so how many apples does John have?"
 
 
@@ -427,6 +499,12 @@ def test_items_dense_in_slots_are_found():
     assert not contains(table, "see the table " + " ".join(str(k) for k in range(100, 140)))
 
 
+def test_short_sentences_that_begin_with_names_are_found():
+    item = "Tom has 3 dogs. Anna has 5 cats. Bob has 7 birds. How many animals do they have?"
+    assert contains(item, "Well. Mary has 4 dogs. Peter has 6 cats. Carl has 9 birds. How many animals do they have?")
+    assert not contains(item, "Mary has 4 dogs. Mary has 6 cats. Mary has 6 birds. They are happy with them.")
+
+
 def test_repeated_windows_do_not_conflict():
     words = " ".join(f"word{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10]}" for k in range(40))
     item = f"{words} 40 percent of the students walk 25 percent of the students cycle home"
