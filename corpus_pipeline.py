@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from oddlens.llm import decontaminate, mixing, ngram_join, sharding, toxicity
 from oddlens.llm.common import settle, table
+from oddlens.llm.quality_rules import words
+
+DUE, RANK = "__due", "__rank"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,9 +33,22 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The filters have passed every document by now, so the mix repeats documents but leaves none out.
     """
     mixed = mixing.mix(docs, weights=(3, 1, 2), budget=1.5, least=1, most=2)
-    twice = settle(mixed.where("taken > size").select("doc_id", "source").distinct())
-    again = docs.join(twice, (docs.doc_id.eqNullSafe(twice.doc_id)) & docs.source.eqNullSafe(twice.source), "left_semi")
-    return docs.union(again)
+    due = F.sum((F.col("taken") > F.col("size")).cast("long")).alias("due")
+    by_key = settle(mixed.groupBy("doc_id", "source").agg(due, F.count("*").alias("n")).where("due > 0"))
+    some = by_key.where("due < n")
+    out = docs.union(docs.join(full := by_key.where("due = n"), _same(docs, full), "left_semi"))
+    if some.isEmpty():
+        return out
+    # Rows that share doc_id and source, and not all are due: of those of one size, as many as are.
+    sizes = settle(mixed.join(some, _same(mixed, some), "left_semi").groupBy("doc_id", "source", "size").agg(due).where("due > 0"))
+    rows = docs.join(sizes, _same(docs, sizes) & (F.size(words(F.coalesce(docs["text"], F.lit("")))) == sizes["size"]))
+    rank = F.row_number().over(Window.partitionBy(docs["doc_id"], docs["source"], sizes["size"]).orderBy(F.xxhash64(docs["text"])))
+    rows = rows.select(*(docs[c] for c in docs.columns), sizes["due"].alias(DUE), rank.alias(RANK))
+    return out.union(rows.where(F.col(RANK) <= F.col(DUE)).select(docs.columns))
+
+
+def _same(a: DataFrame, b: DataFrame) -> Column:
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & a["source"].eqNullSafe(b["source"])
 
 
 def shard_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
