@@ -30,7 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash; forgets everything at ``most`` entries, so its memory is bounded."""
 
-    def __init__(self, most: int = 200_000):
+    def __init__(self, most: int = 100_000):
         super().__init__()
         self.most = most
 
@@ -70,6 +70,14 @@ def byte_rows(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     return batch.column(name).cast(pa.binary()).to_pylist()
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000, most: str = "16m") -> None:
+    """Lower the session's limits of the batches that go to Python: whole texts and sets make rows of many kilobytes."""
+    for key, value, size in (("maxRecordsPerBatch", rows, int), ("maxBytesPerBatch", most, str)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if size is str or int(spark.conf.get(key)) > value:
+            spark.conf.set(key, value)
+
+
 def slices(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in runs of about ``most`` bytes, so what is made of a run stays small however large a batch is."""
     for batch in batches:

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from oddlens.llm.common import Batches, WordHashes, byte_rows, connected_components, discard, list_array, long, membership_map, mix64, settle, slices, windows
+from oddlens.llm.common import Batches, WordHashes, bounded_batches, byte_rows, connected_components, discard, list_array, long, membership_map, mix64, settle, slices, windows
 
 MAPS = 8  # 64-bit words of a parity map
 MAP_NAMES = [f"m{k}" for k in range(MAPS)]
@@ -323,6 +323,7 @@ def _links_of(group: pa.Table, threshold: int, every: bool) -> pa.RecordBatch:
 
 def _described(docs: DataFrame, n: int, threshold: int) -> DataFrame:
     """doc_id, n, id (class), prefix (keys of lists, once for each of ``spread`` classes), counts, m0..: a row for each of ``docs``."""
+    bounded_batches(docs.sparkSession)
     spark, docs = docs.sparkSession, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     top = docs.select("text").mapInArrow(partial(_frequent, n=n), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(FREQUENT).toPandas().sort_values(["n", "gram"])
     grams, rank = top["gram"].to_numpy(np.int64).view(np.uint64), np.arange(1, len(top) + 1)

@@ -337,7 +337,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Grammar:
                 begins |= F.col("feature").startswith(w)
             for r in counts.where(begins & ~F.col("feature").endswith("*")).collect():
                 base = max(lexicon[w + "*"] for w in starts if r.feature.startswith(w))
-                lexicon[r.feature] = min((r.bad + base) / (r.bad + r.good + 1), ALONE if base < ALONE else 1)
+                lexicon[r.feature] = min((r.bad + base) / (r.bad + r.good + 1), ALONE if base < STRONG else 1)
         counts.unpersist()
     finally:
         rows.unpersist()

@@ -549,3 +549,21 @@ def test_pipeline(spark, docs):
     words = lambda df: sum(len(r.text.split()) for r in df.collect())
     assert words(seen["mixing"]) == pytest.approx(1.5 * words(seen["decontamination"]), rel=0.02)
     check_shards(seen["sharding"].toPandas(), 40, seen["mixing"].count())
+
+
+def test_pipeline_awkward(spark, awkward, empty):
+    for at in (awkward, empty):
+        n = at.count()
+        for name, stage in corpus_pipeline.STAGES:
+            columns, at = at.columns, settle(stage(spark, at, SF))
+            assert name == "sharding" or at.columns == columns
+        assert at.count() >= n
+
+
+def test_mixing_repeats_no_more_rows_of_a_shared_id_than_are_due(spark):
+    rows = [(1, f"word{i} " * (10 + i % 3), "a") for i in range(60)] + [(2, "other text here", "b")]
+    docs = settle(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    got = corpus_pipeline.mix_sources(spark, docs, SF)
+    words = F.size(F.split(F.trim("text"), " "))
+    total, most = docs.agg(F.sum(words)).first()[0], got.agg(F.sum(words)).first()[0]
+    assert abs(most - 1.5 * total) <= 5 and got.subtract(docs).count() == 0
