@@ -135,7 +135,7 @@ def smooth(values: np.ndarray, method: str, size: int, sigma: float = 0.0) -> np
     return np.tensordot((np.outer(k, k) / np.outer(k, k).sum()).ravel(), shifts, 1)
 
 
-REGION = "image_id long, region int, x0 int, y0 int, x1 int, y1 int, area long, cx double, cy double, fill_ratio double, aspect_ratio double, score_max double, score_mean double"
+REGION = "image_id long, region int, x0 int, y0 int, x1 int, y1 int, area long, cx double, cy double, fill_ratio double, aspect_ratio double, score_max double, score_mean double, solidity double"
 
 
 def find_regions(values: np.ndarray, mask: np.ndarray) -> list[dict]:
@@ -145,10 +145,93 @@ def find_regions(values: np.ndarray, mask: np.ndarray) -> list[dict]:
         x0, x1, y0, y1 = x.min(), x.max(), y.min(), y.max()
         wide, high = x1 - x0 + 1, y1 - y0 + 1
         v = values[y, x]
-        out.append({"region": k, "x0": x0, "y0": y0, "x1": x1, "y1": y1, "area": len(x), "cx": x.mean(), "cy": y.mean(), "fill_ratio": len(x) / (wide * high), "aspect_ratio": max(wide, high) / min(wide, high), "score_max": round(float(v.max()), 6), "score_mean": round(float(v.mean()), 6)})
+        out.append({"region": k, "x0": x0, "y0": y0, "x1": x1, "y1": y1, "area": len(x), "cx": x.mean(), "cy": y.mean(), "fill_ratio": len(x) / (wide * high), "aspect_ratio": max(wide, high) / min(wide, high), "score_max": round(float(v.max()), 6), "score_mean": round(float(v.mean()), 6), "solidity": len(x) / hull_area(x, y)})
     return out
 
 
+def hull_area(x: np.ndarray, y: np.ndarray) -> float:
+    """Pixels in the convex hull of some pixels, each a unit square: the area of the hull of their corners."""
+    points = sorted({(int(a) + da, int(b) + db) for a, b in zip(x, y, strict=True) for da in (0, 1) for db in (0, 1)})
+
+    def chain(rows):
+        out: list[tuple[int, int]] = []
+        for p in rows:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
+                out.pop()
+            out.append(p)
+        return out[:-1]
+
+    ring = chain(points) + chain(points[::-1])
+    return abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1], strict=True))) / 2
+
+
+def merged(regions: list[dict], gap: int) -> list[dict]:
+    """Regions with those at most ``gap`` apart made one: box and area together, means weighted by area."""
+    out = []
+    for group in merge_near(regions, gap):
+        some = [regions[i] for i in group]
+        area = sum(r["area"] for r in some)
+        x0, y0, x1, y1 = (pick(r[c] for r in some) for c, pick in (("x0", min), ("y0", min), ("x1", max), ("y1", max)))
+        wide, high = x1 - x0 + 1, y1 - y0 + 1
+        mean = {c: sum(r[c] * r["area"] for r in some) / area for c in ("cx", "cy", "score_mean", "solidity")}
+        out.append({**some[0], **mean, "x0": x0, "y0": y0, "x1": x1, "y1": y1, "area": area, "fill_ratio": area / (wide * high), "aspect_ratio": max(wide, high) / min(wide, high), "score_max": max(r["score_max"] for r in some)})
+    return out
+
+
+def scale_box(box: tuple[int, int, int, int], size: tuple[int, int], to: tuple[int, int]) -> tuple[int, int, int, int]:
+    """An inclusive box x0, y0, x1, y1 of a (height, width) image in another one's pixels, at least one pixel, inside it."""
+    (h, w), (high, wide) = size, to
+    x0, x1 = (int(np.floor(box[0] * wide / w)), int(np.ceil((box[2] + 1) * wide / w)) - 1)
+    y0, y1 = (int(np.floor(box[1] * high / h)), int(np.ceil((box[3] + 1) * high / h)) - 1)
+    x0, y0 = min(max(x0, 0), wide - 1), min(max(y0, 0), high - 1)
+    return x0, y0, min(max(x1, x0), wide - 1), min(max(y1, y0), high - 1)
+
+
+def pixel_threshold(pixels: DataFrame | None = None, value: float | None = None, strategy: str = "fixed", quantile: float = 0.999) -> float:
+    """The threshold of a map: ``fixed`` takes ``value``, ``normal_pixel_quantile`` a quantile of normal pixels' scores."""
+    if strategy == "fixed":
+        if value is None:
+            raise ValueError("a fixed threshold needs its value")
+        return float(value)
+    if strategy != "normal_pixel_quantile" or pixels is None:
+        raise ValueError("unknown strategy, or no pixels for it")
+    from oddlens.operators.calibration import normal_pixel_threshold
+
+    return normal_pixel_threshold(pixels, quantile)
+
+
+def grid_of(pdf: pd.DataFrame) -> np.ndarray:
+    values = np.zeros((int(pdf.y.max()) + 1, int(pdf.x.max()) + 1))
+    values[pdf.y.to_numpy(), pdf.x.to_numpy()] = pdf.v.to_numpy()
+    return values
+
+
+def cleaned(pixels: DataFrame, normalize: str = "minmax", percentiles: tuple[float, float] = (1.0, 99.0), sigma: float = 0.0, open_size: int = 0, close_size: int = 0, component_threshold: float | None = None, min_area: int = 0) -> DataFrame:
+    """Maps (image_id, y, x, v) made steadier: scaled (``minmax``, ``percentile`` or ``none``), softened, opened, closed, small components off.
+
+    An image is one group, as in ``defects``.
+    """
+    if normalize not in ("minmax", "percentile", "none") or not 0 <= percentiles[0] < percentiles[1] <= 100:
+        raise ValueError("unknown normalisation or percentiles out of order")
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        values = grid_of(pdf)
+        if normalize != "none":
+            low, high = (values.min(), values.max()) if normalize == "minmax" else np.percentile(values, percentiles)
+            values = np.clip((values - low) / max(high - low, 1e-8), 0, 1)
+        if sigma > 0:
+            values = smooth(values, "gaussian", 2 * max(1, round(4 * sigma)) + 1, sigma)
+        values = morph(morph(values, "open", open_size), "close", close_size)
+        if component_threshold is not None and min_area > 0:
+            labels = label_components(values >= component_threshold)
+            small = (labels > 0) & (np.bincount(labels.ravel())[labels] < min_area)
+            values = np.where(small, 0.0, values)
+        return pdf.assign(v=values[pdf.y.to_numpy(), pdf.x.to_numpy()])[["image_id", "y", "x", "v"]]
+
+    rows = pixels.select(F.col("image_id"), F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col("v").cast("double").alias("v"))
+    return rows.groupBy("image_id").applyInPandas(one, rows.schema)
+
+
 def merge_near(regions: list[dict], gap: int) -> list[list[int]]:
     """Indexes of regions whose boxes are at most ``gap`` apart in both axes, transitively."""
     group = list(range(len(regions)))
@@ -170,29 +253,88 @@ def merge_near(regions: list[dict], gap: int) -> list[list[int]]:
     return list(out.values())
 
 
-def defects(pixels: DataFrame, threshold: float, low: float | None = None, border: int = 0, smoothing: str = "none", smoothing_size: int = 0, open_size: int = 0, close_size: int = 0, min_area: int = 0, fill: bool = False, dilate: int = 0, max_regions: int | None = None) -> DataFrame:
-    """Regions of each image's map: border off, smooth, threshold (or hysteresis), open, close, small ones off, holes filled, dilate, label, sort by score, area.
-
-    An image is one group: its pixels are in one task.
+SORTS = ("score_max", "score_mean", "area")
+
+
+def defects(
+    pixels: DataFrame,
+    threshold: float,
+    low: float | None = None,
+    roi: tuple[float, float, float, float] | None = None,
+    border: int = 0,
+    smoothing: str = "none",
+    smoothing_size: int = 0,
+    open_size: int = 0,
+    close_size: int = 0,
+    min_area: int = 0,
+    fill: bool = False,
+    dilate: int = 0,
+    min_fill: float | None = None,
+    max_aspect: float | None = None,
+    min_solidity: float | None = None,
+    min_score_max: float | None = None,
+    min_score_mean: float | None = None,
+    merge_gap: int = 0,
+    score_quantile: float | None = None,
+    sort_by: str = "score_max",
+    max_regions: int | None = None,
+) -> DataFrame:
+    """Regions of each image's map.
+
+    Border off, smooth, threshold (or hysteresis), open, close, components off that are small or fail a bound on
+    fill, aspect, solidity or score, holes filled, dilate; then the region of interest, label, merge near ones, drop
+    those below the quantile of the image's region scores, sort.
+
+    An image is one group, so its pixels are in one task: cut larger images into ``tiles`` first.
     """
+    if sort_by not in SORTS:
+        raise ValueError(sort_by)
+
+    def fails(r: dict) -> bool:
+        bounds = (("fill_ratio", min_fill, 1), ("solidity", min_solidity, 1), ("score_max", min_score_max, 1), ("score_mean", min_score_mean, 1), ("aspect_ratio", max_aspect, -1))
+        return r["area"] < min_area or any(b is not None and sign * r[c] < sign * b for c, b, sign in bounds)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        values = np.zeros((int(pdf.y.max()) + 1, int(pdf.x.max()) + 1))
-        values[pdf.y.to_numpy(), pdf.x.to_numpy()] = pdf.v.to_numpy()
+        values = grid_of(pdf)
         if border:
             inner = np.zeros_like(values)
             inner[border:-border, border:-border] = values[border:-border, border:-border]
             values = inner
-        seen = smooth(values, smoothing, smoothing_size)
-        mask = hysteresis(seen, low, threshold) if low is not None else seen >= threshold
+        values = smooth(values, smoothing, smoothing_size)
+        mask = hysteresis(values, low, threshold) if low is not None else values >= threshold
         mask = morph(morph(mask, "open", open_size), "close", close_size)
-        if min_area > 1:
-            labels = label_components(mask)
-            mask = mask & (np.bincount(labels.ravel())[labels] >= min_area)
+        labels = label_components(mask)
+        mask = mask & ~np.isin(labels, [r["region"] for r in find_regions(values, mask) if fails(r)])
         mask = fill_holes(mask) if fill else mask
         mask = morph(mask, "dilate", dilate)
-        found = sorted(find_regions(values, mask), key=lambda r: (-r["score_max"], -r["area"], r["y0"], r["x0"]))[:max_regions]
+        if roi is not None:
+            (x0, y0, x1, y1), (h, w) = clamp_roi(roi), mask.shape
+            inside = np.zeros_like(mask)
+            inside[int(np.floor(y0 * h)) : int(np.ceil(y1 * h)), int(np.floor(x0 * w)) : int(np.ceil(x1 * w))] = True
+            mask = mask & inside
+        found = find_regions(values, mask)
+        found = merged(found, merge_gap) if merge_gap > 0 else found
+        if score_quantile is not None and found:
+            least = np.quantile([r["score_max"] for r in found], score_quantile)
+            found = [r for r in found if r["score_max"] >= least]
+        order = lambda r: (-r[sort_by], -r["score_max"], -r["score_mean"], -r["area"], r["y0"], r["x0"], r["y1"], r["x1"])
         names = [c.split()[0] for c in REGION.split(", ")]
-        return pd.DataFrame([{**r, "image_id": int(pdf.image_id.iloc[0]), "region": k + 1} for k, r in enumerate(found)], columns=names)
+        rows = [{**r, "image_id": int(pdf.image_id.iloc[0]), "region": k + 1} for k, r in enumerate(sorted(found, key=order)[:max_regions])]
+        return pd.DataFrame(rows, columns=names)
 
     return pixels.select("image_id", "y", "x", "v").groupBy("image_id").applyInPandas(one, REGION)
+
+
+def cut_tiles(pixels: DataFrame, tiles_: DataFrame) -> DataFrame:
+    """The pixels of each tile (image_id, y0, x0, y, x, v; y and x inside the tile), from a map and the rows of ``tiles``."""
+    inside = (F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1")) & (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1"))
+    return pixels.join(tiles_, "image_id").where(inside).select("image_id", "y0", "x0", (F.col("y") - F.col("y0")).alias("y"), (F.col("x") - F.col("x0")).alias("x"), "v")
+
+
+def hann_weights(tile_pixels: DataFrame, height: int, width: int, floor: float = 1e-3) -> DataFrame:
+    """With ``w``: the product of two raised cosines over the tile, at least ``floor``, for ``stitch(..., "hann")``."""
+
+    def along(c: str, n: int) -> Column:
+        return F.lit(1.0) if n < 2 else 0.5 - 0.5 * F.cos(2 * np.pi * F.col(c) / (n - 1))
+
+    return tile_pixels.withColumn("w", F.greatest(along("y", height) * along("x", width), F.lit(floor)))

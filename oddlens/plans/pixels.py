@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from oddlens.functions import maps
+from oddlens.functions import images, maps
+from oddlens.operators import pixel_maps
 from oddlens.sources.scratch import read
 from oddlens.streaming import watch
 
@@ -56,6 +57,59 @@ def defect_regions(spark, sf_dir):
     return maps.defects(_grid(spark, sf_dir), 0.07, min_area=2).select("image_id", "region", "x0", "y0", "x1", "y1", "area", F.round("score_max", 6).alias("score_max"))
 
 
+def _bytes(spark, sf_dir):
+    """A 16 x 16 map of whole numbers up to 250 for each supplier; a tenth of the suppliers are training images."""
+    lines = read(spark, sf_dir, "lineitem")
+    return lines.groupBy(F.col("l_suppkey").alias("image_id"), (F.col("l_partkey") % _SIDE).cast("int").alias("y"), (F.col("l_quantity") % _SIDE).cast("int").alias("x")).agg((F.max("l_quantity") * 5).cast("int").alias("v"))
+
+
+_B = f"b AS (SELECT l_suppkey AS image_id, (l_partkey % {_SIDE})::INT AS y, (l_quantity % {_SIDE})::INT AS x, (max(l_quantity) * 5)::INT AS v FROM lineitem GROUP BY 1, 2, 3)"
+_FULL = f"{_B}, f AS (SELECT i.image_id, k // {_SIDE} AS y, k % {_SIDE} AS x, coalesce(v, 0) AS v FROM (SELECT image_id, unnest(range(0, {_SIDE * _SIDE})) AS k FROM (SELECT DISTINCT image_id FROM b)) i LEFT JOIN b ON b.image_id = i.image_id AND b.y = k // {_SIDE} AND b.x = k % {_SIDE})"
+
+
+def _pixel_map(detector):
+    def query(spark, sf_dir):
+        rows = _bytes(spark, sf_dir)
+        return _rounded(detector().fit(rows.where("image_id % 2 = 0")).maps(rows), "v")
+
+    return query
+
+
+def _images(spark, sf_dir):
+    return images.images_of(_bytes(spark, sf_dir), _SIDE, _SIDE)
+
+
+def _features(name, **how):
+    def query(spark, sf_dir):
+        found = images.extract(_images(spark, sf_dir), name, **how)
+        return found.select("id", F.posexplode("features").alias("k", "v")).select("id", "k", F.round("v", 7).alias("v"))
+
+    return query
+
+
+def gray_levels(spark, sf_dir):
+    """The colour histogram of images whose three channels are the map."""
+    rows = _images(spark, sf_dir).withColumn("channels", F.lit(3)).withColumn("data", F.flatten(F.transform("data", lambda v: F.array(v, v, v))))
+    found = images.extract(rows, "color_hist", colorspace="rgb", bins=(8, 8, 8))
+    return found.select("id", F.posexplode("features").alias("k", "v")).select("id", "k", F.round("v", 7).alias("v"))
+
+
+def _template_map(kind):
+    def query(spark, sf_dir):
+        rows = _images(spark, sf_dir)
+        return _rounded(pixel_maps.TemplateMap(kind=kind).fit(rows.where("image_id % 2 = 0")).score(rows), "score")
+
+    return query
+
+
+def _corrupted(name):
+    def query(spark, sf_dir):
+        found = images.corrupt(_images(spark, sf_dir), name, 3, 7)
+        return found.select("image_id", F.round(F.aggregate("data", F.lit(0.0), lambda a, v: a + v) / F.size("data"), 6).alias("mean"))
+
+    return query
+
+
 def hourly(spark, sf_dir):
     return _rounded(watch.windowed(read(spark, sf_dir, "events")), "mean", "sd")
 
@@ -65,11 +119,21 @@ def user_sessions(spark, sf_dir):
 
 
 def queries():
-    return {"map_topk_mean": reduce_topk, "map_area": reduce_area, "map_roi_stats": roi_stats, "map_border_mean": border, "tile_coordinates": tile_coordinates, "tile_stitch": stitched, "defect_regions": defect_regions, "events_hourly": hourly, "events_sessions": user_sessions}
+    found = {"pixel_mean_map": _pixel_map(pixel_maps.MeanAbsDiffMap), "pixel_gaussian_map": _pixel_map(pixel_maps.GaussianMap), "pixel_mad_map": _pixel_map(pixel_maps.MADMap)}
+    found |= {kind: _template_map(kind) for kind in pixel_maps.MAPS}
+    found |= {f"feature_{name}": _features(name) for name in images.EXTRACTORS if name not in ("color_hist", "patch_stats", "multi")}
+    found |= {"feature_patch_stats": _features("patch_stats", size=None), "feature_gray_levels": gray_levels}
+    found |= {f"corrupt_{name}": _corrupted(name) for name in images.CORRUPTIONS}
+    return found | {"map_topk_mean": reduce_topk, "map_area": reduce_area, "map_roi_stats": roi_stats, "map_border_mean": border, "tile_coordinates": tile_coordinates, "tile_stitch": stitched, "defect_regions": defect_regions, "events_hourly": hourly, "events_sessions": user_sessions}
 
 
 def oracle_sql():
     return {
+        "pixel_mean_map": f"WITH {_B}, t AS (SELECT y, x, avg(v) AS mu FROM b WHERE image_id % 2 = 0 GROUP BY 1, 2) SELECT image_id, y, x, round(least(abs(v - mu) / 255, 1.0), 9) AS v FROM b JOIN t USING (y, x)",
+        "pixel_gaussian_map": f"WITH {_B}, t AS (SELECT y, x, avg(v) AS mu, coalesce(stddev_samp(v), 0) AS sd FROM b WHERE image_id % 2 = 0 GROUP BY 1, 2) SELECT image_id, y, x, round(abs(v - mu) / (greatest(sd, 1.0) + 1e-6), 9) AS v FROM b JOIN t USING (y, x)",
+        "pixel_mad_map": f"WITH {_B}, m AS (SELECT y, x, median(v) AS med FROM b WHERE image_id % 2 = 0 GROUP BY 1, 2), t AS (SELECT y, x, med, median(abs(v - med)) AS mad FROM b JOIN m USING (y, x) WHERE image_id % 2 = 0 GROUP BY 1, 2, 3) SELECT image_id, y, x, round(0.6745 * abs(v - med) / (greatest(mad, 1.0) + 1e-6), 9) AS v FROM b JOIN t USING (y, x)",
+        "feature_patch_stats": f"WITH {_FULL}, c AS (SELECT image_id AS id, (y // 4 * 4 + x // 4)::INT AS cell, v / 255.0 AS v FROM f), s AS (SELECT id, cell, avg(v) AS mu, greatest(stddev_pop(v), 1e-12) AS sd, stddev_pop(v) AS sd0 FROM c GROUP BY 1, 2), z AS (SELECT id, cell, mu, sd0, avg(((v - mu) / sd) ** 3) AS skew, avg(((v - mu) / sd) ** 4) - 3 AS kurt FROM c JOIN s USING (id, cell) GROUP BY 1, 2, 3, 4) SELECT id, (cell * 4 + k)::INT AS k, round([mu, sd0, skew, kurt][k + 1], 7) AS v FROM z, (VALUES (0), (1), (2), (3)) q(k)",
+        "feature_gray_levels": f"WITH {_FULL}, n AS (SELECT image_id AS id, v // 32 AS bin, count(*) AS n FROM f GROUP BY 1, 2), a AS (SELECT DISTINCT image_id AS id, unnest(range(0, 24)) AS k FROM b) SELECT a.id, k::INT AS k, round(coalesce(n, 0) / (3.0 * {_SIDE * _SIDE}), 7) AS v FROM a LEFT JOIN n ON n.id = a.id AND n.bin = a.k % 8",
         "map_topk_mean": f"WITH {_G} SELECT image_id, round(avg(v), 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY v DESC) AS r, count(*) OVER (PARTITION BY image_id) AS n FROM g) WHERE r <= greatest(1, ceil(n * 0.05)) GROUP BY 1",
         "map_area": f"WITH {_G} SELECT image_id, round(avg((v >= 0.0583)::INT), 9) AS score FROM g GROUP BY 1",
         "map_roi_stats": f"WITH {_G} SELECT image_id, round(max(v), 9) AS roi_max, round(avg(v), 9) AS roi_mean FROM g WHERE x BETWEEN 4 AND 11 AND y BETWEEN 4 AND 11 GROUP BY 1",

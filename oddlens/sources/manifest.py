@@ -58,6 +58,23 @@ def follow_groups(rows: DataFrame, default: str = "train") -> DataFrame:
     return rows.join(lead, ["category", "group_id"], "left").withColumn("assigned_split", F.coalesce("split", "lead", F.lit(default))).drop("lead")
 
 
+def benchmark_split(rows: DataFrame, test_fraction: float = 0.2, seed: int = 0) -> DataFrame:
+    """assigned_split of every record, by group: explicit splits first, then what the group has, then a seeded draw.
+
+    A group with an anomalous record and no split of its own goes to test whole, as a record without a group does by
+    itself; of the normal groups about ``test_fraction`` go to test, by a hash of seed, category and group. A group whose
+    records name different splits raises.
+    """
+    key = F.coalesce(F.concat(F.lit("g:"), "group_id"), F.concat(F.lit("p:"), "image_path"))
+    keyed = rows.withColumn("__key", key)
+    facts = keyed.groupBy("category", "__key").agg(F.min("split").alias("__first"), F.max("split").alias("__last"), F.max("label").alias("__worst"))
+    draw = F.pmod(F.xxhash64(F.lit(seed), "category", "__key"), F.lit(1_000_000)) < int(test_fraction * 1_000_000)
+    chosen = F.when(F.col("__first") != F.col("__last"), F.raise_error(F.concat(F.lit("a group names several splits: "), "__key"))).when(F.col("__first").isNotNull(), F.col("__first"))
+    chosen = chosen.when(F.col("__worst") == 1, "test").when(draw, "test").otherwise("train")
+    out = keyed.join(facts, ["category", "__key"]).withColumn("assigned_split", chosen)
+    return out.select(*rows.columns, "assigned_split")
+
+
 def profile(rows: DataFrame) -> DataFrame:
     return rows.groupBy("category").agg(F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("n_anomalous"), F.count_if(F.col("label") == 0).alias("n_normal"), F.count("mask_path").alias("n_masks"), F.count_distinct("group_id").alias("n_groups"))
 
