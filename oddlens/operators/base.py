@@ -1,18 +1,21 @@
 """The detector contract: fit on (id, features), score as (id, score), higher is more anomalous; thresholds, labels, probabilities.
 
-A detector's ``fit`` keeps what it learned as tables and small arrays, its training scores as a settled table, and
-the threshold as their ``1 - contamination`` percentile. Labels are strict: score > threshold.
+A detector's ``fit`` keeps what it learned as tables and small arrays and its training scores as a settled table. The
+threshold is found when it is first asked for: the ``1 - contamination`` quantile of the training scores, or by
+``threshold_method="pot"`` a generalised Pareto tail's. Labels are strict: score > threshold.
 """
 
 from __future__ import annotations
 
 import math
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from oddlens.functions.ranks import quantile
 from oddlens.sources.scratch import settle
 
 
@@ -28,9 +31,12 @@ def erf(x: Column) -> Column:
 class Detector:
     """Subclasses give ``_fit(train)`` and ``_score(rows)``; those whose training rows score in another way also ``_train_scores``."""
 
-    def __init__(self, contamination: float = 0.1, **params):
+    def __init__(self, contamination: float = 0.1, threshold_method: str = "quantile", **params):
         if not 0 < contamination <= 0.5:
             raise ValueError("contamination must be in (0, 0.5]")
+        if threshold_method not in ("quantile", "pot"):
+            raise ValueError("threshold_method must be quantile or pot")
+        self.threshold_method = threshold_method
         self.contamination, self.params = contamination, {**self.defaults(), **params}
         unknown = params.keys() - self.defaults().keys()
         if unknown:
@@ -60,10 +66,24 @@ class Detector:
         self.n_features = len(first.features)
         self._fit(self.train)
         self.train_scores = settle(self._train_scores(self.train).select("id", F.col("score").cast("double").alias("score")))
-        row = self.train_scores.agg(F.percentile("score", 1 - self.contamination).alias("t"), F.min("score").alias("lo"), F.max("score").alias("hi"), F.avg("score").alias("mu"), F.stddev_pop("score").alias("sd")).first()
-        self.threshold, self.low, self.high, self.mean, self.sd = row.t, row.lo, row.hi, row.mu, row.sd
+        for name in ("threshold", "_facts"):
+            self.__dict__.pop(name, None)
         return self
 
+    @cached_property
+    def threshold(self) -> float:
+        if self.threshold_method == "pot":
+            from oddlens.operators.calibration import pot_threshold
+
+            return pot_threshold(self.train_scores, self.contamination)[0]
+        return quantile(self.train_scores, "score", 1 - self.contamination)
+
+    @cached_property
+    def _facts(self) -> Row:
+        return self.train_scores.agg(F.min("score").alias("low"), F.max("score").alias("high"), F.avg("score").alias("mean"), F.stddev_pop("score").alias("sd")).first()
+
+    low, high, mean, sd = (property(lambda self, name=name: self._facts[name]) for name in ("low", "high", "mean", "sd"))
+
     def decision_function(self, rows: DataFrame) -> DataFrame:
         return self._score(rows.select("id", F.col("features").cast("array<double>").alias("features"))).select("id", F.col("score").cast("double").alias("score"))
 

@@ -7,7 +7,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from oddlens.operators.marginal import running_counts
+from oddlens.functions import ranks
+from oddlens.functions.ranks import quantile, running_counts
 from oddlens.operators.metrics import best_threshold
 from oddlens.sources.scratch import settle
 
@@ -16,11 +17,11 @@ def quantile_threshold(scores: DataFrame, contamination: float) -> float:
     """The ``1 - contamination`` quantile, interpolated."""
     if not 0 < contamination < 0.5:
         raise ValueError("contamination must be in (0, 0.5)")
-    return scores.agg(F.percentile("score", 1 - contamination)).first()[0]
+    return quantile(scores, "score", 1 - contamination)
 
 
 def score_threshold(scores: DataFrame, quantile: float = 0.995) -> float:
-    return scores.agg(F.percentile("score", quantile)).first()[0]
+    return ranks.quantile(scores, "score", quantile)
 
 
 def fewshot_threshold(normal: DataFrame, anomalous: DataFrame, objective: str = "f1") -> float:
@@ -41,28 +42,20 @@ def normal_pixel_threshold(pixels: DataFrame, q: float = 0.999) -> float:
     """Quantile of the scores of background pixels (all pixels if there is no ``label``); NaN counts as lowest."""
     normal = pixels.where("label = 0") if "label" in pixels.columns else pixels
     clean = F.when(F.isnan("score"), F.lit(float("-inf"))).otherwise(F.col("score"))
-    return normal.agg(F.percentile(clean, q)).first()[0]
-
-
-def segf1_threshold(pixels: DataFrame, candidates: int = 512) -> float:
-    """The threshold (``score >= t``) with the best F1; of equal ones the highest. Candidates: the distinct scores, or as many quantiles."""
-    distinct = pixels.select("score").distinct()
-    if distinct.limit(candidates + 1).count() > candidates:
-        grid = F.array(*(F.lit(i / (candidates - 1)) for i in range(candidates)))
-        cuts = sorted(set(pixels.agg(F.percentile("score", grid)).first()[0]))
-    else:
-        cuts = sorted(r.score for r in distinct.collect())
-    # Each pixel counts for the highest candidate that it reaches; sums from the top give every candidate's counts.
-    at = F.size(F.filter(F.array(*(F.lit(float(c)) for c in cuts)), lambda t: t <= F.col("score"))) - 1
-    by = {r["at"]: (r.pos, r.n) for r in pixels.groupBy(at.alias("at")).agg(F.sum("label").alias("pos"), F.count("*").alias("n")).collect()}
-    positives, best = sum(p for p, _ in by.values()), (-1.0, float("nan"))
-    tp = n = 0
-    for k in range(len(cuts) - 1, -1, -1):
-        tp, n = tp + by.get(k, (0, 0))[0], n + by.get(k, (0, 0))[1]
-        f1 = 2 * tp / (n + positives) if n + positives else 0.0
-        if f1 > best[0]:
-            best = (f1, cuts[k])
-    return best[1]
+    return quantile(normal, clean, q)
+
+
+def segf1_threshold(pixels: DataFrame) -> float:
+    """The threshold (``score >= t``) with the best F1 among the distinct scores; of equal ones the highest."""
+    counts = pixels.groupBy(F.lit(0).alias("j"), F.col("score").alias("v")).agg(F.count("*").alias("n"))
+    positive = pixels.groupBy(F.col("score").alias("v")).agg(F.sum("label").alias("pos"))
+    facts = pixels.agg(F.count("*").alias("total"), F.sum("label").alias("positives")).first()
+    if not facts.total:
+        return float("nan")
+    tp = running_counts(counts.join(positive, "v").select("j", "v", F.col("pos").alias("n"))).select("v", (facts.positives - F.col("upto") + F.col("n")).alias("tp"))
+    at = running_counts(counts).select("v", (facts.total - F.col("upto") + F.col("n")).alias("found")).join(tp, "v")
+    f1 = 2 * F.col("tp") / (F.col("found") + facts.positives)
+    return at.agg(F.max_by("v", F.struct(f1, "v"))).first()[0]
 
 
 def pot_threshold(scores: DataFrame, alpha: float, tail: float = 0.1, least: int = 20, eps: float = 1e-12) -> tuple[float, str]:
@@ -70,10 +63,10 @@ def pot_threshold(scores: DataFrame, alpha: float, tail: float = 0.1, least: int
 
     Falls back to the plain quantile with fewer than ``least`` exceedances. Only moments reach the driver.
     """
-    start = scores.agg(F.percentile("score", 1 - tail)).first()[0]
+    start = quantile(scores, "score", 1 - tail)
     over = scores.where(F.col("score") > start).select((F.col("score") - start).alias("x")).agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.var_samp("x").alias("var")).first()
     if over.n < least or not over.var or over.var <= eps or alpha >= tail:
-        return scores.agg(F.percentile("score", 1 - alpha)).first()[0], "quantile_fallback"
+        return quantile(scores, "score", 1 - alpha), "quantile_fallback"
     shape = 0.5 * (1 - over.mean**2 / over.var)
     scale = 0.5 * over.mean * (over.mean**2 / over.var + 1)
     ratio = tail / alpha
@@ -137,8 +130,8 @@ class ScoreStandardizer:
         elif self.method == "zscore":
             self.shift, self.scale = scores.agg(F.avg("score"), F.stddev_pop("score")).first()
         elif self.method == "robust":
-            self.shift = scores.agg(F.percentile("score", 0.5)).first()[0]
-            self.scale = scores.agg(F.percentile(F.abs(F.col("score") - self.shift), 0.5)).first()[0]
+            self.shift = quantile(scores, "score", 0.5)
+            self.scale = quantile(scores, F.abs(F.col("score") - self.shift), 0.5)
         elif self.method == "minmax":
             self.shift, high = scores.agg(F.min("score"), F.max("score")).first()
             self.scale = high - self.shift

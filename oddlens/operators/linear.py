@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from oddlens.functions.ranks import quantile
 from oddlens.functions.vectors import unit
 from oddlens.operators.base import Detector, matrix
 from oddlens.operators.registry import register_model
@@ -45,7 +46,11 @@ def moments(rows: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
 
 def sample(rows: DataFrame, most: int = SAMPLE, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(ids, features) of all rows, or of the ``most`` with the smallest seeded hash."""
-    got = rows.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(most)
+    hashed, n = F.xxhash64("id", F.lit(seed)), rows.count()
+    if n > 4 * most:  # about twice as many as are wanted reach the sort; some more, should that ever be too few
+        part = rows.where(F.pmod(hashed, F.lit(1 << 30)) < int((1 << 30) * 2 * most / n) + 1)
+        rows = part if part.count() >= most else rows
+    got = rows.orderBy(hashed, "id").limit(most)
     return matrix(got, most)
 
 
@@ -288,8 +293,8 @@ class StudentizedResidual(_Components):
     def _fit(self, train):
         self._components(train, True, self.n_components)
         lengths = settle(self._lengths(train))
-        self.med = lengths.agg(F.percentile("score", 0.5)).first()[0]
-        self.mad = max(lengths.agg(F.percentile(F.abs(F.col("score") - self.med), 0.5)).first()[0], self.eps)
+        self.med = quantile(lengths, "score", 0.5)
+        self.mad = max(quantile(lengths, F.abs(F.col("score") - self.med), 0.5), self.eps)
 
     def _lengths(self, rows):
         return mapped(rows, partial(_residual, centre=self.centre, scale=self.scale, axes=self.axes))
@@ -417,7 +422,7 @@ def _assigned(batches, centres):
 def k_means(train: DataFrame, k: int, seed: int, rounds: int, tol: float) -> tuple[np.ndarray, np.ndarray]:
     """Centres and sizes: started on a seeded sample, then Lloyd passes over all rows until they stay."""
     centres = lloyd(sample(train, seed=seed)[1], k, seed)
-    for _ in range(min(rounds, 20)):
+    for _ in range(rounds):
         n, s = np.zeros(len(centres)), np.zeros_like(centres)
         for r in train.select("features").mapInPandas(partial(_assigned, centres=centres), "n array<double>, s array<double>").toLocalIterator():
             n, s = n + np.array(r.n), s + np.array(r.s).reshape(centres.shape)

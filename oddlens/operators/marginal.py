@@ -1,38 +1,32 @@
 """Detectors that look at each feature by itself: empirical tails, histograms, robust z-scores, distance to the mean.
 
-Tails come from running counts of distinct values. These are range-partitioned by (feature, value): every partition
-counts its own part and gets the total before it from a table of one row for each partition and feature, so no
-feature passes through a single task.
+Tails and medians come from running counts of distinct values. These are range-partitioned by (feature, value): every
+partition counts its own part and gets the total before it from a table of one row for each partition and feature, so
+no feature passes through a single task.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from oddlens.functions.ranks import quantiles_by, running_counts
 from oddlens.functions.vectors import constants, melt, row_distance, total
 from oddlens.operators.base import Detector
 from oddlens.operators.registry import register_model
 from oddlens.sources.scratch import settle
 
 
-def running_counts(values: DataFrame) -> DataFrame:
-    """(j, v, n) with a row for each distinct value -> also ``upto``, the sum of n over all values up to v of that j."""
-    parts = settle(values.repartitionByRange("j", "v").withColumn("part", F.spark_partition_id()))
-    sums = parts.groupBy("j", "part").agg(F.sum("n").alias("held"))
-    before = F.sum("held").over(Window.partitionBy("j").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sums.select("j", "part", F.coalesce(before, F.lit(0)).alias("start"))
-    inside = F.sum("n").over(Window.partitionBy("j", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    return parts.withColumn("inside", inside).join(starts, ["j", "part"]).select("j", "v", "n", (F.col("start") + F.col("inside")).alias("upto"))
-
-
 def skewness_sign(moments: Column) -> Column:
     """Sign of the population skewness, 0 for a constant feature or one that is symmetric but for rounding."""
     return F.when(moments.isNull() | F.isnan(moments) | (F.abs(moments) < 1e-12), 0).otherwise(F.signum(moments))
 
 
+FEW = 2000  # distinct values of a feature up to which its tails are broadcast (training values; asked ones are joined by them)
+
+
 class _Tails(Detector):
     @classmethod
     def defaults(cls):
@@ -46,14 +40,28 @@ class _Tails(Detector):
     def _combine(self, left: Column, right: Column, sign: Column) -> Column:
         raise NotImplementedError
 
+    def _train_scores(self, train):
+        return self._by_tails(melt(train), self.counts)
+
     def _score(self, rows):
         long = melt(rows)
         asked = long.select("j", "v", F.lit(0).cast("long").alias("n")).distinct()
-        upto = running_counts(self.counts.union(asked).groupBy("j", "v").agg(F.sum("n").alias("n")))
+        return self._by_tails(long, self.counts.union(asked).groupBy("j", "v").agg(F.sum("n").alias("n")))
+
+    def _by_tails(self, long, counts):
+        upto = running_counts(counts)
         floor = lambda p: F.greatest(p, F.lit(self.eps))
         left = -F.log(floor(F.col("upto") / F.col("total")))
         right = -F.log(floor((F.col("total") - F.col("upto") + F.col("n")) / F.col("total")))
         by_value = upto.join(F.broadcast(self.facts), "j").select("j", "v", self._combine(left, right, F.col("sign")).alias("part"))
+        # Values of features that have few of them are hot keys, so these are joined by broadcast.
+        sizes = {r.j: r.n for r in self.counts.groupBy("j").agg(F.count("*").alias("n")).collect()}
+        few = [j for j, n in sizes.items() if n <= FEW]
+        if few:
+            by_value = settle(by_value)
+            hot = long.where(F.col("j").isin(few)).join(F.broadcast(by_value.where(F.col("j").isin(few))), ["j", "v"], "left")
+            rest = long.where(~F.col("j").isin(few)).join(by_value.where(~F.col("j").isin(few)), ["j", "v"])
+            return hot.select("id", F.col("part")).union(rest.select("id", "part")).groupBy("id").agg(F.sum("part").alias("score"))
         return long.join(by_value, ["j", "v"]).groupBy("id").agg(F.sum("part").alias("score"))
 
 
@@ -112,10 +120,9 @@ class _RobustZ(Detector):
 
     def _fit(self, train):
         long = melt(train)
-        self.medians = [r.med for r in sorted(long.groupBy("j").agg(F.percentile("v", 0.5).alias("med")).collect())]
+        self.medians = [v[0] for _, v in sorted(quantiles_by(long, [0.5]).items())]
         off = F.abs(F.col("v") - F.get(constants(self.medians), F.col("j")))
-        spread = long.groupBy("j").agg(F.percentile(off, 0.5).alias("mad")).collect()
-        self.spreads = [max(r.mad, self.eps) for r in sorted(spread)]
+        self.spreads = [max(v[0], self.eps) for _, v in sorted(quantiles_by(long.select("j", off.alias("v")), [0.5]).items())]
 
     def _score(self, rows):
         k = 0.6745 if self.consistency_correction else 1.0

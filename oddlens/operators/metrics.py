@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from oddlens.functions.ranks import quantiles
 from oddlens.sources.scratch import settle
 
 
@@ -98,8 +99,8 @@ def pro(pixels: DataFrame, limit: float = 0.3, steps: int = 200) -> DataFrame:
     """
     normal = pixels.where("region = 0")
     rates = [limit * i / (steps - 1) for i in range(steps)]
-    cuts = normal.agg(F.percentile("score", F.array(*(F.lit(1 - r) for r in rates))).alias("t")).select(F.posexplode("t").alias("step", "t")).collect()
-    grid = F.array(*(F.lit(float(r.t)) for r in sorted(cuts)))
+    cuts = quantiles(normal, "score", [1 - r for r in rates])
+    grid = F.array(*(F.lit(None).cast("double") if t is None else F.lit(float(t)) for t in cuts))
     sizes = pixels.where("region > 0").groupBy("image_id", "region").agg(F.count("*").alias("size"))
     hit = pixels.where("region > 0").select("image_id", "region", F.explode(F.filter(F.transform(grid, lambda t, i: F.when(F.col("score") >= t, i)), lambda x: x.isNotNull())).alias("step"))
     recall = hit.groupBy("image_id", "region", "step").agg(F.count("*").alias("n")).join(sizes, ["image_id", "region"])

@@ -15,18 +15,23 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from oddlens.functions.ranks import quantile
 from oddlens.functions.vectors import melt, unit
 from oddlens.operators.base import Detector, erf
 from oddlens.operators.registry import register_model
 from oddlens.sources.scratch import settle
 
 BANK_BYTES = 64 << 20
+PART_BYTES = 16 << 20  # differences that a task holds at once
 _STEP = 64  # rows that a task compares at once
 
 
 def distances(x: np.ndarray, bank: np.ndarray, metric: str = "minkowski", p: float = 2) -> np.ndarray:
     if metric == "cosine":
         return 1 - x @ bank.T
+    step = max(1, PART_BYTES // (8 * max(1, x.size)))  # of the bank at once, so the differences stay in bounds
+    if len(bank) > step:
+        return np.concatenate([distances(x, bank[k : k + step], metric, p) for k in range(0, len(bank), step)], 1)
     difference = np.abs(x[:, None, :] - bank[None])
     if metric == "euclidean" or p == 2:
         return np.sqrt((difference**2).sum(-1))
@@ -55,9 +60,13 @@ def _search(batches, bank, k: int, metric: str, p: float, alone: bool):
         yield pd.concat(out) if out else pd.DataFrame({"id": [], "other": [], "d": []}).astype({"id": "int64", "other": "int64", "d": "float64"})
 
 
+def bank_rows(n_features: int) -> int:
+    return max(1, BANK_BYTES // (8 * max(1, n_features)))
+
+
 def blocks(bank: DataFrame, n_features: int):
     """The bank (id, features) in pieces of at most BANK_BYTES as (ids, rows), sorted by id."""
-    size = max(1, BANK_BYTES // (8 * max(1, n_features)))
+    size = bank_rows(n_features)
     ids, rows = [], []
     for r in bank.orderBy("id").toLocalIterator():
         ids.append(r.id)
@@ -71,12 +80,15 @@ def blocks(bank: DataFrame, n_features: int):
 
 def nearest(rows: DataFrame, bank: DataFrame, k: int, n_features: int, alone: bool, metric: str = "minkowski", p: float = 2) -> DataFrame:
     """(id, rank from 1, other, d): the k nearest bank rows of each row; ``alone``: a row isn't its own neighbour."""
-    schema, found, many = f"id {rows.schema['id'].dataType.simpleString()}, other {bank.schema['id'].dataType.simpleString()}, d double", None, 0
+    schema, found = f"id {rows.schema['id'].dataType.simpleString()}, other {bank.schema['id'].dataType.simpleString()}, d double", None
     spread = rows.repartition(max(rows.rdd.getNumPartitions(), rows.sparkSession.sparkContext.defaultParallelism))
     for block in blocks(bank, n_features):
         sent = rows.sparkSession.sparkContext.broadcast(block)
         part = spread.mapInPandas(partial(_search, bank=sent, k=k, metric=metric, p=p, alone=alone), schema)
-        found, many = part if found is None else found.union(part), many + 1
+        if len(block[0]) >= bank_rows(n_features):  # another may follow: this one's edges are written and its block let go
+            part = settle(part)
+            sent.unpersist()
+        found = part if found is None else found.union(part)
     order = Window.partitionBy("id").orderBy("d", "other")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("id", "rank", "other", "d")
 
@@ -437,7 +449,7 @@ class KNNDegree(Neighbours):
 
     def _learn(self):
         last = self.edges.groupBy("id").agg(F.max("d").alias("d"))
-        self.radius = last.agg(F.percentile("d", self.radius_quantile)).first()[0] or 0.0
+        self.radius = quantile(last, "d", self.radius_quantile) or 0.0
 
     def _degrees(self, rows, alone):
         return within(rows, self.bank, self.n_features, self.radius, alone, self.metric, self.p).select("id", (1 / (F.col("n") - F.col("zero") + 1)).alias("score"))
