@@ -42,11 +42,12 @@ from oddlens.llm.common import Batches, WordHashes, bounded_batches, byte_rows,
 MAPS = 8  # 64-bit words of a parity map
 MAP_NAMES = [f"m{k}" for k in range(MAPS)]
 BLOCK = 2048  # sets of a list or group that meet in one task: at most about twice as many
-GRAMS = 500_000  # their elements: as well
+GRAMS = 2_000_000  # their elements: as well
 STEPS = 32  # entries of lists that are compared in one sweep; longer lists go by blocks
+SENT = 4_000_000  # elements, or rows, up to which a small side is broadcast; it is shuffled beyond
 PIVOTS = 16  # sets of a block whose distances from the others are remembered
 ROUNDS = 3  # pivots that a group larger than a block meets first
-LONG = 1500  # elements from which a set also has counts
+LONG = 700  # elements from which a set also has counts: there the parity map no longer tells sets apart
 TAG = "__class_of_text"
 FREQUENT = 50_000  # n-grams known as frequent, at most: a bound for the broadcast, not for the result
 
@@ -381,14 +382,15 @@ def _possible(reps: DataFrame, threshold: int) -> DataFrame:
 def _met_pivots(large: DataFrame, threshold: int) -> DataFrame:
     """Links (a, b) of the sets of ``large`` groups (component, id, n, grams) with ROUNDS pivots of their group.
 
-    A pivot is a set that none before it is linked with; one row for each group is joined to the group's rows, a join
-    that is broadcast while it is small and whose hot groups AQE splits beyond.
+    A pivot is a set that none before it is linked with; one row for each group is joined to the group's rows, by
+    broadcast up to SENT elements and by a join whose hot groups AQE splits beyond.
     """
     links = None
     for _ in range(ROUNDS):
         open_ = large.select("component", "id") if links is None else large.select("component", "id").join(links.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_anti")
         pivot = settle(open_.groupBy("component").agg(F.min_by("id", F.xxhash64("id")).alias("id")))
-        sets = pivot.join(large, ["component", "id"]).select("component", F.col("id").alias("pivot"), F.col("n").alias("m"), F.col("grams").alias("others"))
+        sets = settle(pivot.join(large, ["component", "id"]).select("component", F.col("id").alias("pivot"), F.col("n").alias("m"), F.col("grams").alias("others")))
+        sets = F.broadcast(sets) if (sets.agg(F.sum("m")).first()[0] or 0) <= SENT else sets
         common = F.size(F.array_intersect("grams", "others"))
         met = large.join(sets, "component").where(F.least("n", "m") * 100 >= F.greatest("n", "m") * threshold).where(common * (100 + threshold) >= (F.col("n") + F.col("m")) * threshold)
         found = met.select(F.col("pivot").alias("a"), F.col("id").alias("b"))  # the pivot with itself too, so it is taken
@@ -402,6 +404,7 @@ def _open_pairs(large: DataFrame, met: DataFrame) -> DataFrame:
     The most common label of a group is side 0; its rows meet the others, side 1, and these meet one another too.
     """
     label = connected_components(met).toDF("id", "label")
+    label = F.broadcast(label) if label.count() <= SENT else label
     rows = large.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
     sizes = settle(rows.groupBy("component", "label").agg(F.count("*").alias("rows"), F.sum("n").alias("grams")))
     blocks = F.greatest(F.ceil(F.sum("rows") / BLOCK), F.ceil(F.sum("grams") / GRAMS)).cast("int")
@@ -436,7 +439,7 @@ def _all_links(reps: DataFrame, docs: DataFrame, n: int, threshold: int, every:
         if every:
             dealt = dealt.union(_in_blocks(large, "component", F.col("blocks")).select(*plain))
         else:
-            large = settle(large.drop("blocks"))
+            large = large.drop("blocks")
             links = settle(_met_pivots(large, threshold))
             dealt = dealt.union(_open_pairs(large, links).select(columns))
     dealt = dealt.repartition("group").sortWithinPartitions("group", "id")
