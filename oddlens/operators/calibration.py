@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from oddlens.functions import ranks
@@ -146,6 +146,12 @@ class ScoreStandardizer:
         return scores.withColumn("score", F.least(F.greatest(out, F.lit(0.0)), F.lit(1.0)) if self.method == "minmax" else out)
 
 
+def significant(score: Column, digits: int = 12) -> Column:
+    """Scores to some significant digits, so that sums taken in another order don't tell equal scores apart."""
+    scale = F.pow(F.lit(10.0), digits - 1 - F.floor(F.log10(F.abs(score))))
+    return F.when((score == 0) | F.isnan(score) | (F.abs(score) == float("inf")), score).otherwise(F.rint(score * scale) / scale)
+
+
 def stable_ranks(scores: DataFrame) -> DataFrame:
     """(id, score): rank from 0 to 1 by (score, id), each row its own rank."""
     parts = settle(scores.repartitionByRange("score", "id").withColumn("part", F.spark_partition_id()))

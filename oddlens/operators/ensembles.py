@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from oddlens.operators.base import Detector
-from oddlens.operators.calibration import ScoreStandardizer, combine
+from oddlens.operators.calibration import ScoreStandardizer, combine, significant
 from oddlens.operators.neighbours import nearest
 from oddlens.operators.registry import create_model, register_model
 from oddlens.sources.scratch import settle
@@ -38,7 +38,10 @@ class _Members(Detector):
 
 @register_model("core_score_ensemble", "classical", "core", "ensemble")
 class ScoreEnsemble(_Members):
-    """Ranks or scores of several detectors, combined over the scored batch; labels are score >= threshold."""
+    """Ranks or scores of several detectors, combined over the scored batch; labels are score >= threshold.
+
+    Scores are taken to 12 digits: ranks of equal scores go by id, not by the order in which tasks added them up.
+    """
 
     @classmethod
     def defaults(cls):
@@ -48,6 +51,7 @@ class ScoreEnsemble(_Members):
         return list(self.detectors)
 
     def _joined(self, scores):
+        scores = [x.select("id", significant(F.col("score")).alias("score")) for x in scores]
         return combine(scores, self.combine, self.weights, self.trim_fraction)
 
     def predict(self, rows):

@@ -485,10 +485,10 @@ class CBLOF(Detector):
 
     @classmethod
     def defaults(cls):
-        return {"n_clusters": 8, "alpha": 0.9, "beta": 5, "use_weights": False, "random_state": 0}
+        return {"n_clusters": 8, "alpha": 0.9, "beta": 5, "use_weights": False, "random_state": 0, "max_iter": 300, "tol": 1e-4}
 
     def _fit(self, train):
-        self.centres, self.sizes = k_means(train, self.n_clusters, self.random_state or 0, 20, 1e-4)
+        self.centres, self.sizes = k_means(train, self.n_clusters, self.random_state or 0, self.max_iter, self.tol)
         order = np.argsort(-self.sizes, kind="stable")
         by_size = self.sizes[order]
         mass = np.cumsum(by_size) >= self.alpha * by_size.sum()

@@ -98,6 +98,31 @@ f AS (SELECT avg(x) AS mx, avg(y) AS my, var_samp(x) + 1e-6 AS a, var_samp(y) +
 SELECT id, round((d * (x - mx) ** 2 - 2 * b * (x - mx) * (y - my) + a * (y - my) ** 2) / (a * d - b * b), 6) AS score FROM p, f"""
 
 
+_PAIRED = "p AS (SELECT p_partkey AS id, p_size::DOUBLE AS x, p_retailprice AS y FROM part), f AS (SELECT count(*) AS n, avg(x) AS mx, avg(y) AS my, coalesce(nullif(stddev_pop(x), 0), 1) AS sx, coalesce(nullif(stddev_pop(y), 0), 1) AS sy FROM p), z AS (SELECT id, (x - mx) / sx AS x, (y - my) / sy AS y FROM p, f)"
+
+_SHRUNK = """WITH p AS (SELECT p_partkey AS id, p_size::DOUBLE AS x, p_retailprice AS y FROM part), c AS (SELECT id, x - (SELECT avg(x) FROM p) AS x, y - (SELECT avg(y) FROM p) AS y FROM p),
+m AS (SELECT count(*) AS n, avg(x * x) AS a, avg(y * y) AS d, avg(x * y) AS b, avg((x * x + y * y) ** 2) AS fourth FROM c),
+t AS (SELECT *, (a + d) / 2 AS mu, a * a + d * d + 2 * b * b AS spread FROM m), g AS (SELECT *, (fourth - spread) / (2 * n) AS beta, (spread - 2 * mu * (a + d) + 2 * mu * mu) / 2 AS delta FROM t),
+k AS (SELECT *, CASE WHEN delta = 0 THEN 0 ELSE least(beta, delta) / delta END AS part FROM g), s AS (SELECT (1 - part) * a + part * mu AS a, (1 - part) * d + part * mu AS d, (1 - part) * b AS b FROM k)
+SELECT id, round((d * x * x - 2 * b * x * y + a * y * y) / (a * d - b * b), 6) AS score FROM c, s"""
+
+_KDE_RATIO = f"""WITH {_PAIRED}, s AS (SELECT a.id, ln(sum(exp(-0.5 * ((a.x - b.x) ** 2 + (a.y - b.y) ** 2)))) AS wide, ln(sum(exp(-0.5 * ((a.x - b.x) ** 2 + (a.y - b.y) ** 2) / 0.04))) - 2 * ln(0.2) AS near FROM z a, z b GROUP BY a.id)
+SELECT id, round(greatest(wide - near, 0), 6) AS score FROM s"""
+
+_DBSCAN = f"""WITH {_PAIRED}, d AS (SELECT a.id, b.id AS other, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM z a, z b), c AS (SELECT id FROM d WHERE d <= 0.5 GROUP BY id HAVING count(*) >= 5),
+n AS (SELECT d.id, min(d) FILTER (c.id IS NOT NULL) AS near FROM d LEFT JOIN c ON c.id = d.other GROUP BY d.id) SELECT id, round(CASE WHEN near IS NULL THEN 1 WHEN near > 0.5 THEN near + 0.5 ELSE near END, 6) AS score FROM n"""
+
+_QMCD = """WITH p AS (SELECT p_partkey AS id, p_size::DOUBLE AS x, p_retailprice AS y FROM part), r AS (SELECT count(*) AS n, min(x) AS lx, greatest(max(x) - min(x), 1e-300) AS sx, min(y) AS ly, greatest(max(y) - min(y), 1e-300) AS sy FROM p), u AS (SELECT id, (x - lx) / sx AS x, (y - ly) / sy AS y FROM p, r),
+q AS (SELECT a.id, sum((1.5 - abs(a.x - b.x) * (1 - abs(a.x - b.x))) * (1.5 - abs(a.y - b.y) * (1 - abs(a.y - b.y)))) / count(*) - 16.0 / 9 AS s FROM u a, u b GROUP BY a.id),
+m AS (SELECT avg(s) AS mu, var_pop(s) AS var, max(s) + min(s) AS edge FROM q), t AS (SELECT edge, avg((s - mu) ** 3) < 0 OR avg((s - mu) ** 4) / any_value(var) ** 2 < 3 AS turn FROM q, m GROUP BY edge)
+SELECT id, round(CASE WHEN turn THEN edge - s ELSE s END, 6) AS score FROM q, t"""
+
+_DIGITS = "CASE WHEN score = 0 THEN 0 ELSE round(score * pow(10, 11 - floor(log10(abs(score))))) / pow(10, 11 - floor(log10(abs(score)))) END"
+
+_ENSEMBLE = f"""WITH mad AS ({_robust("max(z)", 15)}), hbos AS ({_HBOS.replace(", 6)", ", 15)")}), dtc AS ({_DTC.replace(", 6)", ", 15)")}), a AS (SELECT 0 AS k, * FROM mad UNION ALL SELECT 1, * FROM hbos UNION ALL SELECT 2, * FROM dtc),
+m AS (SELECT k, id, {_DIGITS} AS score FROM a), r AS (SELECT id, (row_number() OVER (PARTITION BY k ORDER BY score, id) - 1) / (count(*) OVER (PARTITION BY k) - 1) AS s FROM m) SELECT id, round(avg(s), 6) AS score FROM r GROUP BY id"""
+
+
 def edges(k: int, distance: str = "list_distance(a.v, b.v)") -> str:
     """CTEs e (id, v) and edges (id, other, d, rank)."""
     return f"""e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
@@ -137,7 +162,7 @@ _NEIGHBOUR_SQL = {
 }
 
 
-#: Models whose registered query runs on a small table or with few members, as their batch or their cost is bounded.
+#: Models whose registered query runs on a small table, as their batch or their cost is bounded or their SQL is plain there.
 _SMALL = {
     "core_loci": on_suppliers("core_loci"),
     "core_sos": on_suppliers("core_sos"),
@@ -146,15 +171,20 @@ _SMALL = {
     "core_feature_bagging": on_embeddings("core_feature_bagging"),
     "core_feature_bagging_spec": on_parts({"name": "core_feature_bagging_spec", "kwargs": {"base_estimator_spec": "core_hbos"}}),
     "core_mahalanobis": on_parts("core_mahalanobis"),
+    "core_mahalanobis_shrinkage": on_parts("core_mahalanobis_shrinkage"),
+    "core_kde_ratio": on_parts("core_kde_ratio"),
+    "core_dbscan": on_parts("core_dbscan"),
+    "core_qmcd": on_parts("core_qmcd"),
+    "core_score_ensemble": on_parts({"name": "core_score_ensemble", "kwargs": {"detectors": ("core_mad", "core_hbos", "core_dtc")}}),
 }
 
 
 def queries():
     out = {"model_catalogue": lambda spark, sf_dir: catalogue(spark), "ecod_report": ecod_report, "core_ecod": on_lines("core_ecod"), "core_copod": on_lines("core_copod")}
     out |= {n: on_parts(n) for n in ("core_mad", "core_hbos", "core_dtc")} | {"core_rzscore": rzscore}
-    out |= {n: on_embeddings(n) for n in ("core_loop", "core_rgraph", "core_dbscan", *_NEIGHBOUR_SQL) if not n.startswith("core_knn_m")}
+    out |= {n: on_embeddings(n) for n in ("core_loop", "core_rgraph", *_NEIGHBOUR_SQL) if not n.startswith("core_knn_m")}
     out |= _SMALL
-    out |= {n: on_embeddings(n) for n in model_names() if n not in out and n != "core_score_ensemble"}
+    out |= {n: on_embeddings(n) for n in model_names() if n not in out}
     out |= {f"core_knn_{m}": on_embeddings({"name": "core_knn", "kwargs": {"method": m}}) for m in ("mean", "median")}
     return out
 
@@ -170,5 +200,10 @@ def oracle_sql():
         "core_hbos": _HBOS,
         "core_dtc": _DTC,
         "core_mahalanobis": _MAHALANOBIS,
+        "core_mahalanobis_shrinkage": _SHRUNK,
+        "core_kde_ratio": _KDE_RATIO,
+        "core_dbscan": _DBSCAN,
+        "core_qmcd": _QMCD,
+        "core_score_ensemble": _ENSEMBLE,
         **_NEIGHBOUR_SQL,
     }

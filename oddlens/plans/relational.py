@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from oddlens.functions.ranks import quantiles_by
 from oddlens.operators import calibration, metrics
 from oddlens.sources import manifest, runs
 from oddlens.sources.scratch import read
@@ -41,7 +42,8 @@ def confusion_by_type(spark, sf_dir):
 
 
 def quantile_thresholds(spark, sf_dir):
-    return read(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.round(F.percentile("o_totalprice", 0.9), 6).alias("threshold"))
+    by_priority = quantiles_by(read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("j"), F.col("o_totalprice").cast("double").alias("v")), [0.9])
+    return spark.createDataFrame([(j, round(v[0], 6)) for j, v in by_priority.items()], "o_orderpriority string, threshold double")
 
 
 def _scores(spark, sf_dir):
@@ -130,7 +132,7 @@ def queries():
     return {
         "metric_auroc": auroc_events, "metric_average_precision": ap_events, "metric_best_f1": best_f1_events, "metric_youden": youden_events, "metric_confusion": confusion_by_type,
         "threshold_quantile": quantile_thresholds, "norm_zscore": _normal("zscore"), "norm_minmax": _normal("minmax"), "norm_rank01": _normal("rank"), "rank_calibrator": rank_calibrator, "score_standardizer_robust": robust_standardizer,
-        "core_score_ensemble": _ensemble("mean_rank"), "ensemble_max_rank": _ensemble("max_rank"), "ensemble_mean": _ensemble("mean"), "ensemble_max": _ensemble("max"),
+        "ensemble_mean_rank": _ensemble("mean_rank"), "ensemble_max_rank": _ensemble("max_rank"), "ensemble_mean": _ensemble("mean"), "ensemble_max": _ensemble("max"),
         "manifest_stats": manifest_stats, "manifest_filter": manifest_filter, "manifest_group_split": manifest_group_split, "manifest_profile": manifest_profile,
         "run_summary": run_summary, "run_compare": run_compare, "leaderboard": leaderboard,
     }
@@ -150,7 +152,7 @@ def oracle_sql():
         "norm_rank01": f"WITH {s} SELECT id, round((rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 - 1) / (count(*) OVER () - 1), 9) AS score FROM s",
         "rank_calibrator": f"WITH {s} SELECT id, round(coalesce(sum((id % 2 = 0)::INT) OVER (ORDER BY score), 0) / (SELECT count(*) FROM s WHERE id % 2 = 0), 9) AS score FROM s",
         "score_standardizer_robust": f"WITH {s}, a AS (SELECT median(score) AS med FROM s), b AS (SELECT median(abs(score - med)) AS mad FROM s, a) SELECT id, round((score - med) / mad, 9) AS score FROM s, a, b",
-        "core_score_ensemble": _ensemble_sql(True, "avg"), "ensemble_max_rank": _ensemble_sql(True, "max"), "ensemble_mean": _ensemble_sql(False, "avg"), "ensemble_max": _ensemble_sql(False, "max"),
+        "ensemble_mean_rank": _ensemble_sql(True, "avg"), "ensemble_max_rank": _ensemble_sql(True, "max"), "ensemble_mean": _ensemble_sql(False, "avg"), "ensemble_max": _ensemble_sql(False, "max"),
         "manifest_stats": f"WITH {_M} SELECT 'category' AS field, coalesce(category, 'missing') AS value, count(*) AS n FROM m GROUP BY 2 UNION ALL SELECT 'split', coalesce(split, 'missing'), count(*) FROM m GROUP BY 2 UNION ALL SELECT 'label', coalesce(label::VARCHAR, 'missing'), count(*) FROM m GROUP BY 2 UNION ALL SELECT 'mask', CASE WHEN mask_path IS NULL THEN 'missing' ELSE 'present' END, count(*) FROM m GROUP BY 2",
         "manifest_filter": f"WITH {_M} SELECT * FROM m WHERE category IN ('en', 'de') AND split = 'test' AND label = 1 AND mask_path IS NOT NULL",
         "manifest_group_split": f"WITH {_M}, g AS (SELECT category, group_id, min(split) AS lead FROM m WHERE split IS NOT NULL GROUP BY 1, 2) SELECT m.category, coalesce(m.split, g.lead, 'train') AS assigned_split, count(*) AS n FROM m LEFT JOIN g ON g.category = m.category AND g.group_id = m.group_id GROUP BY 1, 2",
