@@ -5,10 +5,14 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; where that is unset, on one machine only (tests), a temporary one is set."""
@@ -21,11 +25,26 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+@contextmanager
+def _shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """Queries that are planned within delete their shuffle files when they end, not when the driver's heap is collected."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` and read it back: cuts the lineage, fixes row ids and random draws, survives lost executors."""
+    """Write ``df`` and read it back: cuts the lineage, fixes row ids and random draws, survives lost executors.
+
+    The shuffle files of the write go with it: what is left on disk is the table.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _shuffles_deleted(spark):
+        df.write.parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     found.settled_at = path
     return found
