@@ -423,9 +423,10 @@ def _open_pairs(large: DataFrame, met: DataFrame) -> DataFrame:
 
 
 def _all_links(reps: DataFrame, docs: DataFrame, n: int, threshold: int, every: bool) -> DataFrame:
-    """Links (a, b) between the classes ``reps``: all, once each, or enough to connect the components."""
+    """Links (a, b) between the classes ``reps``: all, once each, or enough to connect the components. Deletes ``reps``."""
     group = _possible(reps, threshold)
     members = settle(reps.join(group, "id").select("id", "rep", "n", "component", *MAP_NAMES))
+    discard(reps)
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / GRAMS))
     sizes = settle(members.groupBy("component").agg(blocks.alias("blocks")).where("blocks > 1"))
     sets = _sets_of(settle(members.select("rep")), docs, n)
@@ -454,8 +455,10 @@ def links(docs: DataFrame, n: int = 5, threshold: int = 80) -> tuple[DataFrame,
     Returns ``(pairs, members)``: pairs (a, b) of class representatives (a < b; equal where texts share that doc_id)
     with Jaccard similarity of their sets of at least ``threshold`` per cent, and members (doc_id, n_shingles, rep), one row for each row of ``docs``.
     """
-    rows = _described(docs, n, threshold)
-    classes, reps = _representatives(rows)
+    described = _described(docs, n, threshold)
+    classes, reps = _representatives(described)
+    rows = settle(described.select("doc_id", "n", "id"))
+    discard(described)
     members = rows.join(classes, "id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep"))
     pairs = _all_links(reps, docs, n, threshold, True)
     for end in "ab":
@@ -465,8 +468,10 @@ def links(docs: DataFrame, n: int = 5, threshold: int = 80) -> tuple[DataFrame,
 
 def _placed(docs: DataFrame, n: int, threshold: int) -> DataFrame:
     """doc_id, n_shingles, id (class), component_id of each row."""
-    rows = _described(docs, n, threshold)
-    classes, reps = _representatives(rows)
+    described = _described(docs, n, threshold)
+    classes, reps = _representatives(described)
+    rows = settle(described.select("doc_id", "n", "id"))
+    discard(described)
     component = connected_components(_all_links(reps, docs, n, threshold, False)).withColumnRenamed("node", "id")
     linked = settle(component.join(classes, "id"))
     least = linked.groupBy("component").agg(F.min("rep").alias("least"))
