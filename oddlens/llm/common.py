@@ -153,6 +153,40 @@ def membership_map(keys: DataFrame) -> MembershipMap:
     return MembershipMap(words, bits)
 
 
+LEAST_BITS, MOST_BITS = 15, 28
+BUCKET = 1 << 15  # bits of one value of bitmap_construct_agg
+
+
+def bitmap_of(keys: DataFrame) -> tuple[DataFrame, int]:
+    """The bitmap (bucket, bitmap) of the hashes in the only column of ``keys``, a settled table, and its number of bits.
+
+    16 bits a key, so about one in 16 other keys finds its bit set, and ``MOST_BITS`` at most (32 MB). Built and read by
+    SQL functions only.
+    """
+    bits = 1 << min(MOST_BITS, max(LEAST_BITS, (16 * keys.count()).bit_length()))
+    at = F.pmod(keys[0], F.lit(bits)) + 1
+    return keys.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("__bitmap")), bits
+
+
+def marked(rows: DataFrame, key: str, found: tuple[DataFrame, int], name: str) -> DataFrame:
+    """``rows`` with a boolean ``name``: whether the bit of the hash in ``key`` is set. ``key`` is dropped."""
+    bitmaps, bits = found
+    rows = rows.withColumn("__bit", F.pmod(F.col(key), F.lit(bits))).join(F.broadcast(bitmaps.withColumnRenamed("bucket", "__bucket")), F.expr(f"__bit div {BUCKET} + 1 = __bucket"), "left")
+    octet = f"cast(conv(hex(substring(__bitmap, cast(__bit % {BUCKET} div 8 + 1 as int), 1)), 16, 10) as int)"
+    is_set = F.expr(f"coalesce((shiftright({octet}, cast(__bit % 8 as int)) & 1) = 1, false)")
+    return rows.withColumn(name, is_set).drop("__bit", "__bucket", "__bitmap", key)
+
+
+def apart(rows: DataFrame, keys: DataFrame, *by: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` in two: those whose columns ``by`` may be among ``keys`` (a settled table), and those where they surely aren't.
+
+    Both parts are scans of ``rows`` and leave out none. So only the first part, with what it carries, has to be shuffled to be joined to ``keys``.
+    """
+    alike = F.xxhash64(*(F.col(c).cast(keys.schema[c].dataType) for c in by))  # a hash depends on the type
+    flagged = marked(rows.withColumn("__key", alike), "__key", bitmap_of(settle(keys.select(F.xxhash64(*by).alias("key")))), "__there")
+    return flagged.where("__there").drop("__there"), flagged.where("NOT __there").drop("__there")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of the undirected graph of ``edges`` (a, b longs); the component is its smallest node.
 

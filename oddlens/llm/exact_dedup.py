@@ -6,10 +6,9 @@
    SHA-256. All other rows are alone.
 
 Everything is a DataFrame expression. Texts are never shuffled: survivors are told to the second scan by a bitmap of
-their hashes (``bitmap_construct_agg``) that is broadcast and has at most ``MOST_BITS`` bits. A bit can also be set for
-another key; such a row's text is hashed for nothing and its group has one member, so results don't depend on the map.
-It is sized at 16 bits a key; from ``MOST_BITS`` / 16 keys on it fills up, and the more of it is full the more texts
-are hashed that needn't be, at worst all.
+their hashes (``common.bitmap_of``) that is broadcast and has a bounded size. A bit can also be set for another key;
+such a row's text is hashed for nothing and its group has one member, so results don't depend on the map. Beyond some
+16 million surviving keys it fills up, and the more of it is full the more texts are hashed that needn't be, at worst all.
 
 Null text counts as empty. Of equal texts the row with the largest doc_id stays, a null doc_id being smallest; where
 several rows share text and doc_id, exactly one of them stays. ``keep_id`` is null where all ids of a group are. Rows
@@ -23,33 +22,15 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oddlens.llm.common import discard, settle
+from oddlens.llm.common import bitmap_of, discard, marked, settle
 
 PREFIX = 64
-LEAST_BITS, MOST_BITS = 15, 28
-BUCKET = 1 << 15  # bits of one value of bitmap_construct_agg
 
 
 def _same(text: Column) -> Column:
     return text
 
 
-def survivors(keys: DataFrame) -> tuple[DataFrame, int]:
-    """The bitmap (bucket, bitmap) of the hashes in the only column of ``keys``, a settled table, and its number of bits."""
-    bits = 1 << min(MOST_BITS, max(LEAST_BITS, (16 * keys.count()).bit_length()))
-    at = F.pmod(keys[0], F.lit(bits)) + 1
-    return keys.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bitmap")), bits
-
-
-def marked(rows: DataFrame, key: str, found: tuple[DataFrame, int], name: str) -> DataFrame:
-    """``rows`` with a boolean ``name``: whether the bit of the hash in ``key`` is set. ``key`` is dropped."""
-    bitmaps, bits = found
-    rows = rows.withColumn("__bit", F.pmod(F.col(key), F.lit(bits))).join(F.broadcast(bitmaps.withColumnRenamed("bucket", "__bucket")), F.expr(f"__bit div {BUCKET} + 1 = __bucket"), "left")
-    octet = f"cast(conv(hex(substring(bitmap, cast(__bit % {BUCKET} div 8 + 1 as int), 1)), 16, 10) as int)"
-    is_set = F.expr(f"coalesce((shiftright({octet}, cast(__bit % 8 as int)) & 1) = 1, false)")
-    return rows.withColumn(name, is_set).drop("__bit", "__bucket", "bitmap", key)
-
-
 def groups(docs: DataFrame, normalise: Callable[[Column], Column] = _same, carry: Mapping[str, Column] | None = None, prefix: int = PREFIX) -> DataFrame:
     """One row per document: doc_id, n_bytes, keep_id, group_size, kept, then the columns in ``carry``.
 
@@ -60,9 +41,9 @@ def groups(docs: DataFrame, normalise: Callable[[Column], Column] = _same, carry
     length, start = F.octet_length("__text"), F.xxhash64(F.octet_length("__text"), F.substring(F.col("__text").cast("binary"), 1, prefix))
     measured = settle(docs.select(length.alias("n_bytes"), start.alias("start")))
     lengths = settle(measured.groupBy("n_bytes").count().where("count > 1").select(F.xxhash64("n_bytes").alias("key")))
-    long_enough = marked(measured.withColumn("key", F.xxhash64("n_bytes")), "key", survivors(lengths), "again").where("again")
+    long_enough = marked(measured.withColumn("key", F.xxhash64("n_bytes")), "key", bitmap_of(lengths), "again").where("again")
     starts = settle(long_enough.groupBy("n_bytes", "start").count().where("count > 1").select(F.col("start").alias("key")))
-    rows = marked(docs.withColumn("__key", start), "__key", survivors(starts), "__again")
+    rows = marked(docs.withColumn("__key", start), "__key", bitmap_of(starts), "__again")
     rows = settle(rows.select("doc_id", length.alias("n_bytes"), F.when(F.col("__again"), F.unhex(F.sha2("__text", 256))).alias("full"), F.monotonically_increasing_id().alias("row"), *(c.alias(k) for k, c in carry.items())))
     discard(measured, lengths, starts)
     first = F.max(F.struct("doc_id", "row"))  # nulls are smallest in a struct's order

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from oddlens.llm.common import Batches, WordHashes, bounded_batches, byte_rows, connected_components, discard, list_array, long, membership_map, mix64, settle, slices, windows
+from oddlens.llm.common import Batches, WordHashes, apart, bounded_batches, byte_rows, connected_components, discard, list_array, long, membership_map, mix64, settle, slices, windows
 
 MAPS = 8  # 64-bit words of a parity map
 MAP_NAMES = [f"m{k}" for k in range(MAPS)]
@@ -499,12 +499,13 @@ def keep_one(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFrame:
     is_copy = (F.col("n_shingles") > 0) & (F.col("doc_id") != F.col("component_id"))
     drop = settle(placed.where(is_copy).select("doc_id", "id").distinct())
     mixed = settle(placed.where(~is_copy).join(drop.select("doc_id"), "doc_id", "left_semi").select("doc_id").distinct())
+    maybe, kept = apart(docs, drop, "doc_id")  # texts of documents that surely stay aren't shuffled
     if mixed.isEmpty():
-        return docs.join(drop.select("doc_id").distinct(), "doc_id", "left_anti")
+        return kept.union(maybe.join(drop.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns))
     # Some texts of these doc_ids go and some stay; only their sets are computed again.
     wanted = docs.sparkSession.sparkContext.broadcast(membership_map(mixed))
     schema = StructType([*docs.schema.fields, StructField(TAG, LongType())])
-    tagged = docs.mapInArrow(partial(_tagged, n=n, wanted=wanted), schema)
+    tagged = maybe.mapInArrow(partial(_tagged, n=n, wanted=wanted), schema)
     drop = drop.join(mixed.withColumn("some", F.lit(True)), "doc_id", "left").select("doc_id", F.when(F.col("some"), F.col("id")).alias("only")).distinct()
     gone = (tagged["doc_id"] == drop["doc_id"]) & (drop["only"].isNull() | (drop["only"] == tagged[TAG]))
-    return tagged.join(drop, gone, "left_anti").drop(TAG)
+    return kept.union(tagged.join(drop, gone, "left_anti").drop(TAG).select(docs.columns))

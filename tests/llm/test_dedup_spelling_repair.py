@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from oddlens.llm import conversation_repair, exact_dedup, queries, spelling
+from oddlens.llm import common, conversation_repair, exact_dedup, queries, spelling
 
 SF = "/root/testdata/sf0.001"
 TURNS = "conv_id long, turn long, role string, text string, row long, fault string, part int"
@@ -41,8 +41,8 @@ AWKWARD = [(1, None), (2, ""), (3, " "), (4, "x" * 300_000), (5, "x" * 300_000),
 @pytest.mark.parametrize("prefix", [1, 64])
 @pytest.mark.parametrize("bits", [1, 28])
 def test_exact_groups_equal_brute_force(spark, monkeypatch, prefix, bits):
-    monkeypatch.setattr(exact_dedup, "LEAST_BITS", bits)  # one bit of a map: everything passes it
-    monkeypatch.setattr(exact_dedup, "MOST_BITS", bits)
+    monkeypatch.setattr(common, "LEAST_BITS", bits)  # one bit of a map: everything passes it
+    monkeypatch.setattr(common, "MOST_BITS", bits)
     df = spark.createDataFrame([(*r, 5, 1, 2) for r in AWKWARD], "doc_id long, text string, row long, n_bytes int, start int").repartition(3)
     assert figures(exact_dedup.groups(df, prefix=prefix)) == same_texts(AWKWARD)
     upper = [(i, t and t.upper()) for i, t in AWKWARD] + AWKWARD
