@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from oddlens.llm import decontaminate, mixing, ngram_join, sharding, toxicity
-from oddlens.llm.common import settle, table
+from oddlens.llm.common import apart, settle, table
 from oddlens.llm.quality_rules import words
 
 DUE, RANK = "__due", "__rank"
@@ -32,15 +32,23 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The filters have passed every document by now, so the mix repeats documents but leaves none out.
     """
-    mixed = mixing.mix(docs, weights=(3, 1, 2), budget=1.5, least=1, most=2)
-    due = F.sum((F.col("taken") > F.col("size")).cast("long")).alias("due")
-    by_key = settle(mixed.groupBy("doc_id", "source").agg(due, F.count("*").alias("n")).where("due > 0"))
+    mixed = settle(mixing.mix(docs, weights=(3, 1, 2), budget=1.5, least=1, most=2))
+    is_due = F.coalesce(F.col("taken") > F.col("size"), F.lit(False))
+    # Most documents' repeats follow from a broadcast bitmap of their ids and sources; only what two bitmaps leave open is joined.
+    maybe, _ = apart(docs, mixed.where(is_due), "doc_id", "source")
+    unsure, due = apart(maybe, mixed.where(~is_due), "doc_id", "source")
+    return docs.union(due).union(_due(unsure, mixed.withColumn("due", is_due.cast("long"))))
+
+
+def _due(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the mix repeats: of rows that share doc_id and source, as many as are due."""
+    by_key = settle(mixed.groupBy("doc_id", "source").agg(F.sum("due").alias("due"), F.count("*").alias("n")).where("due > 0"))
+    out = docs.join(full := by_key.where("due = n"), _same(docs, full), "left_semi")
     some = by_key.where("due < n")
-    out = docs.union(docs.join(full := by_key.where("due = n"), _same(docs, full), "left_semi"))
     if some.isEmpty():
         return out
-    # Rows that share doc_id and source, and not all are due: of those of one size, as many as are.
-    sizes = settle(mixed.join(some, _same(mixed, some), "left_semi").groupBy("doc_id", "source", "size").agg(due).where("due > 0"))
+    # Not all of these rows are due: of those of one size, as many as are.
+    sizes = settle(mixed.join(some, _same(mixed, some), "left_semi").groupBy("doc_id", "source", "size").agg(F.sum("due").alias("due")).where("due > 0"))
     rows = docs.join(sizes, _same(docs, sizes) & (F.size(words(F.coalesce(docs["text"], F.lit("")))) == sizes["size"]))
     rank = F.row_number().over(Window.partitionBy(docs["doc_id"], docs["source"], sizes["size"]).orderBy(F.xxhash64(docs["text"])))
     rows = rows.select(*(docs[c] for c in docs.columns), sizes["due"].alias(DUE), rank.alias(RANK))
