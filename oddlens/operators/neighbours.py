@@ -1,8 +1,7 @@
 """The nearest-neighbour join and the detectors on its edges.
 
-``nearest`` compares rows with a bank of training rows. The bank is sent to the tasks in blocks of at most BANK_BYTES
-and each pass keeps the k nearest of every row so far, so nothing grows with the bank but the number of passes;
-distances are taken from direct differences, rows by rows. Everything after the edges (id, rank, other, d) is
+``nearest`` compares rows with a bank of training rows: a small bank is broadcast, a larger one is joined in blocks by
+metric pruning (``metric_join``). Distances are direct differences. Everything after the edges (id, rank, other, d) is
 DataFrame aggregation. Training rows don't count as their own neighbours; ties are broken by id.
 """
 
@@ -12,34 +11,23 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from oddlens.functions.ranks import quantile
 from oddlens.functions.vectors import melt, unit
 from oddlens.operators.base import Detector, erf
+from oddlens.operators.metric_join import Blocks, Meeting, Space, choose_pivots, distances, in_blocks, in_steps, nearest_blocks, within_reach
 from oddlens.operators.registry import register_model
 from oddlens.sources.scratch import settle
 
-BANK_BYTES = 64 << 20
-PART_BYTES = 16 << 20  # differences that a task holds at once
+BANK_BYTES = 16 << 20  # a bank up to this size is broadcast; larger ones are joined in blocks
 _STEP = 64  # rows that a task compares at once
 
 
-def distances(x: np.ndarray, bank: np.ndarray, metric: str = "minkowski", p: float = 2) -> np.ndarray:
-    if metric == "cosine":
-        return 1 - x @ bank.T
-    step = max(1, PART_BYTES // (8 * max(1, x.size)))  # of the bank at once, so the differences stay in bounds
-    if len(bank) > step:
-        return np.concatenate([distances(x, bank[k : k + step], metric, p) for k in range(0, len(bank), step)], 1)
-    difference = np.abs(x[:, None, :] - bank[None])
-    if metric == "euclidean" or p == 2:
-        return np.sqrt((difference**2).sum(-1))
-    if metric == "manhattan" or p == 1:
-        return difference.sum(-1)
-    return difference.max(-1) if np.isinf(p) else (difference**p).sum(-1) ** (1 / p)
-
-
 def _search(batches, bank, k: int, metric: str, p: float, alone: bool):
     ids, rows = bank.value
     for pdf in batches:
@@ -64,39 +52,43 @@ def bank_rows(n_features: int) -> int:
     return max(1, BANK_BYTES // (8 * max(1, n_features)))
 
 
-def blocks(bank: DataFrame, n_features: int):
-    """The bank (id, features) in pieces of at most BANK_BYTES as (ids, rows), sorted by id."""
-    size = bank_rows(n_features)
-    ids, rows = [], []
-    for r in bank.orderBy("id").toLocalIterator():
-        ids.append(r.id)
-        rows.append(r.features)
-        if len(ids) == size:
-            yield np.array(ids), np.array(rows, float)
-            ids, rows = [], []
-    if ids:
-        yield np.array(ids), np.array(rows, float)
+def small_bank(bank: DataFrame, n_features: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """(ids, rows), sorted by id, of a bank (id, features) of at most BANK_BYTES; None of a larger one."""
+    most = bank_rows(n_features)
+    rows = bank.limit(most + 1).toPandas()
+    if len(rows) > most:
+        return None
+    rows = rows.sort_values("id", kind="stable")
+    return rows["id"].to_numpy(), np.array(rows["features"].tolist(), float).reshape(-1, n_features)
+
+
+def both_in_blocks(rows: DataFrame, bank: DataFrame, space: Space) -> tuple[Blocks, Blocks]:
+    """Rows and bank cut by the same pivots; the same blocks where they are the same table."""
+    n = bank.count()
+    held = in_blocks(bank, space, choose_pivots(bank, space, n), n)
+    return (held if rows is bank else in_blocks(rows, space, held.pivots, rows.count())), held
+
 
+def nearest(rows: DataFrame, bank: DataFrame, k: int, n_features: int, alone: bool, metric: str = "minkowski", p: float = 2, short: bool = False) -> DataFrame:
+    """(id, rank from 1, other, d): the k nearest bank rows of each row; ``alone``: a row isn't its own neighbour.
 
-def nearest(rows: DataFrame, bank: DataFrame, k: int, n_features: int, alone: bool, metric: str = "minkowski", p: float = 2) -> DataFrame:
-    """(id, rank from 1, other, d): the k nearest bank rows of each row; ``alone``: a row isn't its own neighbour."""
-    schema, found = f"id {rows.schema['id'].dataType.simpleString()}, other {bank.schema['id'].dataType.simpleString()}, d double", None
+    A bank of at most BANK_BYTES is broadcast, a larger one is joined by metric pruning. ``short``: no row is longer than 1.
+    """
+    small = small_bank(bank, n_features)
+    if small is None:
+        return nearest_blocks(*both_in_blocks(rows, bank, Space(n_features, metric, p, short)), k, alone)
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, other {bank.schema['id'].dataType.simpleString()}, d double"
     spread = rows.repartition(max(rows.rdd.getNumPartitions(), rows.sparkSession.sparkContext.defaultParallelism))
-    for block in blocks(bank, n_features):
-        sent = rows.sparkSession.sparkContext.broadcast(block)
-        part = spread.mapInPandas(partial(_search, bank=sent, k=k, metric=metric, p=p, alone=alone), schema)
-        if len(block[0]) >= bank_rows(n_features):  # another may follow: this one's edges are written and its block let go
-            part = settle(part)
-            sent.unpersist()
-        found = part if found is None else found.union(part)
+    sent = rows.sparkSession.sparkContext.broadcast(small)
+    found = spread.mapInPandas(partial(_search, bank=sent, k=k, metric=metric, p=p, alone=alone), schema)
     order = Window.partitionBy("id").orderBy("d", "other")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("id", "rank", "other", "d")
+    return found.withColumn("rank", F.row_number().over(order)).select("id", "rank", "other", "d")
 
 
 class Neighbours(Detector):
     """``_edges`` -> score; ``n_neighbors`` is cut to the rows there are."""
 
-    metric, p, n_jobs, eps = "minkowski", 2, None, 1e-12
+    metric, p, n_jobs, eps, short = "minkowski", 2, None, 1e-12, False
 
     @classmethod
     def defaults(cls):
@@ -109,7 +101,7 @@ class Neighbours(Detector):
         self.bank = settle(self._prepare(train)) if type(self)._prepare is not Neighbours._prepare else train
         self.n_train = self.bank.count()
         self.k = max(1, min(self.n_neighbors, self.n_train - 1))
-        self.edges = settle(nearest(self.bank, self.bank, self.k, self.n_features, True, self.metric, self.p))
+        self.edges = settle(nearest(self.bank, self.bank, self.k, self.n_features, True, self.metric, self.p, self.short))
         self._learn()
 
     def _learn(self) -> None:
@@ -122,7 +114,7 @@ class Neighbours(Detector):
 
     def _score(self, rows):
         rows = settle(self._prepare(rows))
-        return self._of_edges(settle(nearest(rows, self.bank, min(self.k, self.n_train), self.n_features, False, self.metric, self.p)), rows)
+        return self._of_edges(settle(nearest(rows, self.bank, min(self.k, self.n_train), self.n_features, False, self.metric, self.p, self.short)), rows)
 
     def _of_edges(self, edges: DataFrame, rows: DataFrame) -> DataFrame:
         raise NotImplementedError
@@ -155,6 +147,7 @@ class KNNCosine(KNN):
     """As KNN by cosine distance of unit vectors."""
 
     metric = "cosine"
+    short = property(lambda self: self.normalize)
 
     @classmethod
     def defaults(cls):
@@ -415,28 +408,33 @@ def scaled(scale: tuple[list[float], list[float]]) -> Column:
     return F.zip_with(centred, constants(scale[1]), lambda x, s: x / s)
 
 
+def _around(m: Meeting, radius: float, space: Space, alone: bool, schema: pa.Schema) -> pa.RecordBatch:
+    n, zero = np.zeros(len(m.x), np.int64), np.zeros(len(m.x), np.int64)
+    for part, d in in_steps(m.x, len(m.y), lambda z: space.between(z, m.y)):
+        if alone:
+            d[m.ids[part, None] == m.others[None]] = np.inf
+        n[part], zero[part] = (d <= radius).sum(1), (d <= 1e-12).sum(1)
+    return pa.RecordBatch.from_arrays([pa.array(m.ids).cast(schema.field("id").type), pa.array(n), pa.array(zero)], schema=schema)
+
+
+def _around_small(batches, bank, radius: float, space: Space, alone: bool, schema: pa.Schema):
+    ids, y = bank.value
+    for batch in batches:
+        x = batch.column("features").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, space.n_features)
+        yield _around(Meeting(batch.column("id").to_numpy(zero_copy_only=False), x, x, x, ids, y, y), radius, space, alone, schema)
+
+
 def within(rows: DataFrame, bank: DataFrame, n_features: int, radius: float, alone: bool, metric: str = "minkowski", p: float = 2) -> DataFrame:
-    """(id, n, nearest): bank rows at a distance of more than 0 and at most ``radius`` (all of 0 too if not ``alone``), and the distance of the nearest."""
-    out = None
-    for block in blocks(bank, n_features):
-        sent = rows.sparkSession.sparkContext.broadcast(block)
-
-        def count(batches, sent=sent):
-            ids, y = sent.value
-            for pdf in batches:
-                own, x = pdf["id"].to_numpy(), np.array(pdf["features"].tolist(), float).reshape(len(pdf), -1)
-                n, zero, near = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64), np.full(len(x), np.inf)
-                for a in range(0, len(x), _STEP):
-                    d = distances(x[a : a + _STEP], y, metric, p)
-                    if alone:
-                        d[own[a : a + _STEP, None] == ids[None]] = np.inf
-                    part = slice(a, a + _STEP)
-                    n[part], zero[part], near[part] = (d <= radius).sum(1), (d <= 1e-12).sum(1), d.min(1)
-                yield pd.DataFrame({"id": own, "n": n, "zero": zero, "nearest": near})
-
-        part = rows.mapInPandas(count, f"id {rows.schema['id'].dataType.simpleString()}, n long, zero long, nearest double")
-        out = part if out is None else out.union(part)
-    return out.groupBy("id").agg(F.sum("n").alias("n"), F.sum("zero").alias("zero"), F.min("nearest").alias("nearest"))
+    """(id, n, zero): bank rows at a distance of at most ``radius``, and at none; a small bank is broadcast, a larger one joined where it can be in reach."""
+    space, small = Space(n_features, metric, p), small_bank(bank, n_features)
+    schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("n", T.LongType()), T.StructField("zero", T.LongType())])
+    how = {"radius": radius, "space": space, "alone": alone, "schema": to_arrow_schema(schema)}
+    if small is not None:
+        sent = rows.sparkSession.sparkContext.broadcast(small)
+        return rows.select("id", F.col("features").cast("array<double>").alias("features")).mapInArrow(partial(_around_small, bank=sent, **how), schema)
+    found = within_reach(*both_in_blocks(rows, bank, space), radius, partial(_around, **how), schema)
+    none = rows.select("id", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("zero"))
+    return found.union(none).groupBy("id").agg(F.sum("n").alias("n"), F.sum("zero").alias("zero"))
 
 
 @register_model("core_knn_degree", "classical", "core", "neighbors")
@@ -483,8 +481,8 @@ class DBSCAN(Neighbours):
         rows = self._prepare(rows)
         if self.empty:
             return rows.select("id", F.lit(1.0).alias("score"))
-        near = within(rows, self.cores, self.n_features, self.eps, False, self.metric, self.p)
-        return near.select("id", (F.col("nearest") + F.when(F.col("nearest") > self.eps, extra).otherwise(0.0)).alias("score"))
+        near = nearest(rows, self.cores, 1, self.n_features, False, self.metric, self.p)
+        return near.select("id", (F.col("d") + F.when(F.col("d") > self.eps, extra).otherwise(0.0)).alias("score"))
 
     def _train_scores(self, train):
         return self._to_core(train, self.eps)

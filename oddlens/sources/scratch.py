@@ -36,6 +36,18 @@ def _shuffles_deleted(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(CLEANUP, before)
 
 
+@contextmanager
+def batch_limits(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Queries that are run within send so many rows at a time to Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` and read it back: cuts the lineage, fixes row ids and random draws, survives lost executors.
 
