@@ -48,7 +48,8 @@ def groups(docs: DataFrame, normalise: Callable[[Column], Column] = _same, carry
     discard(measured, lengths, starts)
     first = F.max(F.struct("doc_id", "row"))  # nulls are smallest in a struct's order
     shared = rows.where("full is not null").groupBy("n_bytes", "full").agg(F.count("*").alias("group_size"), first.alias("first")).where("group_size > 1")
-    shared = shared.select(F.col("n_bytes").alias("__n"), F.col("full").alias("__full"), "group_size", "first")
+    shared = settle(shared).select(F.col("n_bytes").alias("__n"), F.col("full").alias("__full"), "group_size", "first")
+    # Settled, so that AQE splits the rows of a hot text in this join instead of finding them beside an aggregate.
     found = rows.join(shared, (rows["n_bytes"] == shared["__n"]) & (rows["full"] == shared["__full"]), "left")
     alone = F.col("first").isNull()
     return found.select(
