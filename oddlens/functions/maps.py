@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+from operator import or_
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -138,10 +142,17 @@ def smooth(values: np.ndarray, method: str, size: int, sigma: float = 0.0) -> np
 REGION = "image_id long, region int, x0 int, y0 int, x1 int, y1 int, area long, cx double, cy double, fill_ratio double, aspect_ratio double, score_max double, score_mean double, solidity double"
 
 
+def pixels_of(labels: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(y, x) of each label from 1 on, in reading order: one sort for all."""
+    flat = labels.ravel()
+    order = np.argsort(flat, kind="stable")
+    ends = np.cumsum(np.bincount(flat, minlength=labels.max(initial=0) + 1))
+    return [np.divmod(order[a:b], labels.shape[1]) for a, b in zip(ends, ends[1:], strict=False)]
+
+
 def find_regions(values: np.ndarray, mask: np.ndarray) -> list[dict]:
-    labels, out = label_components(mask), []
-    for k in range(1, labels.max(initial=0) + 1):
-        y, x = np.nonzero(labels == k)
+    out = []
+    for k, (y, x) in enumerate(pixels_of(label_components(mask)), 1):
         x0, x1, y0, y1 = x.min(), x.max(), y.min(), y.max()
         wide, high = x1 - x0 + 1, y1 - y0 + 1
         v = values[y, x]
@@ -149,9 +160,17 @@ def find_regions(values: np.ndarray, mask: np.ndarray) -> list[dict]:
     return out
 
 
-def hull_area(x: np.ndarray, y: np.ndarray) -> float:
-    """Pixels in the convex hull of some pixels, each a unit square: the area of the hull of their corners."""
-    points = sorted({(int(a) + da, int(b) + db) for a, b in zip(x, y, strict=True) for da in (0, 1) for db in (0, 1)})
+def row_ends(x: np.ndarray, y: np.ndarray) -> tuple[list[int], list[int]]:
+    """The corners of the first and last pixel of each row (pixels in reading order): the hull has no others."""
+    first = np.flatnonzero(np.r_[True, np.diff(y) > 0])
+    last = np.r_[first[1:] - 1, len(y) - 1]
+    left, right, rows = x[first], x[last] + 1, y[first]
+    return [*left.tolist(), *left.tolist(), *right.tolist(), *right.tolist()], [*rows.tolist(), *(rows + 1).tolist()] * 2
+
+
+def hull(x, y) -> list[tuple[int, int]]:
+    """The corners of the convex hull of some points."""
+    points = sorted(set(zip(map(int, x), map(int, y), strict=True)))
 
     def chain(rows):
         out: list[tuple[int, int]] = []
@@ -161,10 +180,18 @@ def hull_area(x: np.ndarray, y: np.ndarray) -> float:
             out.append(p)
         return out[:-1]
 
-    ring = chain(points) + chain(points[::-1])
+    return chain(points) + chain(points[::-1])
+
+
+def ring_area(ring: list[tuple[int, int]]) -> float:
     return abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1], strict=True))) / 2
 
 
+def hull_area(x: np.ndarray, y: np.ndarray) -> float:
+    """Pixels in the convex hull of some pixels in reading order, each a unit square: the area of the hull of their corners."""
+    return ring_area(hull(*row_ends(x, y)))
+
+
 def merged(regions: list[dict], gap: int) -> list[dict]:
     """Regions with those at most ``gap`` apart made one: box and area together, means weighted by area."""
     out = []
@@ -256,71 +283,84 @@ def merge_near(regions: list[dict], gap: int) -> list[list[int]]:
 SORTS = ("score_max", "score_mean", "area")
 
 
-def defects(
-    pixels: DataFrame,
-    threshold: float,
-    low: float | None = None,
-    roi: tuple[float, float, float, float] | None = None,
-    border: int = 0,
-    smoothing: str = "none",
-    smoothing_size: int = 0,
-    open_size: int = 0,
-    close_size: int = 0,
-    min_area: int = 0,
-    fill: bool = False,
-    dilate: int = 0,
-    min_fill: float | None = None,
-    max_aspect: float | None = None,
-    min_solidity: float | None = None,
-    min_score_max: float | None = None,
-    min_score_mean: float | None = None,
-    merge_gap: int = 0,
-    score_quantile: float | None = None,
-    sort_by: str = "score_max",
-    max_regions: int | None = None,
-) -> DataFrame:
-    """Regions of each image's map.
-
-    Border off, smooth, threshold (or hysteresis), open, close, components off that are small or fail a bound on
-    fill, aspect, solidity or score, holes filled, dilate; then the region of interest, label, merge near ones, drop
-    those below the quantile of the image's region scores, sort.
-
-    An image is one group, so its pixels are in one task: cut larger images into ``tiles`` first.
-    """
-    if sort_by not in SORTS:
-        raise ValueError(sort_by)
+@dataclass(frozen=True)
+class DefectRules:
+    """What becomes of a mask and its regions, in this order: border off, smooth, (threshold,) open, close, components off
+    that are small or fail a bound on fill, aspect, solidity or score, holes filled, dilate, region of interest; then
+    near regions merged, those below the quantile of the image's region scores dropped, the rest sorted."""
+
+    roi: tuple[float, float, float, float] | None = None
+    border: int = 0
+    smoothing: str = "none"
+    smoothing_size: int = 0
+    open_size: int = 0
+    close_size: int = 0
+    min_area: int = 0
+    fill: bool = False
+    dilate: int = 0
+    min_fill: float | None = None
+    max_aspect: float | None = None
+    min_solidity: float | None = None
+    min_score_max: float | None = None
+    min_score_mean: float | None = None
+    merge_gap: int = 0
+    score_quantile: float | None = None
+    sort_by: str = "score_max"
+    max_regions: int | None = None
+
+    def __post_init__(self):
+        if self.sort_by not in SORTS:
+            raise ValueError(self.sort_by)
+
+    @property
+    def bounds(self) -> list[tuple[str, float, int]]:
+        """(figure, bound, 1 for at least and -1 for at most)."""
+        every = (("area", self.min_area or None, 1), ("fill_ratio", self.min_fill, 1), ("solidity", self.min_solidity, 1), ("score_max", self.min_score_max, 1), ("score_mean", self.min_score_mean, 1), ("aspect_ratio", self.max_aspect, -1))
+        return [b for b in every if b[1] is not None]
+
+    def fails(self, r: dict) -> bool:
+        return any(sign * r[c] < sign * b for c, b, sign in self.bounds)
+
+    def failing(self) -> Column | None:
+        """The same of a row of regions; None if nothing can fail."""
+        return reduce(or_, (sign * F.col(c) < sign * b for c, b, sign in self.bounds)) if self.bounds else None
+
+    def finished(self, image_id: int, found: list[dict]) -> pd.DataFrame:
+        found = merged(found, self.merge_gap) if self.merge_gap > 0 else found
+        if self.score_quantile is not None and found:
+            least = np.quantile([r["score_max"] for r in found], self.score_quantile)
+            found = [r for r in found if r["score_max"] >= least]
+        order = lambda r: (-r[self.sort_by], -r["score_max"], -r["score_mean"], -r["area"], r["y0"], r["x0"], r["y1"], r["x1"])
+        rows = [{**r, "image_id": image_id, "region": k + 1} for k, r in enumerate(sorted(found, key=order)[: self.max_regions])]
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in REGION.split(", ")])
 
-    def fails(r: dict) -> bool:
-        bounds = (("fill_ratio", min_fill, 1), ("solidity", min_solidity, 1), ("score_max", min_score_max, 1), ("score_mean", min_score_mean, 1), ("aspect_ratio", max_aspect, -1))
-        return r["area"] < min_area or any(b is not None and sign * r[c] < sign * b for c, b, sign in bounds)
+
+def defects(pixels: DataFrame, threshold: float, low: float | None = None, **how) -> DataFrame:
+    """Regions of each image's map at or above ``threshold``, with ``low`` by hysteresis; ``how``: see ``DefectRules``.
+
+    An image is one group here, so its pixels are in one task: ``tiled_regions.defects`` has no such bound.
+    """
+    rules = DefectRules(**how)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         values = grid_of(pdf)
-        if border:
+        if rules.border:
             inner = np.zeros_like(values)
-            inner[border:-border, border:-border] = values[border:-border, border:-border]
+            inner[rules.border : -rules.border, rules.border : -rules.border] = values[rules.border : -rules.border, rules.border : -rules.border]
             values = inner
-        values = smooth(values, smoothing, smoothing_size)
+        values = smooth(values, rules.smoothing, rules.smoothing_size)
         mask = hysteresis(values, low, threshold) if low is not None else values >= threshold
-        mask = morph(morph(mask, "open", open_size), "close", close_size)
-        labels = label_components(mask)
-        mask = mask & ~np.isin(labels, [r["region"] for r in find_regions(values, mask) if fails(r)])
-        mask = fill_holes(mask) if fill else mask
-        mask = morph(mask, "dilate", dilate)
-        if roi is not None:
-            (x0, y0, x1, y1), (h, w) = clamp_roi(roi), mask.shape
+        mask = morph(morph(mask, "open", rules.open_size), "close", rules.close_size)
+        if rules.bounds:
+            mask = mask & ~np.isin(label_components(mask), [r["region"] for r in find_regions(values, mask) if rules.fails(r)])
+        mask = fill_holes(mask) if rules.fill else mask
+        mask = morph(mask, "dilate", rules.dilate)
+        if rules.roi is not None:
+            (x0, y0, x1, y1), (h, w) = clamp_roi(rules.roi), mask.shape
             inside = np.zeros_like(mask)
             inside[int(np.floor(y0 * h)) : int(np.ceil(y1 * h)), int(np.floor(x0 * w)) : int(np.ceil(x1 * w))] = True
             mask = mask & inside
-        found = find_regions(values, mask)
-        found = merged(found, merge_gap) if merge_gap > 0 else found
-        if score_quantile is not None and found:
-            least = np.quantile([r["score_max"] for r in found], score_quantile)
-            found = [r for r in found if r["score_max"] >= least]
-        order = lambda r: (-r[sort_by], -r["score_max"], -r["score_mean"], -r["area"], r["y0"], r["x0"], r["y1"], r["x1"])
-        names = [c.split()[0] for c in REGION.split(", ")]
-        rows = [{**r, "image_id": int(pdf.image_id.iloc[0]), "region": k + 1} for k, r in enumerate(sorted(found, key=order)[:max_regions])]
-        return pd.DataFrame(rows, columns=names)
+        return rules.finished(int(pdf.image_id.iloc[0]), find_regions(values, mask))
 
     return pixels.select("image_id", "y", "x", "v").groupBy("image_id").applyInPandas(one, REGION)
 

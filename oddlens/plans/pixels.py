@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from oddlens.functions import images, maps
+from oddlens.functions import images, maps, tiled_regions
 from oddlens.operators import pixel_maps
 from oddlens.sources.scratch import read
 from oddlens.streaming import watch
@@ -57,6 +57,25 @@ def defect_regions(spark, sf_dir):
     return maps.defects(_grid(spark, sf_dir), 0.07, min_area=2).select("image_id", "region", "x0", "y0", "x1", "y1", "area", F.round("score_max", 6).alias("score_max"))
 
 
+def defect_regions_tiled(spark, sf_dir):
+    """The same on tiles of 6 x 6 pixels, at a threshold that no mean discount is equal to."""
+    found = tiled_regions.defects(_grid(spark, sf_dir), 0.0701, tile=6, min_area=2)
+    return found.select("image_id", "region", "x0", "y0", "x1", "y1", "area", F.round("score_max", 6).alias("score_max"))
+
+
+def labelled_tiles(spark, sf_dir):
+    """Pixels by region, labelled on tiles of 5 x 5 pixels."""
+    return tiled_regions.labelled(_grid(spark, sf_dir), 0.0601, tile=5).select("image_id", "y", "x", "region")
+
+
+_REACH = f"""WITH RECURSIVE {_G}, m AS (SELECT image_id, y, x, v, y * {_SIDE} + x AS p FROM g WHERE v >= LEAST),
+link AS (SELECT a.image_id, a.p AS a, b.p AS b FROM m a JOIN m b ON a.image_id = b.image_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1),
+reach AS (SELECT image_id, p AS a, p AS b FROM m UNION SELECT r.image_id, r.a, l.b FROM reach r JOIN link l ON l.image_id = r.image_id AND l.a = r.b),
+comp AS (SELECT image_id, a AS p, min(b) AS c FROM reach GROUP BY 1, 2)"""
+_REGIONS = f"""{_REACH}, reg AS (SELECT image_id, c, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1, count(*) AS area, round(max(v), 6) AS score_max, round(avg(v), 6) AS score_mean FROM comp JOIN m USING (image_id, p) GROUP BY 1, 2 HAVING count(*) >= 2)
+SELECT image_id, (row_number() OVER (PARTITION BY image_id ORDER BY score_max DESC, score_mean DESC, area DESC, y0, x0, y1, x1))::INT AS region, x0, y0, x1, y1, area, score_max FROM reg"""
+
+
 def _bytes(spark, sf_dir):
     """A 16 x 16 map of whole numbers up to 250 for each supplier; a tenth of the suppliers are training images."""
     lines = read(spark, sf_dir, "lineitem")
@@ -124,7 +143,7 @@ def queries():
     found |= {f"feature_{name}": _features(name) for name in images.EXTRACTORS if name not in ("color_hist", "patch_stats", "multi")}
     found |= {"feature_patch_stats": _features("patch_stats", size=None), "feature_gray_levels": gray_levels}
     found |= {f"corrupt_{name}": _corrupted(name) for name in images.CORRUPTIONS}
-    return found | {"map_topk_mean": reduce_topk, "map_area": reduce_area, "map_roi_stats": roi_stats, "map_border_mean": border, "tile_coordinates": tile_coordinates, "tile_stitch": stitched, "defect_regions": defect_regions, "events_hourly": hourly, "events_sessions": user_sessions}
+    return found | {"map_topk_mean": reduce_topk, "map_area": reduce_area, "map_roi_stats": roi_stats, "map_border_mean": border, "tile_coordinates": tile_coordinates, "tile_stitch": stitched, "defect_regions": defect_regions, "defect_regions_tiled": defect_regions_tiled, "labelled_tiles": labelled_tiles, "events_hourly": hourly, "events_sessions": user_sessions}
 
 
 def oracle_sql():
@@ -140,6 +159,9 @@ def oracle_sql():
         "map_border_mean": f"WITH {_G} SELECT image_id, round(avg(CASE WHEN x BETWEEN 2 AND 13 AND y BETWEEN 2 AND 13 THEN v ELSE 0 END), 9) AS score FROM g GROUP BY 1",
         "tile_coordinates": "WITH i AS (SELECT s_suppkey AS image_id, (s_suppkey % 7 + 5)::INT AS h, (s_nationkey + 4)::INT AS w FROM supplier), y AS (SELECT DISTINCT image_id, h, w, least(k * 3, h - 4) AS y0 FROM i, range(0, 20) r(k) WHERE k * 3 < h - 4 + 3), x AS (SELECT DISTINCT image_id, least(k * 3, w - 4) AS x0 FROM i, range(0, 20) r(k) WHERE k * 3 < w - 4 + 3) SELECT image_id, y0::INT AS y0, x0::INT AS x0, (y0 + 4)::INT AS y1, (x0 + 4)::INT AS x1 FROM y JOIN x USING (image_id)",
         "tile_stitch": f"WITH {_G} SELECT image_id, y, x, round(v, 9) AS v FROM g",
+        "defect_regions": _REGIONS.replace("LEAST", "0.07"),
+        "defect_regions_tiled": _REGIONS.replace("LEAST", "0.0701"),
+        "labelled_tiles": _REACH.replace("LEAST", "0.0601") + " SELECT image_id, y, x, (dense_rank() OVER (PARTITION BY image_id ORDER BY c))::INT AS region FROM comp JOIN m USING (image_id, p)",
         "events_hourly": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(avg(value), 9) AS mean, round(stddev_pop(value), 9) AS sd FROM events GROUP BY 1, 2",
         "events_sessions": "WITH a AS (SELECT *, (ts - lag(ts) OVER w >= INTERVAL 30 MINUTE)::INT AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), b AS (SELECT *, sum(coalesce(new, 0)) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM a) SELECT min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS \"end\", user_id, count(*) AS n, round(sum(value), 9) AS total FROM b GROUP BY user_id, s",
     }
