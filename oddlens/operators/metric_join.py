@@ -211,7 +211,7 @@ def _sent(batches, space: Space, pivots: np.ndarray, layout: Layout, radius: flo
         names = batch.schema.names
         for i in range(batch.num_rows):
             x = space.of(batch.column("values")[i].as_py())
-            reach = np.frombuffer(batch.column("radius")[i].as_py()) if radius is None else np.full(len(x), float(radius))
+            reach = _floats(batch.column("radius"), i) if radius is None else np.full(len(x), float(radius))
             home = batch.column("home")[i].as_py() if "home" in names else None
             ids, extra = batch.column("ids")[i].values, batch.column("extra")[i].values
             own = extra.fill_null(-1).to_numpy() if extra is not None and len(extra) else np.full(len(x), -1)
@@ -248,6 +248,11 @@ class Meeting:
     other_extra: np.ndarray
 
 
+def _floats(column: pa.Array, i: int) -> np.ndarray:
+    """Numbers of one row, as bytes or as a list."""
+    return np.frombuffer(column[i].as_py()) if pa.types.is_binary(column.type) else column[i].values.to_numpy(zero_copy_only=False)
+
+
 def _values(column: pa.Array, i: int) -> np.ndarray:
     values = column[i].values
     return np.empty(0) if values is None else values.fill_null(-1).to_numpy(zero_copy_only=False) if pa.types.is_integer(values.type) else values.to_numpy(zero_copy_only=False)
@@ -259,7 +264,7 @@ def _met(batches, space: Space, compare: Callable):
             x, y = (space.of(batch.column(c)[i].as_py()) for c in ("values", "other_values"))
             sides = [_values(batch.column(c), i) for c in ("ids", "extra", "other_ids", "other_extra")]
             extra = [e if len(e) else np.full(len(v), -1) for e, v in ((sides[1], x), (sides[3], y))]
-            yield compare(Meeting(sides[0], x, np.frombuffer(batch.column("radius")[i].as_py()), extra[0], sides[2], y, extra[1]))
+            yield compare(Meeting(sides[0], x, _floats(batch.column("radius"), i), extra[0], sides[2], y, extra[1]))
 
 
 def meet(sent: DataFrame, bank: Blocks, compare: Callable[[Meeting], pa.RecordBatch], schema: str | T.StructType) -> DataFrame:

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from oddlens.functions.ranks import smallest
 from oddlens.operators.base import Detector
 from oddlens.operators.linear import mapped, moments, sample
 from oddlens.operators.neighbours import KNN, nearest
@@ -332,7 +333,8 @@ class PatchCoreLite(_Bank):
         return {"coreset_ratio": 0.2, "metric": "minkowski", "p": 2, "random_state": 0}
 
     def _keep(self, rows):
-        return _by_hash(rows, max(1, int(np.ceil(self.coreset_ratio * rows.count()))), self.random_state or 0)
+        order = F.xxhash64("id", F.lit(self.random_state or 0))
+        return rows.where(order <= F.lit(smallest(rows, order, max(1, int(np.ceil(self.coreset_ratio * rows.count()))))))
 
 
 @register_model("core_patchcore_online", "classical", "core", "neighbors")
@@ -384,32 +386,6 @@ class INNE(_Forest):
         return mapped(rows, partial(_hyperspheres, centres=self.centres, radii=self.radii, next_to=self.next_to))
 
 
-def _dcorr(x, bank, axes):
-    score = np.zeros(len(x))
-    half = axes.shape[1] // 2
-    for k in range(half):
-        a, b = np.abs((x @ axes[:, [k]]) - (bank @ axes[:, [k]]).T), np.abs((x @ axes[:, [half + k]]) - (bank @ axes[:, [half + k]]).T)
-        score += np.abs(((a - a.mean(1, keepdims=True)) * (b - b.mean(1, keepdims=True))).mean(1))
-    return score / half
-
-
-@register_model("core_dcorr", "classical", "core")
-class DCorr(_Forest):
-    """Mean contribution to the distance covariance of pairs of random projections, against a seeded sample."""
-
-    @classmethod
-    def defaults(cls):
-        return {"n_projections": 8, "random_state": 0}
-
-    def _fit(self, train):
-        self.bank, draw = self._sampled(train, 1000)
-        axes = draw.normal(size=(self.n_features, 2 * self.n_projections))
-        self.axes = axes / np.linalg.norm(axes, axis=0)
-
-    def _score(self, rows):
-        return mapped(rows, partial(_dcorr, bank=self.bank, axes=self.axes))
-
-
 def _network(x, centre, scale, layers):
     a = (x - centre) / scale
     for k, (w, b) in enumerate(layers):

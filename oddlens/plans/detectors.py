@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oddlens.functions.vectors import features
-from oddlens.operators import ensembles, kernels, linear, marginal, neighbours, randomised  # noqa: F401  (they register their models)
+from oddlens.operators import distance_covariance, ensembles, graph_scores, kernels, linear, marginal, neighbours, randomised  # noqa: F401  (they register their models)
 from oddlens.operators.registry import catalogue, create_model, model_names
 from oddlens.sources.scratch import read, with_row_id
 

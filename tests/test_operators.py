@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from oddlens.functions import maps
-from oddlens.operators import calibration, ensembles, kernels, linear, marginal, metrics, neighbours, randomised  # noqa: F401
+from oddlens.operators import calibration, distance_covariance, ensembles, graph_scores, kernels, linear, marginal, metrics, neighbours, randomised  # noqa: F401
 from oddlens.operators.registry import create_model, model_names
 from oddlens.sources import manifest
 from oddlens.streaming import watch
