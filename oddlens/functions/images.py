@@ -306,11 +306,18 @@ def blurred(plane: np.ndarray, sigma: float) -> np.ndarray:
 
 
 def lighting(image: np.ndarray, severity: int, rng: np.random.Generator) -> np.ndarray:
-    """Gains by channel, contrast, brightness and gamma, drawn within bounds that grow with the severity."""
-    s = severity / 5
-    shift, contrast, gamma = rng.uniform(-0.15, 0.15) * s * 255, 1 + rng.uniform(-0.25, 0.25) * s, max(0.1, 1 + rng.uniform(-0.25, 0.25) * s)
-    gains = rng.uniform(1 - 0.12 * s, 1 + 0.12 * s, image.shape[2]) if image.shape[2] == 3 else np.ones(image.shape[2])
-    return (np.clip(image * gains * contrast + shift, 0, 255) / 255) ** gamma * 255
+    """Another lamp: light that falls off along a drawn direction, an exposure in stops, and in colour a warm or cold cast.
+
+    From one side of the image to the other the light changes by up to 8 % a severity, the exposure by up to 0.1 stop,
+    and red and blue are moved apart by up to 3 %.
+    """
+    h, w, c = image.shape
+    angle = rng.uniform(0, 2 * math.pi)
+    across = np.linspace(-0.5, 0.5, h)[:, None] * math.sin(angle) + np.linspace(-0.5, 0.5, w)[None] * math.cos(angle)
+    light = (1 + 0.08 * severity * rng.random() * across) * 2 ** rng.normal(0, 0.05 * severity)
+    warmth = 1 + 0.03 * severity * rng.uniform(-1, 1)
+    cast = np.array([warmth, 1.0, 1 / warmth]) if c == 3 else np.ones(c)
+    return image * light[..., None] * cast
 
 
 def blur(image: np.ndarray, severity: int, rng: np.random.Generator) -> np.ndarray:
@@ -318,16 +325,67 @@ def blur(image: np.ndarray, severity: int, rng: np.random.Generator) -> np.ndarr
 
 
 def glare(image: np.ndarray, severity: int, rng: np.random.Generator) -> np.ndarray:
-    """Soft bright discs."""
-    s, (h, w) = severity / 5, image.shape[:2]
+    """Reflections as on curved metal: stretched bell-shaped spots, laid over the image as light on a screen.
+
+    There are one to three spots, each with a spread of 3 to 8 % of the image's diagonal, up to four times longer than
+    wide in a drawn direction; the brightest point takes away 15 % of the remaining darkness a severity.
+    """
+    (h, w), dark = image.shape[:2], 1.0
     y, x = np.mgrid[0:h, 0:w]
-    light = np.zeros((h, w))
-    for _ in range(1 + severity // 2):
-        cx, cy = rng.integers(0, w), rng.integers(0, h)
-        r = max(1, round(max(1.0, min(h, w) * (0.04 + 0.08 * s)) * rng.uniform(0.8, 1.2)))
-        light[(x - cx) ** 2 + (y - cy) ** 2 <= r * r] = 1
-    light = np.clip(blurred(light, 0.5 + 2 * s), 0, 1) * rng.uniform(0.3, 0.9) * s
-    return image + (255 - image) * light[..., None]
+    for _ in range(int(rng.integers(1, 4))):
+        angle, long = rng.uniform(0, math.pi), rng.uniform(1, 4)
+        wide = max(0.5, math.hypot(h, w) * rng.uniform(0.03, 0.08))
+        v, u = y - rng.uniform(0, h - 1), x - rng.uniform(0, w - 1)
+        along, over = u * math.cos(angle) + v * math.sin(angle), v * math.cos(angle) - u * math.sin(angle)
+        dark = dark * (1 - 0.15 * severity * np.exp(-0.5 * ((along / (wide * long)) ** 2 + (over / wide) ** 2)))
+    return 255 - (255 - image) * dark[..., None]
+
+
+# Quality by severity, and the two quantisation tables of the JPEG standard's annex K, row by row.
+QUALITY = (90, 70, 50, 30, 15)
+LUMA_STEPS = """16 11 10 16 24 40 51 61 12 12 14 19 26 58 60 55 14 13 16 24 40 57 69 56 14 17 22 29 51 87 80 62
+18 22 37 56 68 109 103 77 24 35 55 64 81 104 113 92 49 64 78 87 103 121 120 101 72 92 95 98 112 100 103 99"""
+CHROMA_STEPS = """17 18 24 47 99 99 99 99 18 21 26 66 99 99 99 99 24 26 56 99 99 99 99 99 47 66 99 99 99 99 99 99
+99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99"""
+COSINES = np.array([[math.sqrt((1 if k == 0 else 2) / 8) * math.cos((2 * n + 1) * k * math.pi / 16) for n in range(8)] for k in range(8)])
+
+
+def steps(table: str, quality: int) -> np.ndarray:
+    """A quantisation table at a quality of 1 to 100, as the usual encoders scale it."""
+    scale = 5000 // quality if quality < 50 else 200 - 2 * quality
+    return np.clip((np.array(table.split(), int).reshape(8, 8) * scale + 50) // 100, 1, 255)
+
+
+def through_blocks(plane: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """A plane (sides in whole blocks) after the cosine transform of its 8 x 8 blocks, rounding to ``table`` and back. Entropy coding would lose nothing."""
+    h, w = plane.shape
+    blocks = (plane - 128).reshape(h // 8, 8, w // 8, 8).transpose(0, 2, 1, 3)
+    kept = np.floor(COSINES @ blocks @ COSINES.T / table + 0.5) * table
+    return np.clip(np.floor((COSINES.T @ kept @ COSINES).transpose(0, 2, 1, 3).reshape(h, w) + 128.5), 0, 255)
+
+
+def jpeg_at(image: np.ndarray, quality: int) -> np.ndarray:
+    """One channel, or three as luma and two halved chroma planes; the last rows and columns are repeated to whole blocks."""
+    h, w, c = image.shape
+    side = 8 if c == 1 else 16
+    wide = np.pad(image, ((0, -h % side), (0, -w % side), (0, 0)), mode="edge")
+    if c == 1:
+        return through_blocks(wide[..., 0], steps(LUMA_STEPS, quality))[:h, :w, None]
+    red, green, blue = wide[..., 0], wide[..., 1], wide[..., 2]
+    luma = wide[..., :3] @ np.array(LUMA)
+    chroma = [(blue - luma) / (2 - 2 * LUMA[2]) + 128, (red - luma) / (2 - 2 * LUMA[0]) + 128]
+    luma = through_blocks(np.floor(luma + 0.5), steps(LUMA_STEPS, quality))
+    table, (high, across) = steps(CHROMA_STEPS, quality), luma.shape
+    halved = [p.reshape(high // 2, 2, across // 2, 2).mean((1, 3)) for p in chroma]
+    halved = [np.pad(p, ((0, -p.shape[0] % 8), (0, -p.shape[1] % 8)), mode="edge") for p in halved]
+    cb, cr = (through_blocks(np.floor(p + 0.5), table)[: high // 2, : across // 2].repeat(2, 0).repeat(2, 1) - 128 for p in halved)
+    red, blue = luma + (2 - 2 * LUMA[0]) * cr, luma + (2 - 2 * LUMA[2]) * cb
+    green = (luma - LUMA[0] * red - LUMA[2] * blue) / LUMA[1]
+    return np.rint(np.stack([red, green, blue], -1))[:h, :w]
+
+
+def jpeg(image: np.ndarray, severity: int, rng: np.random.Generator) -> np.ndarray:
+    return jpeg_at(image, QUALITY[severity - 1])
 
 
 def geo_jitter(image: np.ndarray, severity: int, rng: np.random.Generator) -> np.ndarray:
@@ -349,7 +407,7 @@ def geo_jitter(image: np.ndarray, severity: int, rng: np.random.Generator) -> np
     return (1 - ty) * ((1 - tx) * image[fy, fx] + tx * image[fy, right]) + ty * ((1 - tx) * image[below, fx] + tx * image[below, right])
 
 
-CORRUPTIONS: dict[str, Callable] = {f.__name__: f for f in (lighting, blur, glare, geo_jitter)}
+CORRUPTIONS: dict[str, Callable] = {f.__name__: f for f in (lighting, blur, glare, jpeg, geo_jitter)}
 
 
 def _corrupted(batches, corruption: str, severity: int, seed: int):

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from oddlens.functions import images, maps, tiled_regions
-from oddlens.operators import pixel_maps
+from oddlens.functions import images, maps, synthesis, tiled_regions
+from oddlens.operators import marginal, neighbours, patch_maps, pixel_maps  # noqa: F401  (some register their models)
 from oddlens.sources.scratch import read
 from oddlens.streaming import watch
 
@@ -129,6 +129,34 @@ def _corrupted(name):
     return query
 
 
+def _patch_map(**how):
+    def query(spark, sf_dir):
+        rows = _images(spark, sf_dir)
+        return _rounded(patch_maps.PatchEmbeddingMap(**how).fit(rows.where("image_id % 2 = 0")).maps(rows), "v")
+
+    return query
+
+
+def _made_defect(preset):
+    """Pixels that changed, inside and outside the mask, of each image."""
+
+    def query(spark, sf_dir):
+        rows = _images(spark, sf_dir)
+        made = synthesis.synthesise(rows, preset, 5).select("image_id", F.col("data").alias("to"), "mask", "label")
+        both = rows.join(made, "image_id").select("image_id", "label", F.posexplode(F.arrays_zip("data", "to", "mask")).alias("k", "p"))
+        moved = (F.col("p.data") != F.col("p.to")).cast("long")
+        return both.groupBy("image_id", "label").agg(F.sum(F.col("p.mask").cast("long")).alias("area"), F.sum(moved * F.col("p.mask")).alias("inside"), F.sum(moved * (1 - F.col("p.mask"))).alias("outside"))
+
+    return query
+
+
+def stitched_unequal(spark, sf_dir):
+    """Tiles of 8 pixels every 6, each with its own number on top, so that overlaps differ: their mean."""
+    sizes = _grid(spark, sf_dir).select("image_id").distinct().select("image_id", F.lit(_SIDE).alias("height"), F.lit(_SIDE).alias("width"))
+    cut = maps.cut_tiles(_grid(spark, sf_dir), maps.tiles(sizes, 8, 6)).withColumn("v", F.col("v") + F.col("y0") + 10 * F.col("x0"))
+    return _rounded(maps.stitch(cut, "mean"), "v")
+
+
 def hourly(spark, sf_dir):
     return _rounded(watch.windowed(read(spark, sf_dir, "events")), "mean", "sd")
 
@@ -143,7 +171,7 @@ def queries():
     found |= {f"feature_{name}": _features(name) for name in images.EXTRACTORS if name not in ("color_hist", "patch_stats", "multi")}
     found |= {"feature_patch_stats": _features("patch_stats", size=None), "feature_gray_levels": gray_levels}
     found |= {f"corrupt_{name}": _corrupted(name) for name in images.CORRUPTIONS}
-    return found | {"map_topk_mean": reduce_topk, "map_area": reduce_area, "map_roi_stats": roi_stats, "map_border_mean": border, "tile_coordinates": tile_coordinates, "tile_stitch": stitched, "defect_regions": defect_regions, "defect_regions_tiled": defect_regions_tiled, "labelled_tiles": labelled_tiles, "events_hourly": hourly, "events_sessions": user_sessions}
+    return found | {"map_topk_mean": reduce_topk, "map_area": reduce_area, "map_roi_stats": roi_stats, "map_border_mean": border, "tile_coordinates": tile_coordinates, "tile_stitch": stitched, "tile_stitch_unequal": stitched_unequal, "patch_embedding_map": _patch_map(detector="core_dtc", size=2, interpolation="nearest"), "patch_embedding_map_knn": _patch_map(detector="core_knn", size=4, stride=2, features="edge_stats"), **{f"synthesis_{p}": _made_defect(p) for p in synthesis.PRESETS}, "defect_regions": defect_regions, "defect_regions_tiled": defect_regions_tiled, "labelled_tiles": labelled_tiles, "events_hourly": hourly, "events_sessions": user_sessions}
 
 
 def oracle_sql():
@@ -159,9 +187,10 @@ def oracle_sql():
         "map_border_mean": f"WITH {_G} SELECT image_id, round(avg(CASE WHEN x BETWEEN 2 AND 13 AND y BETWEEN 2 AND 13 THEN v ELSE 0 END), 9) AS score FROM g GROUP BY 1",
         "tile_coordinates": "WITH i AS (SELECT s_suppkey AS image_id, (s_suppkey % 7 + 5)::INT AS h, (s_nationkey + 4)::INT AS w FROM supplier), y AS (SELECT DISTINCT image_id, h, w, least(k * 3, h - 4) AS y0 FROM i, range(0, 20) r(k) WHERE k * 3 < h - 4 + 3), x AS (SELECT DISTINCT image_id, least(k * 3, w - 4) AS x0 FROM i, range(0, 20) r(k) WHERE k * 3 < w - 4 + 3) SELECT image_id, y0::INT AS y0, x0::INT AS x0, (y0 + 4)::INT AS y1, (x0 + 4)::INT AS x1 FROM y JOIN x USING (image_id)",
         "tile_stitch": f"WITH {_G} SELECT image_id, y, x, round(v, 9) AS v FROM g",
-        "defect_regions": _REGIONS.replace("LEAST", "0.07"),
         "defect_regions_tiled": _REGIONS.replace("LEAST", "0.0701"),
         "labelled_tiles": _REACH.replace("LEAST", "0.0601") + " SELECT image_id, y, x, (dense_rank() OVER (PARTITION BY image_id ORDER BY c))::INT AS region FROM comp JOIN m USING (image_id, p)",
+        "tile_stitch_unequal": f"WITH {_G}, s AS (SELECT unnest([0, 6, 8]) AS s) SELECT image_id, y, x, round(avg(v + a.s + 10 * b.s), 9) AS v FROM g, s a, s b WHERE y >= a.s AND y < a.s + 8 AND x >= b.s AND x < b.s + 8 GROUP BY 1, 2, 3",
+        "patch_embedding_map": f"WITH {_FULL}, c AS (SELECT image_id, y // 2 AS py, x // 2 AS px, y % 2 * 2 + x % 2 AS k, v / 255.0 AS v FROM f), m AS (SELECT k, avg(v) AS mu FROM c WHERE image_id % 2 = 0 GROUP BY k), d AS (SELECT image_id, py, px, sqrt(sum((v - mu) ** 2)) AS d FROM c JOIN m USING (k) GROUP BY 1, 2, 3) SELECT image_id, y::INT AS y, x::INT AS x, round(d, 9) AS v FROM f JOIN d USING (image_id) WHERE py = y // 2 AND px = x // 2",
         "events_hourly": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(avg(value), 9) AS mean, round(stddev_pop(value), 9) AS sd FROM events GROUP BY 1, 2",
         "events_sessions": "WITH a AS (SELECT *, (ts - lag(ts) OVER w >= INTERVAL 30 MINUTE)::INT AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), b AS (SELECT *, sum(coalesce(new, 0)) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM a) SELECT min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS \"end\", user_id, count(*) AS n, round(sum(value), 9) AS total FROM b GROUP BY user_id, s",
     }
