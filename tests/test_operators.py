@@ -75,19 +75,46 @@ def test_aupro_of_a_perfect_map(spark):
     assert metrics.pro(spark.createDataFrame(rows, "image_id long, region int, score double")).first()[0] == pytest.approx(1.0)
 
 
-def test_calibration(spark):
-    scores = spark.createDataFrame([(i, float(i)) for i in range(4)], "id long, score double")
-    asked = spark.createDataFrame([(0, 0.0), (1, 1.5), (2, 3.0)], "id long, score double")
-    got = calibration.RankCalibrator().fit(scores).transform(asked).orderBy("id").toPandas().score.tolist()
-    assert got == [0.25, 0.5, 1.0]
-    five = spark.createDataFrame([(i, float(i)) for i in range(5)], "id long, score double")
-    assert calibration.pot_threshold(five, 0.2) == (pytest.approx(3.2), "quantile_fallback")
-    ties = spark.createDataFrame([(0, 1.0), (1, 1.0), (2, 2.0), (3, 3.0)], "id long, score double")
-    ranked = calibration.rank01(ties).orderBy("id").toPandas().score
-    assert ranked[0] == ranked[1] and ranked[3] == 1
-    three = [spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "id long, score double") for x in ([0, 1, 2], [10, 20, 30])]
-    assert calibration.combine(three, "mean_rank").orderBy("id").toPandas().score.tolist() == [0, 0.5, 1]
-    assert calibration.combine(three, "mean").orderBy("id").toPandas().score.tolist() == [5, 10.5, 16]
+def table(spark, values):
+    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "id long, score double")
+
+
+def told(df):
+    return [r.score for r in df.orderBy("id").collect()]
+
+
+def test_rank_calibration_counts_what_is_not_above(spark):
+    draw = np.random.default_rng(11)
+    known, asked = np.round(draw.exponential(size=57), 1), np.round(draw.exponential(size=23) * 2 - 0.5, 1)
+    got = told(calibration.RankCalibrator().fit(table(spark, known)).transform(table(spark, asked)))
+    assert got == pytest.approx([sum(k <= a for k in known) / 57 for a in asked])
+
+
+def test_pareto_tail_and_its_fallback(spark):
+    draw = np.random.default_rng(12)
+    few = draw.normal(size=41)
+    value, how = calibration.pot_threshold(table(spark, few), 0.05)
+    assert how == "quantile_fallback" and value == pytest.approx(np.quantile(few, 0.95))
+    many = draw.exponential(3.0, size=4000)
+    value, how = calibration.pot_threshold(table(spark, many), 0.01)
+    start = np.quantile(many, 0.9)
+    over = many[many > start] - start
+    ratio = over.mean() ** 2 / over.var(ddof=1)
+    shape, scale = (1 - ratio) / 2, over.mean() * (1 + ratio) / 2
+    assert how == "pot" and value == pytest.approx(start + scale / shape * (10**shape - 1), rel=1e-6)
+    assert abs(value - 3 * math.log(100)) < 1.5  # the true quantile of that distribution
+    model = create_model("core_mad", threshold_method="pot", contamination=0.02).fit(spark.createDataFrame([(i, [float(v)]) for i, v in enumerate(many)], "id long, features array<double>"))
+    assert model.threshold == pytest.approx(calibration.pot_threshold(model.train_scores, 0.02)[0])
+
+
+def test_ranks_and_their_means(spark):
+    draw = np.random.default_rng(13)
+    one, two = draw.permutation(9) * 1.5, np.exp(draw.permutation(9))
+    want = (np.argsort(np.argsort(one)) + np.argsort(np.argsort(two))) / 16
+    assert told(calibration.combine([table(spark, one), table(spark, two)], "mean_rank")) == pytest.approx(want.tolist())
+    assert told(calibration.combine([table(spark, one), table(spark, two)], "mean")) == pytest.approx(((one + two) / 2).tolist())
+    tied = told(calibration.rank01(table(spark, [7, 2, 7, 9, 2, 4])))
+    assert tied[0] == tied[2] and tied[1] == tied[4] and tied[3] == max(tied) == 1 and tied[1] < tied[5] < tied[0]
 
 
 def test_regions_and_tiles(spark):
