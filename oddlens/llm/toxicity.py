@@ -1,13 +1,15 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Five weighted transducers - insults, threats with their frames and objects, negation, reported speech, targets - are
-composed to one machine. A text is scanned for trigger words by an automaton; the clause around a trigger is read as a
+Six weighted transducers - what an insult is said of, insults, threats with their frames and objects, negation,
+reported speech, targets - are composed to one machine. A text is scanned for trigger words by an automaton; the clause around a trigger is read as a
 sequence of word classes, whose arcs carry the lexicon's weights, and scored by the best path through the machine. The
 arcs of a path multiply: a match in a denied or reported clause is worth a fraction, one that is aimed at someone,
 before or after it, is worth more. The score of a text is the chance that at least one of the matches on the best
 paths of its clauses is toxic: 1 - product(1 - weight). Words alone score nothing that their clause takes back ("not
 stupid", 'she said: "idiot"'). A threat needs a person as object or a frame of what is to come ("you will burn");
-those without count once, and little, in a text.
+those without count once, and little, in a text. So does a word of the insult lexicon that is neither said of someone
+("you are a clown", "you clown") nor called at someone ("clown!", "clown, you ..."): "the circus clown" is none. Words
+that labelled data show to be toxic by themselves (PROVEN) match wherever they stand.
 
 The insult lexicon holds fixed English words and, per labelled data, learned words and word stems: candidates
 are counted in a sample of labelled documents (at most SAMPLE of each label) and chosen greedily, each for the
@@ -53,13 +55,20 @@ CONTRASTS = "but however although though yet".split()
 OBJECTS = "you yourself u ya him them everyone people".split()
 OWNERS = "your yours his her hers their".split()
 SUBJECTS = "i we".split()
-FUTURE = "will shall should must gonna wanna going".split()
+FUTURE = "will shall gonna wanna going".split()
+OUGHT = "should must ought".split()
+SECOND = "you u ya yourself".split()
+DEMONSTRATIVES = "this that these those".split()
+COPULAS = "are is am was were been become became".split()
+ARTICLES = "a an such so really very just quite too total complete absolute utter".split()
 FILLERS = "all of every one each both the down up to be get".split()
 OBJECT_REACH = 3  # words between a threat and its object, of FILLERS
 STRONG = 0.5  # weight from which a word is an insult and can be aimed; below it is a hint
 # Weights: of a plain lexicon word before data, of a threat with and without a target, and of contexts.
-PLAIN, WEAK, THREAT, LONE_THREAT, NEGATED, REPORTED, AIMED = 0.85, 0.6, 0.7, 0.02, 0.1, 0.3, 1.5
+PLAIN, WEAK, THREAT, LONE_THREAT, BARE, NEGATED, REPORTED, AIMED = 0.85, 0.6, 0.7, 0.02, 0.1, 0.1, 0.3, 1.5
+PROVEN = (3, 0.75)  # toxic documents at least, and part of the documents that hold a word, for it to match by itself
 
+FIXED = frozenset(INSULTS)
 _BREAK = re.compile(r"[.;!?\n|]+")
 _TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[\"“”«»]|,")
 
@@ -97,52 +106,99 @@ def compose(machines: list[Transducer], alphabet: list[str]) -> Transducer:
     return Transducer(arcs, start, owing)
 
 
+def _said_of() -> Transducer:
+    """A bound INSULT becomes a SLUR where it is said of someone or called at someone, and else is BARE.
+
+    Said of: after "you" or after any person and a form of "be", articles and fillers between. Called: at the start of
+    a clause or after a comma, with its end, a comma, a contrast or "you" next; that path owes it.
+    """
+    arcs: dict[tuple, list[tuple]] = {}
+    keeps = ("ART", "THE", "FILLER", "NOT")
+    for state in ("start", "mid", "comma", "second", "third", "is", "called"):
+        for symbol in ALPHABET:
+            to = "mid"
+            if symbol in keeps:
+                to = state
+            elif symbol == "COMMA":
+                to = "comma"
+            elif symbol == "BUT":
+                to = "start"
+            elif symbol == "SECOND":
+                to = "second"
+            elif symbol in ("YOU", "OBJECT"):
+                to = "third"
+            elif symbol == "YOURE" or symbol == "COPULA" and state in ("second", "third"):
+                to = "is"
+            out = {"YOURE": "SECOND", "COPULA": "WORD", "DEM": "YOU"}.get(symbol, symbol)
+            ends = state == "called" and symbol not in ("COMMA", "BUT", "SECOND", "YOURE")
+            if symbol == "INSULT":
+                said = [("mid", "SLUR", 1.0)] if state in ("second", "is") else [("mid", "BARE", 1.0)]
+                arcs[state, symbol] = [] if ends else [*said, *([("called", "SLUR", 1.0)] if state in ("start", "comma") else [])]
+            else:
+                arcs[state, symbol] = [] if ends else [("mid" if to == "called" else to, out, 1.0)]
+    return Transducer(arcs)
+
+
 def _insults() -> Transducer:
-    """Strong insults match as they stand or, by another path, as part of what is said to a target; hints only match."""
-    return Transducer({("start", "INSULT"): [("start", "INSULT", 1.0), ("start", "AIMED", 1.0)]})
+    """Insults match as they stand or, by another path, as part of what is said to a target; hints only match."""
+    return Transducer({("start", "SLUR"): [("start", "INSULT", 1.0), ("start", "AIMED", 1.0)]})
 
 
 def _threats() -> Transducer:
-    """A threat needs an object within OBJECT_REACH fillers, or a frame of what is to come: "you will burn" without an
-    object, "I will burn down their house" with one later on. By another path it stands alone.
+    """A threat needs an object within OBJECT_REACH fillers, or a frame of what is to come: "you will burn" without a
+    thing as object, "I will burn down their house" with one later on. By another path it stands alone. "You" is an
+    object anywhere; others are where the speaker acts ("I", "we") or calls for it ("kill them", "they should hang"),
+    not where something is told ("the people kill them with kindness").
 
-    States are pairs: the frame (start, you, me, doom, vow) and what a threat before still owes (none, near0.., far).
+    States are pairs: the frame (open, start, you, me, doom, vow) and what a threat before still owes (none; near0.. and
+    you0.., an object within so many fillers; far; thing, no article next).
     """
-    frames, reach = ("start", "you", "me", "doom", "vow"), [f"near{k}" for k in range(OBJECT_REACH + 1)]
+    frames = ("open", "start", "you", "me", "doom", "vow")
+    reach, second = ([f"{n}{k}" for k in range(OBJECT_REACH + 1)] for n in ("near", "you"))
     arcs: dict[tuple, list[tuple]] = {}
 
     def frame_after(frame: str, symbol: str) -> str:
-        fixed = {"OBJECT": "you", "SUBJECT": "me", "VOW": "vow", "DOOM": "doom", "BUT": "start"}
+        fixed = {"SECOND": "you", "SUBJECT": "me", "VOW": "vow", "OUGHT": "vow", "DOOM": "doom", "BUT": "open"}
         if symbol == "FUTURE":
             return {"you": "doom", "me": "vow"}.get(frame, frame)
-        if symbol in ("WORD", "INSULT", "HINT", "AIMED", "COMMA") and frame in ("doom", "you"):
+        if symbol == "OBJECT" and frame != "vow":
+            return "you"
+        if frame == "open" and symbol not in ("FILLER", "THE", "COMMA", "NOT", "BUT", *fixed):
+            return "start"
+        if symbol in ("WORD", "ART", "SLUR", "INSULT", "BARE", "HINT", "AIMED", "COMMA") and frame in ("doom", "you"):
             return "start"
         return fixed.get(symbol, frame)
 
     def owed_after(owed: str, symbol: str) -> str | None:
         """What is owed after a symbol that is no threat; None ends the path."""
-        if owed == "none" or symbol == "OBJECT":
+        if owed == "none":
+            return "none"
+        if owed == "thing":
+            return None if symbol in ("ART", "THE", "OWNER") else "none"
+        if symbol == "SECOND" or symbol == "OBJECT" and owed not in second:
             return "none"
         if owed == "far":
             return "none" if symbol == "OWNER" else None if symbol == "BUT" else "far"
-        k = reach.index(owed)
-        return reach[k - 1] if symbol == "FILLER" and k else None
+        row = second if owed in second else reach
+        k = row.index(owed)
+        return row[k - 1] if symbol in ("FILLER", "THE") and k else None
 
     for frame in frames:
-        for owed in ("none", *reach, "far"):
+        for owed in ("none", *reach, *second, "far", "thing"):
+            near = owed in reach or owed in second
             for symbol in ALPHABET:
                 if symbol == "THREAT":
-                    match = [((frame, reach[-1]), "THREAT", 1.0)]
-                    if frame == "doom" and owed not in reach:
-                        match.append(((frame, owed), "THREAT", 1.0))
-                    if frame == "vow" and owed not in reach:
+                    match = [((frame, (reach if frame in ("open", "me", "vow") else second)[-1]), "THREAT", 1.0)]
+                    if frame == "doom" and not near:
+                        match.append(((frame, "thing"), "THREAT", 1.0))
+                    if frame == "vow" and not near:
                         match.append(((frame, "far"), "THREAT", 1.0))
-                    arcs[(frame, owed), symbol] = match if owed in reach else [*match, ((frame, owed), "LONE", 1.0)]
+                    arcs[(frame, owed), symbol] = match if near else [*match, ((frame, owed), "LONE", 1.0)]
                 else:
                     owes = owed_after(owed, symbol)
-                    arcs[(frame, owed), symbol] = [] if owes is None else [((frame_after(frame, symbol), owes), symbol, 1.0)]
-            arcs[(frame, owed), "AIMED"] = [(to, "AIMED", w) for to, _, w in arcs[(frame, owed), "INSULT"]]
-    return Transducer(arcs, ("start", "none"), frozenset((f, owed) for f in frames for owed in (*reach, "far")))
+                    out = {"SECOND": "OBJECT", "OUGHT": "FUTURE", "THE": "FILLER", "ART": "WORD"}.get(symbol, symbol)
+                    arcs[(frame, owed), symbol] = [] if owes is None else [((frame_after(frame, symbol), owes), out, 1.0)]
+    return Transducer(arcs, ("open", "none"), frozenset((f, owed) for f in frames for owed in (*reach, *second, "far")))
 
 
 def _negation() -> Transducer:
@@ -158,8 +214,26 @@ def _negation() -> Transducer:
 
 
 def _reported() -> Transducer:
-    arcs = {("start", "SAY"): [("said", "SAY", 1.0)], ("said", "BUT"): [("start", "BUT", 1.0)], ("start", "QUOTE"): [("quote", "QUOTE", 1.0)], ("said", "QUOTE"): [("quote", "QUOTE", 1.0)], ("quote", "QUOTE"): [("start", "QUOTE", 1.0)]}
-    return Transducer(arcs | {(state, s): [(state, s, REPORTED)] for state in ("said", "quote") for s in MATCHES})
+    """Speech that is reported before ("she said you are ..."), in quotes, or after it ("you are ..., he said").
+
+    For the last, a match outside of quotes goes two ways: one ends where a comma or quote, somebody and SAY follow,
+    the other owes just that and is weakened.
+    """
+    arcs: dict[tuple, list[tuple]] = {("start", "SAY"): [("said", "SAY", 1.0)], ("said", "BUT"): [("start", "BUT", 1.0)], ("start", "QUOTE"): [("quote", "QUOTE", 1.0)], ("said", "QUOTE"): [("quote", "QUOTE", 1.0)], ("quote", "QUOTE"): [("start", "QUOTE", 1.0)]}
+    arcs |= {(state, s): [(state, s, REPORTED)] for state in ("said", "quote") for s in MATCHES}
+    arcs |= {("start", s): [("free", s, 1.0), ("owes", s, REPORTED)] for s in MATCHES}
+    for way, weight in (("free", 1.0), ("owes", REPORTED)):
+        comma, speaker = f"{way} comma", f"{way} speaker"
+        for state in (way, comma, speaker):
+            arcs |= {(state, s): [(way, s, weight)] for s in MATCHES}
+            arcs |= {(state, s): [(way, s, 1.0)] for s in ALPHABET if s not in MATCHES}
+            arcs[state, "COMMA"] = [(comma, "COMMA", 1.0)]
+            arcs[state, "QUOTE"] = [(comma, "QUOTE", 1.0)]
+        arcs[way, "SAY"] = [("said", "SAY", 1.0)] if way == "free" else [(way, "SAY", 1.0)]
+        arcs |= {(comma, s): [(speaker, s, 1.0)] for s in ("YOU", "WORD")}
+        for state in (comma, speaker):
+            arcs[state, "SAY"] = [] if way == "free" else [("said", "SAY", 1.0)]
+    return Transducer(arcs, owing=frozenset({"owes", "owes comma", "owes speaker"}))
 
 
 def _target() -> Transducer:
@@ -173,21 +247,27 @@ def _target() -> Transducer:
 
 
 AT = ("YOU", "OBJECT", "OWNER", "DOOM")
-MATCHES = ("INSULT", "AIMED", "HINT", "THREAT", "LONE")
-ALPHABET = ["WORD", "INSULT", "HINT", "THREAT", *AT, "SUBJECT", "FUTURE", "VOW", "FILLER", "NOT", "BUT", "SAY", "QUOTE", "COMMA"]
-KINDS = dict.fromkeys(FILLERS, "FILLER") | dict.fromkeys(TARGETS, "YOU") | dict.fromkeys(NEGATIONS, "NOT") | dict.fromkeys(REPORTS, "SAY") | dict.fromkeys(CONTRASTS, "BUT") | dict.fromkeys(SUBJECTS, "SUBJECT") | dict.fromkeys(FUTURE, "FUTURE") | dict.fromkeys(OBJECTS, "OBJECT") | dict.fromkeys(OWNERS, "OWNER") | {w + "'ll": "VOW" for w in SUBJECTS} | {"you'll": "DOOM", ",": "COMMA", "i'm": "SUBJECT", "we're": "SUBJECT", "you're": "OBJECT"} | dict.fromkeys('"“”«»', "QUOTE")
+MATCHES = ("INSULT", "AIMED", "HINT", "THREAT", "LONE", "BARE")
+ONCE = {"LONE": LONE_THREAT, "BARE": BARE}  # what counts once in a text
+ALPHABET = ["WORD", "INSULT", "SLUR", "HINT", "THREAT", *AT, "SECOND", "YOURE", "DEM", "COPULA", "ART", "THE", "SUBJECT", "FUTURE", "OUGHT", "VOW", "FILLER", "NOT", "BUT", "SAY", "QUOTE", "COMMA"]
+KINDS = dict.fromkeys(FILLERS, "FILLER") | dict.fromkeys(TARGETS, "YOU") | dict.fromkeys(NEGATIONS, "NOT") | dict.fromkeys(REPORTS, "SAY") | dict.fromkeys(CONTRASTS, "BUT") | dict.fromkeys(SUBJECTS, "SUBJECT") | dict.fromkeys(FUTURE, "FUTURE") | dict.fromkeys(OUGHT, "OUGHT") | dict.fromkeys(DEMONSTRATIVES, "DEM") | dict.fromkeys(COPULAS, "COPULA") | dict.fromkeys(ARTICLES, "ART") | {"the": "THE"} | dict.fromkeys(OBJECTS, "OBJECT") | dict.fromkeys(SECOND, "SECOND") | dict.fromkeys(OWNERS, "OWNER") | {w + "'ll": "VOW" for w in SUBJECTS} | {"you'll": "DOOM", ",": "COMMA", "i'm": "SUBJECT", "we're": "SUBJECT", "you're": "YOURE", "ur": "YOURE"} | dict.fromkeys('"“”«»', "QUOTE")
 
 
 @cache
 def machine() -> Transducer:
-    """The five transducers, composed."""
-    return compose([_insults(), _threats(), _negation(), _reported(), _target()], ALPHABET)
+    """The six transducers, composed."""
+    return compose([_said_of(), _insults(), _threats(), _negation(), _reported(), _target()], ALPHABET)
 
 
 class Grammar:
-    """Lexicon: insult words, stems (ending in ``*``) and threats (beginning with ``!``) with the weights of their arcs."""
+    """Lexicon: insult words, stems (ending in ``*``) and threats (beginning with ``!``) with the weights of their arcs.
+
+    Words that begin with ``+``, stems and words outside the fixed list match by themselves: data have shown them to.
+    """
 
     def __init__(self, insults: dict[str, float]):
+        self.free = {w[1:] for w in insults if w.startswith("+")}
+        insults = {w.lstrip("+"): p for w, p in insults.items()}
         self.threats = dict.fromkeys(THREATS, THREAT) | {w[1:]: p for w, p in insults.items() if w.startswith("!")}
         self.words = {w: p for w, p in insults.items() if not w.startswith("!") and not w.endswith("*")}
         self.stems = {w[:-1]: p for w, p in insults.items() if w.endswith("*")}
@@ -208,13 +288,13 @@ class Grammar:
         for word in _TOKEN.findall(text):
             p = self.weight(word)
             if p:
-                out.append((word, "INSULT" if p >= STRONG else "HINT", p))
+                out.append((word, "HINT" if p < STRONG else "INSULT" if word in FIXED and word not in self.free else "SLUR", p))
             elif word in self.threats:
                 out.append((word, "THREAT", self.threats[word]))
             else:
                 out.append((word, KINDS.get(word.replace("’", "'"), "WORD"), 0.0))
         for k, (word, _, _) in enumerate(out):  # "her" is an object where no word follows that she could own
-            if word == "her" and (k + 1 == len(out) or out[k + 1][1] not in ("WORD", "FILLER", "INSULT", "HINT")):
+            if word == "her" and (k + 1 == len(out) or out[k + 1][1] not in ("WORD", "FILLER", "INSULT", "SLUR", "HINT")):
                 out[k] = (word, "OBJECT", 0.0)
         return out
 
@@ -231,9 +311,9 @@ class Grammar:
                 for to, out, w in fsm(state, symbol):
                     more, then = evidence, found
                     if out in MATCHES:
-                        chance = w * (LONE_THREAT if out == "LONE" else 1 - (1 - p) ** AIMED if out == "AIMED" else p)
-                        # Lone threats count once in a text, so they are worth no path.
-                        more, then = evidence + (0.0 if out == "LONE" else -log1p(-min(chance, 0.999999))), (found, (word, out, chance, w))
+                        chance = w * (ONCE[out] if out in ONCE else 1 - (1 - p) ** AIMED if out == "AIMED" else p)
+                        # What counts once in a text is worth no path.
+                        more, then = evidence + (0.0 if out in ONCE else -log1p(-min(chance, 0.999999))), (found, (word, out, chance, w))
                     if to not in new or more > new[to][0]:
                         new[to] = (more, then)
             paths = new
@@ -261,13 +341,15 @@ class Grammar:
         return out
 
     def score(self, text: str | None) -> float:
-        rest, lone = 1.0, 0.0
+        rest, once = 1.0, dict.fromkeys(ONCE, 0.0)
         for _, _, symbol, p, _ in self.clauses(text):
-            if symbol == "LONE":  # counts once, however long the text
-                lone = max(lone, p)
+            if symbol in ONCE:  # however long the text
+                once[symbol] = max(once[symbol], p)
             else:
                 rest *= 1 - p
-        return 1 - rest * (1 - lone)
+        for p in once.values():
+            rest *= 1 - p
+        return 1 - rest
 
 
 def _features(text: str | None) -> set[str]:
@@ -327,9 +409,15 @@ def learn(docs: DataFrame, labels: DataFrame) -> Grammar:
         toxic = rows.where("toxic = 1").select("text").mapInArrow(partial(_present, names=frozenset({*table, *INSULTS})), "found array<string>").collect()
         prior = {w: WEAK if w in MILD else PLAIN for w in INSULTS} | {f"!{w}": THREAT for w in THREATS}
         lexicon = {w: (p * 2 + fixed.get(w, (0, 0))[0]) / (2 + sum(fixed.get(w, (0, 0)))) for w, p in prior.items()}
-        stems = _explain([set(r.found) for r in toxic], {w for w, p in lexicon.items() if p >= 0.5}, table)
+        stems = _explain([set(r.found) for r in toxic], {w.lstrip("+!") for w, p in lexicon.items() if p >= STRONG and w.startswith(("+", "!"))}, table)
+        least, part = PROVEN
+        for w in INSULTS:
+            bad, good = fixed.get(w, (0, 0))
+            if bad >= least and bad >= part * (bad + good):
+                lexicon["+" + w] = lexicon.pop(w)
         for stem, purity in stems.items():
-            lexicon[stem] = 0.9 * purity**3
+            lexicon.pop(stem, None)
+            lexicon[("+" if stem in FIXED else "") + stem] = 0.9 * purity**3
         starts = [w[:-1] for w in stems if w.endswith("*")]
         if starts:
             begins = F.col("feature").startswith(starts[0])
@@ -337,6 +425,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Grammar:
                 begins |= F.col("feature").startswith(w)
             for r in counts.where(begins & ~F.col("feature").endswith("*")).collect():
                 base = max(lexicon[w + "*"] for w in starts if r.feature.startswith(w))
+                if "+" + r.feature in lexicon:
+                    continue
                 lexicon[r.feature] = min((r.bad + base) / (r.bad + r.good + 1), ALONE if base < STRONG else 1)
         counts.unpersist()
     finally:
@@ -373,7 +463,7 @@ def _kept(batches: Batches, grammar: dict[str, float]) -> Batches:
 
 
 def lexicon_of(grammar: Grammar) -> dict[str, float]:
-    return grammar.words | {f"{w}*": p for w, p in grammar.stems.items()} | {f"!{w}": p for w, p in grammar.threats.items()}
+    return {("+" if w in grammar.free else "") + w: p for w, p in grammar.words.items()} | {f"{w}*": p for w, p in grammar.stems.items()} | {f"!{w}": p for w, p in grammar.threats.items()}
 
 
 def score(docs: DataFrame, grammar: Grammar) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from oddlens.llm import common, mixing, ngram_join
+from oddlens.llm import common, mixing, ngram_join, toxicity
 
 
 @pytest.mark.parametrize("bits", [15, 28])
@@ -37,3 +37,25 @@ def test_keep_one_and_mix_repeat_what_they_should(spark):
     for r in mixing.mix(docs, weights=(3, 1, 2), budget=1.5, least=1, most=2).collect():
         due[r.doc_id, r.source, r.size] += 1 + (r.taken > r.size)
     assert have == due
+
+
+CLEAN = """the garbage truck|pig farmers feed the rat|retarded growth of the crystal|the circus clown|the people kill them with kindness|he was going to hang them on the wall
+they shoot him a mail|you will burn the toast|You are an idiot, he said|you are not stupid|she said: "idiot"|nobody called him a fool|this garbage collector works in a parallel heap|his lazy evaluation of their trash
+kill the process|they trash the room|a rat and a pig and a clown and garbage and trash in one text""".replace("\n", "|").split("|")
+TOXIC = """you are an idiot|You stupid clown!|idiot!|you are such a pathetic loser|I will kill you|I will burn down their house|kill them all|you will burn in hell|he is a moron|you're worthless
+clown, you know nothing|shut up, moron|we should hang them|somebody should shoot him|I'll destroy him|they are scum|you trash""".replace("\n", "|").split("|")
+
+
+def test_clauses_not_words_are_scored():
+    plain = toxicity.Grammar({w: toxicity.WEAK if w in toxicity.MILD else toxicity.PLAIN for w in toxicity.INSULTS})
+    assert [t for t in CLEAN if plain.score(t) >= toxicity.THRESHOLD] == []
+    assert [t for t in TOXIC if plain.score(t) < toxicity.THRESHOLD] == []
+
+
+def test_clean_sentences_stay_clean_after_learning(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    learned = toxicity.learn(docs, labels)
+    shown = {w for w in learned.free}
+    assert shown  # the labelled texts hold some words of the list by themselves
+    rest = [t for t in CLEAN if not shown & set(t.lower().replace(",", "").split()) and learned.score(t) >= toxicity.THRESHOLD]
+    assert rest == [] and [t for t in TOXIC if learned.score(t) < toxicity.THRESHOLD] == []
