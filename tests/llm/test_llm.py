@@ -354,8 +354,8 @@ def test_toxic_clauses():
 
 
 def test_the_composed_machine_equals_all_paths():
-    """The best path against an enumeration of every path through the five transducers one after another."""
-    machines = [toxicity._insults(), toxicity._threats(), toxicity._negation(), toxicity._reported(), toxicity._target()]
+    """The best path against an enumeration of every path through the six transducers one after another."""
+    machines = [toxicity._said_of(), toxicity._insults(), toxicity._threats(), toxicity._negation(), toxicity._reported(), toxicity._target()]
     draw = np.random.default_rng(2)
     words = ["idiot", "mild", "kill", "burn", "you", "him", "their", "they", "i", "we'll", "you'll", "will", "up", "not", "but", "said", '"', ",", "house"]
     grammar = toxicity.Grammar({"idiot": 0.9, "mild": 0.2})
@@ -377,7 +377,7 @@ def test_the_composed_machine_equals_all_paths():
         kinds = {tuple(x for x in out if x in toxicity.MATCHES) for out, _ in through(tuple(x for _, x, _ in read), 0)}
         found = tuple(x for _, x, _, _ in grammar.clause(text))
         assert found in kinds, text
-        chance = {"AIMED": lambda p: 1 - (1 - p) ** 1.5, "LONE": lambda p: 0.0}
+        chance = {"AIMED": lambda p: 1 - (1 - p) ** 1.5, "LONE": lambda p: 0.0, "BARE": lambda p: 0.0}
 
         def evidence(out):
             # One match: its own weight is the path's, so the best is seen directly.
@@ -386,7 +386,7 @@ def test_the_composed_machine_equals_all_paths():
         if sum(x in toxicity.MATCHES for _, x, _ in read) == 1:
             best = max(1 - evidence(out) for out in through(tuple(x for _, x, _ in read), 0))
             (_, x, p, _), = grammar.clause(text)
-            assert (0.0 if x == "LONE" else p) == pytest.approx(best), text
+            assert (0.0 if x in toxicity.ONCE else p) == pytest.approx(best), text
 
 
 def test_clauses_are_read_whole():
@@ -416,12 +416,12 @@ def test_threats_need_an_object():
 
 
 def test_threat_weights_are_learned(spark):
-    rows = [(i, f"text {i}, they beat him again" if i % 2 else f"you idiot {i}") for i in range(40)]
+    rows = [(i, f"text {i}, I beat him again" if i % 2 else f"you idiot {i}") for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, 1 - i % 2) for i, _ in rows], "doc_id long, toxic int")
     grammar = toxicity.learn(docs, labels)
     assert grammar.threats["beat"] < 0.1 and grammar.threats["kill"] == pytest.approx(0.7)
-    assert grammar.score("they beat him again") < 0.3
+    assert grammar.score("they beat him again") < 0.3 and grammar.score("I beat him again") < 0.3
 
 
 def test_classifiers_awkward(spark, awkward, empty):
