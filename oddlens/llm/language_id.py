@@ -5,7 +5,7 @@ all its segmentations into pieces, by the forward algorithm, and a text's the pr
 probabilities are learned by expectation maximisation over the words of a bounded sample of texts; the vocabulary is
 read from a file of byte pieces with ranks (every byte is one, so every word has a segmentation) and never copied.
 
-Words are runs of letters (Unicode category L), lower-cased, with a leading space, of any length. Pieces are found by
+Words are runs of letters (Unicode category L) and of marks (M) after them, lower-cased, with a leading space, of any length. Pieces are found by
 one automaton over many words at a time. Texts that are null or have no letter are ``und`` with score 0. Rows with
 equal ids are rows of their own; lang, source and doc_id are never inputs of a prediction.
 """
@@ -14,8 +14,10 @@ from __future__ import annotations
 
 import base64
 import re
+import unicodedata
 from collections import Counter
 from functools import cached_property, partial
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -35,6 +37,17 @@ FLOOR = 1e-9  # of a piece's probability, against words of other scripts
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def _marks() -> str:
+    """A pattern's ranges of all characters of category M."""
+    found = [c for c in (*range(0x300, 0x1F000), *range(0xE0100, 0xE01F0)) if unicodedata.category(chr(c))[0] == "M"]
+    ends = [k for k, c in enumerate(found) if k + 1 == len(found) or found[k + 1] != c + 1]
+    return "".join(f"{chr(found[a])}-{chr(found[b])}" for a, b in zip([0, *(k + 1 for k in ends)], ends, strict=False))
+
+
+_MARK = re.compile(f"[{_marks()}]")
+_MARKED = re.compile(rf"[^\W\d_]+(?:[{_marks()}]+[^\W\d_]*)*")
+
+
 def read_vocabulary(path: str = VOCABULARY) -> dict[bytes, int]:
     """piece -> rank, without pieces that no word can hold; lower-cased words need no upper-case ASCII either."""
     out: dict[bytes, int] = {}
@@ -68,10 +81,10 @@ class Lattice:
         self.size = np.fromiter(map(len, words), np.int64, len(words))
         self.width = int(self.size.max(initial=0))
         starts = np.concatenate([[0], np.cumsum(self.size + 1)])  # words are parted by a sign that no piece holds
-        found = np.array(list(pieces.scan.iter("\u0100".join(w.decode("latin-1") for w in words))), np.int64).reshape(-1, 2)
+        found = np.fromiter(chain.from_iterable(pieces.scan.iter("\u0100".join(w.decode("latin-1") for w in words))), np.int64).reshape(-1, 2)
         row = np.searchsorted(starts, found[:, 0], "right") - 1
         end, length, piece = found[:, 0] + 1 - starts[row], found[:, 1] & 0xFFFF, found[:, 1] >> 16
-        order = np.lexsort((row, length, end))
+        order = np.argsort((end * (int(length.max(initial=0)) + 1) + length) * len(words) + row)
         row, end, length, piece = row[order], end[order], length[order], piece[order]
         cuts = [0, *(np.flatnonzero((np.diff(end) != 0) | (np.diff(length) != 0)) + 1).tolist(), len(end)] if len(end) else [0]
         self.steps = [(int(end[a]), int(length[a]), row[a:b], piece[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]  # by end
@@ -136,9 +149,14 @@ def _blocks(words: list[bytes]):
 def words_of(text: str | None) -> list[str]:
     if not text:
         return []
-    found = _WORD.findall(text.lower())
-    if not text.isascii() and not all(map(str.isalpha, found)):  # signs such as "\u00b2" count as digits or letters by the pattern alone
-        found = [w for run in found for w in "".join(c if c.isalpha() else " " for c in run).split()]
+    text = text.lower()
+    if text.isascii():
+        return _WORD.findall(text)
+    marked = _MARK.search(text)
+    found = (_MARKED if marked else _WORD).findall(text)
+    if not all(map(str.isalpha, found)):  # signs such as "\u00b2" count as digits or letters by the pattern alone
+        kept = (lambda c: c.isalpha() or _MARK.match(c)) if marked else str.isalpha
+        found = [w for run in found for w in "".join(c if kept(c) else " " for c in run).split()]
     return found
 
 

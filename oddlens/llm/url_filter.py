@@ -1,9 +1,11 @@
 """URL filters by a sorted digest array.
 
 Rules (host and path prefix) are kept as an array sorted by the 64-bit xxhash of the rule, beside the rules' full
-strings. The array lies in a file that every executor gets once and memory-maps; a batch of URLs is probed with all
-its host suffixes and path prefixes by one vectorised binary search, and each hit is confirmed against the stored
-string, so that hash collisions can't decide. Rules are taken in blocks of at most BLOCK, each a file of its own, so
+strings. The array lies in a file that every executor gets once and memory-maps. Beside it lies a second one of the
+rules' hosts, with the lengths that paths have there: host suffixes of a batch of URLs are looked up in it by one
+vectorised binary search, then the path prefixes of just those lengths, hashed on from one to the next, in the digest
+array by another. Each hit is confirmed against the stored string, so that hash collisions can't decide. Batches are
+cut so that a search holds some PROBES keys. Rules are taken in blocks of at most BLOCK, each a file of its own, so
 their number isn't bounded by memory.
 
 Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z in lower case; path: from there up to ``?``,
@@ -25,10 +27,12 @@ import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
-from oddlens.llm.common import Batches, shared_dir
+from oddlens.llm.common import Batches, shared_dir, slices
 
 BLOCK = 1_000_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+PROBES = 1 << 18
+HOST = np.dtype([("key", "<u8"), ("length", "<u4")])
 RULE = np.dtype([("key", "<u8"), ("at", "<u8"), ("size", "<u4"), ("allow", "u1")])
 
 
@@ -47,8 +51,8 @@ def normal(rule: str) -> bytes:
     return host.translate(_LOWER) + slash + path
 
 
-def build(rules: Iterable[tuple[str, bool]], hash64=xxhash.xxh64_intdigest) -> tuple[bytes, bytes, list[int]]:
-    """(rule, allow) -> the digest array as a .npy file, the strings, and the lengths of the rules' paths."""
+def build(rules: Iterable[tuple[str, bool]], hash64=xxhash.xxh64_intdigest) -> tuple[bytes, bytes, bytes]:
+    """(rule, allow) -> the digest array as a .npy file, the strings, and the array of hosts and path lengths as a .npy file."""
     verdicts: dict[bytes, bool] = {}
     for rule, allow in rules:
         verdicts[normal(rule)] = allow and verdicts.get(normal(rule), True)
@@ -57,37 +61,70 @@ def build(rules: Iterable[tuple[str, bool]], hash64=xxhash.xxh64_intdigest) -> t
     sizes = np.fromiter(map(len, names), np.int64, len(names))
     array["key"] = [hash64(x) for x in names]
     array["at"], array["size"], array["allow"] = np.cumsum(sizes) - sizes, sizes, [verdicts[x] for x in names]
+    ends = {(hash64(x.split(b"/", 1)[0]), len(x) - len(x.split(b"/", 1)[0])) for x in names}
+    return _file(array[np.argsort(array["key"], kind="stable")]), b"".join(names), _file(np.array(sorted(ends), HOST))
+
+
+def _file(array: np.ndarray) -> bytes:
     file = io.BytesIO()
-    np.save(file, array[np.argsort(array["key"], kind="stable")])
-    return file.getvalue(), b"".join(names), sorted({len(x) - len(x.split(b"/", 1)[0]) for x in names})
+    np.save(file, array)
+    return file.getvalue()
 
 
 class Rules:
-    """A digest array and its strings, both mapped into memory."""
+    """A digest array, its strings and its hosts, all mapped into memory (``hosts`` may also be the file's bytes)."""
 
-    def __init__(self, array: str, strings: str, lengths: list[int], hash64=xxhash.xxh64_intdigest):
+    def __init__(self, array: str, strings: str, hosts: str | bytes, hash64=xxhash.xxh64_intdigest):
         self.array = np.load(array, mmap_mode="r")
         self.keys = self.array["key"]
         self.strings = np.memmap(strings, np.uint8, "r") if len(self.array) else np.empty(0, np.uint8)
-        self.lengths, self.hash64 = lengths, hash64
+        self.hosts = np.load(io.BytesIO(hosts)) if isinstance(hosts, bytes) else np.load(hosts, mmap_mode="r")
+        self.hash64 = hash64
+
+    def _prefix_keys(self, host: bytes, path: bytes, lengths: list[int]) -> list[int]:
+        if self.hash64 is not xxhash.xxh64_intdigest:
+            return [self.hash64(host + path[:n]) for n in lengths]
+        state, done, out = xxhash.xxh64(host), 0, []
+        for n in lengths:
+            state.update(path[done:n])
+            done = n
+            out.append(state.intdigest())
+        return out
 
     def find(self, urls: list[tuple[bytes, bytes]]) -> list[tuple[bytes, bool] | None]:
         """The longest fitting rule of each (host, path), and whether it allows."""
-        probes, row = [], []
-        for k, (host, path) in enumerate(urls):
-            ends = [path[:n] for n in self.lengths if n <= len(path)]
-            while host:
-                probes += [host + x for x in ends]
-                row += [k] * len(ends)
-                host = host.partition(b".")[2]
         best: list[tuple[bytes, bool] | None] = [None] * len(urls)
-        keys = np.fromiter(map(self.hash64, probes), np.uint64, len(probes))
+        row, start = [], []
+        for k, (host, _) in enumerate(urls):
+            at = 0
+            while at < len(host):
+                row.append(k)
+                start.append(at)
+                at = host.find(b".", at) + 1 or len(host)
+        keys = np.fromiter((self.hash64(urls[k][0][at:]) for k, at in zip(row, start, strict=True)), np.uint64, len(row))
+        left, right = np.searchsorted(self.hosts["key"], keys), np.searchsorted(self.hosts["key"], keys, "right")
+        probes: list[tuple[int, int, int]] = []  # row, where the host's suffix starts, length of the path
+        wanted: list[int] = []
+        for i in np.flatnonzero(right > left):
+            (host, path), at = urls[row[i]], start[i]
+            lengths = [n for n in self.hosts["length"][left[i] : right[i]].tolist() if n <= len(path)]
+            wanted += self._prefix_keys(host[at:], path, lengths)
+            probes += [(row[i], at, n) for n in lengths]
+            if len(probes) >= PROBES:
+                self._confirm(urls, probes, wanted, best)
+                probes, wanted = [], []
+        self._confirm(urls, probes, wanted, best)
+        return best
+
+    def _confirm(self, urls, probes, wanted, best) -> None:
+        keys = np.fromiter(wanted, np.uint64, len(wanted))
         left, right = np.searchsorted(self.keys, keys), np.searchsorted(self.keys, keys, "right")
         for i in np.flatnonzero(right > left):
+            k, at, n = probes[i]
+            probe = urls[k][0][at:] + urls[k][1][:n]
             for r in self.array[left[i] : right[i]]:
-                if self.strings[r["at"] : r["at"] + r["size"]].tobytes() == probes[i]:
-                    best[row[i]] = better(best[row[i]], (probes[i], bool(r["allow"])))
-        return best
+                if self.strings[r["at"] : r["at"] + r["size"]].tobytes() == probe:
+                    best[k] = better(best[k], (probe, bool(r["allow"])))
 
 
 def better(a: tuple[bytes, bool] | None, b: tuple[bytes, bool] | None):
@@ -108,9 +145,9 @@ def _put(spark: SparkSession, name: str, data: bytes) -> str:
     return name
 
 
-def _judged(batches: Batches, files: list[tuple[str, str, list[int]]], default: str) -> Batches:
-    rules = [Rules(SparkFiles.get(a), SparkFiles.get(b), n) for a, b, n in files]
-    for batch in batches:
+def _judged(batches: Batches, files: list[tuple[str, str, str]], default: str) -> Batches:
+    rules = [Rules(*map(SparkFiles.get, names)) for names in files]
+    for batch in slices(batches):
         urls = [parts(u) for u in batch.column("url").cast(pa.binary()).to_pylist()]
         best: list = [None] * len(urls)
         for part in rules:
@@ -137,9 +174,8 @@ def judge(pages: DataFrame, rules: DataFrame | Iterable[tuple[str, str]], defaul
     files, block = [], []
 
     def flush():
-        array, strings, lengths = build(block)
         name = uuid.uuid4().hex
-        files.append((_put(spark, f"{name}.npy", array), _put(spark, f"{name}.txt", strings), lengths))
+        files.append(tuple(_put(spark, f"{name}.{end}", data) for end, data in zip(("npy", "txt", "hosts.npy"), build(block), strict=True)))
 
     for rule, verdict in rows:
         if rule is not None:
