@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from oddlens.functions import images, maps, synthesis, tiled_regions
-from oddlens.operators import marginal, neighbours, patch_maps, pixel_maps  # noqa: F401  (some register their models)
+from oddlens.functions.vectors import features
+from oddlens.operators import marginal, neighbours, patch_maps, pixel_maps, projectors, robustness  # noqa: F401  (some register their models)
+from oddlens.operators.registry import create_model
 from oddlens.sources.scratch import read
 from oddlens.streaming import watch
 
@@ -76,6 +78,9 @@ _REGIONS = f"""{_REACH}, reg AS (SELECT image_id, c, min(x) AS x0, min(y) AS y0,
 SELECT image_id, (row_number() OVER (PARTITION BY image_id ORDER BY score_max DESC, score_mean DESC, area DESC, y0, x0, y1, x1))::INT AS region, x0, y0, x1, y1, area, score_max FROM reg"""
 
 
+_Z = "p AS (SELECT p_partkey AS id, p_size::DOUBLE AS x, p_retailprice AS y FROM part), m AS (SELECT avg(x) AS mx, stddev_pop(x) AS sx, avg(y) AS my, stddev_pop(y) AS sy FROM p), z AS (SELECT id, (x - mx) / sx AS x, (y - my) / sy AS y FROM p, m)"
+
+
 def _bytes(spark, sf_dir):
     """A 16 x 16 map of whole numbers up to 250 for each supplier; a tenth of the suppliers are training images."""
     lines = read(spark, sf_dir, "lineitem")
@@ -157,6 +162,43 @@ def stitched_unequal(spark, sf_dir):
     return _rounded(maps.stitch(cut, "mean"), "v")
 
 
+def stitched_hann(spark, sf_dir):
+    """The same, weighted by raised cosines."""
+    sizes = _grid(spark, sf_dir).select("image_id").distinct().select("image_id", F.lit(_SIDE).alias("height"), F.lit(_SIDE).alias("width"))
+    cut = maps.cut_tiles(_grid(spark, sf_dir), maps.tiles(sizes, 8, 6)).withColumn("v", F.col("v") + F.col("y0") + 10 * F.col("x0"))
+    return _rounded(maps.stitch(maps.hann_weights(cut, 8, 8), "hann"), "v")
+
+
+def cleaned_maps(spark, sf_dir):
+    return _rounded(maps.cleaned(_bytes(spark, sf_dir), "minmax"), "v")
+
+
+def _part(spark, sf_dir):
+    return features(read(spark, sf_dir, "part"), "p_partkey", "p_size", "p_retailprice")
+
+
+def standard_scaler(spark, sf_dir):
+    rows = _part(spark, sf_dir)
+    return projectors.StandardScaler().fit(rows).transform(rows).select("id", F.posexplode("features").alias("k", "v")).select("id", "k", F.round("v", 7).alias("v"))
+
+
+def pca_projector(spark, sf_dir):
+    """Components of the scaled features; of two they are the sum and the difference."""
+    rows = _part(spark, sf_dir)
+    rows = projectors.StandardScaler().fit(rows).transform(rows)
+    found = projectors.PCAProjector(whiten=True).fit(rows).transform(rows)
+    return found.select("id", F.posexplode("features").alias("k", "v")).select("id", "k", F.round("v", 6).alias("v"))
+
+
+def robustness_report(spark, sf_dir):
+    """Half of the images have a made pit; the detector learned edges of other images."""
+    rows = _images(spark, sf_dir)
+    made = synthesis.synthesise(rows.where("image_id % 4 = 1"), "pit", 3).select(*images.IMAGE, F.lit(1).alias("label"))
+    tests = made.union(rows.where("image_id % 4 = 3").select(*images.IMAGE, F.lit(0)))
+    model = create_model("core_knn").fit(images.extract(rows.where("image_id % 2 = 0"), "edge_stats"))
+    return _rounded(robustness.score_robustness(model, tests, "edge_stats", severities=(1, 3, 5)), "auroc", "average_precision", "auroc_drop", "average_precision_drop")
+
+
 def hourly(spark, sf_dir):
     return _rounded(watch.windowed(read(spark, sf_dir, "events")), "mean", "sd")
 
@@ -171,7 +213,7 @@ def queries():
     found |= {f"feature_{name}": _features(name) for name in images.EXTRACTORS if name not in ("color_hist", "patch_stats", "multi")}
     found |= {"feature_patch_stats": _features("patch_stats", size=None), "feature_gray_levels": gray_levels}
     found |= {f"corrupt_{name}": _corrupted(name) for name in images.CORRUPTIONS}
-    return found | {"map_topk_mean": reduce_topk, "map_area": reduce_area, "map_roi_stats": roi_stats, "map_border_mean": border, "tile_coordinates": tile_coordinates, "tile_stitch": stitched, "tile_stitch_unequal": stitched_unequal, "patch_embedding_map": _patch_map(detector="core_dtc", size=2, interpolation="nearest"), "patch_embedding_map_knn": _patch_map(detector="core_knn", size=4, stride=2, features="edge_stats"), **{f"synthesis_{p}": _made_defect(p) for p in synthesis.PRESETS}, "defect_regions": defect_regions, "defect_regions_tiled": defect_regions_tiled, "labelled_tiles": labelled_tiles, "events_hourly": hourly, "events_sessions": user_sessions}
+    return found | {"map_topk_mean": reduce_topk, "map_area": reduce_area, "map_roi_stats": roi_stats, "map_border_mean": border, "tile_coordinates": tile_coordinates, "tile_stitch": stitched, "tile_stitch_unequal": stitched_unequal, "tile_stitch_hann": stitched_hann, "map_cleaned": cleaned_maps, "feature_standard_scaler": standard_scaler, "feature_pca_projector": pca_projector, "robustness_report": robustness_report, "patch_embedding_map": _patch_map(detector="core_dtc", size=2, interpolation="nearest"), "patch_embedding_map_knn": _patch_map(detector="core_knn", size=4, stride=2, features="edge_stats"), **{f"synthesis_{p}": _made_defect(p) for p in synthesis.PRESETS}, "defect_regions": defect_regions, "defect_regions_tiled": defect_regions_tiled, "labelled_tiles": labelled_tiles, "events_hourly": hourly, "events_sessions": user_sessions}
 
 
 def oracle_sql():
@@ -190,6 +232,10 @@ def oracle_sql():
         "defect_regions_tiled": _REGIONS.replace("LEAST", "0.0701"),
         "labelled_tiles": _REACH.replace("LEAST", "0.0601") + " SELECT image_id, y, x, (dense_rank() OVER (PARTITION BY image_id ORDER BY c))::INT AS region FROM comp JOIN m USING (image_id, p)",
         "tile_stitch_unequal": f"WITH {_G}, s AS (SELECT unnest([0, 6, 8]) AS s) SELECT image_id, y, x, round(avg(v + a.s + 10 * b.s), 9) AS v FROM g, s a, s b WHERE y >= a.s AND y < a.s + 8 AND x >= b.s AND x < b.s + 8 GROUP BY 1, 2, 3",
+        "tile_stitch_hann": f"WITH {_G}, s AS (SELECT unnest([0, 6, 8]) AS s), t AS (SELECT image_id, y, x, v + a.s + 10 * b.s AS v, greatest((0.5 - 0.5 * cos(2 * pi() * (y - a.s) / 7)) * (0.5 - 0.5 * cos(2 * pi() * (x - b.s) / 7)), 1e-3) AS w FROM g, s a, s b WHERE y >= a.s AND y < a.s + 8 AND x >= b.s AND x < b.s + 8) SELECT image_id, y, x, round(sum(v * w) / sum(w), 9) AS v FROM t GROUP BY 1, 2, 3",
+        "map_cleaned": f"WITH {_B}, e AS (SELECT image_id, (max(y) + 1) * (max(x) + 1) > count(*) AS holes, min(v) AS lo, max(v) AS hi FROM b GROUP BY 1) SELECT image_id, y, x, round(least(greatest((v - CASE WHEN holes THEN 0 ELSE lo END) / greatest(hi - CASE WHEN holes THEN 0 ELSE lo END, 1e-8), 0), 1), 9) AS v FROM b JOIN e USING (image_id)",
+        "feature_standard_scaler": f"WITH {_Z} SELECT id, k::INT AS k, round(CASE k WHEN 0 THEN x ELSE y END, 7) AS v FROM z, (VALUES (0), (1)) q(k)",
+        "feature_pca_projector": f"WITH {_Z}, c AS (SELECT avg(x * y) AS r FROM z) SELECT id, k::INT AS k, round(CASE k WHEN 0 THEN (x + sign(r) * y) / sqrt(2 * (1 + abs(r))) ELSE (x - sign(r) * y) / sqrt(2 * (1 - abs(r))) END, 6) AS v FROM z, c, (VALUES (0), (1)) q(k)",
         "patch_embedding_map": f"WITH {_FULL}, c AS (SELECT image_id, y // 2 AS py, x // 2 AS px, y % 2 * 2 + x % 2 AS k, v / 255.0 AS v FROM f), m AS (SELECT k, avg(v) AS mu FROM c WHERE image_id % 2 = 0 GROUP BY k), d AS (SELECT image_id, py, px, sqrt(sum((v - mu) ** 2)) AS d FROM c JOIN m USING (k) GROUP BY 1, 2, 3) SELECT image_id, y::INT AS y, x::INT AS x, round(d, 9) AS v FROM f JOIN d USING (image_id) WHERE py = y // 2 AND px = x // 2",
         "events_hourly": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(avg(value), 9) AS mean, round(stddev_pop(value), 9) AS sd FROM events GROUP BY 1, 2",
         "events_sessions": "WITH a AS (SELECT *, (ts - lag(ts) OVER w >= INTERVAL 30 MINUTE)::INT AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), b AS (SELECT *, sum(coalesce(new, 0)) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM a) SELECT min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS \"end\", user_id, count(*) AS n, round(sum(value), 9) AS total FROM b GROUP BY user_id, s",

@@ -102,6 +102,19 @@ def manifest_group_split(spark, sf_dir):
     return manifest.follow_groups(_manifest(spark, sf_dir)).groupBy("category", "assigned_split").agg(F.count("*").alias("n"))
 
 
+def manifest_benchmark_split(spark, sf_dir):
+    """The rules of the split without its draw: records keep the split they name; groups of the others, which have no labels, go to train."""
+    rows = _manifest(spark, sf_dir).withColumn("group_id", F.when(F.col("split").isNull(), F.col("group_id")))
+    return manifest.benchmark_split(rows, test_fraction=0.0).groupBy("category", "assigned_split").agg(F.count("*").alias("n"))
+
+
+def run_latest(spark, sf_dir):
+    """The last run of each of two filters."""
+    rows = _runs(spark, sf_dir).withColumn("timestamp_utc", F.col("run"))
+    both = runs.latest(rows, category="7").union(runs.latest(rows, like="199", category="3"))
+    return both.select("run", "category", F.round("auroc", 9).alias("auroc"))
+
+
 def manifest_profile(spark, sf_dir):
     return manifest.profile(_manifest(spark, sf_dir))
 
@@ -133,7 +146,7 @@ def queries():
         "metric_auroc": auroc_events, "metric_average_precision": ap_events, "metric_best_f1": best_f1_events, "metric_youden": youden_events, "metric_confusion": confusion_by_type,
         "threshold_quantile": quantile_thresholds, "norm_zscore": _normal("zscore"), "norm_minmax": _normal("minmax"), "norm_rank01": _normal("rank"), "rank_calibrator": rank_calibrator, "score_standardizer_robust": robust_standardizer,
         "ensemble_mean_rank": _ensemble("mean_rank"), "ensemble_max_rank": _ensemble("max_rank"), "ensemble_mean": _ensemble("mean"), "ensemble_max": _ensemble("max"),
-        "manifest_stats": manifest_stats, "manifest_filter": manifest_filter, "manifest_group_split": manifest_group_split, "manifest_profile": manifest_profile,
+        "manifest_stats": manifest_stats, "manifest_filter": manifest_filter, "manifest_group_split": manifest_group_split, "manifest_profile": manifest_profile, "manifest_benchmark_split": manifest_benchmark_split, "run_latest": run_latest,
         "run_summary": run_summary, "run_compare": run_compare, "leaderboard": leaderboard,
     }
 
@@ -157,6 +170,8 @@ def oracle_sql():
         "manifest_filter": f"WITH {_M} SELECT * FROM m WHERE category IN ('en', 'de') AND split = 'test' AND label = 1 AND mask_path IS NOT NULL",
         "manifest_group_split": f"WITH {_M}, g AS (SELECT category, group_id, min(split) AS lead FROM m WHERE split IS NOT NULL GROUP BY 1, 2) SELECT m.category, coalesce(m.split, g.lead, 'train') AS assigned_split, count(*) AS n FROM m LEFT JOIN g ON g.category = m.category AND g.group_id = m.group_id GROUP BY 1, 2",
         "manifest_profile": f"WITH {_M} SELECT category, count(*) AS n, count(*) FILTER (label = 1) AS n_anomalous, count(*) FILTER (label = 0) AS n_normal, count(mask_path) AS n_masks, count(DISTINCT group_id) AS n_groups FROM m GROUP BY category",
+        "manifest_benchmark_split": f"WITH {_M} SELECT category, coalesce(split, 'train') AS assigned_split, count(*) AS n FROM m GROUP BY 1, 2",
+        "run_latest": f"WITH {_R} SELECT run, category, round(auroc, 9) AS auroc FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY run DESC) AS k FROM r WHERE category = '7' OR (category = '3' AND contains(run, '199'))) WHERE k = 1",
         "run_summary": f"WITH {_R} SELECT run, count(*) AS n, round(avg(auroc), 9) AS auroc_mean, round(stddev_pop(auroc), 9) AS auroc_std, round(avg(average_precision), 9) AS average_precision_mean, round(stddev_pop(average_precision), 9) AS average_precision_std FROM r GROUP BY run",
         "run_compare": f"WITH {_R}, b AS (SELECT category, auroc FROM r WHERE run = 'run-1996') SELECT run, category, 'auroc' AS metric, round(r.auroc, 9) AS value, round(b.auroc, 9) AS baseline, round(r.auroc - b.auroc, 9) AS delta, CASE WHEN b.auroc IS NULL THEN 'missing' WHEN r.auroc - b.auroc < 0 THEN 'regressed' WHEN r.auroc - b.auroc > 0 THEN 'improved' ELSE 'unchanged' END AS verdict FROM r LEFT JOIN b USING (category) WHERE run <> 'run-1996'",
         "leaderboard": f"WITH {_R}, a AS (SELECT run, round(avg(auroc), 9) AS auroc FROM r GROUP BY run) SELECT run, auroc, row_number() OVER (ORDER BY auroc DESC, run) AS rank FROM a",
