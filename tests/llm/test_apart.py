@@ -1,12 +1,14 @@
 """Rows that stay are told from rows that may go without a shuffle of what they carry."""
 
+import tracemalloc
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from oddlens.llm import common, mixing, ngram_join, toxicity
+from oddlens.llm import common, language_id, mixing, ngram_join, toxicity, url_filter
 
 
 @pytest.mark.parametrize("bits", [15, 28])
@@ -59,3 +61,46 @@ def test_clean_sentences_stay_clean_after_learning(spark):
     assert shown  # the labelled texts hold some words of the list by themselves
     rest = [t for t in CLEAN if not shown & set(t.lower().replace(",", "").split()) and learned.score(t) >= toxicity.THRESHOLD]
     assert rest == [] and [t for t in TOXIC if learned.score(t) < toxicity.THRESHOLD] == []
+
+
+def test_url_probes_follow_the_hosts_lengths(tmp_path, monkeypatch):
+    draw = np.random.default_rng(0)
+    letters = "ab/"
+    rules = {(f"h{k % 5}.com/" + "".join(draw.choice(list(letters), k)), bool(draw.integers(0, 2))) for k in range(400)}
+    rules |= {("com/", False), ("x.h1.com/a", True)}
+    array, strings, hosts = url_filter.build(sorted(rules))
+    (tmp_path / "a").write_bytes(array)
+    (tmp_path / "s").write_bytes(strings)
+    monkeypatch.setattr(url_filter, "PROBES", 500)
+    found = url_filter.Rules(str(tmp_path / "a"), str(tmp_path / "s"), hosts)
+    names = [r for r, _ in sorted(rules)]
+    urls = []
+    for i in range(300):
+        host, _, path = names[i].partition("/")
+        urls.append((f"{'www.' if i % 2 else ''}{host}".encode(), ("/" + path + "".join(draw.choice(list(letters), 300))).encode()))
+    urls += [(b"h1.com", b"/"), (b"x.h1.com", b"/a"), (b"h1.org", b"/a"), (b"", b""), (b"com", b"")]
+    verdicts = {}
+    for rule, allow in rules:
+        verdicts[rule] = allow and verdicts.get(rule, True)
+
+    def brute(host, path):
+        fits = []
+        for rule in verdicts:
+            h, slash, p = rule.partition("/")
+            if (host == h or host.endswith("." + h)) and path.startswith(slash + p):
+                fits.append(rule)
+        best = min(fits, key=lambda r: (-len(r), r), default=None)
+        return best and (best.encode(), verdicts[best])
+
+    tracemalloc.start()
+    got = found.find(urls)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [brute(h.decode(), p.decode()) for h, p in urls]
+    assert peak < 2 << 20
+
+
+def test_marks_stay_in_words():
+    hindi = "हिन्दी में लिखा है"
+    assert language_id.words_of(hindi) == hindi.split()
+    assert language_id.words_of("été x²y ́ 3 naïve") == ["été", "x", "y", "naïve"]
