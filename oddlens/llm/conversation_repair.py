@@ -12,7 +12,7 @@ A conversation may hold any part of the table, so none is gathered. Its rows (no
 range-partitioned by conversation and place; a run of one conversation in one partition is a *fragment*. Only the first
 and the last fragment of a partition can have others of their conversation beside them: of those, the driver gets a
 4 x 4 matrix of costs and then the four states they lead to, so at most two small rows a task; then all fragments are
-edited on their own. Texts are only shuffled for the digest, twice. A SHA-256 can't be put together from parts: a conversation's
+edited on their own. Texts are shuffled once, for the digest. A SHA-256 can't be put together from parts: a conversation's
 text streams through one task, sorted by Spark, a batch at a time.
 
 Rows are taken by turn, nulls first; rows that share a turn by role and text digest. Null role or text counts as one
@@ -29,11 +29,12 @@ from itertools import pairwise
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from oddlens.llm.common import Batches, discard, settle
+from oddlens.sources.scratch import setting
 
 KEEP, REROLE, DELETE, INSERT, TRUNCATED = 0, 1, 2, 5, 5
 SPACES = " \t\n\x0b\x0c\r"
@@ -292,10 +293,16 @@ def repair(turns: DataFrame) -> DataFrame:
 
     lines = edited.select(F.xxhash64("conv_id").alias("part"), "conv_id", "chunk", F.posexplode("lines").alias("at", "line")).select("part", "conv_id", "chunk", "at", "line.row", F.col("line.role").alias("new"), "line.before")
     new = F.when((F.col("new") != "") & F.col("row").isNotNull(), F.col("new"))
-    found = lines.join(kept.select("row", "role", "text"), "row", "left").select("part", "conv_id", "chunk", "at", "before", F.coalesce(new, "role").alias("role"), "text")
-    stream = found.repartition("part").sortWithinPartitions("part", "conv_id", "chunk", "at")
+    texts = kept.select(F.xxhash64("conv_id").alias("part"), "row", "role", "text").repartition("part")
+    found = lines.repartition("part").join(texts, ["part", "row"], "left").select("part", "conv_id", "chunk", "at", "before", F.coalesce(new, "role").alias("role"), "text")
+    # The window asks Spark for whole conversations in order; dealt so already, rows aren't shuffled again.
+    stream = found.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy("conv_id", "chunk", "at")))
     digests = stream.mapInArrow(partial(_digests, schema=pa.schema([("conv_id", _arrow(packed).field("conv_id").type), ("repaired_sha256", pa.string())])), f"conv_id {name}, repaired_sha256 string")
 
+    with setting(kept.sparkSession, "spark.sql.requireAllClusterKeysForCoPartition", "false"):  # both sides stay dealt by conversation
+        digests = settle(digests)
+    discard(kept)
+
     audit = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "audit"))), lambda x: x["audit"]), "")
     sums = edited.groupBy("conv_id").agg(
         F.coalesce(F.max("most") - F.min("least") + 1 - F.sum("turns"), F.lit(0)).alias("gaps"), *(F.sum(c).alias(c) for c in ("blank", "duplicate", "truncated", "illegal", "cost")), audit.alias("audit")
