@@ -37,17 +37,21 @@ def _shuffles_deleted(spark: SparkSession) -> Iterator[None]:
 
 
 @contextmanager
-def batch_limits(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Queries that are run within send so many rows at a time to Python."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def setting(spark: SparkSession, key: str, value: str | int) -> Iterator[None]:
+    """Queries that are run within have this setting; the session's own comes back after."""
     before = spark.conf.get(key)
-    spark.conf.set(key, rows)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         spark.conf.set(key, before)
 
 
+def batch_limits(spark: SparkSession, rows: int):
+    """Queries that are run within send so many rows at a time to Python."""
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` and read it back: cuts the lineage, fixes row ids and random draws, survives lost executors.
 
