@@ -97,11 +97,16 @@ class Neighbours(Detector):
     def _prepare(self, rows: DataFrame) -> DataFrame:
         return rows
 
+    @property
+    def width(self) -> int:
+        """Features of the rows that ``_prepare`` gives."""
+        return self.n_features
+
     def _fit(self, train):
         self.bank = settle(self._prepare(train)) if type(self)._prepare is not Neighbours._prepare else train
         self.n_train = self.bank.count()
         self.k = max(1, min(self.n_neighbors, self.n_train - 1))
-        self.edges = settle(nearest(self.bank, self.bank, self.k, self.n_features, True, self.metric, self.p, self.short))
+        self.edges = settle(nearest(self.bank, self.bank, self.k, self.width, True, self.metric, self.p, self.short))
         self._learn()
 
     def _learn(self) -> None:
@@ -114,7 +119,7 @@ class Neighbours(Detector):
 
     def _score(self, rows):
         rows = settle(self._prepare(rows))
-        return self._of_edges(settle(nearest(rows, self.bank, min(self.k, self.n_train), self.n_features, False, self.metric, self.p, self.short)), rows)
+        return self._of_edges(settle(nearest(rows, self.bank, min(self.k, self.n_train), self.width, False, self.metric, self.p, self.short)), rows)
 
     def _of_edges(self, edges: DataFrame, rows: DataFrame) -> DataFrame:
         raise NotImplementedError

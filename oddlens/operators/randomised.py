@@ -280,9 +280,12 @@ class RandomProjectionKNN(KNN):
     def defaults(cls):
         return {"n_components": 0.5, "random_state": 0, "n_neighbors": 5, "method": "largest", "metric": "minkowski", "p": 2}
 
+    @property
+    def width(self) -> int:
+        return max(1, int(round(self.n_components * self.n_features)) if self.n_components < 1 else int(self.n_components))
+
     def _prepare(self, rows):
-        k = max(1, int(round(self.n_components * self.n_features)) if self.n_components < 1 else int(self.n_components))
-        axes = np.random.default_rng(self.random_state or 0).normal(size=(self.n_features, k)) / np.sqrt(k)
+        axes = np.random.default_rng(self.random_state or 0).normal(size=(self.n_features, self.width)) / np.sqrt(self.width)
         return rows.mapInPandas(partial(_project, axes=axes), f"id {rows.schema['id'].dataType.simpleString()}, features array<double>")
 
 
