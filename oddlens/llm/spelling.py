@@ -103,7 +103,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     """(a, b) with a < b: the pairs of distinct words that one inserted, deleted or replaced letter tells apart, each once."""
     rows = words.select("word").mapInArrow(_offered, "key long, half long, reduced boolean, h int, word string")
     a, b = rows.select("key", "half", *(F.col(c).alias(f"{c}_a") for c in ("reduced", "h", "word"))), rows.select("key", "half", *(F.col(c).alias(f"{c}_b") for c in ("reduced", "h", "word")))
-    pairs = a.join(b, ["key", "half"]).where("(reduced_a OR reduced_b) AND word_a < word_b")
+    pairs = a.join(b.hint("merge"), ["key", "half"]).where("(reduced_a OR reduced_b) AND word_a < word_b")
     pairs = pairs.where("abs(length(word_a) - length(word_b)) <= 1").where(F.levenshtein("word_a", "word_b", 1) == 1)
     return pairs.select(F.col("word_a").alias("a"), F.col("word_b").alias("b")).distinct()
 
@@ -113,17 +113,18 @@ def variants(words: DataFrame, ratio: int = RATIO) -> DataFrame:
 
     A word's form is its near word of largest n (ties: smallest by code points), if that is ``ratio`` times the word's
     n at least. The root is the last word on the way along forms; each step multiplies n, so the ways are short.
+    All joins are merges: tables of words grow with the texts and, as compressed files, look small enough to be broadcast.
     """
     words = settle(words)
     pairs = settle(near_pairs(words))
     both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = both.join(words.select(F.col("word").alias("b"), F.col("n").alias("b_n")), "b")
+    near = both.join(words.select(F.col("word").alias("b"), F.col("n").alias("b_n")).hint("merge"), "b")
     best = near.groupBy(F.col("a").alias("word")).agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("b_n")).alias("less"), F.col("b"))).alias("best"))
-    found = words.join(best, "word", "left").withColumn("form_n", F.when(-F.col("best.less") >= ratio * F.col("n"), -F.col("best.less")))
+    found = words.join(best.hint("merge"), "word", "left").withColumn("form_n", F.when(-F.col("best.less") >= ratio * F.col("n"), -F.col("best.less")))
     found = settle(found.select("word", F.when(F.col("form_n").isNotNull(), F.col("best.b")).alias("form"), "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), "form_n"))
     step = settle(found.where("form IS NOT NULL").select("word", F.col("form").alias("root")))
     while True:  # each round doubles the steps that a row stands for
-        further = settle(step.join(step.toDF("root", "next"), "root", "left").select("word", "root", "next"))
+        further = settle(step.join(step.toDF("root", "next").hint("merge"), "root", "left").select("word", "root", "next"))
         discard(step)
         if further.where("next IS NOT NULL").isEmpty():
             break
@@ -131,4 +132,4 @@ def variants(words: DataFrame, ratio: int = RATIO) -> DataFrame:
         discard(further)
     roots = further.select("word", "root")
     discard(pairs, words)
-    return found.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return found.join(roots.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

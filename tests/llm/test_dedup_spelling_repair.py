@@ -140,6 +140,20 @@ def test_counts_and_damage_equal_brute_force(spark, monkeypatch):
     assert found_variants(spark.createDataFrame(list(some.items()), "word string, n long")) == brute_variants(some)
 
 
+def test_spelling_broadcasts_no_table_of_words(spark, monkeypatch):
+    plans = []
+
+    def settled(df):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return common.settle(df)
+
+    monkeypatch.setattr(spelling, "settle", settled)
+    words = spark.createDataFrame([("kettles", 40), ("kettle", 400), ("kettlex", 4), ("kottlex", 2), ("mittens", 9)], "word string, n long")
+    found = spelling.variants(words)
+    plans.append(found._jdf.queryExecution().sparkPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) >= 4 and not any("BroadcastHashJoin" in p for p in plans)
+
+
 def test_spelling_awkward(spark):
     rows = [(1, None, 1, "x"), (2, "", 1, "x"), (None, "Abcdefgh abcdefgh", 1, "x"), (3, "ÀBCDEFGH àbcdefgh àbcdefgh", 1, "x"), (3, "ÀBCDEFGH àbcdefgh àbcdefgh", 1, "x"), (4, "1234567 中文中文中文中文", 1, "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, n long, word string")
