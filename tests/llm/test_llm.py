@@ -339,6 +339,36 @@ def test_quality_on_held_out_labels(spark):
     assert (got.predicted == got.quality).mean() >= 0.95 and got.score.between(0, 1).all()
 
 
+def test_quality_learns_from_all_labels(spark):
+    draw = np.random.default_rng(5)
+    said = [" ".join(draw.choice(["one", "two", "THREE", "4", "| five", "six!"], 1 + k % 23)) for k in range(11_000)]
+    bad = [int(draw.random() < 0.02 + 0.5 * ("|" in t)) for t in said]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(said)], "doc_id long, text string")
+    ranker = quality_ranker.learn(rows, spark.createDataFrame([(k, 1 - b) for k, b in enumerate(bad)], "doc_id long, quality int"))
+    x, bad = np.array([quality_ranker.features(t.encode()) for t in said]), np.array(bad)
+    assert np.allclose(ranker.centre, np.median(x, 0), atol=1e-12) and np.allclose(ranker.scale, x.std(0) + 1e-6, atol=1e-12)
+    raw = np.sort(ranker.raw(x))
+    assert ranker.threshold == pytest.approx((raw[bad.sum()] + raw[bad.sum() - 1]) / 2) and ranker.spread == pytest.approx(raw.std() / 2)
+
+
+def test_quality_pairs(spark, monkeypatch):
+    """In one bucket the weights are those of all pairs; in more, every row takes part and none meets more rivals than one."""
+    draw = np.random.default_rng(6)
+    said = [" ".join(draw.choice(["one", "TWO", "4", "|", "six!"], 5)) for _ in range(90)]
+    label = np.array([k % 3 == 0 for k in range(90)], int)
+    docs, labels = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string"), spark.createDataFrame([(k, int(v)) for k, v in enumerate(label)], "doc_id long, quality int")
+    rows = quality_ranker.labelled(docs, labels)
+    got = quality_ranker.blocks(rows, 30, 60)
+    different = {(int(v), tuple(quality_ranker.features(t.encode()))) for v, t in zip(label, said, strict=True)}
+    seen = {(0, tuple(v)) for r in got.collect() for v in r.x} | {(1, tuple(v)) for r in got.collect() for v in r.rivals}
+    assert seen == different and sum(sum(r.n) for r in got.collect()) == 60 and all(len(r.rivals) <= quality_ranker.RIVALS for r in got.collect())
+    monkeypatch.setattr(quality_ranker, "RIVALS", 1000)
+    ranker = quality_ranker.learn(docs, labels)
+    z = np.clip((np.array([quality_ranker.features(t.encode()) for t in said]) - ranker.centre) / ranker.scale, -8, 8)
+    difference = (z[label == 1][:, None] - z[label == 0][None]).reshape(-1, z.shape[1])
+    assert np.allclose(difference.T @ (1 / (1 + np.exp(difference @ ranker.weight))) / len(difference), 1e-3 * ranker.weight, atol=1e-7)
+
+
 def test_toxicity_on_held_out_labels(spark):
     got = queries.op9_toxicity(spark, "/root/testdata/sf0.1").where("held_out").join(labelled(spark, "sf0.1")[1], "doc_id").toPandas()
     assert (got.predicted == got.toxic).mean() >= 0.95 and got[got.toxic == 1].predicted.mean() >= 0.9
