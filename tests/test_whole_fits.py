@@ -163,3 +163,33 @@ def test_ocsvm_takes_all_rows(spark, monkeypatch):
 def test_patchcore_keeps_its_part_by_hash(spark):
     model = create_model("core_patchcore_lite").fit(table(spark, np.random.default_rng(0).normal(size=(101, 2))))
     assert model.bank.count() == 21
+
+
+@pytest.mark.parametrize("how", ["aad", "var"])
+def test_sequential_exceptions_of_many_rows(spark, monkeypatch, how):
+    """Over BANK rows the factors are those of the plain search through each order, also where the best row stands late."""
+    monkeypatch.setattr(kernels, "BANK", 50)
+    monkeypatch.setattr(kernels, "FIRST", 20)
+    draw = np.random.default_rng(7)
+    late = np.round(draw.normal(size=(160, 2)), 1) * 0.01
+    late[draw.choice(160, 3, replace=False)] += [[90, 0], [0, 80], [70, 70]]
+    for x in (draw.normal(size=(300, 3)) * [1, 50, 3], late, np.ones((60, 2))):
+        rows = table(spark, x, 5)
+        model = create_model("core_imdd", n_iter=6, dis_measure=how).fit(rows)
+        keys = {r.id: r["keys"] for r in model._keyed(rows).collect()}
+        factor, rest = np.zeros(len(x)), np.zeros(len(x))
+        for t in range(7):
+            order = np.array(sorted(range(len(x)), key=lambda i, t=t: (keys[i + 5][t], i)))
+            found = np.zeros(len(x))
+            found[order] = kernels.smoothing_factors(x[order], how)
+            better = found > factor
+            factor[better], rest[better] = found[better], len(x) - np.count_nonzero(found)
+        got = {r.id - 5: r.score for r in model.train_scores.collect()}
+        assert np.allclose([got[i] for i in range(len(x))], factor * rest, rtol=1e-9, atol=1e-9) and len(got) == len(x)
+
+
+def test_dissimilarities_of_long_prefixes():
+    x = np.random.default_rng(8).normal(size=(900, 40)) + 1000
+    for how in ("aad", "var"):
+        assert np.allclose(kernels.grown(x, how), [kernels.dissimilarity(x[: i + 1], how) for i in range(len(x))])
+        assert np.allclose(kernels._with_rows(x[:200].ravel(), x[200:300], how), [kernels.dissimilarity(np.vstack([x[:200], x[k : k + 1]]), how) for k in range(200, 300)])
