@@ -16,7 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from oddlens.operators.base import Detector
 from oddlens.operators.components import connected_components
-from oddlens.operators.metric_join import Blocks, Meeting, Space, _sent, _sent_type, choose_pivots, in_blocks, in_steps, meet, small_batches
+from oddlens.operators.metric_join import Blocks, Layout, Meeting, Space, _sent, _sent_type, choose_pivots, in_blocks, in_steps, meet, nearest_blocks, small_batches
 from oddlens.operators.neighbours import nearest
 from oddlens.operators.registry import register_model
 from oddlens.sources.scratch import settle, with_row_id
@@ -108,75 +108,107 @@ class MSTOutlier(Detector):
 
 STATE = "block long, ids array<long>, values binary, extra array<long>, beta array<double>, low array<double>, high array<double>, near array<double>, done boolean, total array<double>"
 PASSES = 60
+NEAREST = 48  # neighbours from which a row's precision is first bounded
+FOLDS = 40.0  # a row's chances below e^-FOLDS / n of the largest are less than the last place of their sum
 
 
-def _asked(batches, numbers: list[int], schema: pa.Schema):
-    """Each block of rows with every block of the bank: precision and nearest distance of a row travel as pairs in ``radius``."""
+def _asked(batches, space: Space, pivots: np.ndarray, layout: Layout, folds: float, second: str, schema: pa.Schema):
+    """Each block of rows with the blocks that may hold rows of its rows' chances: precision and ``second`` of a row travel as pairs in ``radius``, its weight in ``extra``."""
     for batch in batches:
         for i in range(batch.num_rows):
-            own = [batch.column(c)[i].as_py() for c in ("block", "ids", "values", "beta", "near")]
-            radius = np.concatenate([np.array(own[3], float), np.array(own[4], float)]).tobytes()
-            one = {"block": numbers, "asked": [own[0]] * len(numbers), "ids": [own[1]] * len(numbers), "values": [own[2]] * len(numbers), "radius": [radius] * len(numbers), "extra": [[0] * len(own[1])] * len(numbers)}
-            yield pa.RecordBatch.from_pydict(one, schema=schema)
+            beta, near, other, weight = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("beta", "near", second, "extra"))
+            with np.errstate(divide="ignore"):
+                reach = near + folds / beta
+            one = pa.ListArray.from_arrays(pa.array([0, len(beta)], pa.int32()), pa.array(np.arange(len(beta))))
+            asked = pa.RecordBatch.from_arrays([batch.column("ids").slice(i, 1), batch.column("values").slice(i, 1), pa.array([reach.tobytes()]), one], ["ids", "values", "radius", "extra"])
+            for sent in _sent([asked], space, pivots, layout, None, schema, False):
+                at = sent.column("extra")[0].values.to_numpy()
+                pairs = pa.array([np.concatenate([beta[at], other[at]]).tobytes()], schema.field("radius").type)
+                weights = pa.ListArray.from_arrays(pa.array([0, len(at)], pa.int32()), pa.array(weight[at])).cast(schema.field("extra").type)
+                yield pa.RecordBatch.from_arrays([sent.column("block"), sent.column("ids"), sent.column("values"), pairs, weights], schema=schema)
 
 
 def _apart(m: Meeting, space: Space):
+    """Some rows, their distances to the block's, and which of these are the rows themselves."""
     for part, d in in_steps(m.x, len(m.y), lambda z: space.between(z, m.y)):
-        d[m.ids[part, None] == m.others[None]] = np.inf
-        yield part, d
+        yield part, d, m.ids[part, None] == m.others[None]
 
 
 def _sums(m: Meeting, space: Space) -> pa.RecordBatch:
-    """For each row: sum of e = exp(-beta (d - near)), of d e and of d^2 e, and the least distance."""
+    """For each row: sum of e = exp(-beta (d - near)), of d e and of d^2 e over the other rows, equal ones by their number."""
     beta, near = np.split(m.radius, 2)
-    out = np.zeros((4, len(m.x)))
-    for part, d in _apart(m, space):
-        least = d.min(1)
-        gap = np.where(np.isfinite(d), d - near[part, None], 0)
-        e = np.where(np.isfinite(d), np.exp(-beta[part, None] * gap), 0)
-        out[:, part] = e.sum(1), (gap * e).sum(1), (gap * gap * e).sum(1), least
-    return pa.RecordBatch.from_arrays([pa.array(m.ids), *(pa.array(v) for v in out)], ["id", "s0", "s1", "s2", "near"])
+    out = np.zeros((3, len(m.x)))
+    for part, d, same in _apart(m, space):
+        gap = d - near[part, None]
+        e = np.exp(-beta[part, None] * np.maximum(gap, 0)) * (m.other_extra - same)
+        out[:, part] = e.sum(1), (gap * e).sum(1), (gap * gap * e).sum(1)
+    return pa.RecordBatch.from_arrays([pa.array(m.ids), *(pa.array(v) for v in out)], ["id", "s0", "s1", "s2"])
 
 
 def _missed(m: Meeting, space: Space) -> pa.RecordBatch:
-    """For each bank row: the log of the chance that none of the rows picks it. ``near`` holds log of the row's sum plus beta times nearest here."""
+    """For each bank row: the log of the chance that none of the rows picks it. The second of a pair is the log of the row's sum of exp(-beta d)."""
     beta, whole = np.split(m.radius, 2)
     out = np.zeros(len(m.y))
-    for part, d in _apart(m, space):
-        p = np.where(np.isfinite(d), np.exp(-beta[part, None] * np.where(np.isfinite(d), d, 0) - whole[part, None]), 0)
-        out += np.log(np.maximum(1 - p, 1e-300)).sum(0)
+    for part, d, same in _apart(m, space):
+        p = np.exp(np.minimum(-beta[part, None] * d - whole[part, None], 0))
+        out += (np.log(np.maximum(1 - p, 1e-300)) * (m.extra[part, None] - same)).sum(0)
     return pa.RecordBatch.from_arrays([pa.array(m.others), pa.array(out)], ["id", "miss"])
 
 
-def _every_pair(state: DataFrame, held: Blocks, compare, schema: str) -> DataFrame:
+def _every_pair(state: DataFrame, held: Blocks, compare, schema: str, folds: float, second: str = "near") -> DataFrame:
     kind = _sent_type(T.LongType())
-    sent = T.StructType([kind.fields[0], T.StructField("asked", T.LongType()), *kind.fields[1:]])
-    asked = state.mapInArrow(partial(_asked, numbers=held.layout.block.tolist(), schema=to_arrow_schema(sent)), sent)
+    asked = state.mapInArrow(partial(_asked, space=held.space, pivots=held.pivots, layout=held.layout, folds=folds, second=second, schema=to_arrow_schema(kind)), kind)
     with small_batches(state.sparkSession):
-        return settle(meet(asked.drop("asked"), held, partial(compare, space=held.space), schema))
+        return settle(meet(asked, held, partial(compare, space=held.space), schema))
+
+
+def _newton(beta, low, high, s0, s1, s2, goal: float, eps: float):
+    """One safeguarded Newton step on rows' precisions towards the entropy ``goal``: in log beta, inside the bracket; and which are done."""
+    s0 = np.maximum(s0, 1e-300)
+    mean = s1 / s0
+    gap = np.log(s0) + beta * mean - goal
+    spread = np.maximum(s2 / s0 - mean**2, 0)
+    up = gap > 0
+    low, high = np.where(up, beta, low), np.where(up, high, beta)
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        step = beta * np.exp(np.clip(gap / (beta**2 * spread), -3, 3))
+    inside = np.isfinite(step) & (step > low) & (step < high)
+    middle = np.where(np.isinf(high), beta * 4, np.where(low > 0, np.sqrt(np.maximum(low, 1e-300) * np.where(np.isinf(high), 1, high)), beta / 4))
+    done = (np.abs(gap) <= eps) | (up & (beta**2 * spread < 1e-12))  # or ties leave the entropy above the goal
+    return np.where(done, beta, np.where(inside, step, middle)), low, high, done
+
+
+def _started(batches, goal: float, eps: float, schema: pa.Schema):
+    """(id, near, beta): the precision at which a row's copies and nearest rows alone have the entropy ``goal``; with all rows it has no less."""
+    for batch in batches:
+        lists = [sorted((v["d"], v["w"]) for v in r) for r in batch.column("v").to_pylist()]
+        d, w = np.full((len(lists), max(map(len, lists), default=0) + 1), 0.0), np.zeros((len(lists), max(map(len, lists), default=0) + 1))
+        for i, (r, copies) in enumerate(zip(lists, batch.column("copies").to_pylist(), strict=True)):
+            w[i, 0] = copies - 1
+            for j, (gap, weight) in enumerate(r, 1):
+                d[i, j], w[i, j] = gap, weight
+        near = np.where(w > 0, d, np.inf).min(1)
+        gap = np.maximum(d - near[:, None], 0)
+        beta = 1 / np.maximum((gap * w).sum(1) / np.maximum(w.sum(1), 1), 1e-300)
+        low, high = np.zeros(len(beta)), np.full(len(beta), np.inf)
+        for _ in range(200):
+            e = np.exp(-beta[:, None] * gap) * w
+            beta, low, high, done = _newton(beta, low, high, e.sum(1), (gap * e).sum(1), (gap * gap * e).sum(1), goal, eps)
+            if done.all():
+                break
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(near), pa.array(np.where(done, beta, low))], schema=schema)
 
 
 def _stepped(batches, goal: float, eps: float, schema: pa.Schema):
-    """One safeguarded Newton step on each row's precision towards the entropy ``goal``: in log beta, inside the bracket."""
+    """A step of ``_newton`` for each block."""
     for batch in batches:
         rows = batch.to_pylist()
         for r in rows:
             beta, low, high, near = (np.array(r[c], float) for c in ("beta", "low", "high", "near"))
-            s = np.array([[v["s0"], v["s1"], v["s2"]] for v in r["sums"]], float).reshape(-1, 3).T
-            s0 = np.maximum(s[0], 1e-300)
-            mean = s[1] / s0
-            gap = np.log(s0) + beta * mean - goal
-            spread = np.maximum(s[2] / s0 - mean**2, 0)
-            up = gap > 0
-            low, high = np.where(up, beta, low), np.where(up, high, beta)
-            with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
-                step = beta * np.exp(np.clip(gap / (beta**2 * spread), -3, 3))
-            inside = np.isfinite(step) & (step > low) & (step < high)
-            middle = np.where(np.isinf(high), beta * 4, np.where(low > 0, np.sqrt(np.maximum(low, 1e-300) * np.where(np.isinf(high), 1, high)), beta / 4))
-            done = (np.abs(gap) <= eps) | (up & (beta**2 * spread < 1e-12))  # or ties leave the entropy above the goal
-            r["total"] = (np.log(s0) - beta * near).tolist()  # log of the sum of exp(-beta d)
-            r["beta"] = np.where(done, beta, np.where(inside, step, middle)).tolist()
-            r["low"], r["high"], r["done"] = low.tolist(), high.tolist(), bool(done.all())
+            s0, s1, s2 = np.array([[v["s0"], v["s1"], v["s2"]] for v in r["sums"]], float).reshape(-1, 3).T
+            r["total"] = (np.log(np.maximum(s0, 1e-300)) - beta * near).tolist()  # log of the sum of exp(-beta d)
+            beta, low, high, done = _newton(beta, low, high, s0, s1, s2, goal, eps)
+            r["beta"], r["low"], r["high"], r["done"] = beta.tolist(), low.tolist(), high.tolist(), bool(done.all())
             del r["sums"]
         yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
@@ -185,8 +217,10 @@ def _stepped(batches, goal: float, eps: float, schema: pa.Schema):
 class SOS(Detector):
     """Stochastic outlier selection over the scored rows: the chance that no other row picks this one as neighbour.
 
-    Each row's precision is found by Newton's steps, all rows at once: a step is a join of all rows with all blocks
-    that sums over the other rows. The last pass sums log(1 - p) by the picked row. Work is rows squared, memory is not.
+    Rows with equal features are one row and its number. Each row's precision is found by Newton's steps, all rows at once,
+    from the precision that its nearest rows alone would have, which is never above it: a row's chances beyond FOLDS and the
+    log of the number of rows are below the last place of their sum, so a step joins rows with the blocks within that reach
+    only. The last pass sums log(1 - p) by the picked row.
     """
 
     @classmethod
@@ -197,28 +231,35 @@ class SOS(Detector):
         pass
 
     def _score(self, rows):
-        named = with_row_id(rows.select("id", "features"), "node")
-        n = named.count()
-        if n < 2:
-            return named.select("id", F.lit(1.0).alias("score"))
-        own = named.select(F.col("node").alias("id"), "features")
+        named = with_row_id(rows.groupBy("features").agg(F.count("*").alias("extra")), "node")
+        n, different = named.agg(F.sum("extra"), F.count("*")).first()
+        if (n or 0) < 2:
+            return rows.select("id", F.lit(1.0).alias("score"))
+        own = named.select(F.col("node").alias("id"), "features", "extra")
         space = Space(self.n_features, self.metric)
-        held = in_blocks(own, space, choose_pivots(own, space, n), n)
+        held = in_blocks(own, space, choose_pivots(own, space, different), different)
+        goal, eps, folds, kind = float(np.log(self.perplexity)), min(self.eps, 1e-9), FOLDS + float(np.log(n)), T._parse_datatype_string(STATE)
         same = lambda v: F.transform("ids", lambda _: F.lit(float(v)))
-        state = held.table.select("block", "ids", "values", "extra", same(0).alias("beta"), same(0).alias("low"), same(np.inf).alias("high"), same(0).alias("near"), F.lit(False).alias("done"), same(0).alias("total"))
-        kind = T._parse_datatype_string(STATE)
-        least = _every_pair(state, held, _sums, "id long, s0 double, s1 double, s2 double, near double").groupBy("id").agg(F.min("near").alias("near"), (F.sum("s1") / F.sum("s0")).alias("mean"))
-        each = held.table.select("block", F.posexplode("ids").alias("at", "id")).join(least, "id").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("at", "near", "mean"))).alias("v"))
-        start = F.transform("v", lambda v: 1 / F.greatest(v["mean"] - v["near"], F.lit(1e-300)))
-        state = settle(state.drop("near", "beta").join(each, "block").select("block", "ids", "values", "extra", start.alias("beta"), "low", "high", F.transform("v", lambda v: v["near"]).alias("near"), "done", "total"))
-        few = n - 1 <= self.perplexity  # even equal chances have too little entropy
-        if few:
-            state = settle(state.withColumns({"beta": same(0), "total": same(np.log(n - 1))}))
+        beside = max(1, min(different - 1, max(NEAREST, int(8 * self.perplexity))))
+        edges = nearest_blocks(held, held, beside, True).join(own.select(F.col("id").alias("other"), F.col("extra").alias("w")), "other")
+        near = own.select("id", F.col("extra").alias("copies")).join(edges.groupBy("id").agg(F.collect_list(F.struct("d", "w")).alias("v")), "id", "left")
+        start = T._parse_datatype_string("id long, near double, beta double")
+        near = near.withColumn("v", F.coalesce("v", F.array().cast("array<struct<d:double,w:bigint>>")))
+        least = near.mapInArrow(partial(_started, goal=goal, eps=eps, schema=to_arrow_schema(start)), start)
+        each = held.table.select("block", F.posexplode("ids").alias("at", "id")).join(least, "id").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("at", "near", "beta"))).alias("v"))
+        figure = lambda c: F.transform("v", lambda v: v[c])
+        state = held.table.select("block", "ids", "values", "extra").join(each, "block")
+        if few := n - 1 <= self.perplexity:  # even equal chances have too little entropy
+            state = settle(state.select("block", "ids", "values", "extra", same(0).alias("beta"), same(0).alias("low"), same(np.inf).alias("high"), figure("near").alias("near"), F.lit(True).alias("done"), same(np.log(n - 1)).alias("total")))
+        else:
+            low = F.transform("v", lambda v: v["beta"] * (1 - 1e-9))
+            state = settle(state.select("block", "ids", "values", "extra", figure("beta").alias("beta"), low.alias("low"), same(np.inf).alias("high"), figure("near").alias("near"), F.lit(False).alias("done"), same(0).alias("total")))
         for _ in range(0 if few else PASSES):
-            sums = _every_pair(state, held, _sums, "id long, s0 double, s1 double, s2 double, near double").groupBy("id").agg(*(F.sum(c).alias(c) for c in ("s0", "s1", "s2")))
+            sums = _every_pair(state, held, _sums, "id long, s0 double, s1 double, s2 double", folds).groupBy("id").agg(*(F.sum(c).alias(c) for c in ("s0", "s1", "s2")))
             each = held.table.select("block", F.posexplode("ids").alias("at", "id")).join(sums, "id").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("at", "s0", "s1", "s2"))).alias("sums"))
-            state = settle(state.join(each, "block").mapInArrow(partial(_stepped, goal=float(np.log(self.perplexity)), eps=min(self.eps, 1e-9), schema=to_arrow_schema(kind)), kind))
+            state = settle(state.join(each, "block").mapInArrow(partial(_stepped, goal=goal, eps=eps, schema=to_arrow_schema(kind)), kind))
             if state.where("NOT done").isEmpty():
                 break
-        picked = _every_pair(state.withColumn("near", F.col("total")), held, _missed, "id long, miss double").groupBy("id").agg(F.exp(F.sum("miss")).alias("score"))
-        return named.select("id", "node").join(picked.withColumnRenamed("id", "node"), "node").select("id", "score")
+        picked = _every_pair(state, held, _missed, "id long, miss double", folds, "total").groupBy("id").agg(F.exp(F.sum("miss")).alias("score"))
+        found = named.select("features", "node").join(picked.withColumnRenamed("id", "node"), "node", "left").select("features", F.coalesce("score", F.lit(1.0)).alias("score"))
+        return rows.select("id", "features").join(found, "features").select("id", "score")

@@ -68,6 +68,20 @@ def test_sos_equals_the_matrix(spark, monkeypatch):
     assert np.allclose(scores(create_model("core_sos").fit(table(spark, x[:3])).train_scores), 0.25)
 
 
+def test_sos_compares_different_rows_once_and_far_ones_never(spark, monkeypatch):
+    monkeypatch.setattr(metric_join, "BLOCK_ROWS", 16)
+    x = np.concatenate([np.random.default_rng(6).normal(size=(50, 2)), 1000 + np.random.default_rng(7).normal(size=(50, 2)), [[9, 9]]])
+    x = np.concatenate([x, x[:40], x[:20], np.zeros((9, 2))])
+    held, sent = [], []
+    blocks, pairs = graph_scores.in_blocks, graph_scores.meet
+    monkeypatch.setattr(graph_scores, "in_blocks", lambda rows, *how: held.append(blocks(rows, *how)) or held[-1])
+    monkeypatch.setattr(graph_scores, "meet", lambda asked, *how: sent.append(asked.selectExpr("sum(size(ids))").first()[0]) or pairs(asked, *how))
+    found = scores(create_model("core_sos").fit(table(spark, x)).train_scores)
+    assert np.allclose(found, plain_sos(x, 4.5), atol=1e-7)
+    assert held[0].layout.rows.sum() == 102
+    assert max(sent) < 0.7 * 102 * len(held[0].layout.block)
+
+
 def plain_parts(u, w, tu, tw):
     """Of rows (u, w) against training rows (tu, tw): doubly centred matrices."""
     a, b = np.abs(tu[:, None] - tu), np.abs(tw[:, None] - tw)
