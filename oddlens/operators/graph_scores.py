@@ -16,68 +16,78 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from oddlens.operators.base import Detector
 from oddlens.operators.components import connected_components
-from oddlens.operators.metric_join import Blocks, Layout, Meeting, Space, _sent, _sent_type, choose_pivots, in_blocks, in_steps, meet, nearest_blocks, small_batches
+from oddlens.operators.metric_join import Blocks, Layout, Meeting, Space, _cell_parts, _runs, _sent, _sent_type, cell_bank, choose_pivots, grid_shape, in_blocks, in_steps, meet, nearest_blocks, nearest_foreign, on_grid, small_batches
 from oddlens.operators.neighbours import nearest
 from oddlens.operators.registry import register_model
 from oddlens.sources.scratch import settle, with_row_id
 
 FOUND = "comp long, d double, a long, b long, other long"
+LISTED = 16  # nearest rows of each row, found once for all rounds
 
 
-def _foreign(m: Meeting, space: Space) -> pa.RecordBatch:
+def _foreign_cell(left: pa.Table, right: pa.Table, space: Space, pivots: np.ndarray) -> pa.Table:
     """For each component among the rows, its shortest way to a row of another one: ties by the lesser and the greater node."""
-    d, a, b, own, other = np.full(len(m.x), np.inf), np.array(m.ids), np.zeros(len(m.x), np.int64), m.extra, np.zeros(len(m.x), np.int64)
-    order = np.argsort(m.others, kind="stable")
-    y, nodes, comps = m.y[order], m.others[order], m.other_extra[order]
-    for part, gap in in_steps(m.x, len(y), lambda z: space.between(z, y)):
-        gap[own[part, None] == comps[None]] = np.inf
-        gap[gap > m.radius[part, None]] = np.inf
-        at = gap.argmin(1)  # of equal ones the least node
-        d[part], b[part], other[part] = gap[np.arange(len(gap)), at], nodes[at], comps[at]
-    low, high = np.minimum(a, b), np.maximum(a, b)
+    y, others, comps, layout = cell_bank(right, space)
+    groups, out = _runs(layout.rows), []
+    for values, ids, extra in zip(left.column("values").to_pylist(), left.column("ids"), left.column("extra"), strict=True):
+        x, ids, own = space.of(values), ids.values.to_numpy(zero_copy_only=False), extra.values.to_numpy(zero_copy_only=False)
+        best = np.full(len(x), np.inf)
+        for start, end, least in _cell_parts(x, layout, groups, pivots, space):
+            rows = np.arange(len(x)) if least is None else np.flatnonzero(least <= space.reach(best))
+            at, to, d = nearest_foreign(x[rows], own[rows], y[start:end], comps[start:end], space)
+            at, to = rows[at], to + start
+            np.minimum.at(best, at, d)
+            out.append((own[at], d, np.minimum(ids[at], others[to]), np.maximum(ids[at], others[to]), comps[to]))
+    own, d, low, high, other = (np.concatenate([o[j] for o in out] or [np.empty(0, float if j == 1 else int)]) for j in range(5))
     order = np.lexsort((high, low, d, own))
-    order = order[np.isfinite(d[order])]
     first = order[np.flatnonzero(np.r_[True, np.diff(own[order]) != 0])] if len(order) else order
-    return pa.RecordBatch.from_arrays([pa.array(v[first]) for v in (own, d, low, high, other)], ["comp", "d", "a", "b", "other"])
+    return pa.Table.from_arrays([pa.array(v[first]) for v in (own, d, low, high, other)], ["comp", "d", "a", "b", "other"])
 
 
-def _of_component(found: DataFrame) -> DataFrame:
-    return found.groupBy("comp").agg(F.min(F.struct("d", "a", "b", "other")).alias("e"))
-
-
-def _ask(rows: Blocks, bounds: DataFrame | None) -> DataFrame:
-    """(block, ids, values, radius, extra): blocks of rows, each row's radius that of its component."""
-    each = rows.table.select("block", F.posexplode("extra").alias("at", "comp"))
-    each = each.withColumn("d", F.lit(float("inf"))) if bounds is None else each.join(bounds, "comp", "left").withColumn("d", F.coalesce("d", F.lit(float("inf"))))
-    radii = each.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "d"))), lambda s: s["d"]).alias("radius"))
-    return rows.table.select("block", "ids", "values", "extra").join(radii, "block")
+def _searched(asked: DataFrame, rows: DataFrame, n: int, space: Space, pivots: np.ndarray) -> DataFrame:
+    """(comp, e): the shortest edges from the rows ``asked`` (id, features, extra: component) to rows of other components."""
+    bank, held = in_blocks(rows, space, pivots, n), in_blocks(asked, space, pivots, asked.count())
+    work = partial(_foreign_cell, space=space, pivots=pivots)
+    found = on_grid(held.table.withColumnRenamed("block", "own"), "own", held.layout.block, bank, grid_shape(held, bank), lambda left, right: work(left, right), FOUND)
+    return settle(found.groupBy("comp").agg(F.min(F.struct("d", "a", "b", "other")).alias("e")))
 
 
 def spanning_edges(rows: DataFrame, n: int, space: Space) -> DataFrame:
     """(a, b, d): the minimum spanning tree of ``rows`` (id long, features; n of them), by Boruvka's rounds.
 
-    In each round every component finds its shortest edge to another: first within the rows' own blocks, which bounds
-    how far it can be, then among the blocks within that bound; blocks of one component alone are left out for its rows.
+    In each round every component but the largest takes its shortest edge to another; ties go by the lesser and the greater
+    node. All rows' LISTED nearest rows are found once, and a row's first one of another component is its shortest way
+    there. Only rows whose whole list has become their own component's, and reaches no farther than the
+    component's shortest edge so far, are searched for among all rows.
     """
-    rows, out = rows.withColumn("extra", F.col("id")), None
+    empty = rows.sparkSession.createDataFrame([], "a long, b long, d double")
+    if n < 2:
+        return empty
+    rows, out = rows.select("id", "features"), None
     pivots = choose_pivots(rows, space, n)
+    held = in_blocks(rows, space, pivots, n)
+    live = nearest_blocks(held, held, min(LISTED, n - 1), True)
+    last = settle(live.groupBy("id").agg(F.max("d").alias("last"), F.count("*").alias("listed")))
+    live = live.select("id", "other", "d")
+    of = settle(rows.select("id", F.col("id").alias("comp")))
     while True:
-        held = in_blocks(rows, space, pivots, n)
-        home = _ask(held, None)
-        with small_batches(rows.sparkSession):
-            near = settle(_of_component(meet(home, held, partial(_foreign, space=space), FOUND)))
-        kind = _sent_type(T.LongType())
-        asked = _ask(held, near.select("comp", "e.d")).withColumn("home", F.col("block"))
-        sent = asked.mapInArrow(partial(_sent, space=space, pivots=pivots, layout=held.layout, radius=None, schema=to_arrow_schema(kind), foreign=True), kind)
-        with small_batches(rows.sparkSession):
-            far = settle(_of_component(meet(sent, held, partial(_foreign, space=space), FOUND)))
-        best = settle(near.union(far).groupBy("comp").agg(F.min("e").alias("e")).select("comp", "e.*"))
-        if best.isEmpty():
-            return out if out is not None else rows.sparkSession.createDataFrame([], "a long, b long, d double")
-        edges = best.select("a", "b", "d").distinct()
+        largest = of.groupBy("comp").agg(F.count("*").alias("n")).agg(F.max(F.struct("n", "comp")).alias("m"), F.count("*").alias("comps")).first()
+        if largest.comps == 1:
+            return empty if out is None else out
+        live = settle(live.select("id", "other", "d").join(of, "id").join(of.toDF("other", "to"), "other").where("comp <> to"))
+        each = live.where(F.col("comp") != largest.m.comp).select("comp", F.struct("d", F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"), F.col("to").alias("other")).alias("e"))
+        best = settle(each.groupBy("comp").agg(F.min("e").alias("e")))
+        if largest.comps < n:
+            quiet = of.where(F.col("comp") != largest.m.comp).join(live.select("id").distinct(), "id", "left_anti").join(last.where(F.col("listed") < n - 1), "id")
+            asked = quiet.join(best.select("comp", "e.d"), "comp", "left").where(F.col("d").isNull() | (F.col("last") <= F.col("d")))
+            asked = settle(asked.select("id", F.col("comp").alias("extra")).join(rows, "id"))
+            if not asked.isEmpty():
+                more = _searched(asked, rows.join(of.withColumnRenamed("comp", "extra"), "id"), n, space, pivots)
+                best = settle(best.union(more).groupBy("comp").agg(F.min("e").alias("e")))
+        edges = best.select("e.a", "e.b", "e.d").distinct()
         out = settle(edges if out is None else out.union(edges))
-        merged = connected_components(best.select(F.col("comp").alias("a"), F.col("other").alias("b"))).toDF("extra", "to")
-        rows = settle(rows.join(merged, "extra", "left").select("id", "features", F.coalesce("to", "extra").alias("extra")))
+        merged = connected_components(best.select(F.col("comp").alias("a"), F.col("e.other").alias("b"))).toDF("comp", "new")
+        of = settle(of.join(merged, "comp", "left").select("id", F.coalesce("new", "comp").alias("comp")))
 
 
 @register_model("core_mst_outlier", "classical", "core")

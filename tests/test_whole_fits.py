@@ -45,6 +45,20 @@ def test_spanning_tree_equals_prim(spark, monkeypatch):
     assert scores(create_model("core_mst_outlier").fit(table(spark, x[:1])).train_scores).tolist() == [0]
 
 
+def test_spanning_tree_searches_only_where_lists_end(spark, monkeypatch):
+    x = np.random.default_rng(8).normal(size=(70, 3))
+    x = np.concatenate([x[:30], x[30:50] + 40, x[50:] - 40, x[:20]])
+    d = distances(x, x)
+    asked, search = [], graph_scores._searched
+    monkeypatch.setattr(graph_scores, "LISTED", 4)
+    monkeypatch.setattr(graph_scores, "_searched", lambda rows, *how: asked.append(rows.count()) or search(rows, *how))
+    edges = graph_scores.spanning_edges(table(spark, x), len(x), Space(3)).collect()
+    assert len(edges) == len(x) - 1
+    assert np.isclose(sum(e.d for e in edges), sum(e[2] for e in prim(d)))
+    assert asked
+    assert max(asked) <= 70
+
+
 def plain_sos(x, perplexity):
     d = distances(x, x)
     p = np.zeros_like(d)
