@@ -16,8 +16,12 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from oddlens.functions import maps
 from oddlens.operators.components import connected_components
@@ -43,19 +47,49 @@ def in_tiles(pixels: DataFrame, size: int) -> DataFrame:
     """(image_id, y, x, v) as tiles, masks empty; an image reaches to its largest y and x, missing pixels are 0."""
     extent = pixels.groupBy("image_id").agg((F.max("y") + 1).cast("int").alias("height"), (F.max("x") + 1).cast("int").alias("width"))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        row = pdf.iloc[0]
-        h, w = min(size, row.height - row.ty * size), min(size, row.width - row.tx * size)
-        values = np.zeros((int(h), int(w)))
-        if not pdf.y.isna().all():
-            values[pdf.y.to_numpy(int) - int(row.ty) * size, pdf.x.to_numpy(int) - int(row.tx) * size] = pdf.v
-        return pd.DataFrame([{**row[["image_id", "ty", "tx", "height", "width"]].to_dict(), "values": values.tobytes(), "mask": np.zeros(values.shape, bool).tobytes()}])
-
     at = lambda c: F.floor(F.col(c) / size).cast("int")
     there = pixels.select("image_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col("v").cast("double").alias("v"), at("y").alias("ty"), at("x").alias("tx"))
     steps = lambda c: F.sequence(F.lit(0), F.floor((F.col(c) - 1) / size).cast("int"))
     every = extent.withColumn("ty", F.explode(steps("height"))).withColumn("tx", F.explode(steps("width")))
-    return settle(every.join(there, ["image_id", "ty", "tx"], "left").groupBy("image_id", "ty", "tx").applyInPandas(one, TILES))
+    place = ((F.col("y") - F.col("ty") * size) * size + F.col("x") - F.col("tx") * size).alias("at")
+    held = there.groupBy("image_id", "ty", "tx").agg(F.collect_list(F.struct(place, "v")).alias("pixels"))
+    with batch_limits(pixels.sparkSession, _at_once(size, 64)):
+        return settle(every.join(held, ["image_id", "ty", "tx"], "left").mapInArrow(partial(_filled, size=size), TILES))
+
+
+def _at_once(size: int, tiles: int) -> int:
+    """So many tiles of TILE pixels' side go to Python at a time, or more smaller ones."""
+    return min(10_000, max(tiles, tiles * TILE**2 // size**2))
+
+
+def _filled(batches, size: int):
+    for batch in batches:
+        pixels = batch.column("pixels")
+        flat, counts = pixels.flatten(), np.nan_to_num(pa.compute.list_value_length(pixels).to_numpy(zero_copy_only=False)).astype(int)
+        place, v = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("at", "v"))
+        ends, values, masks = np.cumsum(counts), [], []
+        figures = (batch.column(c).to_pylist() for c in ("ty", "tx", "height", "width"))
+        for end, n, ty, tx, height, width in zip(ends, counts, *figures, strict=True):
+            h, w = min(size, height - ty * size), min(size, width - tx * size)
+            tile, at = np.zeros((h, w)), place[end - n : end]
+            tile[at // size, at % size] = v[end - n : end]
+            values.append(tile.tobytes())
+            masks.append(bytes(h * w))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("image_id", "ty", "tx", "height", "width")), pa.array(values, pa.binary()), pa.array(masks, pa.binary())], [c.split()[0] for c in TILES.split(", ")])
+
+
+def _stacks(batch: pa.RecordBatch, size: int, inverted: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, dict]]:
+    """The tiles of a batch by their shape: places in the batch, values, masks, labels of components (from 1, tile by tile) and the keys as arrays."""
+    keys = {c: batch.column(c).to_numpy() for c in ("ty", "tx", "height", "width")}
+    h, w = (np.minimum(size, keys[n] - keys[t] * size) for n, t in (("height", "ty"), ("width", "tx")))
+    for shape in sorted(set(zip(h.tolist(), w.tolist(), strict=True))):
+        at = np.flatnonzero((h == shape[0]) & (w == shape[1]))
+        some = batch.take(pa.array(at))
+        values, masks = (np.frombuffer(b"".join(some.column(c).to_pylist()), kind).reshape(len(at), *shape) for c, kind in (("values", float), ("mask", bool)))
+        apart = np.zeros((len(at), shape[0] + 1, shape[1]), bool)  # a row without a pixel ends each tile
+        apart[:, :-1] = ~masks if inverted else masks
+        labels = maps.label_components(apart.reshape(-1, shape[1])).reshape(apart.shape)[:, :-1]
+        yield at, values, masks, labels, {c: k[at] for c, k in keys.items()}
 
 
 def _strips(frames: Frames, size: int, margin: int) -> Frames:
@@ -109,36 +143,52 @@ def changed(tiles: DataFrame, size: int, change: Callable) -> DataFrame:
     return tiles.select(*(c.split()[0] for c in TILES.split(", ")), *(c for c in tiles.columns if c == "names")).mapInPandas(each, TILES)
 
 
-def tile_parts(row, values: np.ndarray, mask: np.ndarray, size: int) -> list[dict]:
-    """The components of one tile and what is known of them."""
-    labels, (h, w) = maps.label_components(mask), mask.shape
-    out = []
-    for y, x in maps.pixels_of(labels):
-        v = values[y, x]
-        y, x = y + row.ty * size, x + row.tx * size
-        ring = maps.hull(*maps.row_ends(x, y))
-        seam = (y == row.ty * size) | (y == row.ty * size + h - 1) | (x == row.tx * size) | (x == row.tx * size + w - 1)
-        edge = bool(((y == 0) | (y == row.height - 1) | (x == 0) | (x == row.width - 1)).any())
-        out.append(
-            {"image_id": row.image_id, "ty": row.ty, "tx": row.tx, "height": row.height, "width": row.width, "fy": y[0], "fx": x[0], "area": len(x), "sx": float(x.sum()), "sy": float(y.sum()), "x0": x.min(), "y0": y.min(), "x1": x.max(), "y1": y.max()}
-            | {"v_max": v.max(), "v_sum": v.sum(), "edge": edge, "hull_x": [p[0] for p in ring], "hull_y": [p[1] for p in ring], "seam_y": y[seam].tolist(), "seam_x": x[seam].tolist()}
-        )
-    return out
-
-
-def _parts(frames: Frames, size: int, inverted: bool) -> Frames:
-    names = [c.split()[0] for c in PARTS.split(", ")]
-    for pdf in frames:
-        for row in pdf.itertuples():
-            values, mask = _arrays(row, size)
-            if found := tile_parts(row, values, ~mask if inverted else mask, size):
-                yield pd.DataFrame(found, columns=names)
+def _ring(x: np.ndarray, y: np.ndarray, box: bool) -> list[tuple[int, int]]:
+    """The hull's corners of a component's pixels in reading order; of one that fills its box the box's."""
+    if box:
+        x0, y0, x1, y1 = x[0], y[0], x[-1] + 1, y[-1] + 1
+        return maps.hull([x0, x0, x1, x1], [y0, y1, y0, y1])
+    return maps.hull(*maps.row_ends(x, y))
+
+
+def _lists(parts: list[np.ndarray] | None = None, flat: np.ndarray | None = None, counts: np.ndarray | None = None) -> pa.ListArray:
+    flat, counts = (np.concatenate([*parts, np.empty(0, int)]), [len(p) for p in parts]) if parts is not None else (flat, counts)
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), pa.array(flat, pa.int32()))
+
+
+def stack_parts(labels: np.ndarray, values: np.ndarray, key: dict, size: int) -> tuple[np.ndarray, dict]:
+    """The components of tiles of one shape: the tile of each, and what is known of them."""
+    (_, h, w), (t, y, x) = labels.shape, np.nonzero(labels)
+    order = np.argsort(labels[t, y, x], kind="stable")
+    t, y, x = t[order], y[order], x[order]
+    number, v = labels[t, y, x], values[t, y, x]
+    first = np.flatnonzero(np.r_[True, np.diff(number) != 0])
+    area, of = np.diff(np.r_[first, len(number)]), t[first]
+    seam = (y == 0) | (y == h - 1) | (x == 0) | (x == w - 1)
+    y, x = y + (key["ty"] * size)[t], x + (key["tx"] * size)[t]
+    edge = (y == 0) | (y == key["height"][t] - 1) | (x == 0) | (x == key["width"][t] - 1)
+    each = lambda f, c: f.reduceat(c, first)
+    x0, y0, x1, y1 = each(np.minimum, x), each(np.minimum, y), each(np.maximum, x), each(np.maximum, y)
+    box = (x1 - x0 + 1) * (y1 - y0 + 1) == area
+    rings = [np.array(_ring(x[a : a + n], y[a : a + n], b)) for a, n, b in zip(first, area, box, strict=True)]
+    along = each(np.add, seam.astype(int))
+    figures = {"fy": y[first], "fx": x[first], "area": area, "sx": each(np.add, x.astype(float)), "sy": each(np.add, y.astype(float)), "x0": x0, "y0": y0, "x1": x1, "y1": y1, "v_max": each(np.maximum, v), "v_sum": each(np.add, v), "edge": each(np.logical_or, edge)}
+    return of, figures | {"hull_x": _lists([r[:, 0] for r in rings]), "hull_y": _lists([r[:, 1] for r in rings]), "seam_y": _lists(flat=y[seam], counts=along), "seam_x": _lists(flat=x[seam], counts=along)}
+
+
+def _parts(batches, size: int, inverted: bool, schema: pa.Schema):
+    for batch in batches:
+        for at, values, _, labels, key in _stacks(batch, size, inverted) if batch.num_rows else ():
+            if labels.any():
+                of, figures = stack_parts(labels, values, key, size)
+                figures |= {c: k[of] for c, k in key.items()} | {"image_id": batch.column("image_id").take(pa.array(at[of]))}
+                yield pa.RecordBatch.from_arrays([(figures[f.name] if isinstance(figures[f.name], pa.Array) else pa.array(figures[f.name])).cast(f.type) for f in schema], schema=schema)
 
 
 def parts(tiles: DataFrame, size: int, inverted: bool = False) -> DataFrame:
     """The components of all tiles (of the background with ``inverted``), each with the first pixel of its region (ry, rx); settled."""
-    with batch_limits(tiles.sparkSession, 64):
-        found = settle(tiles.mapInPandas(partial(_parts, size=size, inverted=inverted), PARTS))
+    with batch_limits(tiles.sparkSession, _at_once(size, 64)):
+        found = settle(tiles.mapInArrow(partial(_parts, size=size, inverted=inverted, schema=to_arrow_schema(T._parse_datatype_string(PARTS))), PARTS))
     node = lambda y, x: F.struct("image_id", F.col(y).alias("y"), F.col(x).alias("x"))
     seams = found.select("image_id", "ty", "tx", node("fy", "fx").alias("node"), F.explode(F.arrays_zip("seam_y", "seam_x")).alias("p")).select("image_id", "ty", "tx", "node", F.col("p.seam_y").alias("y"), F.col("p.seam_x").alias("x"))
     step = F.explode(F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1)))))
@@ -171,16 +221,29 @@ def _set_where(tiles: DataFrame, found: DataFrame, chosen: DataFrame, size: int,
     """Masks with the regions ``chosen`` (image_id, ry, rx) of ``found`` set to ``to``; settled."""
     first = found.join(chosen.select("image_id", "ry", "rx"), ["image_id", "ry", "rx"], "left_semi").groupBy("image_id", "ty", "tx").agg(F.collect_list(F.col("fy") * F.lit(1 << 32).cast("long") + F.col("fx")).alias("names"))
 
-    def change(row, values, mask):
-        if row.names is None or not len(row.names):
-            return mask
-        labels, (h, w) = maps.label_components(~mask if inverted else mask), mask.shape
-        names = np.asarray(row.names)
-        at = labels[(names >> 32) - row.ty * size, (names & 0xFFFFFFFF) - row.tx * size]
-        return np.where(np.isin(labels, at), to, mask)
+    with batch_limits(tiles.sparkSession, _at_once(size, 64)):
+        return settle(tiles.join(first, ["image_id", "ty", "tx"], "left").mapInArrow(partial(_reset, size=size, to=to, inverted=inverted), TILES))
 
-    with batch_limits(tiles.sparkSession, 64):
-        return settle(changed(tiles.join(first, ["image_id", "ty", "tx"], "left"), size, change))
+
+def _named(names: pa.ListArray, at: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """The tile of each entry of some tiles' lists, and the entries."""
+    names = names.take(pa.array(at))
+    counts = np.nan_to_num(pa.compute.list_value_length(names).to_numpy(zero_copy_only=False)).astype(int)
+    return np.repeat(np.arange(len(at)), counts), names.flatten()
+
+
+def _reset(batches, size: int, to: bool, inverted: bool):
+    for batch in batches:
+        new = batch.column("mask").to_pylist()
+        for at, _, masks, labels, key in _stacks(batch, size, inverted) if batch.num_rows else ():
+            t, names = _named(batch.column("names"), at)
+            names = names.to_numpy(zero_copy_only=False).astype(np.int64)
+            chosen = np.zeros(labels.max(initial=0) + 1, bool)
+            chosen[labels[t, (names >> 32) - key["ty"][t] * size, (names & 0xFFFFFFFF) - key["tx"][t] * size]] = True
+            for k, mask in zip(at.tolist(), np.where(chosen[labels], to, masks), strict=True):
+                new[k] = mask.tobytes()
+        kept = [c.split()[0] for c in TILES.split(", ")]
+        yield pa.RecordBatch.from_arrays([batch.column(c) if c != "mask" else pa.array(new, pa.binary()) for c in kept], kept)
 
 
 def labelled(pixels: DataFrame, threshold: float, tile: int = TILE) -> DataFrame:
@@ -193,19 +256,20 @@ def labelled(pixels: DataFrame, threshold: float, tile: int = TILE) -> DataFrame
     numbered = found.select("image_id", "ry", "rx").distinct().withColumn("region", number.cast("int"))
     names = found.join(numbered, ["image_id", "ry", "rx"]).groupBy("image_id", "ty", "tx").agg(F.collect_list(F.struct("fy", "fx", "region")).alias("names"))
 
-    def each(frames: Frames) -> Frames:
-        for pdf in frames:
-            for row in pdf.itertuples():
-                values, mask = _arrays(row, tile)
-                labels = maps.label_components(mask)
-                to = np.zeros(labels.max(initial=0) + 1, int)
-                for n in row.names:
-                    to[labels[n["fy"] - row.ty * tile, n["fx"] - row.tx * tile]] = n["region"]
-                y, x = np.nonzero(mask)
-                yield pd.DataFrame({"image_id": row.image_id, "y": y + row.ty * tile, "x": x + row.tx * tile, "v": values[y, x], "region": to[labels[y, x]]})
-
-    with batch_limits(tiles.sparkSession, 16):
-        return settle(tiles.join(names, ["image_id", "ty", "tx"]).mapInPandas(each, "image_id long, y int, x int, v double, region int"))
+    with batch_limits(tiles.sparkSession, _at_once(tile, 16)):
+        return settle(tiles.join(names, ["image_id", "ty", "tx"]).mapInArrow(partial(_numbered, size=tile), "image_id long, y int, x int, v double, region int"))
+
+
+def _numbered(batches, size: int):
+    for batch in batches:
+        for at, values, _, labels, key in _stacks(batch, size) if batch.num_rows else ():
+            of, names = _named(batch.column("names"), at)
+            fy, fx, region = (names.field(c).to_numpy() for c in ("fy", "fx", "region"))
+            to = np.zeros(labels.max(initial=0) + 1, np.int32)
+            to[labels[of, fy - key["ty"][of] * size, fx - key["tx"][of] * size]] = region
+            t, y, x = np.nonzero(labels)
+            columns = [y + key["ty"][t] * size, x + key["tx"][t] * size]
+            yield pa.RecordBatch.from_arrays([batch.column("image_id").take(pa.array(at[t])), *(pa.array(c, pa.int32()) for c in columns), pa.array(values[t, y, x]), pa.array(to[labels[t, y, x]])], ["image_id", "y", "x", "v", "region"])
 
 
 def defects(pixels: DataFrame, threshold: float, low: float | None = None, tile: int = TILE, **how) -> DataFrame:

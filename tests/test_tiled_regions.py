@@ -1,5 +1,7 @@
 """Regions found tile by tile are those found on the whole image, however it is cut."""
 
+from types import SimpleNamespace
+
 import numpy as np
 import pytest
 
@@ -74,3 +76,23 @@ def test_row_ends_have_the_hull_of_all_corners():
         if len(x):
             corners = [(int(a) + c, int(b) + d) for a, b in zip(x, y, strict=True) for c in (0, 1) for d in (0, 1)]
             assert maps.hull(*maps.row_ends(x, y)) == maps.hull([c[0] for c in corners], [c[1] for c in corners])
+
+
+def test_tiles_of_a_batch_are_labelled_apart():
+    import pyarrow as pa
+
+    draw = np.random.default_rng(9)
+    keys = {"ty": [0, 0, 1, 1, 0], "tx": [0, 1, 0, 1, 0], "height": [7] * 5, "width": [6] * 5}
+    shapes = [tiled_regions._shape(SimpleNamespace(**{c: v[k] for c, v in keys.items()}), 4) for k in range(5)]
+    masks, values = [draw.random(s) < 0.6 for s in shapes], [draw.random(s) for s in shapes]
+    batch = pa.RecordBatch.from_pydict({"image_id": [1, 1, 1, 1, 2], **keys, "values": [v.tobytes() for v in values], "mask": [m.tobytes() for m in masks]})
+    seen = 0
+    for at, stack, _, labels, key in tiled_regions._stacks(batch, 4):
+        of, found = tiled_regions.stack_parts(labels, stack, key, 4)
+        for k, place in enumerate(at):
+            want = maps.find_regions(values[place], masks[place])
+            assert found["area"][of == k].tolist() == [r["area"] for r in want]
+            assert np.round(found["v_max"][of == k], 6).tolist() == [r["score_max"] for r in want]
+            assert (found["x0"][of == k] - keys["tx"][place] * 4).tolist() == [r["x0"] for r in want]
+            seen += 1
+    assert seen == 5
