@@ -134,3 +134,12 @@ def test_benchmark_split_keeps_groups_together(spark):
     assert by["p7"] == "test" and by["r"] == "train" and by["s"] == "test" and 60 <= sum(v == "test" for v in by.values()) <= 140
     again = {r.image_path: r.assigned_split for r in manifest.benchmark_split(table.repartition(5), 0.25, 3).collect()}
     assert again == by
+
+
+def test_gabor_bank_transforms_an_image_once(monkeypatch):
+    plane = np.random.default_rng(3).integers(0, 255, (16, 16, 1)).astype(float)
+    first = images.gabor_bank(plane)
+    calls, fft2 = [], np.fft.fft2
+    monkeypatch.setattr(images.np.fft, "fft2", lambda *how: calls.append(1) or fft2(*how))
+    assert images.gabor_bank(plane) == first
+    assert len(calls) == 1
