@@ -58,8 +58,8 @@ class Detector:
         return self._score(train)
 
     def fit(self, train: DataFrame) -> Detector:
-        """``train``: id, features. Empty tables are refused; ids must be unique."""
-        self.train = settle(train.select("id", F.col("features").cast("array<double>").alias("features")))
+        """``train``: id, features. Empty tables are refused; ids must be unique. Members of an ensemble share its table and ``searches``."""
+        self.train = train if hasattr(train, "searches") else settle(train.select("id", F.col("features").cast("array<double>").alias("features")))
         first = self.train.first()
         if first is None:
             raise ValueError("no training rows")

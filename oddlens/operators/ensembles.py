@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from oddlens.operators.base import Detector
 from oddlens.operators.calibration import ScoreStandardizer, combine, significant
-from oddlens.operators.neighbours import nearest
+from oddlens.operators.neighbours import nearest, searched
 from oddlens.operators.registry import create_model, register_model
 from oddlens.sources.scratch import settle
 
@@ -121,8 +121,10 @@ class LSCP(_Members):
         return list(self.detector_specs)
 
     def _fit(self, train):
-        super()._fit(train)
+        train.searches = {}
         self.k = min(self.local_region_size, max(2, train.count() - 1))
+        searched(train, self.k, self.n_features)  # members with fewer neighbours take them from this one
+        super()._fit(train)
         self.bank_scores = settle(self._z(self._all(None)))
 
     def _z(self, scores):
@@ -130,7 +132,7 @@ class LSCP(_Members):
         return reduce(DataFrame.union, parts)
 
     def _local(self, rows, scores, alone):
-        region = nearest(rows, self.train, self.k, self.n_features, alone).select("id", "other")
+        region = (searched(self.train, self.k, self.n_features) if alone else nearest(rows, self.train, self.k, self.n_features, False)).select("id", "other")
         truth = self.bank_scores.groupBy(F.col("id").alias("other")).agg(F.max("z").alias("truth"))
         seen = region.join(truth, "other").join(self.bank_scores.withColumnRenamed("id", "other"), "other")
         fit = seen.groupBy("id", "k").agg(F.coalesce(F.corr("z", "truth"), F.lit(0.0)).alias("r"))

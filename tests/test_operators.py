@@ -148,3 +148,17 @@ def test_stream_scores_equal_batch_scores(spark, cloud, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out")).select("id", "score").orderBy("id").toPandas()
     want = model.decision_function(cloud).orderBy("id").toPandas()
     assert np.allclose(got.score, want.score)
+
+
+def test_lscp_searches_once(spark, monkeypatch):
+    from oddlens.operators import ensembles, neighbours
+
+    x = np.random.default_rng(4).normal(size=(60, 3))
+    train = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, features array<double>")
+    asked, nearest = [], neighbours.nearest
+    monkeypatch.setattr(neighbours, "nearest", lambda rows, bank, k, *how: asked.append(k) or nearest(rows, bank, k, *how))
+    monkeypatch.setattr(ensembles, "nearest", neighbours.nearest)
+    model = create_model("core_lscp").fit(train)
+    assert asked == [30]
+    alone = create_model("core_knn").fit(train).train_scores.collect()
+    assert sorted(model.members[1].train_scores.collect()) == sorted(alone)
