@@ -11,6 +11,7 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,27 +20,40 @@ from oddlens.functions.vectors import unit
 from oddlens.operators.base import Detector, matrix
 from oddlens.operators.metric_join import in_steps
 from oddlens.operators.registry import register_model
-from oddlens.sources.scratch import settle
+from oddlens.sources.scratch import discard, settle
 
 SAMPLE = 4000
 
 
-def _sums(batches):
+def vectors(batch: pa.RecordBatch) -> np.ndarray:
+    """The features of a batch as a matrix."""
+    return batch.column("features").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
+
+
+def _sums(batches, origin: np.ndarray, keep=None):
     n, s, q = 0, 0.0, 0.0
-    for pdf in batches:
-        if len(pdf):
-            x = np.array(pdf["features"].tolist(), float)
+    for batch in batches:
+        if batch.num_rows:
+            x = vectors(batch)
+            x = (x if keep is None else x[keep(x)]) - origin
             n, s, q = n + len(x), s + x.sum(0), q + x.T @ x
     if n:
-        yield pd.DataFrame({"n": [n], "s": [s.tolist()], "q": [q.ravel().tolist()]})
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([s.tolist()]), pa.array([q.ravel().tolist()])], ["n", "s", "q"])
+
 
+GATHERED = 64 << 20  # bytes of tasks' sums that the driver holds at once
 
-def moments(rows: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
-    """Rows, mean, and population covariance; the mean of the first rows is taken off first, for precision."""
-    origin = np.array(rows.first().features, float)
-    moved = rows.select(F.zip_with("features", F.array(*(F.lit(float(v)) for v in origin)), lambda a, b: a - b).alias("features"))
+
+def one_a_task(sums: DataFrame, numbers: int):
+    """Rows of sums, one of so many numbers for each task: all at once where they are small (iterating runs the tasks one after another)."""
+    return sums.collect() if sums.rdd.getNumPartitions() * numbers * 8 <= GATHERED else sums.toLocalIterator(prefetchPartitions=True)
+
+
+def moments(rows: DataFrame, origin: np.ndarray | None = None, keep=None) -> tuple[int, np.ndarray, np.ndarray]:
+    """Rows, mean, and population covariance of those that ``keep`` (of a matrix of rows) leaves; ``origin`` (the first row) is taken off first, for precision."""
+    origin = np.array(rows.first().features, float) if origin is None else origin
     n, s, q = 0, 0.0, 0.0
-    for r in moved.mapInPandas(_sums, "n long, s array<double>, q array<double>").toLocalIterator():
+    for r in one_a_task(rows.select("features").mapInArrow(partial(_sums, origin=origin, keep=keep), "n long, s array<double>, q array<double>"), len(origin) * (len(origin) + 1) + 1):
         n, s, q = n + r.n, s + np.array(r.s), q + np.array(r.q).reshape(len(r.s), -1)
     mean = s / n
     return n, origin + mean, q / n - np.outer(mean, mean)
@@ -56,19 +70,23 @@ def sample(rows: DataFrame, most: int = SAMPLE, seed: int = 0) -> tuple[np.ndarr
 
 
 def _apply(batches, score):
-    for pdf in batches:
-        x = np.array(pdf["features"].tolist(), float).reshape(len(pdf), -1)
-        yield pd.DataFrame({"id": pdf["id"], "score": score(x) if len(x) else np.empty(0)})
+    for batch in batches:
+        found = np.asarray(score(vectors(batch)), float) if batch.num_rows else np.empty(0)
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found)], ["id", "score"])
 
 
 def mapped(rows: DataFrame, score) -> DataFrame:
     """(id, score) by ``score``, a function of a matrix of rows."""
-    return rows.mapInPandas(partial(_apply, score=score), f"id {rows.schema['id'].dataType.simpleString()}, score double")
+    return rows.select("id", "features").mapInArrow(partial(_apply, score=score), f"id {rows.schema['id'].dataType.simpleString()}, score double")
 
 
 def quadratic(x, mean, precision):
     d = x - mean
-    return np.einsum("ij,jk,ik->i", d, precision, d)
+    return ((d @ precision) * d).sum(1)
+
+
+def _within(x, mean, precision, cut):
+    return quadratic(x, mean, precision) <= cut
 
 
 class _Gaussian(Detector):
@@ -171,6 +189,20 @@ def concentrated(x: np.ndarray, h: int, centred: bool, seed: int, starts: int =
 
 
 RIDGE = 1e-9
+HELD = 1 << 16  # values about a quantile that the driver sorts; more are counted by the tasks
+
+
+def _placed(scores: DataFrame, h: int, n: int) -> float:
+    """The h-th smallest of n scores: a sketch says between which two it lies, then it is found exactly among those."""
+    low, high = scores.approxQuantile("score", [max(0.0, h / n - 2e-3), min(1.0, h / n + 2e-3)], 1e-3)
+    s = F.col("score")
+    below, between = scores.agg(F.count(F.when(s < low, 1)), F.count(F.when((s >= low) & (s <= high), 1))).first()
+    if not below < h <= below + between or between > HELD:
+        return smallest(scores, "score", h)
+    some = scores.where((s >= low) & (s <= high)).toPandas()["score"].to_numpy()
+    return float(np.partition(some, h - below - 1)[h - below - 1])
+
+
 STEPS = 30  # concentration steps over all rows, at most
 
 
@@ -186,15 +218,19 @@ def robust_covariance(rows: DataFrame, support: float | None = None, centred: bo
     n, d = rows.count(), x.shape[1]
     h = min(n, int(np.ceil((support if support else (n + d + 1) / (2 * n)) * n)))
 
+    inverse = lambda cov: np.linalg.pinv(cov + RIDGE * np.eye(d))
+
     def scored(mean, cov):
-        return rows.select("id", "features").mapInPandas(partial(_with_distance, mean=mean, precision=np.linalg.pinv(cov + RIDGE * np.eye(d))), f"id {rows.schema['id'].dataType.simpleString()}, features array<double>, score double")
+        return mapped(rows, partial(quadratic, mean=mean, precision=inverse(cov)))
 
     def upto(mean, cov, cut):
-        _, m, c = moments(scored(mean, cov).where(F.col("score") <= float(cut)))
+        _, m, c = moments(rows, mean, partial(_within, mean=mean, precision=inverse(cov), cut=float(cut)))
         return (np.zeros(d), c + np.outer(m, m)) if centred else (m, c)
 
     def step(mean, cov):
-        mean, cov = upto(mean, cov, smallest(scored(mean, cov), "score", h))
+        held = settle(scored(mean, cov).select("score"))
+        mean, cov = upto(mean, cov, _placed(held, h, n))
+        discard(held)
         return np.linalg.slogdet(cov + RIDGE * np.eye(d))[1], mean, cov
 
     size, mean, cov = min((step(*start) for start in concentrated(x, min(len(x), int(np.ceil(h * len(x) / n))), centred, seed)), key=lambda s: s[0])
@@ -212,12 +248,6 @@ def robust_covariance(rows: DataFrame, support: float | None = None, centred: bo
     return mean, cov, sizes
 
 
-def _with_distance(batches, mean, precision):
-    for pdf in batches:
-        x = np.array(pdf["features"].tolist(), float).reshape(len(pdf), -1)
-        yield pdf.assign(score=quadratic(x, mean, precision) if len(x) else np.empty(0))
-
-
 @register_model("core_mcd", "classical", "core")
 class MCD(_Gaussian):
     """Squared Mahalanobis distance under the minimum-covariance-determinant estimate of all rows."""
