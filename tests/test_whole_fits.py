@@ -221,3 +221,23 @@ def test_dissimilarities_of_long_prefixes():
     for how in ("aad", "var"):
         assert np.allclose(kernels.grown(x, how), [kernels.dissimilarity(x[: i + 1], how) for i in range(len(x))])
         assert np.allclose(kernels._with_rows(x[:200].ravel(), x[200:300], how), [kernels.dissimilarity(np.vstack([x[:200], x[k : k + 1]]), how) for k in range(200, 300)])
+
+
+def test_loci_takes_copies_of_rows(spark, monkeypatch):
+    monkeypatch.setattr(kernels, "BANK", 50)
+    x = np.concatenate([np.random.default_rng(2).normal(size=(45, 2)), [[9, 9]]])
+    x = np.concatenate([x, x[:20], x[:5]])
+    d = distances(x, x)
+    want = [kernels.deviation(i, d, d, 0.5, 3.0) for i in range(len(x))]
+    assert np.allclose(scores(create_model("core_loci").fit(table(spark, x)).train_scores), want)
+    with pytest.raises(ValueError, match="different"):
+        create_model("core_loci").fit(table(spark, np.random.default_rng(2).normal(size=(51, 2))))
+
+
+def test_moments_run_tasks_at_once_and_places_are_exact(spark, monkeypatch):
+    x = np.random.default_rng(4).normal(size=(90, 3))
+    monkeypatch.setattr(type(spark.range(1)), "toLocalIterator", lambda *how, **named: pytest.fail("one task after another"))
+    n, mean, cov = linear.moments(table(spark, x))
+    assert n == 90 and np.allclose(mean, x.mean(0)) and np.allclose(cov, np.cov(x.T, bias=True))
+    values = spark.createDataFrame([(float(v),) for v in np.round(x.ravel(), 1)], "score double")
+    assert [linear._placed(values, h, 270) for h in (1, 135, 270)] == np.sort(np.round(x.ravel(), 1))[[0, 134, 269]].tolist()
