@@ -31,8 +31,9 @@ def norm(a: Column) -> Column:
 
 
 def unit(a: Column, eps: float = 1e-12) -> Column:
-    """Scaled to length 1; the length is floored at eps."""
-    return F.transform(a, lambda x: x / F.greatest(norm(a), F.lit(eps)))
+    """Scaled to length 1; the length is floored at eps. It is the one element of an array, so that a row works it out once, not once for each feature."""
+    length = F.array(F.greatest(norm(a), F.lit(eps)))
+    return F.get(F.transform(length, lambda n: F.transform(a, lambda x: x / n)), F.lit(0))
 
 
 def row_distance(a: Column, b: Column) -> Column:
