@@ -83,10 +83,11 @@ def label_components(mask: np.ndarray) -> np.ndarray:
     h, w = mask.shape
     label = np.where(mask, np.arange(1, h * w + 1).reshape(h, w), 0)
     big = h * w + 1
+    wide = np.full((h + 2, w + 2), big)
     while True:
-        wide = np.pad(np.where(label > 0, label, big), 1, constant_values=big)
-        low = np.min([wide[a : a + h, b : b + w] for a in range(3) for b in range(3)], 0)
-        new = np.where(mask, np.minimum(label, low), 0)
+        wide[1:-1, 1:-1] = np.where(mask, label, big)
+        tall = np.minimum(np.minimum(wide[:-2], wide[1:-1]), wide[2:])
+        new = np.where(mask, np.minimum(np.minimum(tall[:, :-2], tall[:, 1:-1]), tall[:, 2:]), 0)
         jump = np.where(new > 0, new.ravel()[np.maximum(new, 1) - 1], 0)  # the label of the pixel that a label names
         if (jump == label).all():
             break

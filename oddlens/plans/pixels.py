@@ -8,7 +8,7 @@ from oddlens.functions import images, maps, synthesis, tiled_regions
 from oddlens.functions.vectors import features
 from oddlens.operators import marginal, neighbours, patch_maps, pixel_maps, projectors, robustness  # noqa: F401  (some register their models)
 from oddlens.operators.registry import create_model
-from oddlens.sources.scratch import read
+from oddlens.sources.scratch import read, settle
 from oddlens.streaming import watch
 
 _SIDE = 16
@@ -100,7 +100,9 @@ def _pixel_map(detector):
 
 
 def _images(spark, sf_dir):
-    return images.images_of(_bytes(spark, sf_dir), _SIDE, _SIDE)
+    """The maps as image rows, made once for all who read them, in files enough for all cores: a row is small beside the work on it."""
+    rows = images.images_of(_bytes(spark, sf_dir), _SIDE, _SIDE)
+    return settle(rows.repartition(4 * spark.sparkContext.defaultParallelism, "image_id"))
 
 
 def _features(name, **how):

@@ -1,6 +1,9 @@
 """Extractors, corruptions and pixel maps on small images with known answers, and on awkward rows."""
 
+import time
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,3 +146,32 @@ def test_gabor_bank_transforms_an_image_once(monkeypatch):
     monkeypatch.setattr(images.np.fft, "fft2", lambda *how: calls.append(1) or fft2(*how))
     assert images.gabor_bank(plane) == first
     assert len(calls) == 1
+
+
+def test_images_of_many_pixels_with_gaps(spark):
+    """Looking every place up among all pixels would be some billions of steps here."""
+    side, draw = 300, np.random.default_rng(8)
+    want = draw.integers(1, 256, side * side)
+    gone = draw.random(side * side) < 0.3
+    gone[[0, 1, -1]] = True
+    want[gone] = 0
+    at = spark.createDataFrame(pd.DataFrame({"p": np.flatnonzero(~gone), "v": want[~gone]}))
+    pixels = at.select(F.lit(7).alias("image_id"), F.expr(f"p div {side}").cast("int").alias("y"), F.expr(f"p % {side}").cast("int").alias("x"), "v")
+    beyond = spark.createDataFrame([(7, side, 0, 9), (7, 0, side, 9), (7, -1, 5, 9)], "image_id int, y int, x int, v long")
+    began = time.perf_counter()
+    row = images.images_of(pixels.union(beyond), side, side).first()
+    assert time.perf_counter() - began < 30
+    assert row.data == want.tolist()
+    empty = spark.createDataFrame([(1, 0, 1, None), (1, 1, 0, 4)], "image_id int, y int, x int, v int")
+    assert images.images_of(empty, 2, 2).first().data == [0, 0, 4, 0]
+    with pytest.raises(Exception, match="given twice"):
+        images.images_of(empty.union(empty), 2, 2).collect()
+
+
+def test_images_of_tables_are_dealt_to_all_cores(spark, tmp_path):
+    """Their rows are small, so Spark would leave them in one or two parts, however long the work on a row takes."""
+    from oddlens.plans import pixels
+
+    spark.range(4000).selectExpr("id % 500 AS l_suppkey", "id AS l_partkey", "cast(id % 50 AS double) AS l_quantity").write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = pixels._images(spark, str(tmp_path))
+    assert found.count() == 500 and found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
