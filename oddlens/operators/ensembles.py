@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections import Counter
+from functools import partial, reduce
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oddlens.operators.base import Detector
 from oddlens.operators.calibration import ScoreStandardizer, combine, significant
-from oddlens.operators.neighbours import nearest, searched
+from oddlens.operators.neighbours import nearest, searched, voted
 from oddlens.operators.registry import create_model, register_model
 from oddlens.sources.scratch import settle
 
@@ -108,14 +110,43 @@ class FeatureBagging(Detector):
         return self._joined([m.decision_function(self._part(rows, c)) for m, c in zip(self.members, self.columns, strict=True)])
 
 
+def drawn_parts(d: int, times: int, least: float, most: float, seed: int) -> dict[tuple[int, ...], int]:
+    """Seeded subsets of d features, of between ``least`` and ``most`` of them, and how often each was drawn."""
+    draw, low = np.random.default_rng(seed), max(1, int(d * least))
+    high = min(max(low, int(np.ceil(d * most))), d)
+    drawn = [draw.choice(d, int(draw.integers(low, high + 1)), replace=False) for _ in range(times)]
+    return dict(Counter(tuple(sorted(c.tolist())) for c in drawn))
+
+
+def competent(r: np.ndarray, n_bins: int) -> np.ndarray:
+    """Which members are averaged: those in the fullest bin of their correlations, the lowest of equally full ones; where all are alike, the first."""
+    if np.allclose(r, r[0], rtol=1e-12, atol=1e-12):
+        return np.array([int(r.argmax())])
+    held, borders = np.histogram(r, bins=max(1, min(n_bins, len(r))))
+    full = int(held.argmax())
+    return np.flatnonzero((r >= borders[full]) & (r <= borders[full + 1]))
+
+
+def _selected(batches, n_bins: int):
+    for pdf in batches:
+        scores = [np.asarray(z)[competent(np.asarray(r), n_bins)].mean() for r, z in zip(pdf["r"], pdf["z"], strict=True)]
+        yield pd.DataFrame({"id": pdf["id"], "score": np.array(scores, float)})
+
+
 @register_model("core_lscp", "classical", "core", "ensemble")
 @register_model("core_lscp_spec", "classical", "core", "ensemble")
 class LSCP(_Members):
-    """In each row's local region, the members that go with the pseudo-truth (the largest z-score) most are averaged."""
+    """In each row's local region, members are chosen by how they go with the pseudo-truth (the largest z-score) and averaged.
+
+    The region is voted for: training rows that are among the row's nearest by more than half of
+    ``local_region_iterations`` random subsets of the features; with fewer than two of these, those with the next most votes
+    are taken, down to two. Training rows don't vote for themselves. Members in the fullest bin of the correlations are averaged.
+    """
 
     @classmethod
     def defaults(cls):
-        return {"detector_specs": ("core_lof", "core_knn", "core_hbos"), "local_region_size": 30, "n_bins": 10, "random_state": 0}
+        found = {"detector_specs": ("core_lof", "core_knn", "core_hbos"), "local_region_size": 30, "n_bins": 10, "random_state": 0}
+        return found | {"local_max_features": 1.0, "local_region_iterations": 20, "local_min_features": 0.5}
 
     def _specs(self):
         return list(self.detector_specs)
@@ -123,33 +154,51 @@ class LSCP(_Members):
     def _fit(self, train):
         train.searches = {}
         self.k = min(self.local_region_size, max(2, train.count() - 1))
-        searched(train, self.k, self.n_features)  # members with fewer neighbours take them from this one
+        self.parts = drawn_parts(self.n_features, self.local_region_iterations, self.local_min_features, self.local_max_features, self.random_state or 0)
+        searched(train, self.k, self.n_features)  # members with fewer neighbours take them from this one, as do drawn subsets of all features
         super()._fit(train)
-        self.bank_scores = settle(self._z(self._all(None)))
+        self.bank_scores = settle(self._z(self._all(None)).withColumn("truth", F.array_max("z")))
+        self.everywhere = self.bank_scores.agg(self._fits()).first()[0]
 
     def _z(self, scores):
+        """(id, z): the members' z-scores."""
         parts = [s.select("id", F.lit(k).alias("k"), ((F.col("score") - m.mean) / ((m.sd or 0.0) + 1e-12)).alias("z")) for k, (s, m) in enumerate(zip(scores, self.members, strict=True))]
-        return reduce(DataFrame.union, parts)
+        each = reduce(DataFrame.union, parts).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", "z"))).alias("of"))
+        return each.select("id", F.transform("of", lambda v: v["z"]).alias("z"))
+
+    def _fits(self):
+        """The members' correlations with the truth; 0 where one of the two is constant."""
+        z = [F.get("z", F.lit(k)) for k in range(len(self.members))]
+        return F.array(*(F.when(F.stddev_pop(v) * F.stddev_pop("truth") > 0, F.covar_pop(v, "truth") / F.nullif(F.stddev_pop(v) * F.stddev_pop("truth"), F.lit(0.0))).otherwise(0.0) for v in z))
+
+    def _votes(self, rows, alone):
+        whole = tuple(range(self.n_features))
+        some = {c: times for c, times in self.parts.items() if c != whole}
+        found = [voted(self.train if alone else rows, self.train, self.k, self.n_features, some, alone)] if some else []
+        if whole in self.parts:
+            edges = searched(self.train, self.k, self.n_features) if alone else nearest(rows, self.train, self.k, self.n_features, False)
+            found.append(edges.select("id", "other", F.lit(self.parts[whole]).cast("long").alias("votes")))
+        return found[0] if len(found) == 1 else settle(reduce(DataFrame.union, found).groupBy("id", "other").agg(F.sum("votes").alias("votes")))
+
+    def _regions(self, rows, alone):
+        """(id, other)"""
+        each = self._votes(rows, alone).groupBy("id").agg(F.collect_list(F.struct("votes", "other")).alias("v"))
+        second = F.get(F.sort_array(F.transform("v", lambda v: v["votes"]), False), F.lit(1))
+        least = F.least(F.lit(self.local_region_iterations // 2 + 1), second)
+        region = F.filter("v", lambda v: v["votes"] >= least)
+        return each.where(second.isNotNull()).select("id", F.explode(F.transform(region, lambda v: v["other"])).alias("other"))
 
     def _local(self, rows, scores, alone):
-        region = (searched(self.train, self.k, self.n_features) if alone else nearest(rows, self.train, self.k, self.n_features, False)).select("id", "other")
-        truth = self.bank_scores.groupBy(F.col("id").alias("other")).agg(F.max("z").alias("truth"))
-        seen = region.join(truth, "other").join(self.bank_scores.withColumnRenamed("id", "other"), "other")
-        fit = seen.groupBy("id", "k").agg(F.coalesce(F.corr("z", "truth"), F.lit(0.0)).alias("r"))
-        wide = Window.partitionBy("id")
-        lo, hi = F.min("r").over(wide), F.max("r").over(wide)
-        bins = fit.withColumn("bin", F.when(hi > lo, F.least(F.floor((F.col("r") - lo) / (hi - lo) * self.n_bins), F.lit(self.n_bins - 1))).otherwise(0))
-        held = bins.withColumn("held", F.count("*").over(Window.partitionBy("id", "bin")))
-        best = F.first(F.struct("held", "bin")).over(Window.partitionBy("id").orderBy(F.desc("held"), F.desc("bin")))
-        chosen = held.withColumn("best", best).where(F.col("bin") == F.col("best.bin")).select("id", "k")
-        return self._z(scores).join(chosen, ["id", "k"]).groupBy("id").agg(F.avg("z").alias("score"))
+        fit = self._regions(rows, alone).join(self.bank_scores.withColumnRenamed("id", "other"), "other").groupBy("id").agg(self._fits().alias("r"))
+        both = scores.join(fit, "id", "left").select("id", "z", F.coalesce("r", F.array(*(F.lit(v) for v in self.everywhere))).alias("r"))
+        return both.mapInPandas(partial(_selected, n_bins=self.n_bins), f"id {rows.schema['id'].dataType.simpleString()}, score double")
 
     def _train_scores(self, train):
-        return self._local(train, self._all(None), True)
+        return self._local(train, self.bank_scores.select("id", "z"), True)
 
     def _score(self, rows):
         rows = settle(rows)
-        return self._local(rows, self._all(rows), False)
+        return self._local(rows, self._z(self._all(rows)), False)
 
 
 @register_model("core_score_standardizer", "classical", "core", "ensemble")
