@@ -241,3 +241,16 @@ def test_moments_run_tasks_at_once_and_places_are_exact(spark, monkeypatch):
     assert n == 90 and np.allclose(mean, x.mean(0)) and np.allclose(cov, np.cov(x.T, bias=True))
     values = spark.createDataFrame([(float(v),) for v in np.round(x.ravel(), 1)], "score double")
     assert [linear._placed(values, h, 270) for h in (1, 135, 270)] == np.sort(np.round(x.ravel(), 1))[[0, 134, 269]].tolist()
+
+
+@pytest.mark.parametrize("k", [3.0, 1.0])
+def test_loci_of_many_rows_is_whole(spark, monkeypatch, k):
+    """Over BANK different rows used to be refused; most radii are ruled out by bounds, and the scores are those of all radii."""
+    monkeypatch.setattr(kernels, "BANK", 50)
+    draw = np.random.default_rng(12)
+    flat = np.stack([np.round(draw.uniform(-1000, 10000, 130), 2), draw.integers(0, 25, 130)], 1)
+    groups = np.concatenate([draw.normal(size=(90, 2)), draw.normal(size=(60, 2)) * 0.1 + 5, [[9, 9], [-8, 3]]])
+    for x in (flat, groups, np.concatenate([groups, groups[:30], groups[:7]]), np.ones((60, 2)), draw.normal(size=(25, 3))):
+        d = distances(x, x)
+        want = [kernels.deviation(i, d, d, 0.5, k) for i in range(len(x))]
+        assert np.allclose(scores(create_model("core_loci", k=k, many=True).fit(table(spark, x)).train_scores), want)
