@@ -108,3 +108,18 @@ def test_patches_reach_the_edges_and_interpolate():
 def test_pooled_patches(spark):
     grid = patch_maps.patch_grid(rows(spark, [np.array([[0, 255], [255, 255]])[..., None]]), 1)
     assert np.allclose(patch_maps.pooled(grid).first().features, [0.75, 1.0, math.sqrt(3) / 4])
+
+
+def test_equal_patches_are_described_once(spark, monkeypatch):
+    """Features used to be taken of each patch, also of those that many images share."""
+    draw = np.random.default_rng(3)
+    pictures = [draw.integers(0, 255, (6, 9, 1)).astype(float) for _ in range(3)]
+    made = rows(spark, [*pictures, *pictures, pictures[0], np.zeros((8, 8, 1))])
+    described = []
+    monkeypatch.setattr(patch_maps, "settle", lambda df, settle=patch_maps.settle: described.append(settle(df)) or described[-1])
+    got = {(r.image_id, r.py, r.px): r.features for r in patch_maps.patch_grid(made, 4, 2, "edge_stats").collect()}
+    want = {(k, y, x): images.EXTRACTORS["edge_stats"](p) for k, picture in enumerate([*pictures, *pictures, pictures[0], np.zeros((8, 8, 1))]) for y, x, p in patch_maps.patches(picture, 4, 2)}
+    assert len(got) == len(want) and len({k[0] for k in got}) == 8
+    first = min(k[0] for k in got)
+    assert all(np.allclose(got[k + first, y, x], v) for (k, y, x), v in want.items())
+    assert described[-1].count() == len({p.tobytes() for picture in [*pictures, np.zeros((8, 8, 1))] for _, _, p in patch_maps.patches(picture, 4, 2)})
